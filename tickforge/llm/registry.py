@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from tickforge.llm import quality_rules
+from tickforge.llm import bpe, mixing, quality_rules, secrets
 
 QUERIES = {
+    "op1_mixing": mixing.query,
+    "op2_bpe": bpe.query,
+    "op6_secrets": secrets.query,
     "op9_quality_rules": quality_rules.query,
 }
 
