@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tickforge.llm import bpe, mixing, quality_rules, secrets
+from tickforge.llm import bpe, mixing, near_dup, quality_rules, secrets
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_bpe": bpe.query,
     "op6_secrets": secrets.query,
     "op9_quality_rules": quality_rules.query,
+    "op10_near_dup": near_dup.query,
 }
 
 SQL = {
     "op9_quality_rules": quality_rules.SQL,
+    "op10_near_dup": near_dup.SQL,
 }
