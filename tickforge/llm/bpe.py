@@ -8,8 +8,8 @@ no look-ahead of the piece before reaches across, and the piece can be encoded a
 resynchronise (one pre-token longer than the overlap), the chunks are joined and encoded as one piece. Decoding looks
 up the bytes of the ids and concatenates them.
 
-A text of one chunk is finished where it is read and only its digests travel; the chunks of longer texts meet by row
-key, sorted, and are streamed.
+A text of one chunk is finished where it is read, without a shuffle; the chunks of longer texts meet by row key,
+sorted, and are streamed.
 
 Defined cases: null and empty texts have no ids; repeated rows give repeated results; an empty table gives an empty
 result; extra columns are dropped; special tokens are ordinary text.
@@ -20,8 +20,9 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
@@ -34,18 +35,9 @@ from tickforge.llm.common import row_key, table
 CHUNK = 16_384
 OVERLAP = 512
 RANKS = "byte_bpe_50k.tiktoken"
-SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-PARTS = (
-    "doc_id long, key long, k int, n_chunks int, text string, head array<int>, tail array<int>, n_tokens long, "
-    "ids_sha256 string, decoded_sha256 string"
-)
-PART_TYPES = pa.schema(
-    [
-        ("doc_id", pa.int64()), ("key", pa.int64()), ("k", pa.int32()), ("n_chunks", pa.int32()), ("text", pa.string()),
-        ("head", pa.list_(pa.int32())), ("tail", pa.list_(pa.int32())), ("n_tokens", pa.int64()),
-        ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()),
-    ]
-)
+DIGESTS = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+IDS = pa.schema([("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
+PARTS = "doc_id long, key long, k int, n_chunks int, text string, head array<int>, tail array<int>"
 
 
 @functools.cache
@@ -96,91 +88,110 @@ class Codec:
             cuts.append(k * CHUNK + min(common))
         return [whole[a:b] for a, b in zip(cuts, [*cuts[1:], len(whole)], strict=True)]
 
-    def digests(self, ids: list[int]) -> tuple[int, str, str]:
-        of_ids = hashlib.sha256(" ".join(map(self.decimal.__getitem__, ids)).encode()).hexdigest()
-        return len(ids), of_ids, hashlib.sha256(self.decode(ids)).hexdigest()
+    def finish(self, ids: list[list[int]], wanted: pa.Schema) -> list[pa.Array]:
+        """The wanted columns for the ids of some texts."""
+        cols: list[pa.Array] = [pa.array([len(x) for x in ids], pa.int64())]
+        if "ids" in wanted.names:
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            flat = np.concatenate([np.asarray(x, dtype=np.int32) for x in ids]) if ids else np.zeros(0, dtype=np.int32)
+            return [*cols, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+        of_ids = [hashlib.sha256(" ".join(map(self.decimal.__getitem__, x)).encode()).hexdigest() for x in ids]
+        return [*cols, pa.array(of_ids, pa.string()), pa.array([hashlib.sha256(self.decode(x)).hexdigest() for x in ids], pa.string())]
 
 
-def _pretokenised(ranks_path: str, pattern: str):
+def _whole(ranks_path: str, pattern: str, wanted: pa.Schema) -> Callable:
+    """Texts of one chunk: encoded at once."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(ranks_path, pattern)
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1000):
+                batch = whole.slice(i, 1000)
+                ids = [codec.encode(t or "") for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *codec.finish(ids, wanted)], ["doc_id", *wanted.names])
+
+    return each
+
+
+def _pretokenised(ranks_path: str, pattern: str) -> Callable:
+    """Chunks of long texts: their boundaries in the overlaps."""
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(ranks_path, pattern)
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("doc_id", "key", "k", "n_chunks", "text")]
-            rows = []
-            for doc_id, key, k, n_chunks, text in zip(*cols, strict=True):
-                if n_chunks == 1:
-                    rows.append((doc_id, key, 0, 1, None, None, None, *codec.digests(codec.encode(text))))
-                else:
-                    rows.append((doc_id, key, k, n_chunks, text, *codec.edges(text, k, n_chunks), None, None, None))
-            arrays = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PART_TYPES, strict=True)] if rows else []
-            if rows:
-                yield pa.RecordBatch.from_arrays(arrays, schema=PART_TYPES)
+            cols = [batch.column(c).to_pylist() for c in ("text", "k", "n_chunks")]
+            found = [codec.edges(*x) for x in zip(*cols, strict=True)]
+            edges = [pa.array([x[side] for x in found], pa.list_(pa.int32())) for side in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *edges], [*batch.schema.names, "head", "tail"])
 
     return each
 
 
-def _stitched(ranks_path: str, pattern: str):
-    names = [f.name for f in PART_TYPES]
+def _stitched(ranks_path: str, pattern: str, wanted: pa.Schema) -> Callable:
+    """Chunks sorted by key and number: one row per text, as often as the text is repeated."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(ranks_path, pattern)
-        held: list[tuple] = []  # the chunks of one key, repeated rows side by side
+        held: list[tuple] = []
 
-        def finish() -> list[tuple]:
-            copies = sum(r[2] == 0 for r in held)
-            one = list({r[2]: (r[4], r[5], r[6]) for r in held}.values())
+        def done() -> pa.RecordBatch:
+            copies = sum(r[1] == 0 for r in held)
+            one = list({r[1]: r[2:5] for r in held}.values())
             ids = [i for piece in codec.stitch(one) for i in codec.encode(piece)]
-            return [(held[0][0], *codec.digests(ids))] * copies
-
-        def batch_of(done: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            return pa.RecordBatch.from_arrays([pa.array([held[0][5]] * copies, pa.int64()), *codec.finish([ids] * copies, wanted)], ["doc_id", *wanted.names])
 
         for batch in batches:
-            done = []
-            for row in zip(*[batch.column(n).to_pylist() for n in names], strict=True):
-                if held and row[1] != held[0][1]:
-                    done += finish()
+            for row in zip(*[batch.column(n).to_pylist() for n in ("key", "k", "text", "head", "tail", "doc_id")], strict=True):
+                if held and row[0] != held[0][0]:
+                    yield done()
                     held = []
-                if row[3] == 1:
-                    done.append((row[0], *row[7:]))
-                else:
-                    held.append(row)
-            if done:
-                yield batch_of(done)
+                held.append(row)
         if held:
-            yield batch_of(finish())
+            yield done()
 
     return each
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """doc_id, key, k, n_chunks, text: the overlapping chunks of every text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    n = F.greatest(F.lit(1), F.ceil(F.length(text) / CHUNK)).cast("int")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), text.alias("text"), n.alias("n_chunks")).select(
-        "doc_id",
-        "key",
-        "n_chunks",
-        F.posexplode(
-            F.when(F.col("n_chunks") == 1, F.array("text")).otherwise(
-                F.transform(
-                    F.sequence(F.lit(0), F.col("n_chunks") - 1),
-                    lambda k: F.substring(F.col("text"), k * CHUNK + 1, F.lit(CHUNK + OVERLAP)),
-                )
-            )
-        ).alias("k", "text"),
-    )
+    """doc_id, key, k, n_chunks, text: the overlapping chunks of every text. Input: doc_id, text, not null."""
+    last = F.ceil(F.length("text") / CHUNK).cast("int") - 1
+    cut = F.transform(F.sequence(F.lit(0), last), lambda k: F.substring(F.col("text"), k * CHUNK + 1, F.lit(CHUNK + OVERLAP)))
+    out = docs.select("doc_id", row_key().alias("key"), (last + 1).alias("n_chunks"), F.posexplode(cut).alias("k", "text"))
+    return out.select("doc_id", "key", "k", "n_chunks", "text")
+
+
+def _encoded(docs: DataFrame, wanted: pa.Schema, ranks: str) -> DataFrame:
+    path, pattern = public_tokenizers.path(ranks), public_tokenizers.PATTERN
+    kinds = {pa.int64(): "long", pa.string(): "string", pa.list_(pa.int32()): "array<int>"}
+    schema = ", ".join(["doc_id long", *(f"{f.name} {kinds[f.type]}" for f in wanted)])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    short = texts.where(F.length("text") <= CHUNK).mapInArrow(_whole(path, pattern, wanted), schema)
+    parts = chunked(texts.where(F.length("text") > CHUNK)).mapInArrow(_pretokenised(path, pattern), PARTS)
+    long = parts.repartition("key").sortWithinPartitions("key", "k").mapInArrow(_stitched(path, pattern, wanted), schema)
+    return short.unionByName(long)
+
+
+def encode(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
+    """One row per document: doc_id, n_tokens, ids."""
+    return _encoded(docs, IDS, ranks)
 
 
 def encode_digests(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     """One row per document: doc_id, the number of ids, their digest and the digest of the bytes decoded from them."""
+    return _encoded(docs, DIGESTS, ranks)
+
+
+def decode(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
+    """doc_id and the bytes of the ids, concatenated as ``data``; null ids are empty."""
     path, pattern = public_tokenizers.path(ranks), public_tokenizers.PATTERN
-    parts = chunked(docs).mapInArrow(_pretokenised(path, pattern), PARTS)
-    return parts.repartition("key").sortWithinPartitions("key", "k").mapInArrow(_stitched(path, pattern), SCHEMA)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(path, pattern)
+        for batch in batches:
+            data = [codec.decode(x or ()) for x in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(data, pa.binary())], ["doc_id", "data"])
+
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(each, "doc_id long, data binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,10 +123,11 @@ def judge(measured: DataFrame) -> DataFrame:
     own = fences(sketches, ["lang", "source"]).select(
         F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.struct("n_docs", *MARGINS).alias("_own")
     )
-    everywhere = fences(sketches.withColumn("_all", F.lit(1)), ["_all"]).select("_all", F.struct("n_docs", *MARGINS).alias("_any"))
-    own = own.withColumn("_all", F.lit(1)).join(everywhere, "_all").select(
-        "_lang", "_source", F.when(F.col("_own.n_docs") >= MIN_DOCS, F.col("_own")).otherwise(F.col("_any")).alias("_f")
-    )
+    # one row whatever the input: the fences over all groups
+    anywhere = fences(sketches.withColumn("_all", F.lit(1)), ["_all"]).first()
+    for k in MARGINS:
+        own = own.withColumn(f"_{k}", F.when(F.col("_own.n_docs") >= MIN_DOCS, F.col(f"_own.{k}")).otherwise(F.lit(anywhere[k] if anywhere else None).cast("long")))
+    own = own.select("_lang", "_source", F.struct(*[F.col(f"_{k}").alias(k) for k in MARGINS]).alias("_f"))
     joined = measured.join(own, measured["lang"].eqNullSafe(own["_lang"]) & measured["source"].eqNullSafe(own["_source"]), "left")
     inside = F.lit(True)
     for k, v in rates("_m").items():
