@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tickforge.llm import bpe, mixing, near_dup, quality_rules, secrets
+from tickforge.llm import bpe, language_id, mixing, near_dup, quality_classifier, quality_rules, secrets
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_bpe": bpe.query,
+    "op3_language_id": language_id.query,
     "op6_secrets": secrets.query,
+    "op7_quality_classifier": quality_classifier.query,
     "op9_quality_rules": quality_rules.query,
     "op10_near_dup": near_dup.query,
 }
