@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tickforge.llm import bpe, language_id, mixing, near_dup, quality_classifier, quality_rules, secrets
+from tickforge.llm import bpe, language_id, mixing, near_dup, quality_classifier, quality_rules, secrets, vector_dup
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_bpe": bpe.query,
     "op3_language_id": language_id.query,
+    "op4_vector_dup": vector_dup.query,
     "op6_secrets": secrets.query,
     "op7_quality_classifier": quality_classifier.query,
     "op9_quality_rules": quality_rules.query,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_vector_dup": vector_dup.SQL,
     "op9_quality_rules": quality_rules.SQL,
     "op10_near_dup": near_dup.SQL,
 }
