@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickforge.llm import bpe, language_id, mixing, near_dup, quality_classifier, quality_rules, secrets, vector_dup
+from tickforge.llm import bpe, language_id, mixing, near_dup, quality_classifier, quality_rules, secrets, substring_dup, vector_dup
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -11,12 +11,14 @@ QUERIES = {
     "op4_vector_dup": vector_dup.query,
     "op6_secrets": secrets.query,
     "op7_quality_classifier": quality_classifier.query,
+    "op8_substring_dup": substring_dup.query,
     "op9_quality_rules": quality_rules.query,
     "op10_near_dup": near_dup.query,
 }
 
 SQL = {
     "op4_vector_dup": vector_dup.SQL,
+    "op8_substring_dup": substring_dup.SQL,
     "op9_quality_rules": quality_rules.SQL,
     "op10_near_dup": near_dup.SQL,
 }
