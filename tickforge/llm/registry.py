@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tickforge.llm import bpe, language_id, mixing, near_dup, quality_classifier, quality_rules, secrets, substring_dup, vector_dup
+from tickforge.llm import bpe, language_id, mixing, near_dup, quality_classifier, quality_rules, secrets, substring_dup, suffix_dup, vector_dup
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_bpe": bpe.query,
     "op3_language_id": language_id.query,
     "op4_vector_dup": vector_dup.query,
+    "op5_suffix_dup": suffix_dup.query,
     "op6_secrets": secrets.query,
     "op7_quality_classifier": quality_classifier.query,
     "op8_substring_dup": substring_dup.query,
