@@ -7,9 +7,10 @@ share a region of the tree. Regions are compared inside by their sketches (8 bit
 similarity 0.8 a pair misses all regions with probability (1 - 0.8**DEPTH)**TREES, below 4e-6.
 
 Candidates are confirmed on the full sets of the texts. Round one confirms each class with its most similar partner
-and with the hub of its region; components follow. Round two takes every pair of a region whose ends are still in
-different components and whose sketches allow a link, so no link between components is left out. Links inside a
-component don't change the result and aren't expanded.
+and with the hub of its region; components follow. Round two takes the classes of a region whose sketches allow a link
+with a class of another component, and intersects the full sets of those outside the region's largest component with
+all the others, so no link between components is left out. Only links that join components are emitted; links inside
+a component don't change the result.
 
 Defined cases: null texts and texts without words have no set and stand alone; ids that are null stand alone unless
 their texts link; repeated rows link with each other; an empty table gives an empty result; ``keep_first`` leaves
@@ -213,21 +214,98 @@ def _round_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _round_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of a region that lie in different components and whose sketches allow a link."""
+    """key, cls, root, major: the classes of a region that may link with another component, each pair being left to the
+    first tree in which both ends share a region. major: of the region's largest component, whose classes are met by
+    the others only."""
     for group in grouped(batches):
         ids, roots, sketch = np.asarray(group["cls"]), np.asarray(group["root"]), _matrix(group["sketch"])
+        keys, tree = np.asarray(group["keys"].combine_chunks().flatten()).reshape(-1, TREES), group["tree"][0].as_py()
         values, counts = np.unique(roots, return_counts=True)
         if len(values) < 2:
             continue
-        # the largest component is met by the others only; pairs inside it are never looked at
-        rest = np.flatnonzero(roots != values[counts.argmax()])
-        for i in range(0, len(rest), 256):
-            part = rest[i : i + 256]
-            e = _estimates(sketch[part], sketch)
-            x, y = np.nonzero((e >= LEAST_ESTIMATE) & (roots[part][:, None] != roots[None, :]))
-            a, b = ids[part[x]], ids[y]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        major = roots == values[counts.argmax()]
+        rest, involved = np.flatnonzero(~major), np.zeros(len(ids), dtype=bool)
+        for i in range(0, len(rest), 64):
+            part = rest[i : i + 64]
+            x, y = np.nonzero((_estimates(sketch[part], sketch) >= LEAST_ESTIMATE) & (roots[part][:, None] != roots[None, :]))
+            first = (keys[part[x]] == keys[y]).argmax(axis=1) == tree
+            involved[part[x[first]]] = involved[y[first]] = True
+        at = np.flatnonzero(involved)
+        if len(at):
+            cols = [np.full(len(at), group["key"][0].as_py()), ids[at], roots[at], major[at]]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["key", "cls", "root", "major"])
+
+
+class Minor:
+    """The full sets of a region's classes outside its largest component, by shingle, and the links found so far."""
+
+    def __init__(self, rows: list[tuple[int, int, np.ndarray]]):
+        self.ids = [r[0] for r in rows]
+        self.roots = [r[1] for r in rows]
+        self.sizes = np.array([len(r[2]) for r in rows])
+        flat = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, dtype=np.uint64)
+        order = np.argsort(flat, kind="stable")
+        self.owner = np.repeat(np.arange(len(rows)), self.sizes)[order]
+        self.shingles, self.starts = np.unique(flat[order], return_index=True)
+        self.ends = np.concatenate([self.starts[1:], [len(flat)]]).astype(np.int64)
+        self.parent: dict[int, int] = {}
+
+    def find(self, root: int) -> int:
+        while (up := self.parent.get(root, root)) != root:
+            root = up
+        return root
+
+    def links(self, cls: int, root: int, own: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Links of a class with those held that join components not yet joined here."""
+        if not len(self.shingles):
+            return
+        at = np.minimum(np.searchsorted(self.shingles, own), len(self.shingles) - 1)
+        at = at[self.shingles[at] == own]
+        counts = self.ends[at] - self.starts[at]
+        flat = np.repeat(self.starts[at] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum()) if len(at) else at
+        both = np.bincount(self.owner[flat], minlength=len(self.ids))
+        for j in np.flatnonzero(100 * both >= PER_CENT * (len(own) + self.sizes - both)).tolist():
+            a, b = self.find(root), self.find(self.roots[j])
+            if a != b:
+                self.parent[max(a, b)] = min(a, b)
+                yield cls, self.ids[j]
+
+
+def _region_links(words: int) -> Callable:
+    """Rows of regions with texts, the largest component's last -> confirmed links a, b between components."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, minor, found = None, [], None, []
+
+        def close() -> Minor:
+            made = Minor(held)
+            for row in held:
+                found.extend(made.links(*row))
+            return made
+
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("key", "cls", "root", "major")]
+            for k, cls, root, major, text in zip(*cols, batch.column("text"), strict=True):
+                if k != key:
+                    if minor is None and held:
+                        close()
+                    key, held, minor = k, [], None
+                own = shingle_set(text.as_buffer().to_pybytes(), words)
+                if not major:
+                    held.append((cls, root, own))
+                    continue
+                if minor is None:
+                    minor = close()
+                found.extend(minor.links(cls, root, own))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+                found.clear()
+        if minor is None and held:
+            close()
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
+    return each
 
 
 def _texts_of(wanted: KeyFilter, words: int) -> Callable:
@@ -309,12 +387,18 @@ def link_classes(docs: DataFrame, scratch: Scratch, words: int = 2) -> tuple[Dat
 
     links = confirm(pairs)
     first = components(links, scratch)
-    rooted = in_regions.join(first, in_regions["cls"] == first["id"], "left").select("key", "cls", "sketch", F.coalesce("root", "cls").alias("root"))
+    rooted = scratch.put(
+        in_regions.join(first, in_regions["cls"] == first["id"], "left").select("key", "tree", "cls", "sketch", F.coalesce("root", "cls").alias("root"))
+    )
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    open_pairs = (
-        rooted.join(mixed, "key").repartition("key").sortWithinPartitions("key").mapInArrow(_round_two, "a long, b long").distinct()
+    involved = scratch.put(
+        rooted.join(mixed, "key").join(classes.select("cls", "keys"), "cls").repartition("key").sortWithinPartitions("key")
+        .mapInArrow(_round_two, "key long, cls long, root long, major boolean")
+    )
+    across = (
+        involved.join(stock, "cls").repartition("key").sortWithinPartitions("key", "major").mapInArrow(_region_links(words), "a long, b long")
     )
-    links = links.unionByName(confirm(scratch.put(open_pairs)))
+    links = links.unionByName(scratch.put(across))
     roots = components(links, scratch)
     return rows, scratch.put(roots.select(F.col("id").alias("cls"), "root"))
 
