@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickforge.plans import books, trades
+from tickforge.plans import books, signals, trades
 from tickforge.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "books", "trades"]
+__all__ = ["QUERIES", "SQL", "books", "signals", "trades"]
