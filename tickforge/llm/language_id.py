@@ -37,7 +37,8 @@ SLICE_CHARS = 400_000
 @functools.lru_cache(maxsize=4096)
 def letter_vector(code: int) -> np.ndarray:
     """The +1/-1 vector of a letter, from its code point."""
-    words = mix64(np.uint64(code + 1) * np.uint64(0x9E3779B97F4A7C15) + np.arange(DIM // 64, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    seed = mix64(np.array([code + 1], dtype=np.uint64))
+    words = mix64(seed + np.arange(DIM // 64, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
     return np.unpackbits(words.view(np.uint8)).astype(np.int8) * 2 - 1
 
 

@@ -143,9 +143,12 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 
 def filter_quality(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with all their columns."""
-    measured = with_measures(docs)
-    return judge(measured).where("_kept").select(*docs.columns)
+    """The documents that the rules keep, with all their columns. Other columns travel in one struct, so that their
+    names can't clash with those used here."""
+    rest = [c for c in docs.columns if c not in ("text", "lang", "source")]
+    packed = docs.select("text", "lang", "source", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_rest"))
+    kept = judge(with_measures(packed)).where("_kept")
+    return kept.select(*[F.col(c if c in ("text", "lang", "source") else f"_rest.`{c}`").alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
