@@ -89,6 +89,26 @@ def intervals(common: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
                 stack.append((c, left))
 
 
+def coverage(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, where: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal covered runs of contexts joined to one text. Children come before their parents,
+    so a position keeps the longest repeat that starts there and shorter ones add nothing."""
+    longest = np.zeros(len(data), dtype=np.int64)
+    for at, length in maximal_repeats(data, starts, sizes, where, least):
+        longest[at[longest[at] == 0]] = length
+    at = np.flatnonzero(longest)
+    step = np.zeros(len(data) + 1, dtype=np.int64)
+    np.add.at(step, at, 1)
+    np.add.at(step, at + longest[at], -1)
+    inside = np.cumsum(step)[:-1] > 0
+    opens = inside.copy()
+    opens[1:] &= ~inside[:-1]
+    opens[starts] = inside[starts]  # runs end with their context
+    closes = np.zeros(len(data) + 1, dtype=bool)
+    closes[1:] = inside
+    closes[:-1] &= ~inside | opens
+    return np.flatnonzero(opens), np.flatnonzero(closes)
+
+
 def maximal_repeats(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, where: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, int]]:
     """(positions, length) of the left-diverse intervals among contexts joined to one text. where: for each position
     the identity of its place in the corpus; an interval needs two places."""
@@ -164,9 +184,9 @@ def _scan(keys: list[int], rks: list[int], los: list[int], parts: list[bytes], l
     new_sizes = sizes[wanted]
     new_starts = np.cumsum(new_sizes) - new_sizes
     at_row, row, where = at_row[keep], row[keep], where[keep]
-    for at, length in maximal_repeats(data[keep], new_starts, new_sizes, where, least):
-        lo = base[row[at]] + at_row[at]
-        out.add(len(at), rk[row[at]], lo, lo + length)
+    lo, hi = coverage(data[keep], new_starts, new_sizes, where, least)
+    first = base[row[lo]] + at_row[lo]
+    out.add(len(lo), rk[row[lo]], first, first + hi - lo)
 
 
 def _suffixes(least: int) -> Callable:
