@@ -147,7 +147,9 @@ def filter_quality(docs: DataFrame) -> DataFrame:
     names can't clash with those used here."""
     rest = [c for c in docs.columns if c not in ("text", "lang", "source")]
     packed = docs.select("text", "lang", "source", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_rest"))
-    kept = judge(with_measures(packed)).where("_kept")
+    # written once: the sketches and the filter would else measure every text again
+    measured = Scratch(docs.sparkSession, "quality").put(with_measures(packed))
+    kept = judge(measured).where("_kept")
     return kept.select(*[F.col(c if c in ("text", "lang", "source") else f"_rest.`{c}`").alias(c) for c in docs.columns])
 
 
