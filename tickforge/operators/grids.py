@@ -55,7 +55,7 @@ def horizon_bins(flow: DataFrame, lab: DataFrame, bins: int, updates: list[int],
         wide = S.clock_flow(wide, us).withColumnRenamed("flow", f"clock_{us}")
     wide = wide.where("is_update")
     for n in updates:
-        wide = wide.withColumn(f"updates_{n}", F.sum("ofi").over(S.SESSION.rowsBetween(1 - n, Window.currentRow)))
+        wide = wide.withColumn(f"updates_{n}", F.sum("ofi").over(S.in_session().rowsBetween(1 - n, Window.currentRow)))
     rows = lab.where("is_update").join(wide.drop("is_update", "ofi", "ts_us"), key)
     each = F.array(
         F.struct(F.lit("price_spell").alias("horizon_kind"), F.lit(0).cast("long").alias("horizon_value"), F.col("cofi").alias("flow")),

@@ -6,24 +6,28 @@ shuffle; spell facts come from windows over the session in order, not from joins
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tickforge.functions import book as B
 
-SESSION = Window.partitionBy("date").orderBy("event_row")
-SO_FAR = SESSION.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-BY_SPELL = Window.partitionBy("date", "spell").orderBy("event_row")
+
+def in_session() -> WindowSpec:
+    return Window.partitionBy("date").orderBy("event_row")
+
+
+def so_far() -> WindowSpec:
+    return in_session().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def with_flow(events: DataFrame) -> DataFrame:
     """Adds the book before (``prev``), m2 (twice the mid), spell, first_in_spell, ofi and is_update."""
-    out = events.withColumn("m2", B.mid_twice()).withColumn("prev", F.lag(F.struct(*B.BOOK, "m2")).over(SESSION))
+    out = events.withColumn("m2", B.mid_twice()).withColumn("prev", F.lag(F.struct(*B.BOOK, "m2")).over(in_session()))
     first = F.col("prev").isNull() | (F.col("prev.m2") != F.col("m2"))
     out = out.withColumn("first_in_spell", first)
     return out.withColumns(
         {
-            "spell": F.sum(F.col("first_in_spell").cast("int")).over(SO_FAR),
+            "spell": F.sum(F.col("first_in_spell").cast("int")).over(so_far()),
             "ofi": F.when(F.col("prev").isNull(), 0).otherwise(B.ofi("prev")).cast("long"),
             "is_update": F.col("prev").isNull() | ~B.same_best_quote("prev"),
         }
@@ -40,7 +44,7 @@ def spell_table(flow: DataFrame) -> DataFrame:
 def labelled(flow: DataFrame) -> DataFrame:
     """Events of spells that have a next move, with next_m2, next_us, move (+1 or -1), cofi and bins' inputs."""
     joined = flow.join(spell_table(flow), ["date", "spell"]).where("next_m2 IS NOT NULL")
-    running = BY_SPELL.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = Window.partitionBy("date", "spell").orderBy("event_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return joined.withColumns(
         {
             "move": F.when(F.col("next_m2") > F.col("m2"), 1).otherwise(-1),
@@ -55,13 +59,13 @@ def labelled(flow: DataFrame) -> DataFrame:
 
 def last_updates_flow(flow: DataFrame, n: int) -> DataFrame:
     """Rows at quote updates with flow over the last n of them; windows cross spells and may be short at the start."""
-    w = SESSION.rowsBetween(1 - n, Window.currentRow)
+    w = in_session().rowsBetween(1 - n, Window.currentRow)
     return flow.where("is_update").withColumn("flow", F.sum("ofi").over(w))
 
 
 def clock_flow(flow: DataFrame, span_us: int) -> DataFrame:
     """Flow over (t - span, t], causal by row: later rows of the same time are left out, earlier ones are in."""
-    upto = F.sum("ofi").over(SO_FAR)
+    upto = F.sum("ofi").over(so_far())
     old = F.sum("ofi").over(Window.partitionBy("date").orderBy("ts_us").rangeBetween(Window.unboundedPreceding, -span_us))
     return flow.withColumn("flow", (upto - F.coalesce(old, F.lit(0))).cast("long"))
 

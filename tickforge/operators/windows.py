@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 PRICE_SCALE = 10_000.0
-TRADES = Window.partitionBy("date").orderBy("row0")
+
+
+def in_order() -> WindowSpec:
+    """Trades of a session in order."""
+    return Window.partitionBy("date").orderBy("row0")
 
 
 def prediction_windows(trades: DataFrame, horizons: list[int], stride: int | None = None) -> DataFrame:
@@ -15,7 +19,7 @@ def prediction_windows(trades: DataFrame, horizons: list[int], stride: int | Non
 
     Sums come from prefix differences, so a window's cost doesn't grow with T.
     """
-    so_far = TRADES.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = in_order().rowsBetween(Window.unboundedPreceding, -1)
     before = trades.withColumns(
         {
             "v": F.coalesce(F.sum(F.col("sign") * F.col("size")).over(so_far), F.lit(0)),
@@ -24,7 +28,7 @@ def prediction_windows(trades: DataFrame, horizons: list[int], stride: int | Non
     )
     each = []
     for t in horizons:
-        end = F.lead(F.struct("v", "n", "mid_raw"), t).over(TRADES)
+        end = F.lead(F.struct("v", "n", "mid_raw"), t).over(in_order())
         each.append(F.struct(F.lit(t).alias("horizon"), F.lit(stride or t).alias("stride"), end.alias("end")))
     out = before.withColumn("h", F.array(*each)).withColumn("h", F.explode("h"))
     out = out.where(F.col("h.end").isNotNull() & (F.col("row0") % F.col("h.stride") == 0))
@@ -108,7 +112,7 @@ def scaling_windows(trades: DataFrame, horizons: list[int]) -> DataFrame:
     day = Window.partitionBy("date")
     all_days = trades.groupBy("date").agg(F.sum("size").alias("day_size"))
     mean = all_days.agg(F.avg("day_size")).first()[0] or 0.0
-    step = F.lead("mid_raw").over(TRADES) - F.col("mid_raw")
+    step = F.lead("mid_raw").over(in_order()) - F.col("mid_raw")
     base = trades.withColumns({"scale": F.lit(float(mean)) / F.sum("size").over(day), "step": step})
     rows = base.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons]))).withColumn("w", F.floor(F.col("row0") / F.col("horizon")))
     last = F.max_by("step", "row0")
@@ -131,7 +135,7 @@ def dfa_fluctuations(trades: DataFrame, scales: list[int]) -> DataFrame:
     both ends, each with its own line, from sums alone."""
     day = Window.partitionBy("date")
     t = trades.withColumns({"c": F.col("sign") - F.avg("sign").over(day), "n": F.count("*").over(day)})
-    t = t.withColumn("y", F.sum("c").over(TRADES.rowsBetween(Window.unboundedPreceding, 0)))
+    t = t.withColumn("y", F.sum("c").over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
     rows = t.withColumn("scale", F.explode(F.array(*[F.lit(s) for s in scales]))).where(F.col("n") >= F.col("scale"))
     s, whole = F.col("scale"), F.floor(F.col("n") / F.col("scale"))
     off = F.col("n") - whole * s
