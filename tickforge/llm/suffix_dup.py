@@ -3,7 +3,7 @@
 The suffixes that can matter are found first: places share a winnowed anchor (64 bytes), and each has a context, all
 that 200-byte strings with that anchor can reach. Equal contexts settle their strings at once. Where an anchor has
 several contexts, one place per context is taken and the contexts of an anchor come to one task, where they are
-joined to a text with an enhanced suffix array. A stack scan over its common prefixes walks the tree of common-prefix
+joined to a text with an enhanced suffix array of the suffixes whose strings differ in the letter before them. A stack scan over its common prefixes walks the tree of common-prefix
 intervals of at least 200; an interval whose left extensions differ is a maximal repeat, and all its occurrences are
 marked, not only neighbours. Marks at places stand for all places with that context.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tickforge.llm.common import KeyFilter, Scratch, table
 from tickforge.llm.repeats import CONTEXTS, KEYS, WINDOWS, Out, Seeds, contexts_pass, covered, each_text, keys_pass, marked, place, places_of, texts, windows_pass
-from tickforge.llm.rolling import BYTE_VALUES, Prefix
+from tickforge.llm.rolling import BYTE_VALUES, Prefix, mix64
 
 LENGTH, GRAM = 200, 64
 GROUP = 2048
@@ -34,40 +34,23 @@ CHUNK = 1 << 20
 
 
 class SuffixArray:
-    """Suffixes of contexts joined to one text, each bounded by the end of its context, in order, with the common
-    prefixes of neighbours. Built by prefix doubling up to the longest context."""
-
-    def __init__(self, data: np.ndarray, ends: np.ndarray):
-        """ends: for each position the end of its context."""
-        n = len(data)
-        self.ranks = [data.astype(np.int64) + 1]
-        span = 1
-        longest = int((ends - np.arange(n)).max(initial=1))
-        while span < longest:
-            last = self.ranks[-1]
-            beyond = np.zeros(n, dtype=np.int64)
-            inside = np.flatnonzero(np.arange(n) + span < ends)
-            beyond[inside] = last[inside + span]
-            _, rank = np.unique(last * (int(last.max()) + 2) + beyond, return_inverse=True)
-            self.ranks.append(rank + 1)
-            span *= 2
-        self.order = np.argsort(self.ranks[-1], kind="stable")
-        self.common = self._common(ends)
-
-    def _common(self, ends: np.ndarray) -> np.ndarray:
-        """Common prefix of each suffix in order with the one before; 0 for the first."""
-        a, b = self.order[:-1].copy(), self.order[1:].copy()
-        length = np.zeros(len(a), dtype=np.int64)
-        for level in range(len(self.ranks) - 1, -1, -1):
-            rank, span = self.ranks[level], 1 << level
-            # ranks of suffixes cut short by their ends are told apart by the bounds
-            ok = (a + span <= ends[self.order[:-1]]) & (b + span <= ends[self.order[1:]])
-            at = np.flatnonzero(ok)
-            same = at[rank[a[at]] == rank[b[at]]]
-            a[same] += span
-            b[same] += span
-            length[same] += span
-        return np.concatenate([[0], length])
+    """Some suffixes of contexts joined to one text, each up to the end of its context, in order, with the common
+    prefix of each with the one before."""
+
+    def __init__(self, data: np.ndarray, prefix: Prefix, at: np.ndarray, ends: np.ndarray):
+        """at: starts of the suffixes; ends: for each of them the end of its context."""
+        raw = data.tobytes()
+        keys = [raw[i:e] for i, e in zip(at.tolist(), ends.tolist(), strict=True)]
+        order = np.array(sorted(range(len(at)), key=keys.__getitem__), dtype=np.int64)
+        self.at, ends = at[order], ends[order]
+        # common prefixes by bisection on window hashes
+        a, b = self.at[:-1], self.at[1:]
+        low, high = np.zeros(len(a), dtype=np.int64), np.minimum(ends[:-1] - a, ends[1:] - b)
+        while (low < high).any():
+            middle = (low + high + 1) // 2
+            same = prefix.windows(a, a + middle) == prefix.windows(b, b + middle)
+            low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
+        self.common = np.concatenate([[0], low])
 
 
 def intervals(common: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
@@ -111,19 +94,39 @@ def coverage(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, where: np.
 
 def maximal_repeats(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, where: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, int]]:
     """(positions, length) of the left-diverse intervals among contexts joined to one text. where: for each position
-    the identity of its place in the corpus; an interval needs two places."""
-    ends = np.repeat(starts + sizes, sizes)
-    array = SuffixArray(data, ends)
+    the identity of its place in the corpus; an interval needs two places.
+
+    A repeat of at least ``least`` lies within a class of equal strings of that length, and it is left-diverse only if
+    the class is. So the suffixes of classes that have one place, or one letter before them, aren't sorted at all.
+    """
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    ends = (starts + sizes)[row]
+    whole = np.flatnonzero(np.arange(len(data)) + least <= ends)
+    if not len(whole):
+        return
     before = np.full(len(data), -1, dtype=np.int64)  # the start of a context is like no letter
     before[1:] = data[:-1]
-    before[starts] = -1
-    for length, first, last in intervals(array.common, least):
-        at = array.order[first : last + 1]
-        left = before[at]
-        if (left == left[0]).all() and left[0] >= 0:
-            continue
-        if (where[at] != where[at[0]]).any():
-            yield at, length
+    before[starts[sizes > 0]] = -1
+    prefix = Prefix(BYTE_VALUES[data])
+    hashes = prefix.windows(whole, whole + least)
+    order = np.argsort(hashes, kind="stable")
+    at, h = whole[order], hashes[order]
+    first = np.concatenate([[True], h[1:] != h[:-1]])
+    bounds, of = np.flatnonzero(first), np.cumsum(first) - 1
+    several = np.minimum.reduceat(where[at], bounds) != np.maximum.reduceat(where[at], bounds)
+    lowest = np.minimum.reduceat(before[at], bounds)
+    diverse = (lowest < 0) | (lowest != np.maximum.reduceat(before[at], bounds))
+    at = at[(several & diverse)[of]]
+    if not len(at):
+        return
+    array = SuffixArray(data, prefix, at, ends[at])
+    at = array.at
+    # changes among neighbours, so that an interval's diversity is a difference of two sums
+    left = np.concatenate([[0], np.cumsum(before[at[1:]] != before[at[:-1]])])
+    places = np.concatenate([[0], np.cumsum(where[at[1:]] != where[at[:-1]])])
+    for length, lo, hi in intervals(array.common, least):
+        if places[hi] > places[lo] and (left[hi] > left[lo] or before[at[lo]] < 0):
+            yield at[lo : hi + 1], length
 
 
 CONTEXT_BYTES = "key long, rk long, lo int, data binary"
@@ -161,30 +164,13 @@ def _scan(keys: list[int], rks: list[int], los: list[int], parts: list[bytes], l
     sizes = np.array([len(p) for p in parts], dtype=np.int64)
     starts = np.cumsum(sizes) - sizes
     data = np.frombuffer(b"".join(parts), dtype=np.uint8)
+    if not len(data):
+        return
     row, base = np.repeat(np.arange(len(parts)), sizes), np.array(los, dtype=np.int64)
     at_row = np.arange(len(data)) - np.repeat(starts, sizes)
     rk = np.array(rks, dtype=np.int64)
-    # contexts none of whose strings recurs at another place are left out before the array is built
-    whole = np.flatnonzero(at_row <= sizes[row] - least)
-    hashes = Prefix(BYTE_VALUES[data]).windows(whole, whole + least)
-    where = np.unique(np.stack([rk[row], base[row] + at_row]), axis=1, return_inverse=True)[1].ravel()
-    order = np.lexsort((where[whole], hashes))
-    h, w = hashes[order], where[whole][order]
-    twin = np.zeros(len(order), dtype=bool)
-    other = (h[1:] == h[:-1]) & (w[1:] != w[:-1])
-    twin[1:] |= other
-    twin[:-1] |= other
-    wanted = np.unique(row[whole[order[twin]]])
-    # equal places of a string stand with its other places
-    same = np.isin(h, h[twin])
-    wanted = np.union1d(wanted, np.unique(row[whole[order[same]]]))
-    if not len(wanted):
-        return
-    keep = np.isin(row, wanted)
-    new_sizes = sizes[wanted]
-    new_starts = np.cumsum(new_sizes) - new_sizes
-    at_row, row, where = at_row[keep], row[keep], where[keep]
-    lo, hi = coverage(data[keep], new_starts, new_sizes, where, least)
+    where = mix64(mix64(rk.view(np.uint64))[row] + (base[row] + at_row).astype(np.uint64))
+    lo, hi = coverage(data, starts, sizes, where, least)
     first = base[row[lo]] + at_row[lo]
     out.add(len(lo), rk[row[lo]], first, first + hi - lo)
 
