@@ -27,7 +27,7 @@ def test_stages_in_order():
 
 
 def test_run_equals_the_composition(spark, folder):
-    scratch = Scratch(spark, "composed")
+    scratch = Scratch(spark, "composed", lasting=True)
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     good = scratch.put(quality_rules.filter_quality(docs))
     kept = {r["doc_id"] for r in quality_rules.quality_report(docs).collect() if r["kept"]}

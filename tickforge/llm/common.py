@@ -39,6 +39,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_OPEN: list[Scratch] = []
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes the tables of all operators so far, but for lasting ones. For a stage whose input stands on its own: no
+    result of an operator before that hasn't been written may be read any more."""
+    for scratch in _OPEN[:]:
+        if not scratch.lasting:
+            scratch.drop()
+            _OPEN.remove(scratch)
+
+
 class Scratch:
     """Tables written to the shared folder, which cut lineage and survive lost executors.
 
@@ -46,8 +58,10 @@ class Scratch:
     needed and lets Spark drop the shuffle files of plans that are out of use.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, lasting: bool = False):
         self.spark = spark
+        self.lasting = lasting
+        _OPEN.append(self)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.names = 0
 
@@ -55,10 +69,15 @@ class Scratch:
         self.names += 1
         path = f"{self.root}/{self.names}"
         df.write.parquet(path)
+        self.spark._jvm.System.gc()  # shuffle files of finished plans are dropped once the driver collects them
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     def clear(self, *frames: DataFrame) -> None:
         jvm, sc = self.spark._jvm, self.spark.sparkContext
         for df in frames:

@@ -160,17 +160,20 @@ def with_starts(sized: DataFrame, n_docs: int) -> DataFrame:
 
 
 def pieces(started: DataFrame) -> DataFrame:
-    """Explodes documents into the parts of them that lie in each block: block, lo, hi (words of the source)."""
+    """Explodes documents into the parts of them that lie in each block: block, lo, hi (words of the source), and their text
+    where the input has it."""
     last = F.col("start") + F.col("size") - 1
-    each = started.where("size > 0").withColumn(
-        "block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK_WORDS), F.floor(last / BLOCK_WORDS)))
-    )
-    return each.withColumns(
-        {
-            "lo": F.greatest(F.col("start"), F.col("block") * BLOCK_WORDS),
-            "hi": F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK_WORDS),
-        }
-    )
+    lo = lambda b: F.greatest(F.col("start"), b * BLOCK_WORDS)
+    hi = lambda b: F.least(F.col("start") + F.col("size"), (b + 1) * BLOCK_WORDS)
+    cols = {"block": lambda b: b, "lo": lo, "hi": hi}
+    rest = [F.col(c) for c in started.columns if c != "text"]
+    if "text" in started.columns:
+        # a piece takes only its own words along
+        started = started.withColumn("_words", words(F.col("text")))
+        cols["text"] = lambda b: F.array_join(F.slice("_words", (lo(b) - F.col("start") + 1).cast("int"), (hi(b) - lo(b)).cast("int")), " ")
+    blocks = F.sequence(F.floor(F.col("start") / BLOCK_WORDS), F.floor(last / BLOCK_WORDS))
+    each = F.transform(blocks, lambda b: F.struct(*[f(b).alias(c) for c, f in cols.items()]))
+    return started.where("size > 0").select(*rest, F.explode(each).alias("_p")).select(*rest, "_p.*")
 
 
 class Mix:
@@ -194,15 +197,15 @@ class Mix:
         self.uses = (
             pieces(self.started)
             .join(used, ["sid", "block"])
-            .withColumn("hi", F.least(F.col("hi"), F.col("block") * BLOCK_WORDS + F.col("limit")))
-            .where("hi > lo")
+            .withColumn("cut", F.least(F.col("hi"), F.col("block") * BLOCK_WORDS + F.col("limit")))
+            .where("cut > lo")
         )
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """One row per document: size, source_size, target and the words of it that the mix takes, repeats counted."""
     plan = Mix(docs.select("doc_id", "text", "source"))
-    taken = plan.uses.groupBy("sid", "start").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"))
+    taken = plan.uses.groupBy("sid", "start").agg(F.sum(F.col("cut") - F.col("lo")).alias("taken"))
     rows = plan.started.withColumn("at", F.when(F.col("size") > 0, F.col("start")))
     return rows.join(taken.withColumnRenamed("start", "at"), ["sid", "at"], "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
@@ -215,8 +218,7 @@ def mix(docs: DataFrame) -> DataFrame:
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
     wrapped = docs.withColumn("_rest", F.struct(*[F.col(c) for c in rest]) if rest else F.lit(None).cast("int"))
     plan = Mix(wrapped, carry=["text", "_rest"])
-    # a source's words are counted from its first document, the slice from the document's own first word
-    piece = F.array_join(F.slice(words(F.col("text")), (F.col("lo") - F.col("start") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")), " ")
+    piece = F.when(F.col("cut") < F.col("hi"), F.expr("substring_index(text, ' ', cast(cut - lo AS int))")).otherwise(F.col("text"))
     out = plan.uses.withColumn("text", piece).select("doc_id", "text", "source", *[F.col(f"_rest.{c}").alias(c) for c in rest])
     if "n_chars" in rest:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
