@@ -46,7 +46,7 @@ def sweep(spark: SparkSession) -> None:
     """Deletes the tables of all operators so far, but for lasting ones. For a stage whose input stands on its own: no
     result of an operator before that hasn't been written may be read any more."""
     for scratch in _OPEN[:]:
-        if not scratch.lasting:
+        if not scratch.lasting and scratch.spark.sparkContext is spark.sparkContext:
             scratch.drop()
             _OPEN.remove(scratch)
 
