@@ -133,9 +133,12 @@ def policy_audit(r: Run) -> dict[str, DataFrame]:
 
 
 def liquidity(r: Run) -> dict[str, DataFrame]:
-    scored = L.scored(trades_of(O.visible_orders(r.flow())))
-    tails = L.tails(scored.where("is_test"))
-    return {"bins": L.expectedness_bins(scored.where("is_test"), 10), "tails": L.tail_statistics(tails), "contrast": L.stratified_contrast(tails)}
+    orders = O.visible_orders(r.flow()).persist()
+    C.require(L.order_violations(orders))
+    tables = L.asymmetric_liquidity(orders, r.test_from())
+    gate = tables["prediction"].where(F.col("block_length") == 5).select(F.lit("signs_not_predicted").alias("rule"), (F.col("estimate") <= 0).cast("long").alias("violations"))
+    C.require(gate)
+    return tables
 
 
 VERBS: dict[str, Callable[[Run], dict[str, DataFrame]]] = {

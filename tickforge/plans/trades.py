@@ -184,7 +184,25 @@ ex AS (SELECT al.*, mu + phi * l1 AS expected, sign * (mu + phi * l1) AS expecte
 add("q_sign_lags", "date:s row0:l l1:l l2:l l3:l", lambda s, d: L.with_lags(trades(s, d), 3), "SELECT date, row0, l1, l2, l3 FROM lg WHERE l3 IS NOT NULL", _AR)
 add("q_sign_ar1", "phi:d mu:d n:l", lambda s, d: L.first_order(W.with_split(L.with_lags(trades(s, d), 1))), "SELECT * FROM ar", _AR)
 add("q_sign_ar_coefficients", "lag:l coefficient:d", lambda s, d: L.autoregression(W.with_split(L.with_lags(trades(s, d), 10)).where("NOT is_test"), 10))
-scored = lambda s, d: L.scored(trades(s, d))
+
+
+def scored(s: SparkSession, d: str) -> DataFrame:
+    """Test adapter for the line-item trades, which have no book: the sign expected from the one before (fitted on the
+    training sessions), a made-up response and stratum from the row number, and a continuous score that breaks ties.
+    The analysis of real orders is ``L.asymmetric_liquidity``."""
+    data = W.with_split(L.with_lags(trades(s, d), 1))
+    fit = L.first_order(data).first()
+    expected = F.lit(fit["mu"]) + F.lit(fit["phi"]) * F.col("l1")
+    out = data.withColumn("expected", expected).withColumn("expectedness", F.col("sign") * F.col("expected"))
+    return out.withColumns(
+        {
+            "response": F.col("size").cast("double") / (1 + F.col("row0") % 7),
+            "stratum": F.col("row0") % 4,
+            "score": F.col("expectedness") + F.col("size") * F.lit(0.001),
+        }
+    )
+
+
 add(
     "q_expectedness_bins", "sign:l bin:l n:l expected:d size:d size_ratio:d", lambda s, d: L.expectedness_bins(scored(s, d).where("is_test"), 5),
     """SELECT sign, bin, count(*) AS n, avg(expectedness) AS expected, avg(size) AS size, sum(response) / sum(size) AS size_ratio FROM (SELECT ex.*, len(list_filter(inner_, lambda e: e <= ex.expectedness + ex.size * 0.001)) AS bin FROM ex
@@ -202,6 +220,17 @@ add("q_confusion", "sign:l tp:l fp:l fn:l tn:l precision_:d recall_:d", lambda s
     """SELECT sign, tp, fp, fn, tn, CAST(tp AS DOUBLE) / nullif(tp + fp, 0) AS precision_, CAST(tp AS DOUBLE) / nullif(tp + fn, 0) AS recall_ FROM (SELECT sign, count(*) FILTER (WHERE p AND o) AS tp, count(*) FILTER (WHERE p AND NOT o) AS fp,
       count(*) FILTER (WHERE NOT p AND o) AS fn, count(*) FILTER (WHERE NOT p AND NOT o) AS tn FROM (SELECT sign, expectedness > 0 AS p, size > 25 AS o FROM ex WHERE is_test) GROUP BY sign)""", _AR)
 
+# the whole analysis of visible orders: rows only, as the fit solves 51 equations
+LIQUIDITY_FROM = "2024-01-20"
+liquidity = lambda s, d, name: L.asymmetric_liquidity(O.visible_orders(flow(s, d)), LIQUIDITY_FROM)[name]
+_METRICS = " ".join(f"{m}:d" for m in L.METRICS)
+add(
+    "q_liquidity_bins", f"sign:l bin:l n:l mean_expectedness:d penetration_probability:d midpoint_moves:l midpoint_move_probability:d mean_{L.RESPONSE}:d {L.CONDITIONAL}:d " + " ".join(f"mean_{m}:d" for m in L.METRICS[3:]) + " mean_spread:d",
+    lambda s, d: liquidity(s, d, "bins"),
+)
+add("q_liquidity_tails", "date:s sign:l tail:s n:l " + _METRICS, lambda s, d: liquidity(s, d, "tails"))
+add("q_liquidity_contrasts", "kind:s metric:s block_length:l expected_minus_surprising:d lower:d median:d upper:d share_not_negative:d replicates:l", lambda s, d: liquidity(s, d, "contrasts"))
+
 # persistence of signs
 DFA = [8, 16, 32, 64]
 _DFA = TRADES_SQL + f""",
