@@ -1,0 +1,20 @@
+"""Novel strings of one kind of character, and on either side of their sensitive word."""
+
+from tickforge.llm import secrets
+
+LETTERS = "qZxKpVtRmWyLbNcFhJdsGaTu"
+DIGITS = "83920175640918273645"
+
+
+def novel(text: str) -> list[str]:
+    return [text[s:e] for s, k, e in secrets.spans(text, secrets.Novelty()) if k == 3]
+
+
+def test_letters_only_and_digits_only(spark):
+    for key in (LETTERS, DIGITS):
+        text = f"the private credential for the server is {key} and no other"
+        assert novel(text) == [key]
+        row = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        assert key not in secrets.redact(row).first()["text"] and secrets.scan_secrets(row).first()["n_novel"] == 1
+    for word in ("Internationalisierungen", "internationalization", "access_key_identifier_of_it", "0000000000000000"):
+        assert novel(f"the private credential for the {word} and no other") == []

@@ -33,6 +33,8 @@ ASSIGN_LEAST = 6
 
 #: A candidate: a run of token characters with at least one digit or a change of case, near a sensitive word.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: A capital at the start alone is no change of case.
+MIXED = re.compile(r"[0-9]|[a-z][A-Z]|[A-Z]{2}[a-z]")
 CONTEXT = re.compile(r"(?ai:secret|token|passw|passwd|credential|private|api_?key|access_?key|auth|bearer|signature|session)")
 BEFORE, AFTER = 64, 32
 LEAST_NOVELTY = 0.6  # compressed bytes per character
@@ -88,7 +90,7 @@ def spans(text: str, novelty: Novelty) -> list[tuple[int, int, int]]:
             s, e = m.span()
             if any(a < e and s < b for a, _, b in found):
                 continue
-            if not (any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])):
+            if not MIXED.search(m[0]):
                 continue
             if novelty(text[max(0, s - BEFORE) : s] + text[e : e + AFTER], m[0]) >= LEAST_NOVELTY:
                 added.append((s, 3, e))
