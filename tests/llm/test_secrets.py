@@ -18,3 +18,18 @@ def test_letters_only_and_digits_only(spark):
         assert key not in secrets.redact(row).first()["text"] and secrets.scan_secrets(row).first()["n_novel"] == 1
     for word in ("Internationalisierungen", "internationalization", "access_key_identifier_of_it", "0000000000000000"):
         assert novel(f"the private credential for the {word} and no other") == []
+
+
+def test_key_before_its_word(spark):
+    key = "q7Zx0Kp3VtR9mW2yLb8NcF5hJd1sGa6T"
+    for text in (f"{key} is the session credential", f'"{key}" # api key, session', f"a {key} is a token and {key[::-1]} is the secret"):
+        assert key in novel(text)
+        row = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        assert key not in secrets.redact(row).first()["text"]
+    assert novel(f"{key} {'w ' * 40} session") == []
+    # a long run is found whole, and a plain name before the word doesn't hide what follows it
+    long = key + LETTERS + DIGITS + "Hx3nYv8TqLw5"
+    assert novel(f"{long} is the credential") == [long]
+    assert any(key in s for s in novel(f"configuration_of_the_server_and_the_private_key_identifier_session_{key}"))
+    # nothing is searched twice
+    assert novel(f"{key} session session session") == [key]

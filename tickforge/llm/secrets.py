@@ -33,9 +33,12 @@ ASSIGN_LEAST = 6
 
 #: A candidate: a run of token characters with at least one digit or a change of case, near a sensitive word.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST_LENGTH = 16
+TOKEN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
 #: A capital at the start alone is no change of case.
 MIXED = re.compile(r"[0-9]|[a-z][A-Z]|[A-Z]{2}[a-z]")
 CONTEXT = re.compile(r"(?ai:secret|token|passw|passwd|credential|private|api_?key|access_?key|auth|bearer|signature|session)")
+#: Characters of context on each side of a candidate; the sensitive word stands in it.
 BEFORE, AFTER = 64, 32
 LEAST_NOVELTY = 0.6  # compressed bytes per character
 #: Sensitive words and pieces of code that prime the compressor.
@@ -78,22 +81,29 @@ def spans(text: str, novelty: Novelty) -> list[tuple[int, int, int]]:
     contexts = [m.start() for m in CONTEXT.finditer(text)]
     if not contexts:
         return found
+
+    def novel(s: int, e: int) -> bool:
+        if any(a < e and s < b for a, _, b in found) or not MIXED.search(text, s, e):
+            return False
+        return novelty(text[max(0, s - BEFORE) : s] + text[e : e + AFTER], text[s:e]) >= LEAST_NOVELTY
+
     added = []
     reached = 0
     for at in contexts:
-        # each stretch of text around sensitive words is searched once
-        lo, hi = max(reached, at), min(len(text), at + BEFORE + AFTER)
+        # each stretch of text around sensitive words is searched once, from the start of the run it begins in
+        lo, hi = max(reached, at - AFTER), min(len(text), at + BEFORE + AFTER)
+        while lo > reached and text[lo - 1] in TOKEN:
+            lo -= 1
         for m in CANDIDATE.finditer(text, lo):
             if m.start() >= hi:
                 break
             reached = m.end()
             s, e = m.span()
-            if any(a < e and s < b for a, _, b in found):
-                continue
-            if not MIXED.search(m[0]):
-                continue
-            if novelty(text[max(0, s - BEFORE) : s] + text[e : e + AFTER], m[0]) >= LEAST_NOVELTY:
-                added.append((s, 3, e))
+            # a run around the sensitive word counts as a whole, then without what comes before the word or the word
+            for a, b in [(s, e)] if not s < at < e else [(s, e), (at, e), (s, at)]:
+                if b - a >= LEAST_LENGTH and novel(a, b):
+                    added.append((a, 3, b))
+                    break
     return sorted(found + added)
 
 
