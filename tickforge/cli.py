@@ -91,7 +91,7 @@ def analyze(r: Run) -> dict[str, DataFrame]:
     split = W.with_split(W.impact_features(windows.where("horizon = 10")), test_start=r.args.test_start)
     fits = R.simple_fit(split, "volume_imbalance", "impact_cents")
     test = R.with_prediction(split.where("is_test"), fits, "volume_imbalance")
-    scaling = W.scaling_windows(trades, [10 * 2**k for k in range(10)])
+    scaling = W.scaling_windows(trades, W.SCALING_HORIZONS)
     lambdas = R.kyle_lambdas(windows)
     return {
         "impact_curve": W.quantile_curve(windows, ["horizon"], "volume_imbalance", "impact", 51),
@@ -129,7 +129,7 @@ def policy_audit(r: Run) -> dict[str, DataFrame]:
     whole = grid.select("spread_bucket").distinct().select("spread_bucket", F.lit(1.0).alias("fraction"), F.lit(0.0).alias("cutoff"))
     days = E.policy_days(S.selected(S.with_logit(grid.where(F.col("date") >= r.test_from()), E.MODELS["both"], beta), whole, ["spread_bucket"]))
     named = days.select(F.concat_ws("/", *[F.col(c).cast("string") for c in E.POLICY]).alias("policy"), "date", F.col("pnl").alias("x"))
-    return {"policy_audit": S.max_t(named, 1000, 17), "missing_policies": E.missing_policies(E.policy_table(days))}
+    return {"policy_audit": S.max_t(named, 10_000, 17), "missing_policies": E.missing_policies(E.policy_table(days))}
 
 
 def liquidity(r: Run) -> dict[str, DataFrame]:
@@ -148,10 +148,10 @@ VERBS: dict[str, Callable[[Run], dict[str, DataFrame]]] = {
     "audit-session-coverage": coverage,
     "replay": replay,
     "analyze": analyze,
-    "analyze-sign-persistence": lambda r: {"persistence": L.permutation_test(trades_of(O.visible_orders(r.flow())), [16, 32, 64, 128, 256, 512, 1024], 199)},
+    "analyze-sign-persistence": lambda r: {"persistence": L.permutation_test(trades_of(O.visible_orders(r.flow())), W.DFA_SCALES, 199)},
     "analyze-asymmetric-liquidity": liquidity,
     "analyze-queue": lambda r: {"metrics": E.evaluate_models(r.cells(), r.test_from(), {"queue": ["queue_center"]})},
-    "analyze-order-flow": lambda r: {"metrics": E.evaluate_models(r.cells(), r.test_from(), E.MODELS), "comparisons": E.compare_models(r.cells().where("spread_bucket = 'all_spreads'"), r.test_from(), 1000, 7)},
+    "analyze-order-flow": lambda r: {"metrics": E.evaluate_models(r.cells(), r.test_from(), E.MODELS), "comparisons": E.compare_models(r.cells().where("spread_bucket = 'all_spreads'"), r.test_from(), 10_000, 7)},
     "analyze-order-flow-grid": lambda r: {f"metrics_{n}": E.evaluate_models(G.order_flow_bins(r.lab(), n).where("sample = 'best_quote_updates'"), r.test_from(), E.MODELS) for n in (21, 31, 41)},
     "analyze-ofi-horizons": lambda r: {"selection": E.select_horizon(G.horizon_bins(f := r.flow(), P.labelled(f), BINS, UPDATES, CLOCKS).where("spread_bucket = 'all_spreads'"), r.args.selection_start or r.policy["selection_start"], r.test_from())},
     "analyze-markouts": lambda r: economics(r, G.markout_bins(r.lab(), BINS, LATENCIES)),

@@ -147,5 +147,4 @@ def max_t(daily: DataFrame, replicates: int, seed: int) -> DataFrame:
     kept = largest.agg(F.sort_array(F.collect_list("largest")).alias("all"))  # as many numbers as replicates
     t = stats.withColumn("t", F.col("mean") / F.col("se"))
     beyond = F.size(F.filter("all", lambda v: v >= F.abs("t")))
-    values = kept.first()["all"]
-    return t.withColumn("all", F.array(*[F.lit(float(v)) for v in values])).select("policy", "mean", "t", ((1 + beyond) / F.lit(1.0 + replicates)).alias("p_adjusted"))
+    return t.crossJoin(F.broadcast(kept)).select("policy", "mean", "t", ((1 + beyond) / F.lit(1.0 + replicates)).alias("p_adjusted"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 PRICE_SCALE = 10_000.0
+#: 28 geometric horizons of scaling windows, from 10 to 5000 trades, and the scales of sign persistence.
+SCALING_HORIZONS = [int(h) for h in np.unique(np.rint(np.geomspace(10, 5_000, 28)))]
+DFA_SCALES = [16, 32, 64, 128, 256, 512, 1024]
 
 
 def in_order() -> WindowSpec:

@@ -13,7 +13,7 @@ from tickforge.plans.registry import add
 QUEUE, OFI = 1.3, 1.1
 FRACTIONS = [1.0, 0.2, 0.1, 0.05]
 TEST_FROM = "2024-01-25"
-REPLICATES, SEED = 200, 17
+REPLICATES, SEED = 10_000, 17
 SAMPLE = "best_quote_updates"
 
 

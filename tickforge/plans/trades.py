@@ -13,9 +13,9 @@ from tickforge.plans.books import FLOW_SQL, flow
 from tickforge.plans.registry import add
 from tickforge.sources.adapters import TRADES_SQL, trades
 
-HORIZONS = [5, 10, 20, 50]
+HORIZONS = [5, 10, 20, 50, 100]
 T = 10
-SCALING = [10, 20, 40, 80, 160]
+SCALING = W.SCALING_HORIZONS
 TRADE_CTES = TRADES_SQL
 
 # market orders
@@ -232,7 +232,7 @@ add("q_liquidity_tails", "date:s sign:l tail:s n:l " + _METRICS, lambda s, d: li
 add("q_liquidity_contrasts", "kind:s metric:s block_length:l expected_minus_surprising:d lower:d median:d upper:d share_not_negative:d replicates:l", lambda s, d: liquidity(s, d, "contrasts"))
 
 # persistence of signs
-DFA = [8, 16, 32, 64]
+DFA, PERMUTATIONS = W.DFA_SCALES, 199
 _DFA = TRADES_SQL + f""",
 dc AS (SELECT *, sign - avg(sign) OVER (PARTITION BY date) AS c, count(*) OVER (PARTITION BY date) AS n FROM trades),
 dy AS (SELECT *, sum(c) OVER (PARTITION BY date ORDER BY row0 ROWS UNBOUNDED PRECEDING) AS y FROM dc),
@@ -243,4 +243,4 @@ df AS (SELECT date, scale, sqrt(avg(greatest(0, syy - sy * sy / scale - (siy - (
 dfa = lambda s, d: W.dfa_fluctuations(trades(s, d), DFA)
 add("q_dfa_fluctuations", "date:s scale:l fluctuation:d segments:l", dfa, "SELECT * FROM df", _DFA)
 add("q_dfa_exponent", "date:s exponent:d scales:l", lambda s, d: R.exponents(dfa(s, d)), "SELECT date, regr_slope(ln(fluctuation), ln(scale)) AS exponent, count(*) AS scales FROM df WHERE fluctuation > 0 GROUP BY date", _DFA)
-add("q_sign_persistence", "date:s exponent:d p_value:d replicates:l", lambda s, d: L.permutation_test(trades(s, d), DFA, 19))
+add("q_sign_persistence", "date:s exponent:d p_value:d replicates:l", lambda s, d: L.permutation_test(trades(s, d), DFA, PERMUTATIONS))
