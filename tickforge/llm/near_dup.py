@@ -1,10 +1,11 @@
-"""MinHash near-dedup by an LSH forest.
+"""MinHash near-dedup by banded LSH, with the bands as trees that are cut deeper where crowded.
 
 Every distinct shingle set (documents with equal sets are one class) gets ``N_VALUES`` min-hash values. A tree orders
 the classes by its own ``DEPTH`` values, then by the following ones as bytes; classes that share the first values
 share a region of the tree. Regions are compared inside by their sketches (8 bits a value); a region with more than
 ``REGION`` classes is cut at deeper levels of its order, and the hubs of its parts are compared in turn. With
-similarity 0.8 a pair misses all regions with probability (1 - 0.8**DEPTH)**TREES, below 4e-6.
+similarity 0.8 a pair misses all regions with probability (1 - 0.8**DEPTH)**TREES, below 4e-6, or is screened off by its
+sketch with 7.2e-5; together that is below 7.6e-5. Neighbours by longest common prefix are not used.
 
 Candidates are confirmed on the full sets of the texts. Round one confirms each class with its most similar partner
 and with the hub of its region; components follow. Round two takes the classes of a region whose sketches allow a link
@@ -33,7 +34,7 @@ from tickforge.llm.rolling import mix64, word_bounds, word_hashes
 
 TREES, DEPTH, N_VALUES = 24, 4, 256
 REGION = 4096
-#: Sketches estimate similarity with a deviation of 0.025 at 0.8; four of them below are still confirmed.
+#: Sketches estimate similarity with a deviation of 0.025 at 0.8; down to four of them below, pairs are still confirmed.
 LEAST_ESTIMATE = 0.70
 PER_CENT = 80
 
