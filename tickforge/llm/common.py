@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import math
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,39 +34,45 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session names none."""
+    """The folder that driver and executors share. A local session that names none gets a temporary one; elsewhere
+    executors would write to their own disks, so a missing setting is an error."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_tickforge_shared", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors of {sc.master} share")
         found = sc._tickforge_shared = tempfile.mkdtemp(prefix="tickforge-")
     return found.rstrip("/")
 
 
-_OPEN: list[Scratch] = []
+_COLLECTORS: list[list[Scratch]] = []
 
 
-def sweep(spark: SparkSession) -> None:
-    """Deletes the tables of all operators so far, but for lasting ones. For a stage whose input stands on its own: no
-    result of an operator before that hasn't been written may be read any more."""
-    for scratch in _OPEN[:]:
-        if not scratch.lasting and scratch.spark.sparkContext is spark.sparkContext:
-            scratch.drop()
-            _OPEN.remove(scratch)
+@contextlib.contextmanager
+def collected() -> Iterator[list[Scratch]]:
+    """The Scratches made inside. Whoever has written what the operators returned may drop them, and no others."""
+    made: list[Scratch] = []
+    _COLLECTORS.append(made)
+    try:
+        yield made
+    finally:
+        _COLLECTORS[:] = [x for x in _COLLECTORS if x is not made]
 
 
 class Scratch:
     """Tables written to the shared folder, which cut lineage and survive lost executors.
 
-    ``put`` writes a DataFrame as Parquet and reads it again; ``clear`` deletes what is no longer
-    needed and lets Spark drop the shuffle files of plans that are out of use.
+    ``put`` writes a DataFrame as Parquet and reads it again; ``clear`` deletes what is no longer needed and lets
+    Spark drop the shuffle files of plans that are out of use. What an operator returns reads its tables until its
+    caller has written it; ``drop`` deletes the tables of this one run, never those of another.
     """
 
-    def __init__(self, spark: SparkSession, name: str, lasting: bool = False):
+    def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.lasting = lasting
-        _OPEN.append(self)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.names = 0
+        for made in _COLLECTORS:
+            made.append(self)
 
     def put(self, df: DataFrame) -> DataFrame:
         self.names += 1

@@ -1,26 +1,35 @@
-"""MinHash near-dedup by banded LSH, with the bands as trees that are cut deeper where crowded.
+"""MinHash near-dedup by an LSH forest.
 
-Every distinct shingle set (documents with equal sets are one class) gets ``N_VALUES`` min-hash values. A tree orders
-the classes by its own ``DEPTH`` values, then by the following ones as bytes; classes that share the first values
-share a region of the tree. Regions are compared inside by their sketches (8 bits a value); a region with more than
-``REGION`` classes is cut at deeper levels of its order, and the hubs of its parts are compared in turn. With
-similarity 0.8 a pair misses all regions with probability (1 - 0.8**DEPTH)**TREES, below 4e-6, or is screened off by its
-sketch with 7.2e-5; together that is below 7.6e-5. Neighbours by longest common prefix are not used.
+Every distinct shingle set (documents with equal sets are one class) gets ``N_VALUES`` min-hash values. A tree of the
+forest is an order of the classes: by its own first ``DEPTH`` values, then by the values after them, a byte each. The
+orders are range-partitioned by their content and sorted, so a crowded stretch spreads over tasks. Classes that share a
+tree's first values share a region of it.
 
-Candidates are confirmed on the full sets of the texts. Round one confirms each class with its most similar partner
-and with the hub of its region; components follow. Round two takes the classes of a region whose sketches allow a link
-with a class of another component, and intersects the full sets of those outside the region's largest component with
-all the others, so no link between components is left out. Only links that join components are emitted; links inside
-a component don't change the result.
+Round one takes the ``NEIGHBOURS`` classes on either side in every sorted order, which are those with the longest
+common prefixes, estimates their similarity from sketches (8 bits a value), and picks one partner for each class: the
+least class among those estimated similar, so that groups gather around few centers, or else the best. Picks are
+confirmed on the full sets; components follow.
+
+Round two looks for links that round one left between components. A region with several components is met whole: its
+largest component (major) is met by the others (minor) in cells of bounded size. Where that would be too much work,
+the region is deepened: its classes get ``SUBTREES`` new orders of ``DEPTH`` further values each, so that the chance to
+miss a pair hardly changes while parts shrink, up to ``LEVELS`` times; what is left after that is met in cells all the
+same. Pairs whose sketches and sizes allow a link are compared by 24-bit prints of their shingles, which never
+undercount what sets have in common, and those that pass are confirmed on the full sets. If a print has deceived, the
+round is repeated with every passing pair.
+
+With similarity 0.8 a pair shares no region with probability (1 - 0.8**DEPTH)**TREES, below 4e-6, or is screened off by
+its sketch with 7.2e-5; together that is below 7.6e-5.
 
 Defined cases: null texts and texts without words have no set and stand alone; ids that are null stand alone unless
 their texts link; repeated rows link with each other; an empty table gives an empty result; ``keep_first`` leaves
-extra columns untouched.
+extra columns untouched, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,12 +37,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickforge.llm.common import KeyFilter, Scratch, table
+from tickforge.llm.common import KeyFilter, Scratch, row_key, table
 from tickforge.llm.components import components
 from tickforge.llm.rolling import mix64, word_bounds, word_hashes
 
 TREES, DEPTH, N_VALUES = 24, 4, 256
-REGION = 4096
+#: Classes on either side in a sorted order that a class is compared with.
+NEIGHBOURS = 8
+#: A region whose minor classes times all its classes exceed WORK is deepened by SUBTREES orders, at most LEVELS times.
+WORK, SUBTREES, LEVELS = 1 << 24, 8, 3
+#: Classes of one block of a cell.
+BLOCK = 2048
+#: Picks of one center that are confirmed in one task.
+ARMS = 512
 #: Sketches estimate similarity with a deviation of 0.025 at 0.8; down to four of them below, pairs are still confirmed.
 LEAST_ESTIMATE = 0.70
 PER_CENT = 80
@@ -79,10 +95,10 @@ def tree_keys(values: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-FEATURES = "doc_id long, cls long, n_shingles long, keys array<long>, sketch binary"
+FEATURES = "doc_id long, rk long, cls long, n_shingles long, keys array<long>, sketch binary"
 
 
-def _features(words: int, full: bool) -> Callable:
+def _features(words: int) -> Callable:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cls, n, keys, sketches = [], [], [], []
@@ -100,17 +116,21 @@ def _features(words: int, full: bool) -> Callable:
                     sketches.append(None)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").cast(pa.int64()), pa.array(cls, pa.int64()), pa.array(n, pa.int64()),
+                    batch.column("doc_id").cast(pa.int64()), batch.column("rk"), pa.array(cls, pa.int64()), pa.array(n, pa.int64()),
                     pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()),
                 ],
-                ["doc_id", "cls", "n_shingles", "keys", "sketch"],
+                ["doc_id", "rk", "cls", "n_shingles", "keys", "sketch"],
             )
 
     return each
 
 
-def _regions(shared: KeyFilter) -> Callable:
-    """cls, keys, sketch -> a row for each tree in which the class shares a region."""
+FOREST = "key long, tree int, cls long, n long, ahead binary"
+
+
+def _forest(shared: KeyFilter) -> Callable:
+    """cls, n, keys, sketch -> key, tree, cls, n, ahead: a row for each tree in which the class shares a region. ahead:
+    the values that follow in the tree's order."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,40 +138,31 @@ def _regions(shared: KeyFilter) -> Callable:
                 continue
             keys = np.asarray(batch.column("keys").flatten()).reshape(-1, TREES)
             row, tree = np.nonzero(shared.has(np.ascontiguousarray(keys).ravel()).reshape(keys.shape))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keys[row, tree]), pa.array(tree.astype(np.int32)),
-                    batch.column("cls").take(pa.array(row)), batch.column("sketch").take(pa.array(row)),
-                ],
-                ["key", "tree", "cls", "sketch"],
-            )
+            sketch = _matrix(batch.column("sketch"))
+            for lo in range(0, len(row), 20_000):
+                r, t = row[lo : lo + 20_000], tree[lo : lo + 20_000]
+                ahead = sketch[r[:, None], (DEPTH * (t[:, None] + 1) + np.arange(N_VALUES)) % N_VALUES]
+                take = pa.array(r)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[r, t]), pa.array(t.astype(np.int32)), batch.column("cls").take(take), batch.column("n").take(take), _binary(ahead)],
+                    ["key", "tree", "cls", "n", "ahead"],
+                )
 
     return each
 
 
-def grouped(batches: Iterator[pa.RecordBatch], key: str = "key") -> Iterator[pa.Table]:
-    """The rows of each key of batches sorted by it, one table per key; keys with one row are left out."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        k = np.asarray(batch.column(key))
-        ends = [*(np.flatnonzero(k[1:] != k[:-1]) + 1), len(k)]
-        start = 0
-        for end in ends:
-            part = batch.slice(start, end - start)
-            if held and held[0].column(key)[0] != part.column(key)[0]:
-                if sum(b.num_rows for b in held) > 1:
-                    yield pa.Table.from_batches(held)
-                held = []
-            held.append(part)
-            start = end
-    if sum(b.num_rows for b in held) > 1:
-        yield pa.Table.from_batches(held)
+def _matrix(column: pa.Array | pa.ChunkedArray, width: int = N_VALUES) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """A binary column of the rows of a matrix of bytes."""
+    return pa.array(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel().tolist(), pa.binary())
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, N_VALUES)
+def _corrected(same: np.ndarray) -> np.ndarray:
+    """Similarity from the share of equal bytes of two sketches."""
+    return (same / N_VALUES - 1 / 256) / (1 - 1 / 256)
 
 
 def _estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -160,94 +171,161 @@ def _estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     step = max(1, 8_000_000 // (len(b) * N_VALUES))
     for i in range(0, len(a), step):
         out[i : i + step] = np.count_nonzero(a[i : i + step, None, :] == b[None, :, :], axis=2)
-    out /= N_VALUES
-    return (out - 1 / 256) / (1 - 1 / 256)
-
-
-def best_pairs(ids: np.ndarray, sketch: np.ndarray, at: int) -> tuple[list[tuple], int]:
-    """(a, partner, estimate, hub, degree) for the classes of a region, and the index of its hub."""
-    if len(ids) > REGION:
-        # adaptive depth: cut at the next levels of the order until the parts are small, then compare their hubs
-        for depth in range(N_VALUES):
-            level = sketch[:, (at + depth) % N_VALUES]
-            if (level != level[0]).any():
-                out, hubs = [], []
-                for value in np.unique(level):
-                    part = np.flatnonzero(level == value)
-                    found, hub = best_pairs(ids[part], sketch[part], at + depth + 1)
-                    out += found
-                    hubs.append(part[hub])
-                found, hub = best_pairs(ids[hubs], sketch[hubs], at + depth + 1) if len(hubs) > 1 else ([], 0)
-                return out + found, hubs[hub]
-        return [(i, ids[0], 1.0, ids[0], len(ids)) for i in ids[1:].tolist()], 0
-    if len(ids) == 1:
-        return [], 0
-    out, best, most, degree = [], np.full(len(ids), -1.0, dtype=np.float32), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-    rows = []
-    for i in range(0, len(ids), 512):
-        e = _estimates(sketch[i : i + 512], sketch)
-        e[np.arange(len(e)), np.arange(i, i + len(e))] = -1
-        best[i : i + 512], most[i : i + 512] = e.max(axis=1), e.argmax(axis=1)
-        degree[i : i + 512] = (e >= PER_CENT / 100).sum(axis=1)
-        rows.append(e)
-    hub = int(degree.argmax())
-    to_hub = rows[hub // 512][hub % 512]
-    for j in np.flatnonzero(best >= LEAST_ESTIMATE).tolist():
-        near = j != hub and to_hub[j] >= LEAST_ESTIMATE
-        out.append((ids[j], ids[most[j]], float(best[j]), ids[hub] if near else None, int(degree[hub]) if near else 0))
-    return out, hub
-
-
-def _round_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows: list[tuple] = []
-
-    def flush() -> pa.RecordBatch:
-        kinds = [("a", pa.int64()), ("b", pa.int64()), ("estimate", pa.float64()), ("hub", pa.int64()), ("degree", pa.int32())]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)], [n for n, _ in kinds])
-
-    for group in grouped(batches):
-        rows += best_pairs(np.asarray(group["cls"]), _matrix(group["sketch"]), DEPTH * (group["tree"][0].as_py() + 1))[0]
-        if len(rows) > 20_000:
-            yield flush()
-            rows = []
-    if rows:
-        yield flush()
-
-
-def _round_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, cls, root, major: the classes of a region that may link with another component, each pair being left to the
-    first tree in which both ends share a region. major: of the region's largest component, whose classes are met by
-    the others only."""
-    for group in grouped(batches):
-        ids, roots, sketch = np.asarray(group["cls"]), np.asarray(group["root"]), _matrix(group["sketch"])
-        keys, tree = np.asarray(group["keys"].combine_chunks().flatten()).reshape(-1, TREES), group["tree"][0].as_py()
-        values, counts = np.unique(roots, return_counts=True)
-        if len(values) < 2:
+    return _corrected(out)
+
+
+def _sizes_allow(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return 100 * np.minimum(a, b) >= PER_CENT * np.maximum(a, b)
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the forest in order -> a, center, best, estimate: what each class finds among its neighbours in an order."""
+    before = None
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        major = roots == values[counts.argmax()]
-        rest, involved = np.flatnonzero(~major), np.zeros(len(ids), dtype=bool)
-        for i in range(0, len(rest), 64):
-            part = rest[i : i + 64]
-            x, y = np.nonzero((_estimates(sketch[part], sketch) >= LEAST_ESTIMATE) & (roots[part][:, None] != roots[None, :]))
-            first = (keys[part[x]] == keys[y]).argmax(axis=1) == tree
-            involved[part[x[first]]] = involved[y[first]] = True
-        at = np.flatnonzero(involved)
-        if len(at):
-            cols = [np.full(len(at), group["key"][0].as_py()), ids[at], roots[at], major[at]]
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["key", "cls", "root", "major"])
-
-
-class Minor:
-    """The full sets of a region's classes outside its largest component, by shingle, and the links found so far."""
-
-    def __init__(self, rows: list[tuple[int, int, np.ndarray]]):
-        self.ids = [r[0] for r in rows]
-        self.roots = [r[1] for r in rows]
-        self.sizes = np.array([len(r[2]) for r in rows])
-        flat = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, dtype=np.uint64)
+        now = [np.asarray(batch.column(c)) for c in ("key", "cls", "n")] + [_matrix(batch.column("ahead"))]
+        key, cls, n, ahead = now if before is None else [np.concatenate(x) for x in zip(before, now, strict=True)]
+        before = [x[-NEIGHBOURS:] for x in (key, cls, n, ahead)]
+        center, best, most = cls.copy(), np.zeros(len(cls), np.int64), np.full(len(cls), -1.0)
+        for d in range(1, min(NEIGHBOURS, len(cls) - 1) + 1):
+            at = np.flatnonzero((key[d:] == key[:-d]) & _sizes_allow(n[d:], n[:-d]))
+            e = _corrected(np.count_nonzero(ahead[at] == ahead[at + d], axis=1))
+            at, e = at[e >= LEAST_ESTIMATE], e[e >= LEAST_ESTIMATE]
+            for x, y in ((at, at + d), (at + d, at)):
+                alike = e >= PER_CENT / 100
+                center[x[alike]] = np.minimum(center[x[alike]], cls[y[alike]])
+                closer = e > most[x]
+                most[x[closer]], best[x[closer]] = e[closer], cls[y[closer]]
+        some = np.flatnonzero(most > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (cls, center, best, most)], ["a", "center", "best", "estimate"])
+
+
+def _deepened(level: int) -> Callable:
+    """The rows of crowded regions under SUBTREES keys of DEPTH further values each."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 4096):
+                batch = whole.slice(start, 4096)
+                key, ahead = np.asarray(batch.column("key")).view(np.uint64), _matrix(batch.column("ahead"))
+                for sub in range(SUBTREES):
+                    # every order takes values that no order above it has used
+                    own = mix64(key + np.uint64(sub + 1))
+                    for i in range(DEPTH):
+                        own = mix64(own + ahead[:, ((level * SUBTREES + sub) * DEPTH + i) % N_VALUES].astype(np.uint64))
+                    yield batch.set_column(batch.schema.get_field_index("key"), "key", pa.array(own.view(np.int64)))
+
+    return each
+
+
+def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
+    """(key, its stretches) of batches sorted by key; a stretch is part of a batch."""
+
+    def stretches() -> Iterator[tuple[int, pa.RecordBatch]]:
+        for batch in batches:
+            if batch.num_rows:
+                k = np.asarray(batch.column(key))
+                bounds = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+                for lo, hi in zip(bounds, bounds[1:], strict=False):
+                    yield int(k[lo]), batch.slice(lo, hi - lo)
+
+    for k, group in itertools.groupby(stretches(), key=lambda x: x[0]):
+        yield k, (part for _, part in group)
+
+
+INVOLVED = "cell long, cls long, root long, held boolean"
+
+
+def _screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells, the classes held first -> cell, cls, root, held: the classes whose sketch and size allow a link with a
+    class of another component across the cell."""
+
+    def arrays(part: pa.RecordBatch) -> list[np.ndarray]:
+        return [np.asarray(part.column(c)) for c in ("cls", "root", "n")] + [_matrix(part.column("ahead"))]
+
+    def rows(cell: int, cls: np.ndarray, root: np.ndarray, held: bool) -> pa.RecordBatch:
+        cols = [np.full(len(cls), cell), cls, root, np.full(len(cls), held)]
+        return pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["cell", "cls", "root", "held"])
+
+    for cell, parts in grouped(batches, "cell"):
+        own: list[list[np.ndarray]] = []
+        held, involved, inner = None, None, False
+        for part in parts:
+            flag = np.asarray(part.column("held"))
+            if flag.any():
+                own.append(arrays(part.filter(pa.array(flag))))
+                inner = bool(part.column("inner")[0].as_py())
+            if flag.all():
+                continue
+            if held is None:
+                held = [np.concatenate(x) for x in zip(*own, strict=True)] if own else []
+                involved = np.zeros(len(held[0]) if held else 0, dtype=bool)
+            if not held:
+                continue
+            cls, root, n, ahead = arrays(part.filter(pa.array(~flag)))
+            met = _allowed(held, [cls, root, n, ahead])
+            involved |= met.any(axis=1)
+            some = met.any(axis=0)
+            if some.any():
+                yield rows(cell, cls[some], root[some], False)
+        if held is None and own:
+            held = [np.concatenate(x) for x in zip(*own, strict=True)]
+            involved = np.zeros(len(held[0]), dtype=bool)
+        if held:
+            if inner:
+                involved |= _allowed(held, held).any(axis=1)
+            yield rows(cell, held[0][involved], held[1][involved], True)
+
+
+def _allowed(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Which of two lists of classes (cls, root, n, ahead) may link: other components, fitting sizes and sketches."""
+    out = np.empty((len(a[0]), len(b[0])), dtype=bool)
+    for i in range(0, len(a[0]), 64):
+        own = slice(i, i + 64)
+        some = (a[1][own, None] != b[1][None, :]) & _sizes_allow(a[2][own, None], b[2][None, :])
+        x, y = np.nonzero(some)
+        close = np.empty(len(x), dtype=bool)
+        for j in range(0, len(x), 20_000):
+            p, q = x[j : j + 20_000], y[j : j + 20_000]
+            close[j : j + 20_000] = _corrected(np.count_nonzero(a[3][own][p] == b[3][q], axis=1)) >= LEAST_ESTIMATE
+        some[x[~close], y[~close]] = False
+        out[own] = some
+    return out
+
+
+def prints(found: np.ndarray) -> bytes:
+    """24 bits of each shingle hash of a set, in order."""
+    low = np.sort((found >> np.uint64(40)).astype("<u4"))
+    return low.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def _unprinted(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 3, 4), dtype=np.uint8)
+    out[:, :3] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 3)
+    return out.view("<u4").ravel()
+
+
+def _printed(words: int) -> Callable:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [prints(shingle_set(t.as_buffer().to_pybytes(), words)) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(made, pa.binary())], ["cls", "print"])
+
+    return each
+
+
+class Held:
+    """The prints of the classes held in a cell, by value, and the components joined so far."""
+
+    def __init__(self, rows: list[tuple[int, int, bytes]], join: bool):
+        self.ids, self.roots, self.join = [r[0] for r in rows], [r[1] for r in rows], join
+        values = [_unprinted(r[2]) for r in rows]
+        self.sizes = np.array([len(v) for v in values], dtype=np.int64)
+        flat = np.concatenate(values) if values else np.zeros(0, dtype=np.uint32)
         order = np.argsort(flat, kind="stable")
         self.owner = np.repeat(np.arange(len(rows)), self.sizes)[order]
-        self.shingles, self.starts = np.unique(flat[order], return_index=True)
+        self.values, self.starts = np.unique(flat[order], return_index=True)
         self.ends = np.concatenate([self.starts[1:], [len(flat)]]).astype(np.int64)
         self.parent: dict[int, int] = {}
 
@@ -256,55 +334,45 @@ class Minor:
             root = up
         return root
 
-    def links(self, cls: int, root: int, own: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Links of a class with those held that join components not yet joined here."""
-        if not len(self.shingles):
+    def passing(self, cls: int, root: int, data: bytes) -> Iterator[tuple[int, int]]:
+        """Pairs of a class with those held, of other components, whose prints allow a link. With ``join``, only those
+        that join components not yet joined here."""
+        own = _unprinted(data)
+        if not len(self.values) or not len(own):
             return
-        at = np.minimum(np.searchsorted(self.shingles, own), len(self.shingles) - 1)
-        at = at[self.shingles[at] == own]
+        at = np.minimum(np.searchsorted(self.values, own), len(self.values) - 1)
+        at = at[self.values[at] == own]
         counts = self.ends[at] - self.starts[at]
-        flat = np.repeat(self.starts[at] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum()) if len(at) else at
+        flat = np.repeat(self.starts[at] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
         both = np.bincount(self.owner[flat], minlength=len(self.ids))
+        both = np.minimum(both, np.minimum(self.sizes, len(own)))
         for j in np.flatnonzero(100 * both >= PER_CENT * (len(own) + self.sizes - both)).tolist():
             a, b = self.find(root), self.find(self.roots[j])
             if a != b:
-                self.parent[max(a, b)] = min(a, b)
+                if self.join:
+                    self.parent[max(a, b)] = min(a, b)
                 yield cls, self.ids[j]
 
 
-def _region_links(words: int) -> Callable:
-    """Rows of regions with texts, the largest component's last -> confirmed links a, b between components."""
+def _passing(join: bool) -> Callable:
+    """Cells with prints, the classes held first -> a, b: pairs to confirm."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, minor, found = None, [], None, []
-
-        def close() -> Minor:
-            made = Minor(held)
-            for row in held:
-                found.extend(made.links(*row))
-            return made
-
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("key", "cls", "root", "major")]
-            for k, cls, root, major, text in zip(*cols, batch.column("text"), strict=True):
-                if k != key:
-                    if minor is None and held:
-                        close()
-                    key, held, minor = k, [], None
-                own = shingle_set(text.as_buffer().to_pybytes(), words)
-                if not major:
-                    held.append((cls, root, own))
-                    continue
-                if minor is None:
-                    minor = close()
-                found.extend(minor.links(cls, root, own))
+        for _, parts in grouped(batches, "cell"):
+            rows, held, found = [], None, []
+            for part in parts:
+                cols = [part.column(c).to_pylist() for c in ("cls", "root", "print", "held")]
+                for cls, root, data, flag in zip(*cols, strict=True):
+                    if flag:
+                        rows.append((cls, root, data))
+                        continue
+                    held = held or Held(rows, join)
+                    found += held.passing(cls, root, data)
+            held = held or Held(rows, join)
+            for row in rows:
+                found += held.passing(*row)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
-                found.clear()
-        if minor is None and held:
-            close()
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
     return each
 
@@ -342,91 +410,174 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirmed(words: int) -> Callable:
+    """Texts sorted by center and salt, that of the center first -> a, b: the links of the center."""
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, known = None, None
+        of, known = None, None
         for batch in batches:
-            keep = []
-            for i, (a, x, y) in enumerate(zip(batch.column("a"), batch.column("text_a"), batch.column("text_b"), strict=True)):
-                if a != last:
-                    last, known = a, shingle_set(x.as_buffer().to_pybytes(), words)
-                other = shingle_set(y.as_buffer().to_pybytes(), words)
-                both = len(np.intersect1d(known, other, assume_unique=True))
-                if 100 * both >= PER_CENT * (len(known) + len(other) - both):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            found = []
+            cols = [batch.column(c).to_pylist() for c in ("b", "salt", "cls", "head")]
+            for b, salt, cls, head, text in zip(*cols, batch.column("text"), strict=True):
+                own = shingle_set(text.as_buffer().to_pybytes(), words)
+                if head:
+                    of, known = (b, salt), own
+                    continue
+                assert of == (b, salt)
+                both = len(np.intersect1d(known, own, assume_unique=True))
+                if 100 * both >= PER_CENT * (len(known) + len(own) - both):
+                    found.append((cls, b))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
     return each
 
 
-def link_classes(docs: DataFrame, scratch: Scratch, words: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(rows, roots): doc_id, cls, n_shingles of every document, and cls, root of every class that has a link."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = scratch.put(texts.mapInArrow(_features(words, True), FEATURES))
-    rows = made.select("doc_id", "cls", "n_shingles")
-    classes = scratch.put(
-        made.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch"))
+def confirm(picks: DataFrame, stock: DataFrame, words: int, scratch: Scratch) -> DataFrame:
+    """The links among picks (a, b) by full sets. Texts go to their centers b, each once a pick; a center with many
+    picks is shared out over salts."""
+    stars = picks.groupBy("b").agg(F.count("*").alias("n")).select("b", F.ceil(F.col("n") / ARMS).cast("long").alias("salts"))
+    arms = picks.join(stars, "b").select("b", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"), F.col("a").alias("cls"), F.lit(False).alias("head"))
+    heads = stars.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("b").alias("cls"), F.lit(True).alias("head"))
+    met = scratch.put(arms.unionByName(heads)).join(stock, "cls").repartition("b", "salt").sortWithinPartitions("b", "salt", F.desc("head"))
+    return scratch.put(met.mapInArrow(_confirmed(words), "a long, b long"))
+
+
+def _cells(rooted: DataFrame, stats: DataFrame) -> DataFrame:
+    """The rows of regions dealt to cells: cell, held, inner, cls, root, n, ahead. A cell holds a block of minor classes
+    and meets a share of the major ones, or a later block of minor ones; pairs of one block meet in its first cell."""
+    at = rooted.join(stats, "key")
+    block = F.pmod(F.xxhash64(F.lit("block"), "cls"), F.col("blocks"))
+    share = F.pmod(F.xxhash64(F.lit("share"), "cls"), F.col("shares"))
+    count = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<long>"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    place = lambda b, j, held: F.struct(b.alias("b"), j.alias("j"), F.lit(held).alias("held"))
+    minor = F.concat(
+        # held against all shares and all later blocks, and passing through the cells of earlier blocks
+        F.transform(count(zero, F.col("shares") - 1), lambda j: place(block, j, True)),
+        F.transform(count(block + 1, F.col("blocks") - 1), lambda j: place(block, F.col("shares") + j, True)),
+        F.transform(count(zero, block - one), lambda b: place(b, F.col("shares") + block, False)),
     )
-    shared = scratch.put(classes.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1").select("key"))
-    in_regions = scratch.put(
-        classes.select("cls", "keys", "sketch").mapInArrow(_regions(KeyFilter(shared)), "key long, tree int, cls long, sketch binary")
+    major = F.transform(count(zero, F.col("blocks") - 1), lambda b: place(b, share, False))
+    dealt = at.withColumn("p", F.explode(F.when(F.col("root") == F.col("major"), major).otherwise(minor)))
+    return dealt.select(
+        F.xxhash64("key", "p.b", "p.j").alias("cell"), "p.held", (F.col("p.held") & (F.col("p.j") == 0)).alias("inner"), "cls", "root", "n", "ahead"
     )
-    best = (
-        in_regions.repartition("key").sortWithinPartitions("key")
-        .mapInArrow(_round_one, "a long, b long, estimate double, hub long, degree int")
-        .groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b"), F.max_by("hub", F.struct("degree", "hub")).alias("hub"))
+
+
+def across(forest: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """cell, cls, root, held: the classes that may link with another component, in the cells where they meet."""
+    rooted = forest.join(roots, forest["cls"] == roots["id"], "left").select("key", "cls", "n", "ahead", F.coalesce("root", "cls").alias("root"))
+    found = None
+    for level in range(LEVELS + 1):
+        per = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
+        stats = per.groupBy("key").agg(F.sum("n").alias("all"), F.max_by("root", F.struct("n", "root")).alias("major"), F.max("n").alias("most"), F.count("*").alias("roots"))
+        stats = scratch.put(
+            stats.where("roots > 1").select(
+                "key", "major", (F.col("all") * (F.col("all") - F.col("most"))).alias("work"),
+                F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("long").alias("blocks"), F.ceil(F.col("most") / (4 * BLOCK)).cast("long").alias("shares"),
+            )
+        )
+        ready = stats if level == LEVELS else stats.where(F.col("work") <= WORK)
+        met = _cells(rooted, ready.drop("work")).repartition("cell").sortWithinPartitions("cell", F.desc("held")).mapInArrow(_screened, INVOLVED)
+        met = scratch.put(met)
+        found = met if found is None else found.unionByName(met)
+        crowded = stats.where(F.col("work") > WORK).select("key")
+        if level == LEVELS or crowded.isEmpty():
+            return found
+        rooted = scratch.put(rooted.join(crowded, "key", "left_semi").mapInArrow(_deepened(level), rooted.schema))
+    return found
+
+
+def link_classes(docs: DataFrame, scratch: Scratch, words: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(rows, roots): doc_id, rk, cls, n_shingles of every document, and cls, root of every class that has a link."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("rk"), "text")
+    made = scratch.put(texts.mapInArrow(_features(words), FEATURES))
+    rows = scratch.put(made.select("doc_id", "rk", "cls", "n_shingles"))
+    classes = scratch.put(
+        made.where("cls IS NOT NULL").groupBy("cls")
+        .agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch"))
     )
-    both = F.explode(F.array_distinct(F.array_compact(F.array("b", "hub"))))
-    pairs = scratch.put(best.select("a", both.alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    nodes = in_regions.select("cls").distinct().join(classes.select("cls", "doc_id"), "cls")
-    wanted = KeyFilter(scratch.put(nodes.mapInArrow(_members, "key long")))
-    stock = scratch.put(texts.mapInArrow(_texts_of(wanted, words), "cls long, text string"))
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        left = stock.select(F.col("cls").alias("a"), F.col("text").alias("text_a"))
-        right = stock.select(F.col("cls").alias("b"), F.col("text").alias("text_b"))
-        return scratch.put(pairs.join(left, "a").join(right, "b").mapInArrow(_confirmed(words), "b long, a long").select("a", "b"))
-
-    links = confirm(pairs)
-    first = components(links, scratch)
-    rooted = scratch.put(
-        in_regions.join(first, in_regions["cls"] == first["id"], "left").select("key", "tree", "cls", "sketch", F.coalesce("root", "cls").alias("root"))
-    )
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    involved = scratch.put(
-        rooted.join(mixed, "key").join(classes.select("cls", "keys"), "cls").repartition("key").sortWithinPartitions("key")
-        .mapInArrow(_round_two, "key long, cls long, root long, major boolean")
+    scratch.clear(made)
+    shared = scratch.put(classes.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1").select("key"))
+    forest = scratch.put(classes.select("cls", "n", "keys", "sketch").mapInArrow(_forest(KeyFilter(shared)), FOREST))
+    nodes = scratch.put(classes.select("cls", "doc_id"))
+    scratch.clear(classes, shared)
+    # the sorted orders: equal stretches are dealt by what follows in the order, so no region is bound to one task
+    ordered = forest.repartitionByRange("key", F.substring("ahead", 1, 8), "cls").sortWithinPartitions("key", "ahead", "cls")
+    near = (
+        ordered.mapInArrow(_neighbours, "a long, center long, best long, estimate double")
+        .groupBy("a").agg(F.min("center").alias("center"), F.max_by("best", F.struct("estimate", "best")).alias("best"))
     )
-    across = (
-        involved.join(stock, "cls").repartition("key").sortWithinPartitions("key", "major").mapInArrow(_region_links(words), "a long, b long")
-    )
-    links = links.unionByName(scratch.put(across))
+    picked = near.select("a", F.when(F.col("center") < F.col("a"), F.col("center")).otherwise(F.col("best")).alias("b"))
+    picks = scratch.put(picked.select("a", "b", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).groupBy("lo", "hi").agg(F.max(F.struct("a", "b")).alias("p")).select("p.a", "p.b"))
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+        return scratch.put(texts.mapInArrow(_texts_of(KeyFilter(scratch.put(nodes.join(ends, "cls").mapInArrow(_members, "key long"))), words), "cls long, text string"))
+
+    stock = texts_of(picks)
+    links = confirm(picks, stock, words, scratch)
+    scratch.clear(stock)
+    for join in (True, False):
+        roots = components(links, scratch)
+        involved = across(forest, roots, scratch)
+        whom = involved.select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+        stock = texts_of(whom)
+        printed = scratch.put(stock.mapInArrow(_printed(words), "cls long, print binary"))
+        pairs = involved.join(printed, "cls").repartition("cell").sortWithinPartitions("cell", F.desc("held")).mapInArrow(_passing(join), "a long, b long")
+        pairs = scratch.put(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        held = confirm(pairs, stock, words, scratch)
+        links = links.unionByName(held)
+        if held.count() == pairs.count():
+            break
+        scratch.clear(stock, printed)
     roots = components(links, scratch)
     return rows, scratch.put(roots.select(F.col("id").alias("cls"), "root"))
 
 
+def _judged(docs: DataFrame, words: int, scratch: Scratch) -> DataFrame:
+    """doc_id, rk, cls, n_shingles, component_id, and first: the row key that stands for the component (null ids last)."""
+    rows, roots = link_classes(docs, scratch, words)
+    rooted = scratch.put(rows.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+    # written, so that the join after it is not bound to the aggregate's partitions and a hot component can be split
+    least = scratch.put(
+        rooted.where("root IS NOT NULL").groupBy("root")
+        .agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rk")).alias("one"))
+        .select("root", "component_id", F.col("one.rk").alias("first"))
+    )
+    return rooted.join(least, "root", "left").select("doc_id", "rk", "cls", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "first")
+
+
 def near_dup_report(docs: DataFrame, words: int = 2) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
-    scratch = Scratch(docs.sparkSession, "neardup")
-    rows, roots = link_classes(docs, scratch, words)
-    rooted = rows.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(least, "root", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.col("doc_id").eqNullSafe(F.coalesce("component_id", "doc_id")).alias("kept"),
-    )
+    judged = _judged(docs, words, Scratch(docs.sparkSession, "neardup"))
+    return judged.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_first(docs: DataFrame, words: int = 2) -> DataFrame:
-    """One document of each component, that with the least id, with all columns. Of repeated rows with that id one
-    stays."""
-    ids = Scratch(docs.sparkSession, "kept").put(near_dup_report(docs, words).where("kept").select(F.col("doc_id").alias("_kept_id")))
-    repeated = ids.groupBy("_kept_id").count().where("_kept_id IS NOT NULL AND count > 1")
-    kept = docs.join(ids.distinct(), docs["doc_id"].eqNullSafe(ids["_kept_id"]), "left_semi")
-    if repeated.isEmpty():
-        return kept
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    """One row of each component, with all columns, and every row without a set. The row is that with the least id, or
+    where ids are equal or null the least hash of id and text; of rows equal in id and text one stays."""
+    scratch = Scratch(docs.sparkSession, "kept")
+    judged = scratch.put(_judged(docs, words, scratch).select("rk", "cls", "first"))
+    gone = scratch.put(judged.where("first IS NOT NULL AND rk <> first").select("rk").distinct())
+    repeated = scratch.put(judged.where("first IS NOT NULL AND rk = first").groupBy("rk").count().where("count > 1").select("rk"))
+    names = [f"_{i}" for i in range(len(docs.columns))]  # columns may have any name
+    keyed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], row_key().alias("_rk"))
+    # most rows are known to stay by a filter; only those that may go are joined
+    doubtful = KeyFilter(scratch.put(gone.unionByName(repeated)), "rk")
+    flagged = keyed.mapInArrow(_flagged(doubtful), keyed.schema.add("_doubt", "boolean"))
+    stay, doubt = flagged.where("NOT _doubt"), flagged.where("_doubt").join(gone, F.col("_rk") == gone["rk"], "left_anti")
+    once = doubt.join(repeated, F.col("_rk") == repeated["rk"], "left_semi").dropDuplicates(["_rk"])
+    rest = doubt.join(repeated, F.col("_rk") == repeated["rk"], "left_anti")
+    return stay.unionByName(rest).unionByName(once).select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
+
+
+def _flagged(doubtful: KeyFilter) -> Callable:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("_doubt", pa.array(doubtful.has(np.asarray(batch.column("_rk")))))
+
+    return each
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
