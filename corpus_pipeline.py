@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tickforge.llm import bpe, mixing, near_dup, quality_rules, secrets
-from tickforge.llm.common import Scratch, sweep, table
+from tickforge.llm.common import Scratch, collected, table
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that pass the base rules and the fences of their language and source."""
-    sweep(spark)  # what came before has been written
     return quality_rules.filter_quality(docs)
 
 
@@ -20,25 +19,21 @@ SHINGLE_WORDS = 5
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates."""
-    sweep(spark)
     return near_dup.keep_first(docs, words=SHINGLE_WORDS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secret spans replaced by the kind of secret."""
-    sweep(spark)
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row for each piece of a document in a slot."""
-    sweep(spark)
     return mixing.mix(docs)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and ids of each row."""
-    sweep(spark)
     return bpe.encode(docs)
 
 
@@ -55,8 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, each written as Parquet and read again for the next."""
-    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline", lasting=True)
+    """Applies the stages to documents, each written as Parquet and read again for the next. The tables that a stage's
+    operator made are dropped once its result is written; those of other results are left alone."""
+    docs, written = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for _, stage in STAGES[:-1]:
-        docs = scratch.put(stage(spark, docs, sf_dir))
+        with collected() as made:
+            docs = written.put(stage(spark, docs, sf_dir))
+        for scratch in made:
+            scratch.drop()
     return STAGES[-1][1](spark, docs, sf_dir)
