@@ -45,15 +45,18 @@ TREES, DEPTH, N_VALUES = 24, 4, 256
 #: Classes on either side in a sorted order that a class is compared with.
 NEIGHBOURS = 8
 #: A region whose minor classes times all its classes exceed WORK is deepened by SUBTREES orders, at most LEVELS times.
-WORK, SUBTREES, LEVELS = 1 << 24, 8, 3
-#: Classes of one block of a cell.
-BLOCK = 2048
+WORK, SUBTREES, LEVELS = 1 << 24, 8, 2
+#: Minor classes of one block of a cell; a share of the major ones is twice that.
+BLOCK = 512
 #: Picks of one center that are confirmed in one task.
 ARMS = 512
 #: Sketches estimate similarity with a deviation of 0.025 at 0.8; down to four of them below, pairs are still confirmed.
 LEAST_ESTIMATE = 0.70
 PER_CENT = 80
 
+#: A sketch is a byte of each value, then three bytes of each tree's key.
+WIDTH = N_VALUES + 3 * TREES
+
 _A = (mix64(np.arange(1, N_VALUES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = mix64(np.arange(1001, N_VALUES + 1001, dtype=np.uint64)).astype(np.uint32)
 _TREE = mix64(np.arange(5001, 5001 + TREES, dtype=np.uint64))
@@ -109,7 +112,7 @@ def _features(words: int) -> Callable:
                     values = signature(found)
                     cls.append(class_of(found))
                     keys.append(tree_keys(values))
-                    sketches.append(values.astype(np.uint8).tobytes())
+                    sketches.append(values.astype(np.uint8).tobytes() + keys[-1].astype("<i8").view(np.uint8).reshape(-1, 8)[:, :3].tobytes())
                 else:
                     cls.append(None)
                     keys.append(None)
@@ -125,11 +128,11 @@ def _features(words: int) -> Callable:
     return each
 
 
-FOREST = "key long, tree int, cls long, n long, ahead binary"
+FOREST = "key long, cls long, n long, ahead binary"
 
 
 def _forest(shared: KeyFilter) -> Callable:
-    """cls, n, keys, sketch -> key, tree, cls, n, ahead: a row for each tree in which the class shares a region. ahead:
+    """cls, n, keys, sketch -> key, cls, n, ahead: a row for each tree in which the class shares a region. ahead:
     the values that follow in the tree's order."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,14 +147,13 @@ def _forest(shared: KeyFilter) -> Callable:
                 ahead = sketch[r[:, None], (DEPTH * (t[:, None] + 1) + np.arange(N_VALUES)) % N_VALUES]
                 take = pa.array(r)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[r, t]), pa.array(t.astype(np.int32)), batch.column("cls").take(take), batch.column("n").take(take), _binary(ahead)],
-                    ["key", "tree", "cls", "n", "ahead"],
+                    [pa.array(keys[r, t]), batch.column("cls").take(take), batch.column("n").take(take), _binary(ahead)], ["key", "cls", "n", "ahead"]
                 )
 
     return each
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray, width: int = N_VALUES) -> np.ndarray:
+def _matrix(column: pa.Array | pa.ChunkedArray, width: int = WIDTH) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width)
 
 
@@ -165,26 +167,18 @@ def _corrected(same: np.ndarray) -> np.ndarray:
     return (same / N_VALUES - 1 / 256) / (1 - 1 / 256)
 
 
-def _estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated similarity of all rows of a with all of b."""
-    out = np.empty((len(a), len(b)), dtype=np.float32)
-    step = max(1, 8_000_000 // (len(b) * N_VALUES))
-    for i in range(0, len(a), step):
-        out[i : i + step] = np.count_nonzero(a[i : i + step, None, :] == b[None, :, :], axis=2)
-    return _corrected(out)
-
-
 def _sizes_allow(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 100 * np.minimum(a, b) >= PER_CENT * np.maximum(a, b)
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of the forest in order -> a, center, best, estimate: what each class finds among its neighbours in an order."""
+    """Rows of the forest in order -> key, a, center, best, estimate: what each class finds among its neighbours in an
+    order. Classes that find nothing give no row."""
     before = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = [np.asarray(batch.column(c)) for c in ("key", "cls", "n")] + [_matrix(batch.column("ahead"))]
+        now = [np.asarray(batch.column(c)) for c in ("key", "cls", "n")] + [_matrix(batch.column("ahead"), N_VALUES)]
         key, cls, n, ahead = now if before is None else [np.concatenate(x) for x in zip(before, now, strict=True)]
         before = [x[-NEIGHBOURS:] for x in (key, cls, n, ahead)]
         center, best, most = cls.copy(), np.zeros(len(cls), np.int64), np.full(len(cls), -1.0)
@@ -198,7 +192,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 closer = e > most[x]
                 most[x[closer]], best[x[closer]] = e[closer], cls[y[closer]]
         some = np.flatnonzero(most > 0)
-        yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (cls, center, best, most)], ["a", "center", "best", "estimate"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (key, cls, center, best, most)], ["key", "a", "center", "best", "estimate"])
 
 
 def _deepened(level: int) -> Callable:
@@ -208,13 +202,13 @@ def _deepened(level: int) -> Callable:
         for whole in batches:
             for start in range(0, whole.num_rows, 4096):
                 batch = whole.slice(start, 4096)
-                key, ahead = np.asarray(batch.column("key")).view(np.uint64), _matrix(batch.column("ahead"))
+                key, sketch = np.asarray(batch.column("key")).view(np.uint64), _matrix(batch.column("sketch"))
                 for sub in range(SUBTREES):
-                    # every order takes values that no order above it has used
-                    own = mix64(key + np.uint64(sub + 1))
-                    for i in range(DEPTH):
-                        own = mix64(own + ahead[:, ((level * SUBTREES + sub) * DEPTH + i) % N_VALUES].astype(np.uint64))
-                    yield batch.set_column(batch.schema.get_field_index("key"), "key", pa.array(own.view(np.int64)))
+                    # every order takes values that no tree and no order above it has used
+                    own, first = mix64(key + np.uint64(sub + 1)), (TREES + level * SUBTREES + sub) * DEPTH
+                    for i in range(first, first + DEPTH):
+                        own = mix64(own + sketch[:, i].astype(np.uint64))
+                    yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), *(batch.column(c) for c in ("cls", "n", "root"))], ["key", "cls", "n", "root"])
 
     return each
 
@@ -242,7 +236,7 @@ def _screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     class of another component across the cell."""
 
     def arrays(part: pa.RecordBatch) -> list[np.ndarray]:
-        return [np.asarray(part.column(c)) for c in ("cls", "root", "n")] + [_matrix(part.column("ahead"))]
+        return [np.asarray(part.column(c)) for c in ("cls", "root", "n", "tag")] + [_matrix(part.column("sketch"))]
 
     def rows(cell: int, cls: np.ndarray, root: np.ndarray, held: bool) -> pa.RecordBatch:
         cols = [np.full(len(cls), cell), cls, root, np.full(len(cls), held)]
@@ -263,12 +257,12 @@ def _screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 involved = np.zeros(len(held[0]) if held else 0, dtype=bool)
             if not held:
                 continue
-            cls, root, n, ahead = arrays(part.filter(pa.array(~flag)))
-            met = _allowed(held, [cls, root, n, ahead])
+            others = arrays(part.filter(pa.array(~flag)))
+            met = _allowed(held, others)
             involved |= met.any(axis=1)
             some = met.any(axis=0)
             if some.any():
-                yield rows(cell, cls[some], root[some], False)
+                yield rows(cell, others[0][some], others[1][some], False)
         if held is None and own:
             held = [np.concatenate(x) for x in zip(*own, strict=True)]
             involved = np.zeros(len(held[0]), dtype=bool)
@@ -279,16 +273,27 @@ def _screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _allowed(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Which of two lists of classes (cls, root, n, ahead) may link: other components, fitting sizes and sketches."""
+    """Which of two lists of classes (cls, root, n, tag, sketch) may link: other components, fitting sizes and sketches.
+    A pair is left to the first tree in which both share a region; tag says which tree's region this is, -1 for one of
+    a deeper level, where no pair is left to another."""
     out = np.empty((len(a[0]), len(b[0])), dtype=bool)
+    tag = int(b[3][0]) if len(b[3]) else -1
     for i in range(0, len(a[0]), 64):
         own = slice(i, i + 64)
         some = (a[1][own, None] != b[1][None, :]) & _sizes_allow(a[2][own, None], b[2][None, :])
         x, y = np.nonzero(some)
         close = np.empty(len(x), dtype=bool)
         for j in range(0, len(x), 20_000):
-            p, q = x[j : j + 20_000], y[j : j + 20_000]
-            close[j : j + 20_000] = _corrected(np.count_nonzero(a[3][own][p] == b[3][q], axis=1)) >= LEAST_ESTIMATE
+            p, q = a[4][own][x[j : j + 20_000]], b[4][y[j : j + 20_000]]
+            near = _corrected(np.count_nonzero(p[:, :N_VALUES] == q[:, :N_VALUES], axis=1)) >= LEAST_ESTIMATE
+            if tag >= 0:
+                at = np.flatnonzero(near)
+                same = (p[at, N_VALUES:] == q[at, N_VALUES:]).reshape(-1, TREES, 3).all(axis=2)
+                # the tag is that of the region's key itself
+                first = same.argmax(axis=1)
+                keys = p[at, N_VALUES:].reshape(-1, TREES, 3)[np.arange(len(at)), first].astype(np.int64)
+                near[at] = keys[:, 0] + (keys[:, 1] << 8) + (keys[:, 2] << 16) == tag
+            close[j : j + 20_000] = near
         some[x[~close], y[~close]] = False
         out[own] = some
     return out
@@ -355,10 +360,10 @@ class Held:
 
 
 def _passing(join: bool) -> Callable:
-    """Cells with prints, the classes held first -> a, b: pairs to confirm."""
+    """Cells with prints, the classes held first -> cell, a, b: pairs to confirm."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, parts in grouped(batches, "cell"):
+        for cell, parts in grouped(batches, "cell"):
             rows, held, found = [], None, []
             for part in parts:
                 cols = [part.column(c).to_pylist() for c in ("cls", "root", "print", "held")]
@@ -372,7 +377,8 @@ def _passing(join: bool) -> Callable:
             for row in rows:
                 found += held.passing(*row)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+                ends = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), cell)), *ends], ["cell", "a", "b"])
 
     return each
 
@@ -443,7 +449,7 @@ def confirm(picks: DataFrame, stock: DataFrame, words: int, scratch: Scratch) ->
 
 
 def _cells(rooted: DataFrame, stats: DataFrame) -> DataFrame:
-    """The rows of regions dealt to cells: cell, held, inner, cls, root, n, ahead. A cell holds a block of minor classes
+    """The rows of regions dealt to cells: cell, held, inner, tag, cls, root, n. A cell holds a block of minor classes
     and meets a share of the major ones, or a later block of minor ones; pairs of one block meet in its first cell."""
     at = rooted.join(stats, "key")
     block = F.pmod(F.xxhash64(F.lit("block"), "cls"), F.col("blocks"))
@@ -459,32 +465,32 @@ def _cells(rooted: DataFrame, stats: DataFrame) -> DataFrame:
     )
     major = F.transform(count(zero, F.col("blocks") - 1), lambda b: place(b, share, False))
     dealt = at.withColumn("p", F.explode(F.when(F.col("root") == F.col("major"), major).otherwise(minor)))
-    return dealt.select(
-        F.xxhash64("key", "p.b", "p.j").alias("cell"), "p.held", (F.col("p.held") & (F.col("p.j") == 0)).alias("inner"), "cls", "root", "n", "ahead"
-    )
+    return dealt.select(F.xxhash64("key", "p.b", "p.j").alias("cell"), "p.held", (F.col("p.held") & (F.col("p.j") == 0)).alias("inner"), "tag", "cls", "root", "n")
 
 
-def across(forest: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
-    """cell, cls, root, held: the classes that may link with another component, in the cells where they meet."""
-    rooted = forest.join(roots, forest["cls"] == roots["id"], "left").select("key", "cls", "n", "ahead", F.coalesce("root", "cls").alias("root"))
+def across(forest: DataFrame, sketches: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """cell, cls, root, held: the classes that may link with another component, in the cells where they meet.
+    forest: key, cls, n; sketches: cls, sketch."""
+    rooted = scratch.put(forest.join(roots, forest["cls"] == roots["id"], "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root")))
     found = None
     for level in range(LEVELS + 1):
-        per = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
+        per = scratch.put(rooted.groupBy("key", "root").agg(F.count("*").alias("n")))
         stats = per.groupBy("key").agg(F.sum("n").alias("all"), F.max_by("root", F.struct("n", "root")).alias("major"), F.max("n").alias("most"), F.count("*").alias("roots"))
+        rest = F.col("all") - F.col("most")
         stats = scratch.put(
             stats.where("roots > 1").select(
-                "key", "major", (F.col("all") * (F.col("all") - F.col("most"))).alias("work"),
-                F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("long").alias("blocks"), F.ceil(F.col("most") / (4 * BLOCK)).cast("long").alias("shares"),
+                "key", "major", (F.col("all") * rest).alias("work"), F.ceil(rest / BLOCK).cast("long").alias("blocks"),
+                F.ceil(F.col("most") / (2 * BLOCK)).cast("long").alias("shares"), F.lit(-1).cast("long").alias("tag") if level else F.pmod("key", F.lit(1 << 24)).alias("tag"),
             )
         )
         ready = stats if level == LEVELS else stats.where(F.col("work") <= WORK)
-        met = _cells(rooted, ready.drop("work")).repartition("cell").sortWithinPartitions("cell", F.desc("held")).mapInArrow(_screened, INVOLVED)
-        met = scratch.put(met)
+        met = _cells(rooted, ready.drop("work")).join(sketches, "cls").repartition("cell").sortWithinPartitions("cell", F.desc("held"))
+        met = scratch.put(met.mapInArrow(_screened, INVOLVED))
         found = met if found is None else found.unionByName(met)
         crowded = stats.where(F.col("work") > WORK).select("key")
         if level == LEVELS or crowded.isEmpty():
             return found
-        rooted = scratch.put(rooted.join(crowded, "key", "left_semi").mapInArrow(_deepened(level), rooted.schema))
+        rooted = scratch.put(rooted.join(crowded, "key", "left_semi").join(sketches, "cls").mapInArrow(_deepened(level), "key long, cls long, n long, root long"))
     return found
 
 
@@ -500,37 +506,40 @@ def link_classes(docs: DataFrame, scratch: Scratch, words: int = 2) -> tuple[Dat
     scratch.clear(made)
     shared = scratch.put(classes.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1").select("key"))
     forest = scratch.put(classes.select("cls", "n", "keys", "sketch").mapInArrow(_forest(KeyFilter(shared)), FOREST))
-    nodes = scratch.put(classes.select("cls", "doc_id"))
+    nodes, sketches = scratch.put(classes.select("cls", "doc_id")), scratch.put(classes.select("cls", "sketch"))
     scratch.clear(classes, shared)
     # the sorted orders: equal stretches are dealt by what follows in the order, so no region is bound to one task
     ordered = forest.repartitionByRange("key", F.substring("ahead", 1, 8), "cls").sortWithinPartitions("key", "ahead", "cls")
-    near = (
-        ordered.mapInArrow(_neighbours, "a long, center long, best long, estimate double")
-        .groupBy("a").agg(F.min("center").alias("center"), F.max_by("best", F.struct("estimate", "best")).alias("best"))
-    )
-    picked = near.select("a", F.when(F.col("center") < F.col("a"), F.col("center")).otherwise(F.col("best")).alias("b"))
-    picks = scratch.put(picked.select("a", "b", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).groupBy("lo", "hi").agg(F.max(F.struct("a", "b")).alias("p")).select("p.a", "p.b"))
+    near = scratch.put(ordered.mapInArrow(_neighbours, "key long, a long, center long, best long, estimate double"))
+    best = near.groupBy("a").agg(F.min("center").alias("center"), F.max_by("best", F.struct("estimate", "best")).alias("best"))
+    picked = best.select("a", F.when(F.col("center") < F.col("a"), F.col("center")).otherwise(F.col("best")).alias("b"))
+    picks = scratch.put(picked.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.max(F.struct("a", "b")).alias("p")).select("p.a", "p.b"))
 
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-        return scratch.put(texts.mapInArrow(_texts_of(KeyFilter(scratch.put(nodes.join(ends, "cls").mapInArrow(_members, "key long"))), words), "cls long, text string"))
+    def texts_of(classes: DataFrame) -> DataFrame:
+        wanted = KeyFilter(scratch.put(nodes.join(classes.distinct(), "cls").mapInArrow(_members, "key long")))
+        return scratch.put(texts.mapInArrow(_texts_of(wanted, words), "cls long, text string"))
 
-    stock = texts_of(picks)
+    stock = texts_of(picks.select(F.explode(F.array("a", "b")).alias("cls")))
     links = confirm(picks, stock, words, scratch)
     scratch.clear(stock)
+    # where all pairs of a region were neighbours and none looked alike, there is no link
+    live = near.select("key").unionByName(forest.groupBy("key").count().where(F.col("count") > NEIGHBOURS + 1).select("key")).distinct()
+    thin = scratch.put(forest.select("key", "cls", "n").join(live, "key", "left_semi"))
+    scratch.clear(forest, near)
+    involved = across(thin, sketches, components(links, scratch), scratch)
+    scratch.clear(sketches)
+    stock = texts_of(involved.select("cls"))
+    printed = scratch.put(stock.mapInArrow(_printed(words), "cls long, print binary"))
     for join in (True, False):
-        roots = components(links, scratch)
-        involved = across(forest, roots, scratch)
-        whom = involved.select(F.col("cls").alias("a"), F.col("cls").alias("b"))
-        stock = texts_of(whom)
-        printed = scratch.put(stock.mapInArrow(_printed(words), "cls long, print binary"))
-        pairs = involved.join(printed, "cls").repartition("cell").sortWithinPartitions("cell", F.desc("held")).mapInArrow(_passing(join), "a long, b long")
-        pairs = scratch.put(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        held = confirm(pairs, stock, words, scratch)
+        met = involved.join(printed, "cls").repartition("cell").sortWithinPartitions("cell", F.desc("held"))
+        pairs = scratch.put(met.mapInArrow(_passing(join), "cell long, a long, b long").withColumns({"a": F.greatest("a", "b"), "b": F.least("a", "b")}))
+        held = confirm(pairs.select("a", "b").distinct(), stock, words, scratch)
         links = links.unionByName(held)
-        if held.count() == pairs.count():
+        # cells in which a print deceived may have left out pairs for its sake; they are met again
+        wrong = scratch.put(pairs.join(held, ["a", "b"], "left_anti").select("cell").distinct())
+        if wrong.isEmpty():
             break
-        scratch.clear(stock, printed)
+        involved = involved.join(wrong, "cell", "left_semi")
     roots = components(links, scratch)
     return rows, scratch.put(roots.select(F.col("id").alias("cls"), "root"))
 
