@@ -105,11 +105,12 @@ class KeyFilter:
 
     MOST_BITS = 28
 
-    def __init__(self, keys: DataFrame, column: str = "key"):
+    def __init__(self, keys: DataFrame, column: str = "key", room: int = 4):
+        """room: bits beyond those that number the keys; one in 2**room other keys passes."""
         spark = keys.sparkSession
         n = keys.count()
         self.n = n
-        self.bits = min(self.MOST_BITS, max(18, math.ceil(math.log2(max(2, n))) + 4))
+        self.bits = min(self.MOST_BITS, max(18, math.ceil(math.log2(max(2, n))) + room))
         at = F.col(column).bitwiseAND(F.lit((1 << self.bits) - 1)) + 1  # the bitmap functions count from 1
         rows = keys.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(
             F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap")

@@ -104,16 +104,17 @@ class Out:
 
 
 def keys_pass(seeds: Seeds) -> Callable:
-    """-> key, doc_id, n: the distinct anchors of each text and how often it holds them."""
+    """-> key, n: the distinct anchors of each text, and 2 for those that it holds several times. With words, where
+    only other documents count: key, doc_id."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Out(key=pa.int64(), doc_id=pa.int64(), n=pa.int64())
+        out = Out(key=pa.int64(), **{"doc_id" if seeds.by_word else "n": pa.int64()})
         for doc_id, _, data in each_text(batches):
             found = seeds.anchors(data)
             if found is None or (seeds.by_word and doc_id is None):
                 continue
             key, n = np.unique(found.key, return_counts=True)
-            if out.add(len(key), key.view(np.int64), doc_id if doc_id is not None else 0, n):
+            if out.add(len(key), key.view(np.int64), doc_id if seeds.by_word else np.minimum(n, 2)):
                 yield out.batch()
         if out.rows:
             yield out.batch()
@@ -168,8 +169,7 @@ def windows_pass(seeds: Seeds, shared: KeyFilter, places: KeyFilter) -> Callable
 
 WINDOWS = "key long, doc_id long, rk long, lo int"
 CONTEXTS = "key long, context long, doc_id long, rk long, at int, lo int, hi int"
-KEYS = "key long, doc_id long, n long"
-
+KEYS = "key long, doc_id long"
 
 
 
@@ -185,18 +185,54 @@ def places_of(rows: DataFrame) -> DataFrame:
     return rows.select("rk", "at").mapInArrow(_places, "key long")
 
 
-def marked(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """The texts with ``spans``, the ranges (lo, hi) that marks (rk, lo, hi) give their rows; null where there are none."""
-    per = marks.groupBy("rk").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    return texts(docs).join(per, "rk", "left").select("doc_id", "text", "spans")
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges sorted by rk and lo -> the maximal runs they cover."""
+    out = Out(rk=pa.int64(), lo=pa.int32(), hi=pa.int32())
+    last: tuple[int, int, int] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rk, lo, hi = (np.asarray(batch.column(c)).astype(np.int64) for c in ("rk", "lo", "hi"))
+        if last is not None:
+            rk, lo, hi = (np.concatenate([[x], y]) for x, y in zip(last, (rk, lo, hi), strict=True))
+        # ends reached so far within a row: rows are lifted apart by their number
+        row = np.cumsum(np.concatenate([[0], rk[1:] != rk[:-1]])) << 32
+        reach = np.maximum.accumulate(row + hi)
+        opens = np.concatenate([[True], row[1:] + lo[1:] > reach[:-1]])
+        at = np.flatnonzero(opens)
+        ends = reach[np.append(at[1:], len(rk)) - 1] - row[at]
+        if len(at) > 1 and out.add(len(at) - 1, rk[at[:-1]], lo[at[:-1]], ends[:-1]):
+            yield out.batch()
+        last = (int(rk[at[-1]]), int(lo[at[-1]]), int(ends[-1]))
+    if last is not None:
+        out.add(1, *(np.array([x]) for x in last))
+    if out.rows:
+        yield out.batch()
+
+
+def marked(docs: DataFrame, marks: DataFrame, scratch: Scratch) -> DataFrame:
+    """The texts with ``spans``, the disjoint ranges (lo, hi) that marks (rk, lo, hi) cover; null where there are none.
+    Only texts that may have some are shuffled."""
+    runs = marks.repartition("rk").sortWithinPartitions("rk", "lo").mapInArrow(_merged, "rk long, lo int, hi int")
+    # a row has no more runs than its symbols
+    per = scratch.put(runs.groupBy("rk").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+    some = KeyFilter(per, "rk", room=8)
+
+    def split(wanted: bool) -> Callable:
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(some.has(np.asarray(batch.column("rk"))) == wanted))
+
+        return each
+
+    schema, read = "doc_id long, rk long, text string", texts(docs)
+    whole = read.mapInArrow(split(False), schema).select("doc_id", "text", F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("spans"))
+    return whole.unionByName(read.mapInArrow(split(True), schema).join(per, "rk", "left").select("doc_id", "text", "spans"))
 
 
 def covered(spans: list[dict] | None, n: int) -> np.ndarray:
     """Which of n symbols the ranges cover."""
-    if not spans:
-        return np.zeros(n, dtype=bool)
-    bounds = np.array([(s["lo"], s["hi"]) for s in spans])
-    step = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(step, bounds[:, 0], 1)
-    np.add.at(step, bounds[:, 1], -1)
-    return np.cumsum(step[:-1]) > 0
+    gone = np.zeros(n, dtype=bool)
+    for s in spans or []:
+        gone[s["lo"] : s["hi"]] = True
+    return gone

@@ -34,14 +34,15 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int =
     shared = KeyFilter(scratch.put(held.where("a < b").select("key")))
     found = scratch.put(read.mapInArrow(contexts_pass(seeds, shared), CONTEXTS))
     least = scratch.put(found.groupBy("key", "context").agg(F.min("doc_id").alias("least")))
-    several = least.groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("open"))
+    # what joins follow on is written first: an exchange shared with an aggregate could not be split where a key is hot
+    several = scratch.put(least.groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("open")))
     known = least.join(several, "key", "left")
     judged = scratch.put(
         found.join(known, ["key", "context"]).where("doc_id > least OR open").select("rk", "at", "lo", "hi", (F.col("doc_id") > F.col("least")).alias("repeat"))
     )
-    opened = KeyFilter(scratch.put(places_of(judged.where("NOT repeat")).distinct()))
+    opened = KeyFilter(scratch.put(places_of(judged.where("NOT repeat")).distinct()), room=8)
     windows = scratch.put(read.mapInArrow(windows_pass(seeds, shared, opened), WINDOWS))
-    first = windows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    first = scratch.put(windows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "least"))
     matched = windows.join(first, "key").where("doc_id > least").select("rk", "lo", (F.col("lo") + length).alias("hi"))
     return scratch.put(judged.where("repeat").select("rk", "lo", "hi").unionByName(matched))
 
@@ -65,7 +66,7 @@ def substring_report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256."""
     scratch = Scratch(docs.sparkSession, "substring")
     spans = repeats(docs, scratch)
-    return marked(docs, spans).mapInArrow(_reports, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return marked(docs, spans, scratch).mapInArrow(_reports, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

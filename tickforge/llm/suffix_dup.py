@@ -1,13 +1,17 @@
 """Suffix-array dedup: every byte covered by a 200-byte string that starts twice or more in the corpus is removed.
 
 The suffixes that can matter are found first: places share a winnowed anchor (64 bytes), and each has a context, all
-that 200-byte strings with that anchor can reach. Equal contexts settle their strings at once. Where an anchor has
-several contexts, one place per context is taken and the contexts of an anchor come to one task, where they are
-joined to a text with an enhanced suffix array of the suffixes whose strings differ in the letter before them. A stack scan over its common prefixes walks the tree of common-prefix
-intervals of at least 200; an interval whose left extensions differ is a maximal repeat, and all its occurrences are
-marked, not only neighbours. Marks at places stand for all places with that context.
-
-An anchor with more than ``GROUP`` contexts isn't gathered: its strings are counted by their hash over the cluster.
+that 200-byte strings with that anchor can reach. Places with equal contexts are one node of the tree with a string as
+long as the context, so all of them are marked. Where an anchor has several contexts, one place per context is taken
+and the contexts of an anchor come to one task, where they are joined to a text with an enhanced suffix array of the
+suffixes whose strings differ in the letter before them. A stack scan over its common prefixes walks the tree of
+common-prefix intervals of at least 200; an interval whose left extensions differ is a maximal repeat, and all its
+occurrences are marked, not only neighbours. ``repeat_groups`` returns the maximal repeats with all occurrences.
+
+An anchor with more than ``GROUP`` contexts is divided by longer anchors: the strings that hold it fall into two
+halves by where it lies in them, those of a half share 132 bytes, then 166 in quarters and so on, each with contexts
+that shrink to the strings themselves. So a task never holds more than ``GROUP`` contexts of an anchor, and where
+division ends the strings of an anchor are all equal.
 
 Defined cases: null texts are empty; repeated rows count as different places, so they remove each other; a string
 that recurs within a document counts, overlaps too; an empty table gives an empty result; extra columns are ignored.
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickforge.llm.common import KeyFilter, Scratch, table
-from tickforge.llm.repeats import CONTEXTS, KEYS, WINDOWS, Out, Seeds, contexts_pass, covered, each_text, keys_pass, marked, place, places_of, texts, windows_pass
+from tickforge.llm.repeats import Anchors, Out, Seeds, covered, each_text, keys_pass, marked, texts
 from tickforge.llm.rolling import BYTE_VALUES, Prefix, mix64
 
 LENGTH, GRAM = 200, 64
@@ -129,27 +133,110 @@ def maximal_repeats(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, whe
             yield at[lo : hi + 1], length
 
 
-CONTEXT_BYTES = "key long, rk long, lo int, data binary"
+def levels(length: int, gram: int) -> int:
+    """Divisions after which each part is one string."""
+    return int(length - gram).bit_length()
+
+
+def divided(found: Anchors, level: int, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(row, part, key, lo, hi) of the 2**level parts of each anchor that hold a string. A part has the strings in
+    which the anchor starts between ``near`` and ``far`` bytes from the start; its key is of the bytes that they share."""
+    n = 1 << level
+    edges = np.arange(n + 1) * (length - gram + 1) // n
+    row, part = np.repeat(np.arange(len(found.at)), n), np.tile(np.arange(n), len(found.at))
+    near, far, at = edges[part], edges[part + 1] - 1, found.at[row]
+    lo, hi = np.maximum(found.lo[row], at - far), np.minimum(found.hi[row], at - near + length)
+    some = (hi - lo >= length) & (far >= near)
+    row, part, near, far, at, lo, hi = (x[some] for x in (row, part, near, far, at, lo, hi))
+    if not level:
+        return row, part, found.key[row], lo, hi
+    shared = found.prefix.windows(at - near, at - far + length)
+    return row, part, mix64(shared + mix64((np.uint64(level) << np.uint64(32)) + part.astype(np.uint64))), lo, hi
+
+
+def _spot(rk: int, at: np.ndarray, level: int, part: np.ndarray) -> np.ndarray:
+    """A key of a part of a place."""
+    place = mix64(mix64(np.array([rk], dtype=np.int64).view(np.uint64)) + at.astype(np.uint64))
+    return mix64(place + (np.uint64(level + 1) << np.uint64(40)) + part.astype(np.uint64)).view(np.int64)
+
+
+class Search:
+    """The parts of anchors to look at on each level: the shared anchors, then parts of crowded places."""
+
+    def __init__(self, seeds: Seeds, shared: KeyFilter):
+        self.seeds, self.shared, self.crowded = seeds, shared, []
+
+    def places(self, data: np.ndarray, rk: int) -> Iterator[tuple[int, Anchors, tuple[np.ndarray, ...]]]:
+        """(level, anchors, parts of them) for every level so far."""
+        found = self.seeds.anchors(data)
+        if found is None:
+            return
+        found = found.take(self.shared.has(found.key))
+        parts = divided(found, 0, self.seeds.length, self.seeds.gram)
+        yield 0, found, parts
+        for level, crowded in enumerate(self.crowded, 1):
+            # the anchors with a crowded part on the level above
+            row, part = parts[:2]
+            of = np.flatnonzero(crowded.has(_spot(rk, found.at[row], level - 1, part)))
+            rows, at = np.unique(row[of], return_inverse=True)
+            open_ = np.zeros((len(rows), 1 << (level - 1)), dtype=bool)
+            open_[at, part[of]] = True
+            found = found.take(rows)
+            parts = divided(found, level, self.seeds.length, self.seeds.gram)
+            keep = open_[parts[0], parts[1] >> 1]
+            parts = tuple(x[keep] for x in parts)
+            yield level, found, parts
+
+
+def _context(found: Anchors, row: np.ndarray, part: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes from lo to hi and of where the anchor lies in them."""
+    at = found.at[row]
+    shape = (at - lo + (1 << 18)).astype(np.uint64) * np.uint64(1 << 20) + (hi - at + (1 << 18)).astype(np.uint64)
+    return mix64(found.prefix.windows(lo, hi) + mix64(shape + (part.astype(np.uint64) << np.uint64(44))))
+
 
+CONTEXTS = "key long, context long, rk long, spot long, lo int, hi int"
 
-def _context_bytes(seeds: Seeds, shared: KeyFilter, places: KeyFilter) -> Callable:
-    """-> key, rk, lo, data: the contexts at the places."""
+
+def _contexts(search: Search, level: int) -> Callable:
+    """-> key, context, rk, spot, lo, hi: the parts of a level with their contexts."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Out(**dict.fromkeys(("key", "context", "rk", "spot"), pa.int64()), lo=pa.int32(), hi=pa.int32())
+        for _, rk, data in each_text(batches):
+            for at_level, found, (row, part, key, lo, hi) in search.places(data, rk):
+                if at_level == level and len(row):
+                    context, spot = _context(found, row, part, lo, hi).view(np.int64), _spot(rk, found.at[row], level, part)
+                    if out.add(len(row), key.view(np.int64), context, rk, spot, lo, hi):
+                        yield out.batch()
+        if out.rows:
+            yield out.batch()
+
+    return each
+
+
+CONTEXT_BYTES = "key long, context long, rk long, lo int, data binary"
+
+
+def _context_bytes(search: Search, chosen: KeyFilter) -> Callable:
+    """-> key, context, rk, lo, data: the contexts at chosen spots."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "rk", "lo", "data"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "context", "rk", "lo", "data"])
 
         for _, rk, data in each_text(batches):
-            found = seeds.anchors(data)
-            if found is None:
-                continue
-            found = found.take(shared.has(found.key))
-            found = found.take(places.has(place(rk, found.at)))
-            raw = data.tobytes() if len(found.at) else b""
-            rows += [(k, rk, a, raw[a:b]) for k, a, b in zip(found.key.view(np.int64).tolist(), found.lo.tolist(), found.hi.tolist(), strict=True)]
+            raw = data.tobytes()
+            for level, found, (row, part, key, lo, hi) in search.places(data, rk):
+                keep = chosen.has(_spot(rk, found.at[row], level, part))
+                if not keep.any():
+                    continue
+                row, part, key, lo, hi = (x[keep] for x in (row, part, key, lo, hi))
+                context = _context(found, row, part, lo, hi).view(np.int64)
+                rows += [(k, c, rk, a, raw[a:b]) for k, c, a, b in zip(key.view(np.int64).tolist(), context.tolist(), lo.tolist(), hi.tolist(), strict=True)]
             if len(rows) >= 20_000:
                 yield flush()
                 rows = []
@@ -159,76 +246,123 @@ def _context_bytes(seeds: Seeds, shared: KeyFilter, places: KeyFilter) -> Callab
     return each
 
 
-def _scan(keys: list[int], rks: list[int], los: list[int], parts: list[bytes], least: int, out: Out) -> None:
-    """Marks the maximal repeats among some contexts."""
-    sizes = np.array([len(p) for p in parts], dtype=np.int64)
-    starts = np.cumsum(sizes) - sizes
-    data = np.frombuffer(b"".join(parts), dtype=np.uint8)
-    if not len(data):
-        return
-    row, base = np.repeat(np.arange(len(parts)), sizes), np.array(los, dtype=np.int64)
-    at_row = np.arange(len(data)) - np.repeat(starts, sizes)
-    rk = np.array(rks, dtype=np.int64)
-    where = mix64(mix64(rk.view(np.uint64))[row] + (base[row] + at_row).astype(np.uint64))
-    lo, hi = coverage(data, starts, sizes, where, least)
-    first = base[row[lo]] + at_row[lo]
-    out.add(len(lo), rk[row[lo]], first, first + hi - lo)
+class Chunk:
+    """Some contexts joined to one text."""
+
+    def __init__(self):
+        self.rows: list[tuple[int, int, int, int, bytes]] = []
+        self.size = 0
+
+    def add(self, row: tuple) -> None:
+        self.rows.append(row)
+        self.size += len(row[4])
+
+    def read(self) -> None:
+        self.key, self.context, self.rk, base = (np.array(c, dtype=np.int64) for c in list(zip(*self.rows, strict=True))[:4])
+        self.sizes = np.array([len(r[4]) for r in self.rows], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(r[4] for r in self.rows), dtype=np.uint8)
+        self.row = np.repeat(np.arange(len(self.rows)), self.sizes)
+        self.offset = np.arange(len(self.data)) - np.repeat(self.starts, self.sizes)
+        self.at = base[self.row] + self.offset
+        self.where = mix64(mix64(self.rk.view(np.uint64))[self.row] + self.at.astype(np.uint64))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
+    """Whole anchors of contexts sorted by key, several at a time."""
+    chunk = Chunk()
+    for batch in batches:
+        for row in zip(*[batch.column(c).to_pylist() for c in ("key", "context", "rk", "lo", "data")], strict=True):
+            if chunk.size > CHUNK and row[0] != chunk.rows[-1][0]:
+                chunk.read()
+                yield chunk
+                chunk = Chunk()
+            chunk.add(row)
+    if chunk.size:
+        chunk.read()
+        yield chunk
 
 
 def _suffixes(least: int) -> Callable:
-    """Contexts sorted by key -> rk, lo, hi: the maximal repeats of each key's contexts, several keys at a time."""
+    """Contexts sorted by key -> rk, lo, hi: what the maximal repeats of each anchor's contexts cover."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Out(rk=pa.int64(), lo=pa.int32(), hi=pa.int32())
-        keys: list[int] = []
-        rks: list[int] = []
-        los: list[int] = []
-        parts: list[bytes] = []
-        size = 0
-        for batch in batches:
-            for key, rk, lo, data in zip(*[batch.column(c).to_pylist() for c in ("key", "rk", "lo", "data")], strict=True):
-                if size > CHUNK and key != keys[-1]:
-                    _scan(keys, rks, los, parts, least, out)
-                    keys, rks, los, parts, size = [], [], [], [], 0
-                    if out.rows >= 50_000:
-                        yield out.batch()
-                keys.append(key)
-                rks.append(rk)
-                los.append(lo)
-                parts.append(data)
-                size += len(data)
-        if parts:
-            _scan(keys, rks, los, parts, least, out)
+        for c in _chunks(batches):
+            lo, hi = coverage(c.data, c.starts, c.sizes, c.where, least)
+            first = c.at[lo]
+            if out.add(len(lo), c.rk[c.row[lo]], first, first + hi - lo):
+                yield out.batch()
         if out.rows:
             yield out.batch()
 
     return each
 
 
+def _groups(least: int) -> Callable:
+    """Contexts sorted by key -> string, length, key, context, offset: the maximal repeats and where in which contexts."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Out(string=pa.int64(), length=pa.int64(), key=pa.int64(), context=pa.int64(), offset=pa.int32())
+        for c in _chunks(batches):
+            prefix = Prefix(BYTE_VALUES[c.data])
+            for at, length in maximal_repeats(c.data, c.starts, c.sizes, c.where, least):
+                string = prefix.windows(at, at + length).view(np.int64)
+                if out.add(len(at), string, length, c.key[c.row[at]], c.context[c.row[at]], c.offset[at]):
+                    yield out.batch()
+        if out.rows:
+            yield out.batch()
+
+    return each
+
+
+def _searched(docs: DataFrame, scratch: Scratch, length: int, gram: int, keep: bool = False) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
+    """(marks, contexts, bytes): for each level the ranges rk, lo, hi of places with equal contexts, and the places
+    themselves if they are kept; and the bytes of contexts that meet others of their anchor."""
+    seeds, read = Seeds(False, length, gram), texts(docs)
+    held = read.mapInArrow(keys_pass(seeds), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    search = Search(seeds, KeyFilter(scratch.put(held.where("n > 1").select("key"))))
+    marks, kept, chosen = [], [], []
+    for level in range(levels(length, gram) + 1):
+        found = scratch.put(read.mapInArrow(_contexts(search, level), CONTEXTS))
+        contexts = scratch.put(found.groupBy("key", "context").agg(F.count("*").alias("n"), F.min("spot").alias("spot")))
+        marks.append(scratch.put(found.join(contexts.where("n > 1").select("key", "context"), ["key", "context"], "left_semi").select("rk", "lo", "hi")))
+        # written, so that AQE can split the join on a crowded anchor
+        several = scratch.put(contexts.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
+        opened = contexts.join(several, "key")
+        chosen.append(scratch.put(opened.where(F.col("m") <= GROUP).select(F.col("spot").alias("key"))))
+        crowded = KeyFilter(scratch.put(opened.where(F.col("m") > GROUP).select(F.col("spot").alias("key"))), room=8)
+        kept += [found] if keep else []
+        scratch.clear(contexts, *([] if keep else [found]))
+        if not crowded.n:
+            break
+        search.crowded.append(crowded)
+    few = chosen[0]
+    for more in chosen[1:]:
+        few = few.unionByName(more)
+    data = read.mapInArrow(_context_bytes(search, KeyFilter(few, room=6)), CONTEXT_BYTES).repartition("key").sortWithinPartitions("key", "context", "rk", "lo")
+    return marks, kept, data
+
+
 def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """rk, lo, hi: ranges of bytes covered by strings that start twice or more."""
-    seeds, read = Seeds(False, length, gram), texts(docs)
-    held = read.mapInArrow(keys_pass(seeds), KEYS).groupBy("key").agg(F.sum("n").alias("n"))
-    shared = KeyFilter(scratch.put(held.where("n > 1").select("key")))
-    found = scratch.put(read.mapInArrow(contexts_pass(seeds, shared), CONTEXTS).drop("doc_id"))
-    spot = F.struct("rk", "at", "lo", "hi")
-    contexts = scratch.put(found.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(spot).alias("one")))
-    judged = found.join(contexts.where("n > 1").select("key", "context"), ["key", "context"], "left_semi").select("rk", "lo", "hi")
-    several = contexts.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    opened = scratch.put(contexts.join(several, "key").select("key", "m", "one.rk", "one.at"))
-    few = KeyFilter(scratch.put(places_of(opened.where(F.col("m") <= GROUP)).distinct()))
-    crowd = KeyFilter(scratch.put(places_of(opened.where(F.col("m") > GROUP)).distinct()))
-    by_array = (
-        read.mapInArrow(_context_bytes(seeds, shared, few), CONTEXT_BYTES)
-        .repartition("key").sortWithinPartitions("key", "rk", "lo")
-        .mapInArrow(_suffixes(length), "rk long, lo int, hi int")
-    )
-    marks = judged.unionByName(by_array)
-    if crowd.n:
-        windows = scratch.put(read.mapInArrow(windows_pass(seeds, shared, crowd), WINDOWS).select("key", "rk", "lo").distinct())
-        twice = windows.groupBy("key").count().where("count > 1").select("key")
-        marks = marks.unionByName(windows.join(twice, "key", "left_semi").select("rk", "lo", (F.col("lo") + length).alias("hi")))
-    return scratch.put(marks)
+    marks, _, data = _searched(docs, scratch, length, gram)
+    out = scratch.put(data.mapInArrow(_suffixes(length), "rk long, lo int, hi int"))
+    for more in marks:
+        out = out.unionByName(more)
+    return out
+
+
+def repeat_groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """One row per occurrence of a maximal repeat of at least ``length`` bytes among differing contexts: string (a hash
+    of it), length, rk (the row's key), at. A repeat longer than a context shows as the repeats of its contexts."""
+    scratch = Scratch(docs.sparkSession, "groups")
+    _, kept, data = _searched(docs, scratch, length, gram, keep=True)
+    places = kept[0]
+    for more in kept[1:]:
+        places = places.unionByName(more)
+    groups = scratch.put(data.mapInArrow(_groups(length), "string long, length long, key long, context long, offset int"))
+    return groups.join(places, ["key", "context"]).select("string", "length", "rk", (F.col("lo") + F.col("offset")).alias("at")).distinct()
 
 
 def _reports(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +384,7 @@ def _reports(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def suffix_report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     scratch = Scratch(docs.sparkSession, "suffix")
-    return marked(docs, repeats(docs, scratch)).mapInArrow(_reports, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return marked(docs, repeats(docs, scratch), scratch).mapInArrow(_reports, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
