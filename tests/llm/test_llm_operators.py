@@ -82,7 +82,7 @@ def test_key_filter_has_all_keys(spark):
 
 
 def test_winnow_keeps_one_in_every_window():
-    x = np.random.default_rng(1).integers(0, 50, 500).astype(np.uint64)
+    x = np.random.default_rng(1).integers(0, 50, 500).astype(np.uint64) << np.uint64(32)
     for w in (1, 2, 7, 35):
         expected = {i for s in range(len(x) - w + 1) for i in range(s, s + w) if x[i] == x[s : s + w].min()}
         assert set(winnow(x, w).tolist()) == expected

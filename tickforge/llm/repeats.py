@@ -46,7 +46,7 @@ class Seeds:
         at = winnow(grams, self.length - self.gram + 1)
         lo = np.maximum(0, at - (self.length - self.gram))
         hi = np.minimum(len(symbols), at + self.length)
-        return Anchors(prefix, at, grams[at], lo, hi)
+        return Anchors(prefix, at, mix64(grams[at]), lo, hi)
 
 
 @dataclass

@@ -53,11 +53,13 @@ class Prefix:
         return mix64((self.sums[hi] - self.sums[lo]) * self.down[lo])
 
     def grams(self, k: int) -> np.ndarray:
-        """Hashes of all windows of k symbols."""
+        """Hashes of all windows of k symbols, not yet mixed: ``mix64`` makes those of ``windows`` of them."""
         n = len(self.sums) - 1
         if n < k:
             return np.zeros(0, dtype=np.uint64)
-        return mix64((self.sums[k:] - self.sums[:-k]) * self.down[: n - k + 1])
+        out = self.sums[k:] - self.sums[:-k]
+        out *= self.down[: n - k + 1]
+        return out
 
 
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,23 +77,22 @@ def word_hashes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def _slide(x: np.ndarray, w: int, best: np.ufunc) -> np.ndarray:
-    """The best of each window of w values, by blocks of w from both ends; as long as x minus w - 1."""
-    n = len(x)
-    pad = -n % w
-    fill = np.iinfo(x.dtype).max if best is np.minimum else 0
-    blocks = np.concatenate([x, np.full(pad, fill, dtype=x.dtype)]).reshape(-1, w)
-    ahead = best.accumulate(blocks, axis=1).ravel()
-    behind = best.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return best(behind[: n - w + 1], ahead[w - 1 : n])
+    """The best of each window of w values, by doubling; as long as x minus w - 1."""
+    k = 1
+    while 2 * k <= w:
+        x = best(x[:-k], x[k:])
+        k *= 2
+    return best(x[: len(x) - (w - k)], x[w - k :]) if w > k else x
 
 
 def winnow(grams: np.ndarray, w: int) -> np.ndarray:
-    """Positions of the least gram hash in each window of w grams; ties are all kept, so what is chosen in a window
-    depends on its content alone."""
+    """Positions of the least gram hash (its upper 32 bits) in each window of w grams; ties are all kept, so what is
+    chosen in a window depends on its content alone."""
     n = len(grams)
     if n < w:
         return np.zeros(0, dtype=np.int64)
-    least = _slide(grams, w, np.minimum)
+    high = (grams >> np.uint64(32)).astype(np.uint32)
     # a position is chosen if it is the least of some window that holds it: the largest of those windows' least values
-    wide = np.concatenate([np.zeros(w - 1, dtype=np.uint64), least, np.zeros(w - 1, dtype=np.uint64)])
-    return np.flatnonzero(_slide(wide, w, np.maximum) == grams)
+    wide = np.zeros(n + w - 1, dtype=np.uint32)
+    wide[w - 1 : n] = _slide(high, w, np.minimum)
+    return np.flatnonzero(_slide(wide, w, np.maximum) == high)

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -154,94 +155,122 @@ def divided(found: Anchors, level: int, length: int, gram: int) -> tuple[np.ndar
     return row, part, mix64(shared + mix64((np.uint64(level) << np.uint64(32)) + part.astype(np.uint64))), lo, hi
 
 
-def _spot(rk: int, at: np.ndarray, level: int, part: np.ndarray) -> np.ndarray:
+def _spot(rk: np.ndarray, at: np.ndarray, level: int, part: np.ndarray) -> np.ndarray:
     """A key of a part of a place."""
-    place = mix64(mix64(np.array([rk], dtype=np.int64).view(np.uint64)) + at.astype(np.uint64))
+    place = mix64(mix64(rk.view(np.uint64)) + at.astype(np.uint64))
     return mix64(place + (np.uint64(level + 1) << np.uint64(40)) + part.astype(np.uint64)).view(np.int64)
 
 
-class Search:
-    """The parts of anchors to look at on each level: the shared anchors, then parts of crowded places."""
-
-    def __init__(self, seeds: Seeds, shared: KeyFilter):
-        self.seeds, self.shared, self.crowded = seeds, shared, []
-
-    def places(self, data: np.ndarray, rk: int) -> Iterator[tuple[int, Anchors, tuple[np.ndarray, ...]]]:
-        """(level, anchors, parts of them) for every level so far."""
-        found = self.seeds.anchors(data)
-        if found is None:
-            return
-        found = found.take(self.shared.has(found.key))
-        parts = divided(found, 0, self.seeds.length, self.seeds.gram)
-        yield 0, found, parts
-        for level, crowded in enumerate(self.crowded, 1):
-            # the anchors with a crowded part on the level above
-            row, part = parts[:2]
-            of = np.flatnonzero(crowded.has(_spot(rk, found.at[row], level - 1, part)))
-            rows, at = np.unique(row[of], return_inverse=True)
-            open_ = np.zeros((len(rows), 1 << (level - 1)), dtype=bool)
-            open_[at, part[of]] = True
-            found = found.take(rows)
-            parts = divided(found, level, self.seeds.length, self.seeds.gram)
-            keep = open_[parts[0], parts[1] >> 1]
-            parts = tuple(x[keep] for x in parts)
-            yield level, found, parts
-
-
-def _context(found: Anchors, row: np.ndarray, part: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Hashes of the bytes from lo to hi and of where the anchor lies in them."""
-    at = found.at[row]
-    shape = (at - lo + (1 << 18)).astype(np.uint64) * np.uint64(1 << 20) + (hi - at + (1 << 18)).astype(np.uint64)
-    return mix64(found.prefix.windows(lo, hi) + mix64(shape + (part.astype(np.uint64) << np.uint64(44))))
+@dataclass
+class Parts:
+    """Parts of the anchors of one text, or of several contexts joined to one: bounds in the text, and for each part
+    the row key, the anchor's place and the bounds in the document."""
+
+    found: Anchors
+    row: np.ndarray
+    part: np.ndarray
+    key: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    rk: np.ndarray
+    at: np.ndarray
+    shift: np.ndarray
+    level: int
+
+    def take(self, keep: np.ndarray) -> Parts:
+        return Parts(self.found, *(x[keep] for x in (self.row, self.part, self.key, self.lo, self.hi, self.rk, self.at, self.shift)), self.level)
+
+    def spots(self, level: int | None = None) -> np.ndarray:
+        """The keys of the parts, or of those on a level above that they came from."""
+        level = self.level if level is None else level
+        return _spot(self.rk, self.at, level, self.part >> (self.level - level))
+
+    def contexts(self) -> np.ndarray:
+        """Hashes of the bytes of the parts and of where the anchor lies in them."""
+        at = self.found.at[self.row]
+        shape = (at - self.lo + (1 << 18)).astype(np.uint64) * np.uint64(1 << 20) + (self.hi - at + (1 << 18)).astype(np.uint64)
+        return mix64(self.found.prefix.windows(self.lo, self.hi) + mix64(shape + (self.part.astype(np.uint64) << np.uint64(44)))).view(np.int64)
+
+
+def _of_texts(seeds: Seeds, shared: KeyFilter) -> Callable:
+    """Batches of texts -> (data, parts) of their shared anchors, undivided."""
+
+    def each(batch: pa.RecordBatch) -> Iterator[tuple[bytes, Parts]]:
+        for _, rk, data in each_text([batch]):
+            found = seeds.anchors(data)
+            if found is None:
+                continue
+            found = found.take(shared.has(found.key))
+            if len(found.at):
+                row, part, key, lo, hi = divided(found, 0, seeds.length, seeds.gram)
+                yield data, Parts(found, row, part, key, lo, hi, np.full(len(row), rk), found.at[row], np.zeros(len(row), np.int64), 0)
+
+    return each
+
+
+def _of_stock(seeds: Seeds, level: int, crowded: list[KeyFilter]) -> Callable:
+    """Batches of crowded contexts -> (data, parts) that come from parts crowded on each level above."""
+
+    def each(batch: pa.RecordBatch) -> Iterator[tuple[bytes, Parts]]:
+        rk, at, low, key = (np.asarray(batch.column(c)).astype(np.int64) for c in ("rk", "at", "lo", "key"))
+        parts = batch.column("data").to_pylist()
+        sizes = np.array([len(p) for p in parts], dtype=np.int64)
+        starts = np.cumsum(sizes) - sizes
+        data = np.frombuffer(b"".join(parts), dtype=np.uint8)
+        found = Anchors(Prefix(BYTE_VALUES[data]), starts + at - low, key.view(np.uint64), starts, starts + sizes)
+        row, part, key, lo, hi = divided(found, level, seeds.length, seeds.gram)
+        out = Parts(found, row, part, key, lo, hi, rk[row], at[row], (low - starts)[row], level)
+        for above, wanted in enumerate(crowded[:level]):
+            out = out.take(wanted.has(out.spots(above)))
+        yield data, out
+
+    return each
 
 
 CONTEXTS = "key long, context long, rk long, spot long, lo int, hi int"
 
 
-def _contexts(search: Search, level: int) -> Callable:
-    """-> key, context, rk, spot, lo, hi: the parts of a level with their contexts."""
+def _contexts(source: Callable) -> Callable:
+    """-> key, context, rk, spot, lo, hi: the parts with their contexts."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Out(**dict.fromkeys(("key", "context", "rk", "spot"), pa.int64()), lo=pa.int32(), hi=pa.int32())
-        for _, rk, data in each_text(batches):
-            for at_level, found, (row, part, key, lo, hi) in search.places(data, rk):
-                if at_level == level and len(row):
-                    context, spot = _context(found, row, part, lo, hi).view(np.int64), _spot(rk, found.at[row], level, part)
-                    if out.add(len(row), key.view(np.int64), context, rk, spot, lo, hi):
-                        yield out.batch()
+        for batch in batches:
+            for _, p in source(batch) if batch.num_rows else ():
+                if out.add(len(p.row), p.key.view(np.int64), p.contexts(), p.rk, p.spots(), p.lo + p.shift, p.hi + p.shift):
+                    yield out.batch()
         if out.rows:
             yield out.batch()
 
     return each
 
 
-CONTEXT_BYTES = "key long, context long, rk long, lo int, data binary"
+CONTEXT_BYTES = "key long, context long, rk long, at int, lo int, data binary"
+
 
+def _context_bytes(source: Callable, chosen: KeyFilter) -> Callable:
+    """-> key, context, rk, at, lo, data: the contexts of the chosen parts."""
 
-def _context_bytes(search: Search, chosen: KeyFilter) -> Callable:
-    """-> key, context, rk, lo, data: the contexts at chosen spots."""
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        names = ["key", "context", "rk", "at", "lo", "data"]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "context", "rk", "lo", "data"])
-
-        for _, rk, data in each_text(batches):
-            raw = data.tobytes()
-            for level, found, (row, part, key, lo, hi) in search.places(data, rk):
-                keep = chosen.has(_spot(rk, found.at[row], level, part))
-                if not keep.any():
+        for batch in batches:
+            for data, p in source(batch) if batch.num_rows else ():
+                p = p.take(chosen.has(p.spots()))
+                if not len(p.row):
                     continue
-                row, part, key, lo, hi = (x[keep] for x in (row, part, key, lo, hi))
-                context = _context(found, row, part, lo, hi).view(np.int64)
-                rows += [(k, c, rk, a, raw[a:b]) for k, c, a, b in zip(key.view(np.int64).tolist(), context.tolist(), lo.tolist(), hi.tolist(), strict=True)]
-            if len(rows) >= 20_000:
-                yield flush()
-                rows = []
+                raw, (lo, hi) = data.tobytes(), (p.lo.tolist(), p.hi.tolist())
+                cols = [p.key.view(np.int64), p.contexts(), p.rk, p.at, p.lo + p.shift]
+                rows += zip(*(c.tolist() for c in cols), (raw[a:b] for a, b in zip(lo, hi, strict=True)), strict=True)
+                if len(rows) >= 20_000:
+                    yield batch_of(rows)
+                    rows = []
         if rows:
-            yield flush()
+            yield batch_of(rows)
 
     return each
 
@@ -321,27 +350,28 @@ def _searched(docs: DataFrame, scratch: Scratch, length: int, gram: int, keep: b
     themselves if they are kept; and the bytes of contexts that meet others of their anchor."""
     seeds, read = Seeds(False, length, gram), texts(docs)
     held = read.mapInArrow(keys_pass(seeds), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    search = Search(seeds, KeyFilter(scratch.put(held.where("n > 1").select("key"))))
-    marks, kept, chosen = [], [], []
+    shared = KeyFilter(scratch.put(held.where("n > 1").select("key")))
+    marks, kept, crowded, data = [], [], [], None
+    stock, source = read, _of_texts(seeds, shared)
     for level in range(levels(length, gram) + 1):
-        found = scratch.put(read.mapInArrow(_contexts(search, level), CONTEXTS))
+        found = scratch.put(stock.mapInArrow(_contexts(source), CONTEXTS))
         contexts = scratch.put(found.groupBy("key", "context").agg(F.count("*").alias("n"), F.min("spot").alias("spot")))
         marks.append(scratch.put(found.join(contexts.where("n > 1").select("key", "context"), ["key", "context"], "left_semi").select("rk", "lo", "hi")))
+        kept += [found] if keep else []
         # written, so that AQE can split the join on a crowded anchor
         several = scratch.put(contexts.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
-        opened = contexts.join(several, "key")
-        chosen.append(scratch.put(opened.where(F.col("m") <= GROUP).select(F.col("spot").alias("key"))))
-        crowded = KeyFilter(scratch.put(opened.where(F.col("m") > GROUP).select(F.col("spot").alias("key"))), room=8)
-        kept += [found] if keep else []
-        scratch.clear(contexts, *([] if keep else [found]))
-        if not crowded.n:
+        opened = scratch.put(contexts.join(several, "key").select("m", F.col("spot").alias("key")))
+        scratch.clear(contexts, several, *([] if keep else [found]))
+        few = stock.mapInArrow(_context_bytes(source, KeyFilter(opened.where(F.col("m") <= GROUP), room=6)), CONTEXT_BYTES)
+        data = few if data is None else data.unionByName(few)
+        crowd = KeyFilter(opened.where(F.col("m") > GROUP), room=8)
+        if not crowd.n:
             break
-        search.crowded.append(crowded)
-    few = chosen[0]
-    for more in chosen[1:]:
-        few = few.unionByName(more)
-    data = read.mapInArrow(_context_bytes(search, KeyFilter(few, room=6)), CONTEXT_BYTES).repartition("key").sortWithinPartitions("key", "context", "rk", "lo")
-    return marks, kept, data
+        if not level:  # one place for each crowded context; further levels read these alone
+            stock = scratch.put(stock.mapInArrow(_context_bytes(source, crowd), CONTEXT_BYTES))
+        crowded.append(crowd)
+        source = _of_stock(seeds, level + 1, list(crowded))
+    return marks, kept, data.repartition("key").sortWithinPartitions("key", "context", "rk", "lo")
 
 
 def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
