@@ -1,10 +1,16 @@
 """Quality rules whose thresholds adapt to each language and source.
 
-Native DataFrame code only. Every document gets a few integer rates. Each (lang, source) group gets a quantile
-sketch per rate: a histogram over log-linear buckets (exact below 32, 1/16 relative error above), which merges by
-adding counts, so it is an ordinary partial aggregate. The quartiles of a group give its fence,
-``q75 + max(SPREADS * (q75 - q25), margin)``; a document beyond a fence of its group is rejected. Groups of fewer
-than ``MIN_DOCS`` documents use the sketch merged over all groups.
+Native DataFrame code only. Every document gets a few integer rates. The documents that pass the base rules feed one
+quantile sketch per rate, language and source: a histogram over log-linear buckets (exact below 32, 1/16 relative
+error above), which merges by adding counts, so it is an ordinary partial aggregate. A group's sketch is blended with
+that of its language, which weighs as much as ``PRIOR`` documents, so that small groups lean on their language and
+large ones on themselves; no size switches from one to the other. The fence of a rate is
+
+    q85 + SPREADS * (q85 - q50) + 1000 * UNITS / median size
+
+with the quantiles of the group's rate and the median of what the rate is a share of (lines, words or letters): a rate
+that differs by fewer than ``UNITS`` lines, words or letters of a usual document of the group is not unusual. A document
+beyond a fence of its group is rejected. Up to 15 in 100 documents of a group may be junk before a fence gives way.
 
 Defined cases: null text has no words; null lang and null source are groups of their own; repeated rows are judged
 each; an empty table gives an empty result; extra columns pass through ``filter_quality`` untouched.
@@ -17,10 +23,10 @@ from pyspark.sql import functions as F
 
 from tickforge.llm.common import Scratch, table, words
 
-#: Least spread of each per-mille rate that counts as unusual.
-MARGINS = {"symbol_rate": 40, "upper_rate": 200, "dup_line_rate": 500, "repeat_rate": 450}
+#: What each rate is a share of, and how many of these make a difference.
+UNITS = {"symbol_rate": ("word_chars", 20), "upper_rate": ("word_chars", 40), "dup_line_rate": ("n_lines", 2), "repeat_rate": ("n_words", 60)}
 SPREADS = 3
-MIN_DOCS = 30
+PRIOR = 8
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -92,46 +98,47 @@ def value_of(b: Column) -> Column:
     return F.when(b < 32, b).otherwise(F.call_function("shiftleft", F.pmod(b, F.lit(16)) + 16, up)).cast("long")
 
 
-def sketch(measured: DataFrame, keys: list[str]) -> DataFrame:
-    """The mergeable histograms: keys, rate, bucket, n."""
-    each = F.array(*[F.struct(F.lit(k).alias("rate"), bucket_of(v).alias("bucket")) for k, v in rates("_m").items()])
+def sketch(measured: DataFrame) -> DataFrame:
+    """The mergeable histograms of documents that pass the base rules: lang, source, rate, bucket, n. Sizes are among the
+    rates."""
+    measures = rates("_m") | {k: F.col(f"_m.{k}") for k in ("n_words", "n_lines", "word_chars")}
+    each = F.array(*[F.struct(F.lit(k).alias("rate"), bucket_of(v).alias("bucket")) for k, v in measures.items()])
     return (
-        measured.select(*keys, F.explode(each).alias("s"))
-        .groupBy(*keys, F.col("s.rate").alias("rate"), F.col("s.bucket").alias("bucket"))
+        measured.where(~base_failed("_m")).select("lang", "source", F.explode(each).alias("s"))
+        .groupBy("lang", "source", F.col("s.rate").alias("rate"), F.col("s.bucket").alias("bucket"))
         .agg(F.count("*").alias("n"))
+    )
+
+
+def fences(sketches: DataFrame) -> DataFrame:
+    """One row per lang and source: the fence of each rate, from the group's histograms blended with its language's."""
+    by_lang = sketches.groupBy(F.col("lang").alias("_lang"), F.col("rate").alias("_rate"), F.col("bucket").alias("_bucket")).agg(F.sum("n").alias("of_lang"))
+    by_lang = by_lang.withColumn("all_lang", F.sum("of_lang").over(Window.partitionBy("_lang", "_rate")))
+    groups = sketches.select("lang", "source").distinct()
+    full = groups.join(by_lang, groups["lang"].eqNullSafe(by_lang["_lang"]))
+    own = sketches.select(*[F.col(c).alias(f"o_{c}") for c in sketches.columns])
+    same = full["lang"].eqNullSafe(own["o_lang"]) & full["source"].eqNullSafe(own["o_source"]) & (full["_rate"] == own["o_rate"]) & (full["_bucket"] == own["o_bucket"])
+    weight = F.coalesce("o_n", F.lit(0)).cast("double") * F.col("all_lang") + PRIOR * F.col("of_lang").cast("double")
+    blended = full.join(own, same, "left").select("lang", "source", F.col("_rate").alias("rate"), F.col("_bucket").alias("bucket"), weight.alias("w"))
+    group = Window.partitionBy("lang", "source", "rate")
+    at = blended.withColumns({"total": F.sum("w").over(group), "upto": F.sum("w").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))})
+    quantile = lambda q: F.min(F.when(100 * F.col("upto") >= q * F.col("total"), value_of(F.col("bucket"))))
+    q = at.groupBy("lang", "source", "rate").agg(quantile(50).alias("q50"), quantile(85).alias("q85"))
+    of = lambda rate, c: F.max(F.when(F.col("rate") == rate, F.col(c)))
+    fence = lambda k, size, units: (
+        (1 + SPREADS) * of(k, "q85") - SPREADS * of(k, "q50") + F.floor(1000 * units / F.greatest(of(size, "q50"), F.lit(1))).cast("long")
     )
-
-
-def fences(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per key with the fence of each rate and ``n_docs``, from merged histograms."""
-    merged = sketches.groupBy(*keys, "rate", "bucket").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy(*keys, "rate")
-    at = merged.withColumns(
-        {"total": F.sum("n").over(group), "upto": F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))}
-    )
-    quartile = lambda q: F.min(F.when(4 * F.col("upto") >= q * F.col("total"), value_of(F.col("bucket"))))
-    q = at.groupBy(*keys, "rate").agg(quartile(1).alias("q25"), quartile(3).alias("q75"), F.max("total").alias("total"))
-    one = lambda k, m: F.max(
-        F.when(F.col("rate") == k, F.col("q75") + F.greatest(SPREADS * (F.col("q75") - F.col("q25")), F.lit(m)))
-    ).alias(k)
-    return q.groupBy(*keys).agg(F.max("total").alias("n_docs"), *[one(k, m) for k, m in MARGINS.items()])
+    return q.groupBy("lang", "source").agg(*[fence(k, size, units).alias(k) for k, (size, units) in UNITS.items()])
 
 
 def judge(measured: DataFrame) -> DataFrame:
-    """Adds ``_kept`` to rows with ``_m``, lang and source: joined filtering by the fences of each group."""
-    sketches = sketch(measured, ["lang", "source"])
-    own = fences(sketches, ["lang", "source"]).select(
-        F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.struct("n_docs", *MARGINS).alias("_own")
-    )
-    # one row whatever the input: the fences over all groups
-    anywhere = fences(sketches.withColumn("_all", F.lit(1)), ["_all"]).first()
-    for k in MARGINS:
-        own = own.withColumn(f"_{k}", F.when(F.col("_own.n_docs") >= MIN_DOCS, F.col(f"_own.{k}")).otherwise(F.lit(anywhere[k] if anywhere else None).cast("long")))
-    own = own.select("_lang", "_source", F.struct(*[F.col(f"_{k}").alias(k) for k in MARGINS]).alias("_f"))
+    """Adds ``_kept`` to rows with ``_m``, lang and source: joined filtering by the fences of each group. Groups in which
+    no document passes the base rules have no fences and need none."""
+    own = fences(sketch(measured)).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.struct(*UNITS).alias("_f"))
     joined = measured.join(own, measured["lang"].eqNullSafe(own["_lang"]) & measured["source"].eqNullSafe(own["_source"]), "left")
     inside = F.lit(True)
     for k, v in rates("_m").items():
-        inside = inside & (v <= F.col(f"_f.{k}"))
+        inside = inside & F.coalesce(v <= F.col(f"_f.{k}"), F.lit(True))
     return joined.withColumn("_kept", ~base_failed("_m") & inside).drop("_lang", "_source", "_f")
 
 
@@ -179,23 +186,27 @@ m AS (
          CAST(length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS BIGINT) AS n_upper
   FROM d LEFT JOIN rep ON d.rid = rep.rid),
 r AS (
-  SELECT rid, lang, source, 'symbol_rate' AS rate, 1000 * n_symbols // greatest(word_chars, 1) AS v FROM m UNION ALL
-  SELECT rid, lang, source, 'upper_rate', 1000 * n_upper // greatest(word_chars, 1) FROM m UNION ALL
-  SELECT rid, lang, source, 'dup_line_rate', 1000 * n_dup_lines // greatest(n_lines, 1) FROM m UNION ALL
-  SELECT rid, lang, source, 'repeat_rate', 1000 * n_repeat_words // greatest(n_words, 1) FROM m),
+  SELECT rid, lang, source, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS failed, unnest([
+    {'rate': 'symbol_rate', 'v': 1000 * n_symbols // greatest(word_chars, 1)}, {'rate': 'upper_rate', 'v': 1000 * n_upper // greatest(word_chars, 1)},
+    {'rate': 'dup_line_rate', 'v': 1000 * n_dup_lines // greatest(n_lines, 1)}, {'rate': 'repeat_rate', 'v': 1000 * n_repeat_words // greatest(n_words, 1)},
+    {'rate': 'n_words', 'v': n_words}, {'rate': 'n_lines', 'v': n_lines}, {'rate': 'word_chars', 'v': word_chars}], recursive := true) FROM m),
 b AS (SELECT *, CASE WHEN v < 32 THEN v ELSE (v >> (length(bin(v)) - 5)) << (length(bin(v)) - 5) END AS low FROM r),
-own AS (SELECT lang, source, rate, count(*) AS n, quantile_disc(low, 0.25) AS q25, quantile_disc(low, 0.75) AS q75
-        FROM b GROUP BY lang, source, rate),
-every AS (SELECT rate, quantile_disc(low, 0.25) AS q25, quantile_disc(low, 0.75) AS q75 FROM b GROUP BY rate),
-f AS (
-  SELECT lang, source, rate, CASE WHEN n >= 30 THEN own.q25 ELSE every.q25 END AS q25,
-         CASE WHEN n >= 30 THEN own.q75 ELSE every.q75 END AS q75
-  FROM own JOIN every USING (rate)),
+own AS (SELECT lang, source, rate, low, count(*) AS n FROM b WHERE NOT failed GROUP BY lang, source, rate, low),
+l AS (SELECT *, sum(n) OVER (PARTITION BY lang, rate) AS every FROM (SELECT lang, rate, low, sum(n) AS n FROM own GROUP BY lang, rate, low)),
+grp AS (SELECT DISTINCT lang, source FROM own),
+w AS (SELECT grp.lang, grp.source, l.rate, l.low, CAST(coalesce(own.n, 0) AS DOUBLE) * l.every + 8 * CAST(l.n AS DOUBLE) AS w
+      FROM grp JOIN l ON grp.lang IS NOT DISTINCT FROM l.lang
+      LEFT JOIN own ON own.lang IS NOT DISTINCT FROM grp.lang AND own.source IS NOT DISTINCT FROM grp.source AND own.rate = l.rate AND own.low = l.low),
+c AS (SELECT *, sum(w) OVER (PARTITION BY lang, source, rate ORDER BY low) AS upto, sum(w) OVER (PARTITION BY lang, source, rate) AS total FROM w),
+q AS (SELECT lang, source, rate, min(low) FILTER (WHERE 100 * upto >= 50 * total) AS q50, min(low) FILTER (WHERE 100 * upto >= 85 * total) AS q85
+      FROM c GROUP BY lang, source, rate),
+f AS (SELECT q.lang, q.source, q.rate, 4 * q.q85 - 3 * q.q50 + 1000 * u.units // greatest(z.q50, 1) AS fence
+      FROM q JOIN (VALUES ('symbol_rate', 'word_chars', 20), ('upper_rate', 'word_chars', 40), ('dup_line_rate', 'n_lines', 2), ('repeat_rate', 'n_words', 60)) u(rate, size, units)
+        ON q.rate = u.rate JOIN q z ON z.rate = u.size AND z.lang IS NOT DISTINCT FROM q.lang AND z.source IS NOT DISTINCT FROM q.source),
 out_ AS (
   SELECT DISTINCT b.rid FROM b JOIN f ON b.rate = f.rate AND b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source
-  WHERE b.v > f.q75 + greatest(3 * (f.q75 - f.q25),
-        CASE b.rate WHEN 'symbol_rate' THEN 40 WHEN 'upper_rate' THEN 200 WHEN 'dup_line_rate' THEN 500 ELSE 450 END))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  WHERE b.v > f.fence)
+SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND out_.rid IS NULL AS kept
 FROM m LEFT JOIN out_ ON m.rid = out_.rid

@@ -12,7 +12,9 @@ table gives an empty result; extra columns pass through ``redact`` untouched.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -81,9 +83,12 @@ def spans(text: str, novelty: Novelty) -> list[tuple[int, int, int]]:
     contexts = [m.start() for m in CONTEXT.finditer(text)]
     if not contexts:
         return found
+    # spans by start, with the furthest end so far, so that one search tells whether a stretch meets any of them
+    starts, reach = [a for a, _, _ in found], list(itertools.accumulate((b for _, _, b in found), max))
 
     def novel(s: int, e: int) -> bool:
-        if any(a < e and s < b for a, _, b in found) or not MIXED.search(text, s, e):
+        before = bisect.bisect_left(starts, e)
+        if (before and reach[before - 1] > s) or not MIXED.search(text, s, e):
             return False
         return novelty(text[max(0, s - BEFORE) : s] + text[e : e + AFTER], text[s:e]) >= LEAST_NOVELTY
 

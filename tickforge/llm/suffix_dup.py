@@ -33,9 +33,11 @@ from tickforge.llm.repeats import Anchors, Out, Seeds, covered, each_text, keys_
 from tickforge.llm.rolling import BYTE_VALUES, Prefix, mix64
 
 LENGTH, GRAM = 200, 64
-GROUP = 2048
+GROUP = 1024
 #: Bytes of contexts in one suffix array.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
+#: Crowded contexts joined to one text.
+JOINED = 1024
 
 
 class SuffixArray:
@@ -195,7 +197,7 @@ class Parts:
 def _of_texts(seeds: Seeds, shared: KeyFilter) -> Callable:
     """Batches of texts -> (data, parts) of their shared anchors, undivided."""
 
-    def each(batch: pa.RecordBatch) -> Iterator[tuple[bytes, Parts]]:
+    def each(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, Parts]]:
         for _, rk, data in each_text([batch]):
             found = seeds.anchors(data)
             if found is None:
@@ -211,7 +213,7 @@ def _of_texts(seeds: Seeds, shared: KeyFilter) -> Callable:
 def _of_stock(seeds: Seeds, level: int, crowded: list[KeyFilter]) -> Callable:
     """Batches of crowded contexts -> (data, parts) that come from parts crowded on each level above."""
 
-    def each(batch: pa.RecordBatch) -> Iterator[tuple[bytes, Parts]]:
+    def some(batch: pa.RecordBatch) -> tuple[np.ndarray, Parts]:
         rk, at, low, key = (np.asarray(batch.column(c)).astype(np.int64) for c in ("rk", "at", "lo", "key"))
         parts = batch.column("data").to_pylist()
         sizes = np.array([len(p) for p in parts], dtype=np.int64)
@@ -222,7 +224,11 @@ def _of_stock(seeds: Seeds, level: int, crowded: list[KeyFilter]) -> Callable:
         out = Parts(found, row, part, key, lo, hi, rk[row], at[row], (low - starts)[row], level)
         for above, wanted in enumerate(crowded[:level]):
             out = out.take(wanted.has(out.spots(above)))
-        yield data, out
+        return data, out
+
+    def each(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, Parts]]:
+        for start in range(0, batch.num_rows, JOINED):
+            yield some(batch.slice(start, JOINED))
 
     return each
 
