@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tickforge.operators import contracts as C
+from tickforge.operators import evaluate as E
 from tickforge.operators import regression as R
 from tickforge.operators import scores as S
 from tickforge.operators import spells as P
@@ -98,12 +99,49 @@ def test_logit_fit_and_auc(spark):
 def test_resampling_plans(spark):
     daily = spark.createDataFrame([(f"d{i:02d}", 0.8 * (i + 1), float(i + 1)) for i in range(10)], "date string, challenger double, reference double")
     for block in (None, 3):
-        plan = S.cluster_plan(daily, 50, 7, block)
-        assert plan.count() == 500
-        r = S.improvement_interval(daily, plan).first()
+        at = S.drawn(np.arange(50), 10, 7, block)
+        assert at.shape == (50, 10) and at.min() >= 0 and at.max() < 10
+        if block:  # blocks are stretches of the circle
+            assert ((at[:, 1] - at[:, 0]) % 10 == 1).all() and ((at[:, 5] - at[:, 4]) % 10 == 1).all()
+        r = S.improvement_interval(daily, 50, 7, block).first()
         assert [r[c] for c in ("estimate", "lower", "median", "upper")] == pytest.approx([0.2] * 4)  # proportional losses
 
 
+def test_family_of_policies(spark):
+    rng = np.random.default_rng(4)
+    days = [f"d{i:02d}" for i in range(12)]
+    rows = [("good", d, 5, float(x)) for d, x in zip(days, rng.normal(10, 2, 12), strict=True)] + [("thin", "d03", 2, 1.0)]
+    rows += [("even", d, 1, 2.0) for d in days] + [("none", d, 0, 0.0) for d in days[:3]]
+    frame = spark.createDataFrame(rows, "name string, date string, fills long, pnl double")
+    calendar = spark.createDataFrame([(d,) for d in days], "date string")
+    got = {r["name"]: r for r in S.family_audit(frame, calendar, ["name"], 2000, 42).collect()}
+    assert {k: r["status"] for k, r in got.items()} == {"good": "estimable", "thin": "one_filled_date", "even": "zero_cluster_variance", "none": "zero_fills"}
+    pnl = np.array([r[3] for r in rows[:12]])
+    point = pnl.sum() / 60
+    u = pnl - 5 * point
+    se = u.std(ddof=1) / (np.sqrt(12) * 5)
+    t = np.abs(S.flipped(np.arange(2000), 12, 42) @ u) / (np.sqrt(12) * u.std(ddof=1))
+    want = [point, se, point - np.quantile(t, 0.95) * se, (1 + (t >= abs(point / se)).sum()) / 2001]
+    assert [got["good"][c] for c in ("mean_bps", "se_bps", "lower_bps", "p_adjusted")] == pytest.approx(want)
+    assert got["thin"]["mean_bps"] == 0.5 and got["thin"]["lower_bps"] is None and got["none"]["mean_bps"] is None
+
+
+def test_separable_cells_have_no_fit(spark):
+    rows = [(-0.5, 0, 10), (0.5, 10, 0)]
+    with pytest.raises(ValueError, match="converge"):
+        S.fit_logit(spark.createDataFrame(rows, "queue_center double, up_moves long, down_moves long"), ["queue_center"])
+
+
+def test_rolling_origins_are_months(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"2024-{m:02d}-{d:02d}", q / 10, f / 10, int(rng.integers(1, 9)), int(rng.integers(1, 9))) for m in range(1, 9) for d in (3, 17) for q in (-5, 5) for f in (-5, 5)]
+    cells = spark.createDataFrame(rows, "date string, queue_center double, ofi_center double, up_moves long, down_moves long")
+    folds = E.rolling_origins(cells)
+    assert [r["origin"] for r in folds.orderBy("origin").collect()] == ["2024-07-01", "2024-08-01"]
+    s = E.stability_summary(folds).first()
+    assert s["folds"] == 2 and 0 <= s["positive_folds"] <= 2 and s["least_improvement"] <= s["median_improvement"]
+
+
 POLICY = """
 # scope
 symbol=XYZ

@@ -124,3 +124,22 @@ def test_command_line(spark, folder, tmp_path):
     assert cli.main(["prepare-events", "--raw-dir", folder, "--output", out], spark) == {"events": 8}
     counts = cli.main(["prepare-visible", "--events", f"{out}/events", "--output", out, "--format", "csv"], spark)
     assert counts["visible_orders"] >= 1
+
+
+def test_two_symbols_need_a_name(spark, tmp_path):
+    for symbol in ("XYZ", "ABC"):
+        (tmp_path / f"{symbol}_{DAY}_34200000_57600000_message_2.csv").write_text(MESSAGES)
+        (tmp_path / f"{symbol}_{DAY}_34200000_57600000_orderbook_2.csv").write_text(BOOKS)
+    with pytest.raises(raw.ContractError, match="ABC, XYZ"):
+        raw.read_sessions(spark, str(tmp_path))
+    rows = raw.read_sessions(spark, str(tmp_path), "ABC").collect()
+    assert len(rows) == len(MESSAGES.strip().splitlines()) and {r["symbol"] for r in rows} == {"ABC"}
+
+
+def test_errors_name_file_and_line(spark, tmp_path):
+    lines = MESSAGES.strip().splitlines()
+    lines[2] = lines[2].replace(",", ",x", 1)
+    (tmp_path / f"XYZ_{DAY}_34200000_57600000_message_2.csv").write_text("\n".join(lines))
+    (tmp_path / f"XYZ_{DAY}_34200000_57600000_orderbook_2.csv").write_text(BOOKS)
+    with pytest.raises(Exception, match=r"message_2\.csv:3: bad number"):
+        raw.read_sessions(spark, str(tmp_path), "XYZ").collect()

@@ -122,14 +122,23 @@ def economics(r: Run, grid: DataFrame) -> dict[str, DataFrame]:
 
 
 def policy_audit(r: Run) -> dict[str, DataFrame]:
+    """The whole family: a fit and cutoffs on the sessions before the test, every policy on all sessions of it."""
     flow = r.flow().persist()
     grid = G.round_trip_bins(G.round_trips(G.with_exits(G.landmarks(P.labelled(flow), AGE, LATENCIES), flow), SIZES), BINS)
     C.require(C.round_trip_violations(grid))
-    beta = S.fit_logit(grid.where((F.col("date") < r.test_from()) & (F.col("latency_us") == 0) & (F.col("shares") == 1)), E.MODELS["both"])
-    whole = grid.select("spread_bucket").distinct().select("spread_bucket", F.lit(1.0).alias("fraction"), F.lit(0.0).alias("cutoff"))
-    days = E.policy_days(S.selected(S.with_logit(grid.where(F.col("date") >= r.test_from()), E.MODELS["both"], beta), whole, ["spread_bucket"]))
-    named = days.select(F.concat_ws("/", *[F.col(c).cast("string") for c in E.POLICY]).alias("policy"), "date", F.col("pnl").alias("x"))
-    return {"policy_audit": S.max_t(named, 10_000, 17), "missing_policies": E.missing_policies(E.policy_table(days))}
+    train = grid.where((F.col("date") < r.test_from()) & (F.col("latency_us") == 0) & (F.col("shares") == 1))
+    beta = S.fit_logit(train.where("spread_bucket = 'all_spreads'"), E.MODELS["both"])
+    cut = S.confidence_cutoffs(S.with_logit(train, E.MODELS["both"], beta), ["spread_bucket"], FRACTIONS)
+    days = E.policy_days(S.selected(S.with_logit(grid.where(F.col("date") >= r.test_from()), E.MODELS["both"], beta), cut, ["spread_bucket"]))
+    table = E.policy_table(days)
+    C.require(E.policy_violations(table))
+    calendar = flow.where(F.col("date") >= r.test_from()).select("date").distinct()
+    return {"policy_audit": S.family_audit(days, calendar, E.POLICY, 10_000, 42), "missing_policies": E.missing_policies(table)}
+
+
+def stability(r: Run) -> dict[str, DataFrame]:
+    folds = E.rolling_origins(r.cells().where("spread_bucket = 'all_spreads'")).persist()
+    return {"folds": folds, "summary": E.stability_summary(folds)}
 
 
 def liquidity(r: Run) -> dict[str, DataFrame]:
@@ -157,7 +166,7 @@ VERBS: dict[str, Callable[[Run], dict[str, DataFrame]]] = {
     "analyze-markouts": lambda r: economics(r, G.markout_bins(r.lab(), BINS, LATENCIES)),
     "analyze-landmarks": lambda r: economics(r, G.landmark_bins(G.landmarks(r.lab(), AGE, LATENCIES), BINS)),
     "analyze-round-trips": lambda r: economics(r, G.round_trip_bins(G.round_trips(G.with_exits(G.landmarks(P.labelled(f := r.flow()), AGE, LATENCIES), f), SIZES), BINS)),
-    "analyze-signal-stability": lambda r: {"folds": E.rolling_origins(r.cells().where("spread_bucket = 'all_spreads'"), 2)},
+    "analyze-signal-stability": stability,
     "audit-round-trip-policies": policy_audit,
 }
 

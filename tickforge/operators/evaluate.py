@@ -38,9 +38,9 @@ def compare_models(cells: DataFrame, test_from: str, replicates: int, seed: int,
     for name, features in MODELS.items():
         test = S.with_logit(test, features, S.fit_logit(train, features), f"p_{name}")
     per = test.groupBy("date").agg(*[S.squared_loss(f"p_{m}").alias(m) for m in MODELS]).cache()
-    plan, out = S.cluster_plan(per, replicates, seed), None
+    out = None
     for a, b in pairs or [("queue", "intercept"), ("ofi", "intercept"), ("both", "intercept"), ("both", "queue"), ("both", "ofi")]:
-        row = S.improvement_interval(per.select("date", F.col(a).alias("challenger"), F.col(b).alias("reference")), plan)
+        row = S.improvement_interval(per.select("date", F.col(a).alias("challenger"), F.col(b).alias("reference")), replicates, seed)
         row = row.select(F.lit(a).alias("challenger"), F.lit(b).alias("reference"), "*")
         out = row if out is None else out.unionByName(row)
     return out
@@ -66,20 +66,32 @@ def select_horizon(grid: DataFrame, selection_from: str, test_from: str) -> Data
     return grid.sparkSession.createDataFrame(table, "horizon_kind string, horizon_value long, selection_brier double, chosen boolean, test_brier double")
 
 
-def rolling_origins(cells: DataFrame, first: int) -> DataFrame:
-    """Week by week: fitted on all weeks before (after the first ones), scored on the week, against a model without
-    order flow."""
-    cells = cells.withColumn("origin", F.date_format(F.date_trunc("week", F.to_date("date")), "yyyy-MM-dd")).persist()
-    weeks = [r[0] for r in cells.select("origin").distinct().orderBy("origin").collect()]
+FOLDS = "origin string, n long, brier double, reference_brier double, improvement double"
+
+
+def rolling_origins(cells: DataFrame, first: int = 6, unit: str = "month") -> DataFrame:
+    """Month by month (or another unit of time): fitted on all sessions before, after the first ``first`` months, scored
+    on the month, against a model without order flow."""
+    cells = cells.withColumn("origin", F.date_format(F.date_trunc(unit, F.to_date("date")), "yyyy-MM-dd")).persist()
+    origins = [r[0] for r in cells.select("origin").distinct().orderBy("origin").collect()]
     out = None
-    for week in weeks[first:]:
-        train, test = cells.where(F.col("origin") < week), cells.where(F.col("origin") == week)
+    for origin in origins[first:]:
+        train, test = cells.where(F.col("origin") < origin), cells.where(F.col("origin") == origin)
         both = S.with_logit(test, MODELS["both"], S.fit_logit(train, MODELS["both"]))
         both = S.with_logit(both, MODELS["queue"], S.fit_logit(train, MODELS["queue"]), "r")
         n = F.sum(F.col("up_moves") + F.col("down_moves"))
         row = both.groupBy("origin").agg(n.alias("n"), (S.squared_loss("p") / n).alias("brier"), (S.squared_loss("r") / n).alias("reference_brier"), (1 - S.squared_loss("p") / S.squared_loss("r")).alias("improvement"))
         out = row if out is None else out.unionByName(row)
-    return out if out is not None else cells.sparkSession.createDataFrame([], "origin string, n long, brier double, reference_brier double, improvement double")
+    return out if out is not None else cells.sparkSession.createDataFrame([], FOLDS)
+
+
+def stability_summary(folds: DataFrame) -> DataFrame:
+    """Over the folds: their number, how many improve, the pooled improvement (by sums of loss) and the worst and median one."""
+    pooled = 1 - F.sum(F.col("brier") * F.col("n")) / F.sum(F.col("reference_brier") * F.col("n"))
+    return folds.agg(
+        F.count("*").alias("folds"), F.count_if(F.col("improvement") > 0).alias("positive_folds"), pooled.alias("pooled_improvement"),
+        F.min("improvement").alias("least_improvement"), F.percentile("improvement", 0.5).alias("median_improvement"),
+    )
 
 
 def markout_economics(chosen: DataFrame) -> DataFrame:

@@ -5,7 +5,10 @@ A cell is a weighted pair of outcomes, so no score expands it: sums of up and do
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,7 +82,7 @@ def selected(cells: DataFrame, cutoffs: DataFrame, keys: list[str]) -> DataFrame
 
 def fit_logit(cells: DataFrame, features: list[str], steps: int = 50) -> np.ndarray:
     """Unpenalised weighted logistic fit by Newton steps. Cells are first collapsed to distinct feature values (at most
-    bins squared rows), which is what the driver gets."""
+    bins squared rows), which is what the driver gets. Cells that a line separates have no fit and are an error."""
     grouped = cells.groupBy(*(features or [F.lit(0).alias("none")])).agg(F.sum("up_moves").alias("u"), F.sum("down_moves").alias("d")).toPandas()
     x = np.column_stack([np.ones(len(grouped)), *[grouped[f].to_numpy(float) for f in features]])
     u, d = grouped["u"].to_numpy(float), grouped["d"].to_numpy(float)
@@ -90,9 +93,9 @@ def fit_logit(cells: DataFrame, features: list[str], steps: int = 50) -> np.ndar
         hessian = x.T @ (x * ((u + d) * p * (1 - p))[:, None])
         step = np.linalg.lstsq(hessian, gradient, rcond=None)[0]
         beta = beta + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-12:
-            break
-    return beta
+        if np.abs(step).max() < 1e-9:
+            return beta
+    raise ValueError("the logistic fit doesn't converge; the outcomes may be separable")
 
 
 def with_logit(cells: DataFrame, features: list[str], beta: np.ndarray, name: str = "p") -> DataFrame:
@@ -107,44 +110,116 @@ def squared_loss(p: str) -> Column:
 
 
 # resampling by an integer plan, which any engine can repeat
-def cluster_plan(daily: DataFrame, replicates: int, seed: int, block: int | None = None) -> DataFrame:
-    """rep, pos, r: which session (ranked from 0 in date order) stands at each position of each replicate; sessions are
-    drawn one by one, or in circular blocks cut at n."""
-    spark = daily.sparkSession
-    n = daily.select("date").distinct().count()
-    grid = spark.range(replicates * n).select(F.floor(F.col("id") / n).alias("rep"), (F.col("id") % n).alias("pos"))
-    unit = F.col("pos") if block is None else F.floor(F.col("pos") / block)
-    start = F.pmod(F.col("rep") * 7919 + unit * 104_729 + seed * 31, F.lit(PRIME)) % n
-    return grid.select("rep", "pos", (start if block is None else (start + F.col("pos") % block) % n).alias("r"))
+def drawn(rep: np.ndarray, n: int, seed: int, block: int | None = None) -> np.ndarray:
+    """For each replicate the sessions (ranked from 0 in date order) at its n positions: drawn one by one, or in circular
+    blocks cut at n."""
+    pos = np.arange(n)
+    start = (rep[:, None] * 7919 + (pos if block is None else pos // block) * 104_729 + seed * 31) % PRIME % n
+    return start if block is None else (start + pos % block) % n
+
+
+def flipped(rep: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """For each replicate a sign per session."""
+    return 1 - 2 * ((rep[:, None] * 7919 + np.arange(n) * 104_729 + seed * 31) % PRIME % 2)
+
+
+def _replicated(spark, replicates: int, name: str, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """A row per replicate with f of it; replicates are shared out over tasks."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                rep = np.asarray(batch.column("id"))[i : i + 1024]
+                yield pa.RecordBatch.from_arrays([pa.array(f(rep), pa.float64())], [name])
 
+    return spark.range(replicates).mapInArrow(each, f"{name} double")
 
-def ranked_dates(daily: DataFrame) -> DataFrame:
-    """Adds r, the rank of the session from 0; daily has a row per session."""
-    return daily.withColumn("r", F.row_number().over(Window.orderBy("date")) - 1)
 
+INTERVAL = "estimate double, lower double, median double, upper double, share_not_positive double, replicates long"
 
-def improvement_interval(daily: DataFrame, plan: DataFrame) -> DataFrame:
+
+def improvement_interval(daily: DataFrame, replicates: int, seed: int, block: int | None = None) -> DataFrame:
     """Relative reduction of loss by the challenger: the estimate, its 95 % interval and the share of replicates at or
-    below 0. Input: date, challenger, reference (sums per session)."""
-    per = plan.join(ranked_dates(daily), "r").groupBy("rep").agg((1 - F.sum("challenger") / F.sum("reference")).alias("gain"))
-    real = daily.agg((1 - F.sum("challenger") / F.sum("reference")).alias("estimate")).first()["estimate"]
+    below 0. Input: date, challenger, reference, a row per session; these sums, three values a session, are read once
+    and go to the replicates. No sessions, no row."""
+    rows = daily.select("date", "challenger", "reference").orderBy("date").collect()
+    if not rows:
+        return daily.sparkSession.createDataFrame([], INTERVAL)
+    challenger, reference = (np.array([r[c] for r in rows], dtype=float) for c in ("challenger", "reference"))
+
+    def gains(rep: np.ndarray) -> np.ndarray:
+        at = drawn(rep, len(rows), seed, block)
+        return 1 - challenger[at].sum(axis=1) / reference[at].sum(axis=1)
+
     q = F.percentile("gain", [0.025, 0.5, 0.975])
+    per = _replicated(daily.sparkSession, replicates, "gain", gains)
     out = per.agg(q.alias("q"), F.avg((F.col("gain") <= 0).cast("double")).alias("share_not_positive"), F.count("*").alias("replicates"))
+    real = float(1 - challenger.sum() / reference.sum())
     return out.select(F.lit(real).alias("estimate"), F.col("q")[0].alias("lower"), F.col("q")[1].alias("median"), F.col("q")[2].alias("upper"), "share_not_positive", "replicates")
 
 
+def _largest(z: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """all: in order, the largest absolute sum over policies of each replicate's signed z. Input: policy, date, z, for
+    each policy all dates. The matrix of policies by sessions, whose axes a grid of policies fixes, goes to the tasks."""
+    frame = z.toPandas()
+    wide = frame.pivot(index="date", columns="policy", values="z").sort_index().to_numpy() if len(frame) else np.zeros((0, 0))
+    n = len(wide)
+    per = _replicated(z.sparkSession, replicates if n else 0, "largest", lambda rep: np.abs(flipped(rep, n, seed) @ wide).max(axis=1))
+    return per.agg(F.sort_array(F.collect_list("largest")).alias("all"))  # as many numbers as replicates
+
+
 def max_t(daily: DataFrame, replicates: int, seed: int) -> DataFrame:
     """policy, mean, t, p_adjusted by a studentised Rademacher multiplier bootstrap of the largest absolute t. Input:
-    policy, date, x, with a row per policy and session."""
-    day = Window.orderBy("date")
-    ranks = daily.select("date").distinct().withColumn("r", F.row_number().over(day) - 1)
+    policy, date, x, with a row per policy and session; it is read once."""
+    daily = daily.sparkSession.createDataFrame(daily.select("policy", "date", "x").toPandas(), "policy string, date string, x double")
     stats = daily.groupBy("policy").agg(F.avg("x").alias("mean"), (F.stddev_samp("x") / F.sqrt(F.count("*"))).alias("se"), F.count("*").alias("n"))
     stats = stats.where("se > 0")
-    centred = daily.join(stats, "policy").join(ranks, "date").withColumn("z", (F.col("x") - F.col("mean")) / (F.col("se") * F.col("n")))
-    reps = centred.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    sign = 1 - 2 * (F.pmod(F.col("rep") * 7919 + F.col("r") * 104_729 + seed * 31, F.lit(PRIME)) % 2)
-    largest = reps.groupBy("rep", "policy").agg(F.abs(F.sum(sign * F.col("z"))).alias("t")).groupBy("rep").agg(F.max("t").alias("largest"))
-    kept = largest.agg(F.sort_array(F.collect_list("largest")).alias("all"))  # as many numbers as replicates
+    z = daily.join(stats, "policy").select("policy", "date", ((F.col("x") - F.col("mean")) / (F.col("se") * F.col("n"))).alias("z"))
     t = stats.withColumn("t", F.col("mean") / F.col("se"))
     beyond = F.size(F.filter("all", lambda v: v >= F.abs("t")))
-    return t.crossJoin(F.broadcast(kept)).select("policy", "mean", "t", ((1 + beyond) / F.lit(1.0 + replicates)).alias("p_adjusted"))
+    return t.crossJoin(F.broadcast(_largest(z, replicates, seed))).select("policy", "mean", "t", ((1 + beyond) / F.lit(1.0 + replicates)).alias("p_adjusted"))
+
+
+def family_audit(days: DataFrame, calendar: DataFrame, keys: list[str], replicates: int, seed: int, coverage: float = 0.95) -> DataFrame:
+    """The whole family of policies with simultaneous intervals: profit per fill (a ratio of sums over sessions), its
+    error from the sessions' influence, two-sided studentised Rademacher multipliers and the p-value adjusted for the
+    largest t. Input: days (keys, date, fills, pnl) and the calendar's dates; a policy has no fills on dates it lacks.
+
+    Policies without fills, with fills on fewer than two dates, or whose influence doesn't vary have no interval, and
+    ``status`` says so.
+    """
+    days = days.select(*keys, "date", "fills", "pnl")
+    days = days.sparkSession.createDataFrame(days.toPandas(), days.schema)  # read once: policies by sessions, fixed by the axes of the grid
+    policy = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
+    full = days.select(*keys).distinct().crossJoin(calendar.select("date").distinct())
+    full = full.join(days, [*keys, "date"], "left").fillna({"fills": 0, "pnl": 0.0}).withColumn("policy", policy)
+    whole = Window.partitionBy(*keys)
+    point = F.sum("pnl").over(whole) / F.when(F.sum("fills").over(whole) > 0, F.sum("fills").over(whole))
+    full = full.withColumn("point", point).withColumn("influence", F.coalesce(F.col("pnl") - F.col("fills") * F.col("point"), F.lit(0.0)))
+    stats = full.groupBy(*keys, "policy").agg(
+        F.sum("fills").alias("fills"), F.count_if(F.col("fills") > 0).alias("filled_dates"), F.max("point").alias("mean_bps"),
+        F.stddev_samp("influence").alias("scale"), F.avg("fills").alias("mean_fills"), F.count("*").alias("n"),
+    )
+    able = (F.col("fills") > 0) & (F.col("filled_dates") >= 2) & (F.col("scale") > 0)
+    stats = stats.withColumn("se_bps", F.when(able, F.col("scale") / (F.sqrt("n") * F.col("mean_fills"))))
+    z = full.join(stats.where(able).select("policy", "scale", "n"), "policy").select("policy", "date", (F.col("influence") / (F.sqrt("n") * F.col("scale"))).alias("z"))
+    largest = _largest(z, replicates, seed).withColumn("critical", _percentile("all", coverage))
+    beyond = F.size(F.filter("all", lambda v: v >= F.abs(F.col("mean_bps") / F.col("se_bps"))))
+    status = (
+        F.when(F.col("fills") == 0, "zero_fills").when(F.col("filled_dates") < 2, "one_filled_date")
+        .when(~(F.col("scale") > 0), "zero_cluster_variance").otherwise("estimable")
+    )
+    out = stats.crossJoin(F.broadcast(largest))
+    half = F.col("critical") * F.col("se_bps")
+    return out.select(
+        *keys, "fills", "filled_dates", "mean_bps", "se_bps", (F.col("mean_bps") - half).alias("lower_bps"), (F.col("mean_bps") + half).alias("upper_bps"),
+        F.when(F.col("se_bps").isNotNull(), (1 + beyond) / F.lit(1.0 + replicates)).alias("p_adjusted"), status.alias("status"),
+    )
+
+
+def _percentile(values: str, q: float) -> Column:
+    """The interpolated quantile of an array in order; null where it is empty."""
+    at = (F.size(values) - 1) * F.lit(q)
+    lo = F.floor(at).cast("int")
+    a, b = F.get(values, lo), F.coalesce(F.get(values, lo + 1), F.get(values, lo))
+    return a + (b - a) * (at - lo)

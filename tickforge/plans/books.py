@@ -208,7 +208,8 @@ def horizon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.horizon_bins(f, S.labelled(f), BINS, UPDATES, CLOCKS)
 
 
-add("q_ofi_horizon_bins", "date:s spread_bucket:s horizon_kind:s horizon_value:l " + CELL + COUNTS, horizon_grid, centered(HORIZON_GRID), LAB_SQL + "," + _H)
+HORIZON_CTES = LAB_SQL + "," + _H
+add("q_ofi_horizon_bins", "date:s spread_bucket:s horizon_kind:s horizon_value:l " + CELL + COUNTS, horizon_grid, centered(HORIZON_GRID), HORIZON_CTES)
 
 # entries, mark-outs, landmarks, round trips
 _ENTRY = "en AS (" + " UNION ALL ".join(
@@ -297,7 +298,61 @@ TRIP_COLUMNS = "signals:l arrived:l stale:l up_moves:l down_moves:l " + " ".join
 trip_grid = lambda s, d: G.round_trip_bins(trips(s, d), BINS)
 add("q_round_trip_bins", "date:s spread_bucket:s latency_us:l shares:l " + CELL + TRIP_COLUMNS, trip_grid, centered(TRIP_GRID), TRIP_CTES)
 
-# contracts over the grids: violations by rule
-add("q_contract_markout", "rule:s violations:l", lambda s, d: C.markout_violations(markouts(s, d)), "SELECT unnest(['moves_match', 'arrivals_match', 'zero_latency_stale', 'cost_sign']) AS rule, 0 AS violations")
-add("q_contract_round_trip", "rule:s violations:l", lambda s, d: C.round_trip_violations(trip_grid(s, d)), "SELECT unnest(['arrivals_match', 'long_fills_match', 'long_one_share_censored', 'long_pnl_identity', 'short_fills_match', 'short_one_share_censored', 'short_pnl_identity']) AS rule, 0 AS violations")
-add("q_contract_horizon", "rule:s violations:l", lambda s, d: C.horizon_violations(horizon_grid(s, d)), "SELECT unnest(['moves_match', 'duplicate_cells', 'labels_differ']) AS rule, 0 AS violations")
+# contracts over the grids: violations by rule, over the grids as they are and over grids broken on purpose
+def _counted(rules: dict[str, str], source: str) -> str:
+    return f"SELECT unnest({list(rules)}) AS rule, unnest([{', '.join(f'count(*) FILTER (WHERE {c})' for c in rules.values())}]) AS violations FROM ({source})"
+
+
+MARKOUT_RULES = {
+    "moves_match": "signals <> up_moves + down_moves", "arrivals_match": "signals <> executable + stale",
+    "zero_latency_stale": "latency_us = 0 AND stale > 0", "cost_sign": "half_spread_sum_bps < 0",
+}
+TRIP_RULES = {"arrivals_match": "signals <> arrived + stale"} | {
+    f"{s}_{k}": c.format(s)
+    for s in ("long", "short")
+    for k, c in {
+        "fills_match": "arrived <> {0}_fills + {0}_censored", "one_share_censored": "shares = 1 AND {0}_censored > 0",
+        "pnl_identity": "abs({0}_pnl_sum_bps - ({0}_move_sum_bps - {0}_entry_cost_sum_bps - {0}_exit_cost_sum_bps)) > 1e-7 + 1e-9 * abs({0}_move_sum_bps - {0}_entry_cost_sum_bps - {0}_exit_cost_sum_bps)",
+    }.items()
+}
+
+
+def broken(grid: DataFrame, changes: dict[str, str]) -> DataFrame:
+    return grid.withColumns({c: F.expr(e) for c, e in changes.items()})
+
+
+def _broken_sql(grid: str, changes: dict[str, str]) -> str:
+    return f"SELECT * REPLACE ({', '.join(f'{e} AS {c}' for c, e in changes.items())}) FROM ({grid})"
+
+
+BAD_MARKOUTS = {
+    "up_moves": "up_moves + CASE WHEN queue_bin % 5 = 0 THEN 1 ELSE 0 END", "stale": "stale + CASE WHEN ofi_bin % 7 = 0 THEN 1 ELSE 0 END",
+    "half_spread_sum_bps": "CASE WHEN queue_bin = 3 THEN -1.0 ELSE half_spread_sum_bps END",
+}
+BAD_TRIPS = {
+    "stale": "stale + CASE WHEN ofi_bin % 7 = 0 THEN 1 ELSE 0 END", "long_censored": "long_censored + CASE WHEN queue_bin % 5 = 0 THEN 1 ELSE 0 END",
+    "short_pnl_sum_bps": "short_pnl_sum_bps + CASE WHEN queue_bin = 3 THEN 1.0 ELSE 0.0 END",
+}
+BAD_HORIZONS = {"up_moves": "up_moves + CASE WHEN queue_bin % 5 = 0 AND horizon_value > 5 THEN 1 ELSE 0 END"}
+
+
+def _horizon_rules(grid: str) -> str:
+    """Every third queue bin is there twice in the broken grid."""
+    keys = "date, spread_bucket, horizon_kind, horizon_value"
+    return f"""SELECT 'moves_match' AS rule, count(*) FILTER (WHERE observations <> up_moves + down_moves) AS violations FROM ({grid})
+      UNION ALL SELECT 'duplicate_cells', count(*) FROM (SELECT count(*) AS c FROM ({grid}) GROUP BY {keys}, queue_bin, ofi_bin) WHERE c > 1
+      UNION ALL SELECT 'labels_differ', count(*) FROM (SELECT date, spread_bucket FROM (SELECT {keys}, sum(up_moves) AS u, sum(down_moves) AS d FROM ({grid}) GROUP BY {keys}) GROUP BY date, spread_bucket HAVING min(u) <> max(u) OR min(d) <> max(d))"""
+
+
+def broken_horizons(s: SparkSession, d: str) -> DataFrame:
+    grid = broken(horizon_grid(s, d), BAD_HORIZONS)
+    return grid.unionByName(grid.where("queue_bin % 3 = 0"))
+
+
+add("q_contract_markout", "rule:s violations:l", lambda s, d: C.markout_violations(markouts(s, d)), _counted(MARKOUT_RULES, centered(MARKOUT_GRID)), MARKOUT_CTES)
+add("q_contract_markout_broken", "rule:s violations:l", lambda s, d: C.markout_violations(broken(markouts(s, d), BAD_MARKOUTS)), _counted(MARKOUT_RULES, _broken_sql(centered(MARKOUT_GRID), BAD_MARKOUTS)), MARKOUT_CTES)
+add("q_contract_round_trip", "rule:s violations:l", lambda s, d: C.round_trip_violations(trip_grid(s, d)), _counted(TRIP_RULES, centered(TRIP_GRID)), TRIP_CTES)
+add("q_contract_round_trip_broken", "rule:s violations:l", lambda s, d: C.round_trip_violations(broken(trip_grid(s, d), BAD_TRIPS)), _counted(TRIP_RULES, _broken_sql(centered(TRIP_GRID), BAD_TRIPS)), TRIP_CTES)
+_BAD_HORIZON_GRID = f"WITH b AS ({_broken_sql(HORIZON_GRID, BAD_HORIZONS)}) SELECT * FROM b UNION ALL SELECT * FROM b WHERE queue_bin % 3 = 0"
+add("q_contract_horizon", "rule:s violations:l", lambda s, d: C.horizon_violations(horizon_grid(s, d)), _horizon_rules(HORIZON_GRID), HORIZON_CTES)
+add("q_contract_horizon_broken", "rule:s violations:l", lambda s, d: C.horizon_violations(broken_horizons(s, d)), _horizon_rules(_BAD_HORIZON_GRID), HORIZON_CTES)

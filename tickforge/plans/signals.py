@@ -83,8 +83,7 @@ def interval_sql(index: str) -> str:
 
 
 def interval(s: SparkSession, d: str, block: int | None = None) -> DataFrame:
-    per = daily(s, d)
-    return S.improvement_interval(per, S.cluster_plan(per, REPLICATES, SEED, block))
+    return S.improvement_interval(daily(s, d), REPLICATES, SEED, block)
 
 
 add("q_cluster_bootstrap", INTERVAL, interval, interval_sql(f"(rep * 7919 + pos * 104729 + {SEED * 31}) % 1000003 % n"), DAILY)
@@ -137,15 +136,44 @@ add("q_rademacher_maxt", "policy:s mean:d t:d p_adjusted:d", max_t, f"""SELECT p
     mst AS (SELECT policy, avg(x) AS mean, stddev_samp(x) / sqrt(count(*)) AS se, count(*) AS n FROM mf GROUP BY policy HAVING stddev_samp(x) > 0),
     big AS (SELECT rep, max(t) AS largest FROM (SELECT rep, policy, abs(sum((1 - 2 * ((rep * 7919 + r * 104729 + {SEED * 31}) % 1000003 % 2)) * (x - mean) / (se * n))) AS t FROM mf JOIN mst USING (policy), (SELECT unnest(range({REPLICATES})) AS rep) GROUP BY rep, policy) GROUP BY rep)""")
 
+# the whole family of policies: every bucket, latency, size and fraction
+_FAMILY = TRIPS + f""", fd AS ({_DAYS}), fp AS (SELECT DISTINCT spread_bucket, latency_us, shares, fraction FROM fd),
+fc AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS r FROM (SELECT DISTINCT date FROM lob)),
+ff AS (SELECT fp.*, fc.date, r, coalesce(fills, 0) AS fills, coalesce(pnl, 0) AS pnl FROM fp CROSS JOIN fc LEFT JOIN fd USING (spread_bucket, latency_us, shares, fraction, date)),
+fi AS (SELECT *, coalesce(pnl - fills * point, 0) AS influence FROM (SELECT *, sum(pnl) OVER k / nullif(sum(fills) OVER k, 0) AS point FROM ff WINDOW k AS (PARTITION BY spread_bucket, latency_us, shares, fraction))),
+fs AS (SELECT spread_bucket, latency_us, shares, fraction, sum(fills) AS fills, count(*) FILTER (WHERE fills > 0) AS filled_dates, max(point) AS mean_bps, stddev_samp(influence) AS scale, avg(fills) AS mean_fills, count(*) AS n FROM fi GROUP BY ALL),
+fa AS (SELECT *, fills > 0 AND filled_dates >= 2 AND scale > 0 AS able, CASE WHEN fills > 0 AND filled_dates >= 2 AND scale > 0 THEN scale / (sqrt(n) * mean_fills) END AS se_bps FROM fs),
+fb AS (SELECT rep, max(t) AS largest FROM (SELECT rep, spread_bucket, latency_us, shares, fraction, abs(sum((1 - 2 * ((rep * 7919 + r * 104729 + {SEED * 31}) % 1000003 % 2)) * influence / (sqrt(n) * scale))) AS t
+  FROM fi JOIN (SELECT * FROM fa WHERE able) a USING (spread_bucket, latency_us, shares, fraction), (SELECT unnest(range({REPLICATES})) AS rep) GROUP BY ALL) GROUP BY rep)"""
+add(
+    "q_policy_family", "spread_bucket:s latency_us:l shares:l fraction:d fills:l filled_dates:l mean_bps:d se_bps:d lower_bps:d upper_bps:d p_adjusted:d status:s",
+    lambda s, d: S.family_audit(policies(s, d), K.lob_events(s, d), E.POLICY, REPLICATES, SEED),
+    """SELECT spread_bucket, latency_us, shares, fraction, fills, filled_dates, mean_bps, se_bps, mean_bps - c * se_bps AS lower_bps, mean_bps + c * se_bps AS upper_bps,
+      CASE WHEN able THEN (1 + (SELECT count(*) FROM fb WHERE largest >= abs(mean_bps / se_bps))) / CAST(10001 AS DOUBLE) END AS p_adjusted,
+      CASE WHEN fills = 0 THEN 'zero_fills' WHEN filled_dates < 2 THEN 'one_filled_date' WHEN NOT scale > 0 THEN 'zero_cluster_variance' ELSE 'estimable' END AS status
+      FROM fa, (SELECT quantile_cont(largest, 0.95) AS c FROM fb)""", _FAMILY,
+)
+
 # evaluations that fit: rows only, as the fits are Newton iterations
 add("q_logit_fit", "feature:s coefficient:d", lambda s, d: E.logit_table(cells(s, d).where("spread_bucket = 'all_spreads'"), ["queue_center", "ofi_center"]))
 add("q_queue_evaluation", "spread_bucket:s model:s n:l brier:d log_loss:d accuracy:d auc:d", lambda s, d: E.evaluate_models(cells(s, d), TEST_FROM, {"queue": ["queue_center"]}))
 add("q_order_flow_evaluation", "spread_bucket:s model:s n:l brier:d log_loss:d accuracy:d auc:d", lambda s, d: E.evaluate_models(cells(s, d), TEST_FROM, E.MODELS))
 add("q_order_flow_comparisons", "challenger:s reference:s " + INTERVAL, lambda s, d: E.compare_models(cells(s, d).where("spread_bucket = 'all_spreads'"), TEST_FROM, REPLICATES, SEED))
 add("q_horizon_selection", "horizon_kind:s horizon_value:l selection_brier:d chosen:b test_brier:d", lambda s, d: E.select_horizon(K.horizon_grid(s, d).where("spread_bucket = 'all_spreads'"), "2024-01-18", TEST_FROM))
-add("q_signal_stability", "origin:s n:l brier:d reference_brier:d improvement:d", lambda s, d: E.rolling_origins(cells(s, d).where("spread_bucket = 'all_spreads'"), first=2))
+add("q_signal_stability", "origin:s n:l brier:d reference_brier:d improvement:d", lambda s, d: E.rolling_origins(cells(s, d).where("spread_bucket = 'all_spreads'"), first=2, unit="week"))
 
 # calendars and completeness
 add("q_calendar_setops", "side:s date:s", lambda s, d: E.calendar_differences(K.lob_events(s, d).select("date").distinct(), K.lab(s, d).where("bucket = 'one_tick'").select("date").distinct()), "SELECT 'left_only' AS side, date FROM (SELECT DISTINCT date FROM lob EXCEPT SELECT DISTINCT date FROM lab WHERE bucket = 'one_tick') UNION ALL SELECT 'both', date FROM (SELECT DISTINCT date FROM lob INTERSECT SELECT DISTINCT date FROM lab WHERE bucket = 'one_tick')", K.LAB_SQL)
 add("q_policy_grid_completeness", POLICY.replace(" ", ":l ").replace("spread_bucket:l", "spread_bucket:s") + ":d", lambda s, d: E.missing_policies(E.policy_table(policies(s, d))), f"SELECT * FROM (SELECT * FROM (SELECT DISTINCT spread_bucket FROM ({_POLICIES})), (SELECT DISTINCT latency_us FROM ({_POLICIES})), (SELECT DISTINCT shares FROM ({_POLICIES})), (SELECT DISTINCT fraction FROM ({_POLICIES})) EXCEPT SELECT spread_bucket, latency_us, shares, fraction FROM ({_POLICIES}))", TRIPS)
-add("q_contract_policies", "rule:s violations:l", lambda s, d: E.policy_violations(E.policy_table(policies(s, d))), "SELECT unnest(['more_fills_than_signals', 'null_iff_no_fills', 'dates_without_fills']) AS rule, 0 AS violations")
+# the contract over the table as it is, and over one broken on purpose: fills of two sizes doubled, empty means filled
+_RULES = "SELECT unnest(['more_fills_than_signals', 'null_iff_no_fills', 'dates_without_fills']) AS rule, unnest([count(*) FILTER (WHERE fills > signals), count(*) FILTER (WHERE (fills = 0) <> (pnl_bps IS NULL)), count(*) FILTER (WHERE (filled_dates = 0) <> (fills = 0))]) AS violations FROM ({0})"
+
+
+def broken_policies(s: SparkSession, d: str) -> DataFrame:
+    t = E.policy_table(policies(s, d))
+    return t.withColumns({"fills": F.when(F.col("shares") > 1, 2 * F.col("fills") + 1).otherwise(F.col("fills")), "filled_dates": F.when(F.col("latency_us") == 0, 0).otherwise(F.col("filled_dates"))})
+
+
+_BROKEN = f"SELECT spread_bucket, latency_us, shares, fraction, signals, CASE WHEN shares > 1 THEN 2 * fills + 1 ELSE fills END AS fills, pnl_bps, CASE WHEN latency_us = 0 THEN 0 ELSE filled_dates END AS filled_dates FROM ({_POLICIES})"
+add("q_contract_policies", "rule:s violations:l", lambda s, d: E.policy_violations(E.policy_table(policies(s, d))), _RULES.format(_POLICIES), TRIPS)
+add("q_contract_policies_broken", "rule:s violations:l", lambda s, d: E.policy_violations(broken_policies(s, d)), _RULES.format(_BROKEN), TRIPS)

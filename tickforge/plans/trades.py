@@ -215,7 +215,7 @@ _CONTRAST = """SELECT date, sign, sum(w * (me - ms)) / sum(w) AS contrast, count
   SELECT date, sign, stratum, count(*) FILTER (WHERE tail = 'surprising') AS ns, count(*) FILTER (WHERE tail = 'expected') AS ne, avg(response) FILTER (WHERE tail = 'surprising') AS ms, avg(response) FILTER (WHERE tail = 'expected') AS me,
   CAST(ns * ne AS DOUBLE) / nullif(ns + ne, 0) AS w FROM tl {0} GROUP BY date, sign, stratum) WHERE ns > 0 AND ne > 0 GROUP BY date, sign"""
 add("q_stratified_contrast", "date:s sign:l contrast:d strata:l covered:l", lambda s, d: L.stratified_contrast(tails(s, d)), _CONTRAST.format(""), _AR + "," + _TAIL)
-add("q_conditional_contrast", "date:s sign:l contrast:d strata:l covered:l", lambda s, d: L.stratified_contrast(tails(s, d).where("size > 25")), _CONTRAST.format("WHERE size > 25"), _AR + "," + _TAIL)
+add("q_conditional_contrast", "date:s sign:l contrast:d strata:l covered:l", lambda s, d: L.stratified_contrast(tails(s, d).where("response > 5")), _CONTRAST.format("WHERE response > 5"), _AR + "," + _TAIL)
 add("q_confusion", "sign:l tp:l fp:l fn:l tn:l precision_:d recall_:d", lambda s, d: L.confusion(scored(s, d).where("is_test"), F.col("expectedness") > 0, F.col("size") > 25),
     """SELECT sign, tp, fp, fn, tn, CAST(tp AS DOUBLE) / nullif(tp + fp, 0) AS precision_, CAST(tp AS DOUBLE) / nullif(tp + fn, 0) AS recall_ FROM (SELECT sign, count(*) FILTER (WHERE p AND o) AS tp, count(*) FILTER (WHERE p AND NOT o) AS fp,
       count(*) FILTER (WHERE NOT p AND o) AS fn, count(*) FILTER (WHERE NOT p AND NOT o) AS tn FROM (SELECT sign, expectedness > 0 AS p, size > 25 AS o FROM ex WHERE is_test) GROUP BY sign)""", _AR)

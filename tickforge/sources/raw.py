@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,62 +35,82 @@ def discover(spark: SparkSession, folder: str, symbol: str | None = None, year:
 
 
 def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """date, event_row, fields: the lines of each file in order. A file's splits are ordered by where they start."""
+    """symbol, date, event_row, fields: the lines of each file in order. A file's splits are ordered by where they start."""
     lines = spark.read.text(paths).select(
         "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")
     )
     w = Window.partitionBy("path").orderBy("block", "id")
     return lines.select(
-        F.regexp_extract("path", NAME, 2).alias("date"), (F.row_number().over(w) - 1).cast("long").alias("event_row"), F.split("value", ",").alias("fields")
+        F.regexp_extract("path", NAME, 1).alias("symbol"), F.regexp_extract("path", NAME, 2).alias("date"), "path", (F.row_number().over(w) - 1).cast("long").alias("event_row"), F.split("value", ",").alias("fields")
     )
 
 
 def _checked(lines: DataFrame, widths: tuple[int, ...]) -> DataFrame:
-    place = F.concat(F.col("date"), F.lit(" line "), (F.col("event_row") + 1).cast("string"), F.lit(": unexpected number of fields"))
-    ok = F.when(F.size("fields").isin(list(widths)), F.col("fields")).otherwise(F.raise_error(place))
+    ok = F.when(F.size("fields").isin(list(widths)), F.col("fields")).otherwise(_refused("unexpected number of fields"))
     return lines.withColumn("fields", ok)
 
 
+def _refused(reason: str, text: Column | None = None) -> Column:
+    """An error that names the file and the line."""
+    parts = [F.col("path"), F.lit(":"), (F.col("event_row") + 1).cast("string"), F.lit(f": {reason}")]
+    return F.raise_error(F.concat(*parts, *([F.lit(" "), F.coalesce(text, F.lit(""))] if text is not None else [])))
+
+
 def nanoseconds(text: Column) -> Column:
     """Seconds with up to nine decimals as whole nanoseconds."""
     valid = text.rlike(r"^\d+(\.\d{1,9})?$")
-    return F.when(valid, (text.cast("decimal(18,9)") * F.lit(1_000_000_000)).cast("long")).otherwise(F.raise_error(F.concat(F.lit("bad time: "), text)))
+    return F.when(valid, (text.cast("decimal(18,9)") * F.lit(1_000_000_000)).cast("long")).otherwise(_refused("bad time", text))
+
+
+def integer(text: Column, kind: str = "int") -> Column:
+    """A whole number of a type; others, and those out of its range, are errors whatever the session's ANSI setting."""
+    value = F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast(kind))
+    return F.when(value.isNotNull(), value).otherwise(_refused("bad number", text))
 
 
 def messages(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Messages of six fields; a seventh is ignored. Numbers out of range and unknown types are errors."""
     f = lambda i: F.trim(F.col("fields")[i])
     rows = _checked(_lines(spark, paths), (6, 7))
-    kind = f(1).cast("int")
+    kind = integer(f(1))
     return rows.select(
+        "symbol",
         "date",
         "event_row",
         nanoseconds(f(0)).alias("ts_ns"),
-        F.when(kind.between(1, 7), kind).otherwise(F.raise_error(F.lit("unknown event type"))).alias("event_type"),
-        f(2).cast("long").alias("order_id"),
-        f(3).cast("int").alias("size"),
-        f(4).cast("int").alias("price"),
-        f(5).cast("int").alias("direction"),
+        F.when(kind.between(1, 7), kind).otherwise(_refused("unknown event type", f(1))).alias("event_type"),
+        integer(f(2), "long").alias("order_id"),
+        integer(f(3)).alias("size"),
+        integer(f(4)).alias("price"),
+        integer(f(5)).alias("direction"),
     )
 
 
 def books(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The two-level book after each message."""
     rows = _checked(_lines(spark, paths), (8,))
-    return rows.select("date", "event_row", *[F.trim(F.col("fields")[i]).cast("int").alias(c) for i, c in enumerate(BOOK)])
+    return rows.select("symbol", "date", "event_row", *[integer(F.trim(F.col("fields")[i])).alias(c) for i, c in enumerate(BOOK)])
 
 
 def read_sessions(spark: SparkSession, folder: str, symbol: str | None = None, year: int | None = None, excluded: list[str] = (), close_ns: dict[str, int] | None = None) -> DataFrame:
-    """Events of all sessions that aren't excluded, up to their scheduled close: the message and the book after it."""
+    """Events of all sessions that aren't excluded, up to their scheduled close: the message and the book after it.
+    What follows orders events within a date, so a folder with several symbols, or with a session at several level
+    counts or extents, needs the symbol named; two pairs of one symbol and date are an error."""
     pairs = [r for r in discover(spark, folder, symbol, year).collect() if r["date"] not in set(excluded)]  # a row per session
+    if len(symbols := sorted({r["symbol"] for r in pairs})) > 1:
+        raise ContractError(f"several symbols, of which one must be named: {', '.join(symbols)}")
+    twice = [d for d, n in Counter(r["date"] for r in pairs).items() if n > 1]
+    if twice:
+        raise ContractError(f"several pairs of files for a session: {', '.join(sorted(twice))}")
     m, b = messages(spark, [r["message"] for r in pairs]), books(spark, [r["orderbook"] for r in pairs])
-    counts = m.groupBy("date").agg(F.count("*").alias("m")).join(b.groupBy("date").agg(F.count("*").alias("b")), "date", "full")
+    session = ["symbol", "date"]
+    counts = m.groupBy(*session).agg(F.count("*").alias("m")).join(b.groupBy(*session).agg(F.count("*").alias("b")), session, "full")
     bad = [r["date"] for r in counts.where("NOT m <=> b").limit(5).collect()]
     if bad:
         raise ContractError(f"message and book rows differ in number: {', '.join(bad)}")
     closes = {r["date"]: min(r["end_ms"] * 1_000_000, (close_ns or {}).get(r["date"], r["end_ms"] * 1_000_000)) for r in pairs}
     close = F.create_map(*[F.lit(x) for pair in closes.items() for x in pair])[F.col("date")]
-    return m.join(b, ["date", "event_row"]).where(F.col("ts_ns") <= close).withColumn("ts_us", F.floor(F.col("ts_ns") / 1000))
+    return m.join(b, [*session, "event_row"]).where(F.col("ts_ns") <= close).withColumn("ts_us", F.floor(F.col("ts_ns") / 1000))
 
 
 def write_events(events: DataFrame, path: str) -> None:
