@@ -3,13 +3,14 @@
 A text is cut into chunks of ``CHUNK`` characters that run ``OVERLAP`` characters into the next one. Chunks are rows
 of their own, so the chunks of a long text are pre-tokenised in parallel, each from its own arbitrary start. Two
 neighbours are stitched at the first pre-token boundary that both see in their overlap: the pattern looks ahead but
-never back, so from a common boundary on they agree. Only boundaries after a letter or digit are used; there
-no look-ahead of the piece before reaches across, and the piece can be encoded alone. Where neighbours don't
-resynchronise (one pre-token longer than the overlap), the chunks are joined and encoded as one piece. Decoding looks
-up the bytes of the ids and concatenates them.
+never back, so from a common boundary on they agree. Only boundaries after a letter or digit are used; there no
+look-ahead of the piece before reaches across, and the piece can be encoded alone.
 
-A text of one chunk is finished where it is read, without a shuffle; the chunks of longer texts meet by row key,
-sorted, and are streamed.
+Each chunk is encoded where it is, as the pieces between its boundaries in the overlaps, and says how many ids come
+before each of these. Only ids and boundaries are shuffled; a stitched text is the ids of its chunks between their
+joints. Texts whose chunks don't resynchronise somewhere (a pre-token longer than the overlap) are found by their keys
+and encoded whole. A text of up to ``CHUNK`` characters is one chunk without joints, and is finished where it is read.
+Decoding looks up the bytes of the ids and concatenates them.
 
 Defined cases: null and empty texts have no ids; repeated rows give repeated results; an empty table gives an empty
 result; extra columns are dropped; special tokens are ordinary text.
@@ -30,14 +31,14 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickforge.llm.common import row_key, table
+from tickforge.llm.common import Scratch, row_key, table
 
 CHUNK = 16_384
 OVERLAP = 512
 RANKS = "byte_bpe_50k.tiktoken"
 DIGESTS = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 IDS = pa.schema([("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
-PARTS = "doc_id long, key long, k int, n_chunks int, text string, head array<int>, tail array<int>"
+PARTS = "doc_id long, key long, k int, ids array<int>, head array<int>, head_at array<int>, tail array<int>, tail_at array<int>"
 
 
 @functools.cache
@@ -71,22 +72,36 @@ class Codec:
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
 
-    def edges(self, text: str, k: int, n_chunks: int) -> tuple[list[int], list[int]]:
-        """Boundaries of a chunk within the overlap with the chunk before, and with the chunk after (from its start)."""
+    def part(self, text: str, k: int, n_chunks: int) -> tuple[list[int], list[int], list[int], list[int], list[int]]:
+        """(ids, head, head_at, tail, tail_at) of a chunk: its boundaries within the overlap with the chunk before, and
+        with the chunk after (from its start), each with the number of ids before it."""
         at = boundaries(text, self.pattern, k == n_chunks - 1)
-        return [x for x in at if x <= OVERLAP], [x - CHUNK for x in at if x >= CHUNK] if k < n_chunks - 1 else []
-
-    def stitch(self, chunks: list[tuple[str, list[int], list[int]]]) -> list[str]:
-        """The pieces of a text from its chunks (text, head, tail): they cover it and are encoded one by one. A chunk's
-        boundaries are true from where it met the chunk before; once two don't meet, the rest is one piece."""
-        whole = "".join([*(text[:CHUNK] for text, _, _ in chunks[:-1]), chunks[-1][0]])
-        cuts = [0]
-        for k in range(1, len(chunks)):
-            common = set(chunks[k - 1][2]) & set(chunks[k][1])
+        head, tail = [x for x in at if x <= OVERLAP] if k else [], [x for x in at if x >= CHUNK] if k < n_chunks - 1 else []
+        cuts = sorted({0, len(text), *head, *tail})
+        ids: list[int] = []
+        before = {0: 0}
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            ids += self.encode(text[a:b])
+            before[b] = len(ids)
+        return ids, head, [before[x] for x in head], [x - CHUNK for x in tail], [before[x] for x in tail]
+
+    def stitch(self, parts: list[tuple]) -> list[int] | None:
+        """The ids of a text from its chunks (as ``part`` gives them) in order; null if two of them don't meet."""
+        start, out = 0, []
+        for k, (ids, _, _, tail, tail_at) in enumerate(parts):
+            if k == len(parts) - 1:
+                return out + ids[start:]
+            head, head_at = parts[k + 1][1:3]
+            common = set(tail) & set(head)
             if not common:
-                break
-            cuts.append(k * CHUNK + min(common))
-        return [whole[a:b] for a, b in zip(cuts, [*cuts[1:], len(whole)], strict=True)]
+                return None
+            joint = min(common)
+            end = tail_at[tail.index(joint)]
+            if end < start:
+                return None
+            out += ids[start:end]
+            start = head_at[head.index(joint)]
+        return out
 
     def finish(self, ids: list[list[int]], wanted: pa.Schema) -> list[pa.Array]:
         """The wanted columns for the ids of some texts."""
@@ -113,39 +128,45 @@ def _whole(ranks_path: str, pattern: str, wanted: pa.Schema) -> Callable:
     return each
 
 
-def _pretokenised(ranks_path: str, pattern: str) -> Callable:
-    """Chunks of long texts: their boundaries in the overlaps."""
+def _encoded_parts(ranks_path: str, pattern: str) -> Callable:
+    """Chunks of long texts, encoded where they are."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(ranks_path, pattern)
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("text", "k", "n_chunks")]
-            found = [codec.edges(*x) for x in zip(*cols, strict=True)]
-            edges = [pa.array([x[side] for x in found], pa.list_(pa.int32())) for side in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *edges], [*batch.schema.names, "head", "tail"])
+        for whole in batches:
+            for i in range(0, whole.num_rows, 256):
+                batch = whole.slice(i, 256)
+                cols = [batch.column(c).to_pylist() for c in ("text", "k", "n_chunks")]
+                found = [pa.array(c, pa.list_(pa.int32())) for c in zip(*(codec.part(*x) for x in zip(*cols, strict=True)), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "key", "k")), *found], ["doc_id", "key", "k", "ids", "head", "head_at", "tail", "tail_at"])
 
     return each
 
 
 def _stitched(ranks_path: str, pattern: str, wanted: pa.Schema) -> Callable:
-    """Chunks sorted by key and number: one row per text, as often as the text is repeated."""
+    """Parts sorted by key and number: one row per text, as often as the text is repeated; without n_tokens where its
+    chunks don't meet."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(ranks_path, pattern)
-        held: list[tuple] = []
+        held: dict[int, tuple] = {}
+        key, doc_id, copies = None, None, 0
 
         def done() -> pa.RecordBatch:
-            copies = sum(r[1] == 0 for r in held)
-            one = list({r[1]: r[2:5] for r in held}.values())
-            ids = [i for piece in codec.stitch(one) for i in codec.encode(piece)]
-            return pa.RecordBatch.from_arrays([pa.array([held[0][5]] * copies, pa.int64()), *codec.finish([ids] * copies, wanted)], ["doc_id", *wanted.names])
+            ids = codec.stitch([held[k] for k in sorted(held)])
+            cols = codec.finish([ids or []] * copies, wanted)
+            if ids is None:
+                cols = [pa.nulls(copies, pa.int64()), *cols[1:]]
+            return pa.RecordBatch.from_arrays([pa.array([doc_id] * copies, pa.int64()), pa.array([key] * copies, pa.int64()), *cols], ["doc_id", "key", *wanted.names])
 
         for batch in batches:
-            for row in zip(*[batch.column(n).to_pylist() for n in ("key", "k", "text", "head", "tail", "doc_id")], strict=True):
-                if held and row[0] != held[0][0]:
-                    yield done()
-                    held = []
-                held.append(row)
+            for row in zip(*[batch.column(n).to_pylist() for n in ("key", "k", "doc_id", "ids", "head", "head_at", "tail", "tail_at")], strict=True):
+                if row[0] != key:
+                    if held:
+                        yield done()
+                    held, key, doc_id, copies = {}, row[0], row[2], 0
+                copies += row[1] == 0
+                held[row[1]] = row[3:]
         if held:
             yield done()
 
@@ -165,10 +186,15 @@ def _encoded(docs: DataFrame, wanted: pa.Schema, ranks: str) -> DataFrame:
     kinds = {pa.int64(): "long", pa.string(): "string", pa.list_(pa.int32()): "array<int>"}
     schema = ", ".join(["doc_id long", *(f"{f.name} {kinds[f.type]}" for f in wanted)])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    short = texts.where(F.length("text") <= CHUNK).mapInArrow(_whole(path, pattern, wanted), schema)
-    parts = chunked(texts.where(F.length("text") > CHUNK)).mapInArrow(_pretokenised(path, pattern), PARTS)
-    long = parts.repartition("key").sortWithinPartitions("key", "k").mapInArrow(_stitched(path, pattern, wanted), schema)
-    return short.unionByName(long)
+    long = F.length("text") > CHUNK
+    out = texts.where(~long).mapInArrow(_whole(path, pattern, wanted), schema)
+    parts = chunked(texts.where(long)).mapInArrow(_encoded_parts(path, pattern), PARTS).repartition("key").sortWithinPartitions("key", "k")
+    stitched = Scratch(docs.sparkSession, "bpe").put(parts.mapInArrow(_stitched(path, pattern, wanted), schema.replace("doc_id long", "doc_id long, key long", 1)))
+    out = out.unionByName(stitched.where("n_tokens IS NOT NULL").drop("key"))
+    apart = stitched.where("n_tokens IS NULL").select("key").distinct()
+    if apart.isEmpty():
+        return out
+    return out.unionByName(texts.where(long).withColumn("key", row_key()).join(apart, "key", "left_semi").drop("key").mapInArrow(_whole(path, pattern, wanted), schema))
 
 
 def encode(docs: DataFrame, ranks: str = RANKS) -> DataFrame:

@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickforge.llm.common import KeyFilter, Scratch, row_key, table
 from tickforge.llm.components import components
@@ -574,7 +575,7 @@ def keep_first(docs: DataFrame, words: int = 2) -> DataFrame:
     keyed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], row_key().alias("_rk"))
     # most rows are known to stay by a filter; only those that may go are joined
     doubtful = KeyFilter(scratch.put(gone.unionByName(repeated)), "rk")
-    flagged = keyed.mapInArrow(_flagged(doubtful), keyed.schema.add("_doubt", "boolean"))
+    flagged = keyed.mapInArrow(_flagged(doubtful), T.StructType([*keyed.schema.fields, T.StructField("_doubt", T.BooleanType())]))
     stay, doubt = flagged.where("NOT _doubt"), flagged.where("_doubt").join(gone, F.col("_rk") == gone["rk"], "left_anti")
     once = doubt.join(repeated, F.col("_rk") == repeated["rk"], "left_semi").dropDuplicates(["_rk"])
     rest = doubt.join(repeated, F.col("_rk") == repeated["rk"], "left_anti")
