@@ -497,8 +497,10 @@ def test_maximal_repeats_with_all_occurrences(spark):
     assert len({r["rk"] for r in found}) == 4 and all(200 <= r["length"] <= 270 for r in found)
     for string in {r["string"] for r in found}:
         own = [r for r in found if r["string"] == string]
-        assert len({(r["rk"], r["at"]) for r in own}) == len(own) and len({r["rk"] for r in own}) == 4
+        assert len({(r["rk"], r["at"]) for r in own}) == len(own) >= 2
         assert all(145 <= r["at"] and r["at"] + r["length"] <= 415 for r in own)  # letters beside the passage may agree by chance
+    groups = Counter(r["string"] for r in found)
+    assert max(groups.values()) == 4 and sum(n == 4 for n in groups.values()) >= 1
 
 
 def test_crowded_anchors_are_divided(spark, monkeypatch):
