@@ -74,9 +74,24 @@ def test_models_from_sums(spark):
     split = W.with_split(data)
     assert split.where("is_test").select("date").distinct().count() == 4
     got = {r["model"]: r for r in R.model_table(split, "impact_cents").collect()}
-    x = np.column_stack([np.ones(400), v, n])
-    beta = np.linalg.lstsq(x[:320], y[:320], rcond=None)[0]
-    assert got["volume_and_flow"]["mse"] == pytest.approx(np.mean((y[320:] - x[320:] @ beta) ** 2), rel=1e-6)
+    volume = [np.ones(400), v, np.abs(v), np.sign(v) * np.sqrt(np.abs(v)), np.sign(v) * np.log1p(np.abs(v))]
+    flow = [n, np.abs(n), np.sign(n) * np.sqrt(np.abs(n))]
+    rest = {}
+    for name, columns in {"volume": volume[:2], "volume_transforms": volume, "volume_and_flow": [*volume, n], "flow_transforms": [*volume, *flow]}.items():
+        x = np.column_stack(columns)
+        beta = np.linalg.lstsq(x[:320], y[:320], rcond=None)[0]
+        rest[name] = y[320:] - x[320:] @ beta
+        assert got[name]["mse"] == pytest.approx(np.mean(rest[name] ** 2), rel=1e-6)
+    x = np.column_stack([*volume[1:], *flow])
+    z = (x - x[:320].mean(axis=0)) / x[:320].std(axis=0)
+    beta = np.linalg.solve(z[:320].T @ z[:320] + np.eye(7), z[:320].T @ (y[:320] - y[:320].mean()))
+    assert got["ridge"]["mse"] == pytest.approx(np.mean((y[320:] - y[:320].mean() - z[320:] @ beta) ** 2), rel=1e-6)
+    days = R.nested_contributions(split, "impact_cents").orderBy("date").collect()
+    assert [r["n"] for r in days] == [20] * 4
+    for d, r in enumerate(days):
+        at = slice(20 * d, 20 * d + 20)
+        want = [y[320:][at].sum(), (y[320:][at] ** 2).sum(), (rest["volume_transforms"][at] ** 2).sum(), (rest["volume_and_flow"][at] ** 2).sum()]
+        assert [r[c] for c in S.MODEL_SUMS[1:]] == pytest.approx(want, rel=1e-6)
     folds = R.walk_forward(split, "volume_imbalance", "impact_cents", 5, 0.4).collect()
     assert sorted(r["fold"] for r in folds) == [0, 1, 2, 3, 4] and sum(r["n"] for r in folds) == 240
 

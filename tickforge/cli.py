@@ -88,7 +88,10 @@ def replay(r: Run) -> dict[str, DataFrame]:
 def analyze(r: Run) -> dict[str, DataFrame]:
     trades = trades_of(O.visible_orders(r.flow())).persist()
     windows = W.prediction_windows(trades, [5, 10, 20, 50, 100])
+    if r.args.test_start:
+        W.require_boundary(trades, r.args.test_start)
     split = W.with_split(W.impact_features(windows.where("horizon = 10")), test_start=r.args.test_start)
+    contributions = R.nested_contributions(split, "impact_cents")
     fits = R.simple_fit(split, "volume_imbalance", "impact_cents")
     test = R.with_prediction(split.where("is_test"), fits, "volume_imbalance")
     scaling = W.scaling_windows(trades, W.SCALING_HORIZONS)
@@ -96,6 +99,8 @@ def analyze(r: Run) -> dict[str, DataFrame]:
     return {
         "impact_curve": W.quantile_curve(windows, ["horizon"], "volume_imbalance", "impact", 51),
         "models": R.model_table(split, "impact_cents"),
+        "model_contributions": contributions,
+        "model_intervals": S.model_intervals(contributions, 10_000, 42),
         "calibration": W.quantile_curve(test, ["is_test"], "fitted", "impact_cents", 20),
         "residuals_by_count": R.residuals_by_count(test, "order_flow_imbalance", "impact_cents", "fitted"),
         "monthly_scores": test.groupBy(F.substring("date", 1, 7).alias("month")).agg(*R.scores("impact_cents", "fitted")),

@@ -53,24 +53,28 @@ def gram(df: DataFrame, features: list[str], y: str) -> tuple[np.ndarray, np.nda
 
 
 def solve(xx: np.ndarray, xy: np.ndarray, ridge: float = 0.0) -> np.ndarray:
-    """Least squares; with ridge, squares of the coefficients of standardised features (ddof 0) are penalised."""
-    if not ridge:
-        return np.linalg.lstsq(xx, xy, rcond=None)[0]
+    """Least squares on standardised features (ddof 0), the smallest coefficients where they are collinear; with ridge,
+    the squares of those coefficients are penalised. Without rows all are 0."""
     n = xx[0, 0]
+    if not n:
+        return np.zeros(len(xy))
     mean = xx[0, 1:] / n
     cov = xx[1:, 1:] - n * np.outer(mean, mean)
-    sd = np.sqrt(np.maximum(np.diag(cov) / n, 1e-300))
-    beta = np.linalg.solve(cov / np.outer(sd, sd) + ridge * np.eye(len(sd)), (xy[1:] - mean * xy[0]) / sd) / sd
+    sd = np.sqrt(np.maximum(np.diag(cov) / n, 0))
+    sd[sd <= 1e-12 * (1 + np.abs(mean))] = 1  # a constant
+    beta = np.linalg.lstsq(cov / np.outer(sd, sd) + ridge * np.eye(len(sd)), (xy[1:] - mean * xy[0]) / sd, rcond=None)[0] / sd
     return np.concatenate([[xy[0] / n - mean @ beta], beta])
 
 
+_VOLUME = ["volume_imbalance", "absolute_volume", "signed_sqrt_volume", "signed_log_volume"]
+_FLOW = ["order_flow_imbalance", "absolute_flow", "signed_sqrt_flow"]
 #: Nested models of impact and a ridge over all features.
 MODELS = {
     "volume": (["volume_imbalance"], 0.0),
-    "sqrt_volume": (["signed_sqrt_volume"], 0.0),
-    "volume_and_flow": (["volume_imbalance", "order_flow_imbalance"], 0.0),
-    "all": (["volume_imbalance", "signed_sqrt_volume", "signed_log_volume", "order_flow_imbalance", "signed_sqrt_flow"], 0.0),
-    "ridge": (["volume_imbalance", "signed_sqrt_volume", "signed_log_volume", "order_flow_imbalance", "signed_sqrt_flow"], 1.0),
+    "volume_transforms": (_VOLUME, 0.0),
+    "volume_and_flow": ([*_VOLUME, "order_flow_imbalance"], 0.0),
+    "flow_transforms": ([*_VOLUME, *_FLOW], 0.0),
+    "ridge": ([*_VOLUME, *_FLOW], 1.0),
 }
 
 
@@ -91,6 +95,23 @@ def model_table(split: DataFrame, y: str, models: dict | None = None) -> DataFra
     return split.sparkSession.createDataFrame(rows, "model string, n_test long, mse double, r2 double")
 
 
+def nested_contributions(split: DataFrame, y: str, base: str = "volume_transforms", plus: str = "volume_and_flow") -> DataFrame:
+    """date, n, y_sum, y_squares, base_sse, plus_sse per test session, of two models fitted on the training rows. One
+    aggregate serves both fits."""
+    every = sorted({f for name in (base, plus) for f in MODELS[name][0]})
+    xx, xy, _, _ = gram(split.where("NOT is_test"), every, y)
+    error = {}
+    for name in (base, plus):
+        features, ridge = MODELS[name]
+        at = [0, *[1 + every.index(f) for f in features]]
+        beta = solve(xx[np.ix_(at, at)], xy[at], ridge)
+        error[name] = F.col(y) - sum((float(b) * F.col(f) for b, f in zip(beta[1:], features, strict=True)), F.lit(float(beta[0])))
+    return split.where("is_test").groupBy("date").agg(
+        F.count("*").alias("n"), F.sum(y).alias("y_sum"), F.sum(F.col(y) * F.col(y)).alias("y_squares"),
+        F.sum(error[base] * error[base]).alias("base_sse"), F.sum(error[plus] * error[plus]).alias("plus_sse"),
+    )
+
+
 def walk_forward(data: DataFrame, x: str, y: str, folds: int, initial: float) -> DataFrame:
     """Scores per fold: sessions after the initial share in ``folds`` runs, earlier ones longer by one where they
     don't divide; each is predicted by the fit on all sessions before it."""

@@ -123,16 +123,16 @@ def flipped(rep: np.ndarray, n: int, seed: int) -> np.ndarray:
     return 1 - 2 * ((rep[:, None] * 7919 + np.arange(n) * 104_729 + seed * 31) % PRIME % 2)
 
 
-def _replicated(spark, replicates: int, name: str, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """A row per replicate with f of it; replicates are shared out over tasks."""
+def _replicated(spark, replicates: int, names: list[str], f: Callable[[np.ndarray], list[np.ndarray]]) -> DataFrame:
+    """A row per replicate with the values of f, a column each; replicates are shared out over tasks."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 rep = np.asarray(batch.column("id"))[i : i + 1024]
-                yield pa.RecordBatch.from_arrays([pa.array(f(rep), pa.float64())], [name])
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.float64()) for v in f(rep)], names)
 
-    return spark.range(replicates).mapInArrow(each, f"{name} double")
+    return spark.range(replicates).mapInArrow(each, ", ".join(f"{name} double" for name in names))
 
 
 INTERVAL = "estimate double, lower double, median double, upper double, share_not_positive double, replicates long"
@@ -147,24 +147,59 @@ def improvement_interval(daily: DataFrame, replicates: int, seed: int, block: in
         return daily.sparkSession.createDataFrame([], INTERVAL)
     challenger, reference = (np.array([r[c] for r in rows], dtype=float) for c in ("challenger", "reference"))
 
-    def gains(rep: np.ndarray) -> np.ndarray:
+    def gains(rep: np.ndarray) -> list[np.ndarray]:
         at = drawn(rep, len(rows), seed, block)
-        return 1 - challenger[at].sum(axis=1) / reference[at].sum(axis=1)
+        return [1 - challenger[at].sum(axis=1) / reference[at].sum(axis=1)]
 
     q = F.percentile("gain", [0.025, 0.5, 0.975])
-    per = _replicated(daily.sparkSession, replicates, "gain", gains)
+    per = _replicated(daily.sparkSession, replicates, ["gain"], gains)
     out = per.agg(q.alias("q"), F.avg((F.col("gain") <= 0).cast("double")).alias("share_not_positive"), F.count("*").alias("replicates"))
     real = float(1 - challenger.sum() / reference.sum())
     return out.select(F.lit(real).alias("estimate"), F.col("q")[0].alias("lower"), F.col("q")[1].alias("median"), F.col("q")[2].alias("upper"), "share_not_positive", "replicates")
 
 
+MODEL_SUMS = ["n", "y_sum", "y_squares", "base_sse", "plus_sse"]
+MODEL_INTERVALS = ["delta_r2", "mse_reduction"]
+
+
+def model_intervals(daily: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """What the larger of two models adds on the test sessions: R2 and the relative reduction of the mean squared error,
+    with medians and 95 % intervals over resampled sessions, and the share of replicates whose R2 doesn't grow. Input: the
+    sums of ``regression.nested_contributions``, five values a session, read once. A replicate whose y doesn't vary or
+    that the smaller model fits without error has no value there. No sessions, no row."""
+    rows = daily.select("date", *MODEL_SUMS).orderBy("date").collect()
+    names = [f"{m}{part}" for m in MODEL_INTERVALS for part in ("", "_lower", "_median", "_upper")]
+    schema = ", ".join(["sessions long", "replicates long", *[f"{name} double" for name in names], "share_not_positive double"])
+    if not rows:
+        return daily.sparkSession.createDataFrame([], schema)
+    sums = np.array([[r[c] for c in MODEL_SUMS] for r in rows], dtype=float)
+
+    def gains(totals: np.ndarray) -> list[np.ndarray]:
+        n, y, yy, base, plus = totals.T
+        spread = yy - y * y / n
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return [np.where(spread > 0, (base - plus) / spread, np.nan), np.where(base > 0, 1 - plus / base, np.nan)]
+
+    drawn_gains = lambda rep: gains(sums[drawn(rep, len(sums), seed)].sum(axis=1))
+    per = _replicated(daily.sparkSession, replicates, MODEL_INTERVALS, drawn_gains).replace(float("nan"), None)
+    real = dict(zip(MODEL_INTERVALS, (None if np.isnan(g[0]) else float(g[0]) for g in gains(sums.sum(axis=0, keepdims=True))), strict=True))
+    out = per.agg(
+        *[F.percentile(m, [0.025, 0.5, 0.975]).alias(m) for m in MODEL_INTERVALS],
+        F.avg((F.col("delta_r2") <= 0).cast("double")).alias("share_not_positive"), F.count("*").alias("replicates"),
+    )
+    columns = [F.lit(len(rows)).cast("long").alias("sessions"), "replicates"]
+    for m in MODEL_INTERVALS:
+        columns += [F.lit(real[m]).cast("double").alias(m), *[F.col(m)[i].alias(f"{m}_{part}") for i, part in enumerate(("lower", "median", "upper"))]]
+    return out.select(*columns, "share_not_positive")
+
+
 def _largest(z: DataFrame, replicates: int, seed: int) -> DataFrame:
     """all: in order, the largest absolute sum over policies of each replicate's signed z. Input: policy, date, z, for
     each policy all dates. The matrix of policies by sessions, whose axes a grid of policies fixes, goes to the tasks."""
     frame = z.toPandas()
     wide = frame.pivot(index="date", columns="policy", values="z").sort_index().to_numpy() if len(frame) else np.zeros((0, 0))
     n = len(wide)
-    per = _replicated(z.sparkSession, replicates if n else 0, "largest", lambda rep: np.abs(flipped(rep, n, seed) @ wide).max(axis=1))
+    per = _replicated(z.sparkSession, replicates if n else 0, ["largest"], lambda rep: [np.abs(flipped(rep, n, seed) @ wide).max(axis=1)])
     return per.agg(F.sort_array(F.collect_list("largest")).alias("all"))  # as many numbers as replicates
 
 

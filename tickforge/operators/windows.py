@@ -48,7 +48,7 @@ def prediction_windows(trades: DataFrame, horizons: list[int], stride: int | Non
 
 
 def impact_features(windows: DataFrame) -> DataFrame:
-    """Cents of impact with absolute value, signed root and signed log of the volume imbalance and its count."""
+    """Cents of impact; absolute value, signed root and signed log of the volume imbalance; absolute value and signed root of the count."""
     v, n = F.col("volume_imbalance").cast("double"), F.col("order_flow_imbalance").cast("double")
     signed = lambda x, f: F.signum(x) * f(F.abs(x))
     out = windows.withColumns(
@@ -57,6 +57,7 @@ def impact_features(windows: DataFrame) -> DataFrame:
             "absolute_volume": F.abs(v),
             "signed_sqrt_volume": signed(v, F.sqrt),
             "signed_log_volume": signed(v, F.log1p),
+            "absolute_flow": F.abs(n),
             "signed_sqrt_flow": signed(n, F.sqrt),
         }
     )
@@ -101,12 +102,21 @@ def left_closed_bin(x: Column, inner: Column) -> Column:
     return F.size(F.filter(inner, lambda e: e <= x))
 
 
+def require_boundary(dates: DataFrame, test_start: str) -> None:
+    """A given boundary is a session, and not the first: otherwise one side of the split would be empty or another."""
+    row = dates.agg(F.min("date").alias("first"), F.max(F.col("date") == test_start).alias("there")).first()
+    if not row["there"]:
+        raise ValueError(f"{test_start} is not a session")
+    if row["first"] == test_start:
+        raise ValueError(f"no session before {test_start} to train on")
+
+
 def quantile_curve(df: DataFrame, keys: list[str], x: str, y: str, bins: int) -> DataFrame:
-    """Mean x and y and counts per quantile bin of x."""
+    """Mean x and y, the standard error of y and counts per quantile bin of x; one row has no standard error."""
     edges = quantile_edges(df, keys, x, bins)
     return (
         df.join(edges, keys).withColumn("bin", right_closed_bin(F.col(x).cast("double"), F.col("edges")))
-        .groupBy(*keys, "bin").agg(F.avg(x).alias("x_mean"), F.avg(y).alias("y_mean"), F.count("*").alias("n"))
+        .groupBy(*keys, "bin").agg(F.avg(x).alias("x_mean"), F.avg(y).alias("y_mean"), (F.stddev_samp(y) / F.sqrt(F.count(y))).alias("standard_error"), F.count("*").alias("n"))
     )
 
 

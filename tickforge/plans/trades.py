@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tickforge.operators import liquidity as L
 from tickforge.operators import orders as O
 from tickforge.operators import regression as R
+from tickforge.operators import scores as S
 from tickforge.operators import windows as W
 from tickforge.plans.books import FLOW_SQL, flow
 from tickforge.plans.registry import add
@@ -78,7 +79,7 @@ add(
 
 def curve_sql(source: str, key: str, x: str, y: str, bins: int) -> str:
     points = ", ".join(f"CAST({i} AS DOUBLE) / {bins}" for i in range(bins + 1))
-    return f"""SELECT {key}, bin, avg({x}) AS x_mean, avg({y}) AS y_mean, count(*) AS n FROM (SELECT s.*, greatest(1, len(list_filter(edges, lambda e: e < s.{x}))) - 1 AS bin FROM {source} s
+    return f"""SELECT {key}, bin, avg({x}) AS x_mean, avg({y}) AS y_mean, stddev_samp({y}) / sqrt(count({y})) AS standard_error, count(*) AS n FROM (SELECT s.*, greatest(1, len(list_filter(edges, lambda e: e < s.{x}))) - 1 AS bin FROM {source} s
       JOIN (SELECT {key}, list_distinct(quantile_cont(CAST({x} AS DOUBLE), [{points}])) AS edges FROM {source} GROUP BY {key}) USING ({key})) GROUP BY {key}, bin"""
 
 
@@ -102,7 +103,7 @@ predicted = lambda s, d: R.with_prediction(split(s, d), fitted(s, d), "volume_im
 add("q_ols_signed_volume", "slope:d intercept:d r2:d n:l", fitted, "SELECT * FROM ft", FIT_CTES)
 add("q_ols_scores", "is_test:b " + SCORES, lambda s, d: predicted(s, d).groupBy("is_test").agg(*R.scores("impact_cents", "fitted")), f"SELECT is_test, {SCORES_SQL} FROM pr GROUP BY is_test", FIT_CTES)
 add("q_monthly_scores", "month:s " + SCORES, lambda s, d: predicted(s, d).where("is_test").groupBy(F.substring("date", 1, 7).alias("month")).agg(*R.scores("impact_cents", "fitted")), f"SELECT date[1:7] AS month, {SCORES_SQL} FROM pr WHERE is_test GROUP BY 1", FIT_CTES)
-add("q_calibration_curve", "is_test:b bin:l x_mean:d y_mean:d n:l", lambda s, d: W.quantile_curve(predicted(s, d), ["is_test"], "fitted", "impact_cents", 10), curve_sql("pr", "is_test", "fitted", "impact_cents", 10), FIT_CTES)
+add("q_calibration_curve", "is_test:b bin:l x_mean:d y_mean:d standard_error:d n:l", lambda s, d: W.quantile_curve(predicted(s, d), ["is_test"], "fitted", "impact_cents", 10), curve_sql("pr", "is_test", "fitted", "impact_cents", 10), FIT_CTES)
 add(
     "q_residual_by_count", "order_flow_imbalance:l residual:d standard_error:d dates:l windows:l",
     lambda s, d: R.residuals_by_count(predicted(s, d).where("is_test"), "order_flow_imbalance", "impact_cents", "fitted"),
@@ -110,6 +111,49 @@ add(
 )
 add("q_ols_models", "model:s n_test:l mse:d r2:d", lambda s, d: R.model_table(split(s, d), "impact_cents"))
 
+# what the count of trades adds to the transforms of volume, on the test sessions
+_ADDED = ["volume_imbalance", "absolute_volume", "signed_sqrt_volume", "signed_log_volume", "order_flow_imbalance"]
+
+
+def nested_sql(features: list[str]) -> str:
+    """Least squares by projection: each feature in turn, less what those before it explain in training, is taken out of
+    the later ones and of y. e is y's rest without the last feature and f with it."""
+    k = len(features)
+    kept = lambda i: [f"x{j}" for j in range(i, k)] + ["e"]
+    means = ", ".join(f"avg({c}) AS {c}" for c in kept(0))
+    out = f""",
+k AS (SELECT date, is_test, impact_cents AS y, impact_cents AS e, {", ".join(f"CAST({f} AS DOUBLE) AS x{j}" for j, f in enumerate(features))} FROM sp),
+k0 AS (SELECT date, is_test, y, {", ".join(f"k.{c} - m.{c} AS {c}" for c in kept(0))} FROM k, (SELECT {means} FROM k WHERE NOT is_test) m)"""
+    for i in range(k):
+        later = kept(i + 1)
+        slopes = ", ".join(f"sum({c} * x{i}) / sum(x{i} * x{i}) AS {c}" for c in later)
+        rest = ", ".join(f"a.{c} - b.{c} * a.x{i} AS {c}" for c in later)
+        before = ", a.e AS without" if i == k - 1 else ""
+        out += f""",
+k{i + 1} AS (SELECT date, is_test, y, {rest}{before} FROM k{i} a, (SELECT {slopes} FROM k{i} WHERE NOT is_test) b)"""
+    return out + f""",
+dc AS (SELECT date, count(*) AS n, sum(y) AS y_sum, sum(y * y) AS y_squares, sum(without * without) AS base_sse, sum(e * e) AS plus_sse, row_number() OVER (ORDER BY date) - 1 AS r, count(*) OVER () AS sessions FROM k{k} WHERE is_test GROUP BY date)"""
+
+
+contributions = lambda s, d: R.nested_contributions(split(s, d), "impact_cents")
+CONTRIBUTIONS = FEATURES_CTE + nested_sql(_ADDED)
+add(
+    "q_model_contributions", "date:s n:l y_mean:d y_square:d base_mse:d plus_mse:d",
+    lambda s, d: contributions(s, d).selectExpr("date", "n", "y_sum / n AS y_mean", "y_squares / n AS y_square", "base_sse / n AS base_mse", "plus_sse / n AS plus_mse"),
+    "SELECT date, n, y_sum / n AS y_mean, y_squares / n AS y_square, base_sse / n AS base_mse, plus_sse / n AS plus_mse FROM dc", CONTRIBUTIONS,
+)
+MODEL_REPLICATES, MODEL_SEED = 10_000, 42
+_PARTS = [("", None), ("_lower", 0.025), ("_median", 0.5), ("_upper", 0.975)]
+_GAINS = {"delta_r2": "(sum(base_sse) - sum(plus_sse)) / (sum(y_squares) - sum(y_sum) ** 2 / sum(n))", "mse_reduction": "1 - sum(plus_sse) / sum(base_sse)"}
+add(
+    "q_model_intervals", "sessions:l replicates:l " + " ".join(f"{m}{part}:d" for m in _GAINS for part, _ in _PARTS) + " share_not_positive:d",
+    lambda s, d: S.model_intervals(contributions(s, d), MODEL_REPLICATES, MODEL_SEED),
+    f"""SELECT (SELECT count(*) FROM dc) AS sessions, count(*) AS replicates, {", ".join(f"quantile_cont({m}, {q}) AS {m}{part}" if q else f"(SELECT {sql} FROM dc) AS {m}" for m, sql in _GAINS.items() for part, q in _PARTS)},
+    avg(CASE WHEN delta_r2 <= 0 THEN 1.0 ELSE 0.0 END) AS share_not_positive FROM (SELECT rep, {", ".join(f"{sql} AS {m}" for m, sql in _GAINS.items())} FROM
+      (SELECT rep, (rep * 7919 + pos * 104729 + {MODEL_SEED * 31}) % 1000003 % n_ AS r FROM (SELECT unnest(range({MODEL_REPLICATES})) AS rep), (SELECT unnest(range((SELECT count(*) FROM dc))) AS pos, (SELECT count(*) FROM dc) AS n_)) JOIN dc USING (r) GROUP BY rep)""",
+    CONTRIBUTIONS,
+)
+
 
 def walk_forward(s: SparkSession, d: str) -> DataFrame:
     """Five expanding folds: each is fitted on all sessions before it, by sums per session and prefix sums."""
