@@ -19,7 +19,7 @@ def test_model_intervals(spark):
     def gains(t):
         return (t[3] - t[4]) / (t[2] - t[1] ** 2 / t[0]), 1 - t[4] / t[3]
 
-    plan = [[(rep * 7919 + pos * 104_729 + 42 * 31) % 1_000_003 % 12 for pos in range(12)] for rep in range(500)]
+    plan = [[pow(rep * 7919 + pos * 104_729 + 42 * 31, 5, 1_000_003) % 12 for pos in range(12)] for rep in range(500)]
     per = np.array([gains(sums[at].sum(axis=0)) for at in plan])
     for k, name in enumerate(("delta_r2", "mse_reduction")):
         assert got[name] == pytest.approx(gains(sums.sum(axis=0))[k], rel=1e-9)
@@ -48,3 +48,13 @@ def test_boundary_is_a_session_with_others_before_it(spark):
             W.require_boundary(dates, start)
     with pytest.raises(ValueError):
         W.require_boundary(dates.limit(0), "d1")
+
+
+def test_plan_resamples_like_independent_draws():
+    for n in (6, 12, 17, 30, 251):
+        x = np.random.default_rng(n).normal(size=n)
+        rep = np.arange(10_000)
+        means = x[S.drawn(rep, n, 17)].mean(axis=1)
+        assert means.std() == pytest.approx(x.std() / np.sqrt(n), rel=0.05) and means.mean() == pytest.approx(x.mean(), abs=0.05)
+        sums = S.flipped(rep, n, 17) @ x
+        assert sums.std() == pytest.approx(np.sqrt((x * x).sum()), rel=0.05)

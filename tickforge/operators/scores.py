@@ -110,17 +110,31 @@ def squared_loss(p: str) -> Column:
 
 
 # resampling by an integer plan, which any engine can repeat
+def _mixed(rep: np.ndarray, pos: np.ndarray, seed: int) -> np.ndarray:
+    """A whole number below PRIME for each replicate and position. The fifth power, which permutes the residues, breaks
+    up the steps of the linear term: without it neighbouring positions would draw different sessions almost always."""
+    a = (rep[:, None] * 7919 + pos * 104_729 + seed * 31) % PRIME
+    b = a * a % PRIME
+    return b * b % PRIME * a % PRIME
+
+
+def mixed_sql(rep: str, pos: str, seed: int) -> str:
+    a = f"(({rep} * 7919 + {pos} * 104729 + {seed * 31}) % {PRIME})"
+    b = f"({a} * {a} % {PRIME})"
+    return f"({b} * {b} % {PRIME} * {a} % {PRIME})"
+
+
 def drawn(rep: np.ndarray, n: int, seed: int, block: int | None = None) -> np.ndarray:
     """For each replicate the sessions (ranked from 0 in date order) at its n positions: drawn one by one, or in circular
     blocks cut at n."""
     pos = np.arange(n)
-    start = (rep[:, None] * 7919 + (pos if block is None else pos // block) * 104_729 + seed * 31) % PRIME % n
+    start = _mixed(rep, pos if block is None else pos // block, seed) % n
     return start if block is None else (start + pos % block) % n
 
 
 def flipped(rep: np.ndarray, n: int, seed: int) -> np.ndarray:
     """For each replicate a sign per session."""
-    return 1 - 2 * ((rep[:, None] * 7919 + np.arange(n) * 104_729 + seed * 31) % PRIME % 2)
+    return 1 - 2 * (_mixed(rep, np.arange(n), seed) % 2)
 
 
 def _replicated(spark, replicates: int, names: list[str], f: Callable[[np.ndarray], list[np.ndarray]]) -> DataFrame:

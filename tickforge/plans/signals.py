@@ -86,8 +86,8 @@ def interval(s: SparkSession, d: str, block: int | None = None) -> DataFrame:
     return S.improvement_interval(daily(s, d), REPLICATES, SEED, block)
 
 
-add("q_cluster_bootstrap", INTERVAL, interval, interval_sql(f"(rep * 7919 + pos * 104729 + {SEED * 31}) % 1000003 % n"), DAILY)
-add("q_circular_block_bootstrap", INTERVAL, lambda s, d: interval(s, d, 5), interval_sql(f"((rep * 7919 + (pos // 5) * 104729 + {SEED * 31}) % 1000003 % n + pos % 5) % n"), DAILY)
+add("q_cluster_bootstrap", INTERVAL, interval, interval_sql(f"{S.mixed_sql('rep', 'pos', SEED)} % n"), DAILY)
+add("q_circular_block_bootstrap", INTERVAL, lambda s, d: interval(s, d, 5), interval_sql(f"({S.mixed_sql('rep', '(pos // 5)', SEED)} % n + pos % 5) % n"), DAILY)
 
 # economics of selected signals
 FEW = ["spread_bucket"]
@@ -134,7 +134,7 @@ add("q_rademacher_maxt", "policy:s mean:d t:d p_adjusted:d", max_t, f"""SELECT p
     TRIPS + f""", md AS (SELECT CAST(latency_us AS VARCHAR) AS policy, date, pnl FROM ({_DAYS}) WHERE spread_bucket = 'all_spreads' AND shares = 1 AND fraction = 1.0),
     mf AS (SELECT policy, date, coalesce(pnl, 0) AS x, r FROM (SELECT DISTINCT policy FROM md) CROSS JOIN (SELECT date, row_number() OVER (ORDER BY date) - 1 AS r FROM (SELECT DISTINCT date FROM lob)) LEFT JOIN md USING (policy, date)),
     mst AS (SELECT policy, avg(x) AS mean, stddev_samp(x) / sqrt(count(*)) AS se, count(*) AS n FROM mf GROUP BY policy HAVING stddev_samp(x) > 0),
-    big AS (SELECT rep, max(t) AS largest FROM (SELECT rep, policy, abs(sum((1 - 2 * ((rep * 7919 + r * 104729 + {SEED * 31}) % 1000003 % 2)) * (x - mean) / (se * n))) AS t FROM mf JOIN mst USING (policy), (SELECT unnest(range({REPLICATES})) AS rep) GROUP BY rep, policy) GROUP BY rep)""")
+    big AS (SELECT rep, max(t) AS largest FROM (SELECT rep, policy, abs(sum((1 - 2 * ({S.mixed_sql('rep', 'r', SEED)} % 2)) * (x - mean) / (se * n))) AS t FROM mf JOIN mst USING (policy), (SELECT unnest(range({REPLICATES})) AS rep) GROUP BY rep, policy) GROUP BY rep)""")
 
 # the whole family of policies: every bucket, latency, size and fraction
 _FAMILY = TRIPS + f""", fd AS ({_DAYS}), fp AS (SELECT DISTINCT spread_bucket, latency_us, shares, fraction FROM fd),
@@ -143,7 +143,7 @@ ff AS (SELECT fp.*, fc.date, r, coalesce(fills, 0) AS fills, coalesce(pnl, 0) AS
 fi AS (SELECT *, coalesce(pnl - fills * point, 0) AS influence FROM (SELECT *, sum(pnl) OVER k / nullif(sum(fills) OVER k, 0) AS point FROM ff WINDOW k AS (PARTITION BY spread_bucket, latency_us, shares, fraction))),
 fs AS (SELECT spread_bucket, latency_us, shares, fraction, sum(fills) AS fills, count(*) FILTER (WHERE fills > 0) AS filled_dates, max(point) AS mean_bps, stddev_samp(influence) AS scale, avg(fills) AS mean_fills, count(*) AS n FROM fi GROUP BY ALL),
 fa AS (SELECT *, fills > 0 AND filled_dates >= 2 AND scale > 0 AS able, CASE WHEN fills > 0 AND filled_dates >= 2 AND scale > 0 THEN scale / (sqrt(n) * mean_fills) END AS se_bps FROM fs),
-fb AS (SELECT rep, max(t) AS largest FROM (SELECT rep, spread_bucket, latency_us, shares, fraction, abs(sum((1 - 2 * ((rep * 7919 + r * 104729 + {SEED * 31}) % 1000003 % 2)) * influence / (sqrt(n) * scale))) AS t
+fb AS (SELECT rep, max(t) AS largest FROM (SELECT rep, spread_bucket, latency_us, shares, fraction, abs(sum((1 - 2 * ({S.mixed_sql('rep', 'r', SEED)} % 2)) * influence / (sqrt(n) * scale))) AS t
   FROM fi JOIN (SELECT * FROM fa WHERE able) a USING (spread_bucket, latency_us, shares, fraction), (SELECT unnest(range({REPLICATES})) AS rep) GROUP BY ALL) GROUP BY rep)"""
 add(
     "q_policy_family", "spread_bucket:s latency_us:l shares:l fraction:d fills:l filled_dates:l mean_bps:d se_bps:d lower_bps:d upper_bps:d p_adjusted:d status:s",

@@ -150,7 +150,7 @@ add(
     lambda s, d: S.model_intervals(contributions(s, d), MODEL_REPLICATES, MODEL_SEED),
     f"""SELECT (SELECT count(*) FROM dc) AS sessions, count(*) AS replicates, {", ".join(f"quantile_cont({m}, {q}) AS {m}{part}" if q else f"(SELECT {sql} FROM dc) AS {m}" for m, sql in _GAINS.items() for part, q in _PARTS)},
     avg(CASE WHEN delta_r2 <= 0 THEN 1.0 ELSE 0.0 END) AS share_not_positive FROM (SELECT rep, {", ".join(f"{sql} AS {m}" for m, sql in _GAINS.items())} FROM
-      (SELECT rep, (rep * 7919 + pos * 104729 + {MODEL_SEED * 31}) % 1000003 % n_ AS r FROM (SELECT unnest(range({MODEL_REPLICATES})) AS rep), (SELECT unnest(range((SELECT count(*) FROM dc))) AS pos, (SELECT count(*) FROM dc) AS n_)) JOIN dc USING (r) GROUP BY rep)""",
+      (SELECT rep, {S.mixed_sql('rep', 'pos', MODEL_SEED)} % n_ AS r FROM (SELECT unnest(range({MODEL_REPLICATES})) AS rep), (SELECT unnest(range((SELECT count(*) FROM dc))) AS pos, (SELECT count(*) FROM dc) AS n_)) JOIN dc USING (r) GROUP BY rep)""",
     CONTRIBUTIONS,
 )
 
