@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickforge.llm import bpe, language_id, mixing, near_dup, quality_classifier, quality_rules, secrets, substring_dup, suffix_dup, vector_dup
+from tickforge.llm import bpe, language_id, mixing, near_dup, quality_classifier, quality_rules, resampling, secrets, substring_dup, suffix_dup, vector_dup
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_substring_dup": substring_dup.query,
     "op9_quality_rules": quality_rules.query,
     "op10_near_dup": near_dup.query,
+    "op13_resampling": resampling.query,
 }
 
 SQL = {
@@ -22,4 +23,5 @@ SQL = {
     "op8_substring_dup": substring_dup.SQL,
     "op9_quality_rules": quality_rules.SQL,
     "op10_near_dup": near_dup.SQL,
+    "op13_resampling": resampling.SQL,
 }
