@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickforge.llm import bpe, language_id, mixing, near_dup, quality_classifier, quality_rules, resampling, secrets, substring_dup, suffix_dup, vector_dup
+from tickforge.llm import bpe, language_id, mixing, near_dup, pii, prefix_trie, quality_classifier, quality_rules, resampling, secrets, substring_dup, suffix_dup, vector_dup
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_substring_dup": substring_dup.query,
     "op9_quality_rules": quality_rules.query,
     "op10_near_dup": near_dup.query,
+    "op11_pii": pii.query,
+    "op12_prefix_trie": prefix_trie.query,
     "op13_resampling": resampling.query,
 }
 
@@ -23,5 +25,6 @@ SQL = {
     "op8_substring_dup": substring_dup.SQL,
     "op9_quality_rules": quality_rules.SQL,
     "op10_near_dup": near_dup.SQL,
+    "op12_prefix_trie": prefix_trie.SQL,
     "op13_resampling": resampling.SQL,
 }
