@@ -2,9 +2,14 @@
 
 Three fixed kinds of spans (assigned values, access keys, long hexadecimal runs) come from patterns. The method adds
 a fourth, ``novel``: a string in a sensitive context that a primed zstandard compressor cannot shorten. A candidate's
-novelty is its marginal compressed size, ``size(context + candidate) - size(context)``, under a dictionary of common
-identifiers and code, divided by its length. Prose and identifiers cost little; random strings stay near the entropy
-of their alphabet.
+marginal size is what it adds to the compressed size of the text around it, without other copies of the candidate,
+under a dictionary of words (those of a public vocabulary), year and month stamps, and the words of the identifiers of
+Python's standard library and of PySpark. Novelty is that size over the mean size of
+``CONTROLS`` random strings of the same form in the same place (a digit for each digit, a letter for each letter, signs
+as they are; seeded by the candidate): about one for keys of any alphabet, and less for paths, dates and identifiers.
+Case is folded before. No other test stands before or beside it but length.
+
+A text is walked once, in time linear in its length.
 
 Defined cases: null text is empty and has no spans; texts are scanned whole; repeated rows are scanned each; an empty
 table gives an empty result; extra columns pass through ``redact`` untouched.
@@ -12,12 +17,22 @@ table gives an empty result; extra columns pass through ``redact`` untouched.
 
 from __future__ import annotations
 
+import base64
 import bisect
+import builtins
 import hashlib
+import http
+import importlib
 import itertools
+import keyword
+import random
 import re
-from collections.abc import Iterator
+import string
+import sys
+import zlib
+from collections.abc import Callable, Iterator
 
+import public_tokenizers
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -33,25 +48,35 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST = 6
 
-#: A candidate: a run of token characters with at least one digit or a change of case, near a sensitive word.
+#: A candidate: a run of token characters near a sensitive word.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 LEAST_LENGTH = 16
-TOKEN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
-#: A capital at the start alone is no change of case.
-MIXED = re.compile(r"[0-9]|[a-z][A-Z]|[A-Z]{2}[a-z]")
 CONTEXT = re.compile(r"(?ai:secret|token|passw|passwd|credential|private|api_?key|access_?key|auth|bearer|signature|session)")
-#: Characters of context on each side of a candidate; the sensitive word stands in it.
-BEFORE, AFTER = 64, 32
-LEAST_NOVELTY = 0.6  # compressed bytes per character
-#: Sensitive words and pieces of code that prime the compressor.
-IDENTIFIERS = (
-    "password passwd secret token api_key apikey access_key private_key credential authorization bearer session "
-    "signature client_id client_secret username user_name account config settings environment variable function "
-    "return import from class public static void const string int float double boolean true false null none self "
-    "this value values key keys name names list dict object array index count length size type begin end start stop "
-    "request response header headers content application json xml html http https localhost example com org www "
-    "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 the and of to in that is was for with on as by"
-).encode()
+#: A candidate is near a sensitive word that starts within so many characters before or after it.
+BEFORE, AFTER = 96, 32
+#: Characters of text on each side that prime the compressor.
+AROUND = 256
+#: Share of what random strings of the same form need, and their number.
+LEAST_NOVELTY, CONTROLS = 0.88, 3
+#: What follows, as the compressor finds no repeats at the very end.
+TAIL = "\n" * 16
+#: The public vocabulary whose words are in the dictionary, and its years.
+VOCABULARY = "byte_bpe_50k.tiktoken"
+YEARS = range(1990, 2040)
+#: Modules whose names are identifiers of the dictionary, beside those of the standard library's modules themselves.
+MODULES = (
+    "argparse ast asyncio base64 collections configparser csv datetime email errno functools hashlib hmac http.client http.server io "
+    "itertools json logging math multiprocessing os os.path pathlib random re secrets shutil signal socket sqlite3 ssl statistics string "
+    "subprocess tempfile threading time traceback typing unittest urllib.parse urllib.request uuid xml.etree.ElementTree zipfile "
+    "pyspark.sql.functions pyspark.sql.types pyspark.sql"
+).split()
+#: What code around keys says.
+COMMON = (
+    "username user name account admin config settings environment production staging client server key keys id header authorization "
+    "bearer signature credential private public access refresh session token secret password localhost example documents reports "
+    "images static assets scripts packages site release version final summary handler profile manager service controller factory "
+    "component button index main test tests source target build dist node modules vendor usr local lib bin etc var tmp home opt data"
+).split()
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long"
 
@@ -65,16 +90,47 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+
+
+def identifiers(vocabulary: str = VOCABULARY) -> bytes:
+    """The dictionary, in small letters; what is last is cheapest to refer to. It is made on the driver and broadcast,
+    some 250 KB, so all executors judge alike."""
+    with open(public_tokenizers.path(vocabulary), "rb") as f:
+        pieces = (base64.b64decode(line.split()[0]).decode("utf-8", "ignore").strip().lower() for line in f)
+        common = list(dict.fromkeys(p for p in pieces if len(p) > 3 and p.isascii() and p.isalpha()))
+    names = [*keyword.kwlist, *dir(builtins), *sys.stdlib_module_names, *(s.name for s in http.HTTPStatus)]
+    for module in MODULES:
+        found = importlib.import_module(module)
+        names += dir(found)
+        for thing in vars(found).values():
+            if isinstance(thing, type):
+                names += dir(thing)
+    months = [f"{year}-{month:02d}-" for year in YEARS for month in range(1, 13)]
+    own = sorted({w.lower() for n in names for w in WORDS.findall(n) if len(w) > 2})
+    return " ".join([*reversed(common), *months, *own, *COMMON]).encode()
+
+
 class Novelty:
-    """Marginal compressed size under the identifier dictionary."""
+    """Marginal compressed size under the dictionary, as a share of what random strings of the same form need."""
 
-    def __init__(self):
-        primed = zstandard.ZstdCompressionDict(IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    def __init__(self, dictionary: bytes):
+        primed = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        primed.precompute_compress(level=6)
         self.pack = zstandard.ZstdCompressor(level=6, dict_data=primed, write_content_size=False, write_checksum=False)
 
-    def __call__(self, context: str, candidate: str) -> float:
-        whole = context.encode()
-        return (len(self.pack.compress(whole + candidate.encode())) - len(self.pack.compress(whole))) / len(candidate)
+    def __call__(self, text: str, start: int, end: int) -> float:
+        own = text[start:end].lower()
+        before, after = (x.lower().replace(own, "") for x in (text[max(0, start - AROUND) : start], text[end : end + AROUND]))
+        rng = random.Random(zlib.crc32(own.encode()))
+        made = lambda: "".join(rng.choice(string.digits if c.isdigit() else string.ascii_lowercase) if c.isalnum() else c for c in own)
+        controls = [made() for _ in range(CONTROLS)]
+        share = 0.0
+        for head, tail in ((before, f"{after}{TAIL}"), (f"{before}\n{after}\n", "")):
+            size = lambda x: len(self.pack.compress(f"{head}{x}{tail}".encode()))  # noqa: B023, E731
+            alone = size("")
+            share += (size(own) - alone) * CONTROLS / max(1, sum(size(c) - alone for c in controls))
+        return share / 2
 
 
 def spans(text: str, novelty: Novelty) -> list[tuple[int, int, int]]:
@@ -88,27 +144,20 @@ def spans(text: str, novelty: Novelty) -> list[tuple[int, int, int]]:
 
     def novel(s: int, e: int) -> bool:
         before = bisect.bisect_left(starts, e)
-        if (before and reach[before - 1] > s) or not MIXED.search(text, s, e):
-            return False
-        return novelty(text[max(0, s - BEFORE) : s] + text[e : e + AFTER], text[s:e]) >= LEAST_NOVELTY
+        return not (before and reach[before - 1] > s) and novelty(text, s, e) >= LEAST_NOVELTY
 
     added = []
-    reached = 0
-    for at in contexts:
-        # each stretch of text around sensitive words is searched once, from the start of the run it begins in
-        lo, hi = max(reached, at - AFTER), min(len(text), at + BEFORE + AFTER)
-        while lo > reached and text[lo - 1] in TOKEN:
-            lo -= 1
-        for m in CANDIDATE.finditer(text, lo):
-            if m.start() >= hi:
+    for m in CANDIDATE.finditer(text):
+        s, e = m.span()
+        i = bisect.bisect_right(contexts, s - BEFORE)
+        if i == len(contexts) or contexts[i] >= e + AFTER:
+            continue
+        inside = contexts[j] if (j := bisect.bisect_right(contexts, s)) < len(contexts) and contexts[j] < e else None
+        # a run around a sensitive word counts as a whole, then without what comes before the word or the word
+        for a, b in [(s, e)] if inside is None else [(s, e), (inside, e), (s, inside)]:
+            if b - a >= LEAST_LENGTH and novel(a, b):
+                added.append((a, 3, b))
                 break
-            reached = m.end()
-            s, e = m.span()
-            # a run around the sensitive word counts as a whole, then without what comes before the word or the word
-            for a, b in [(s, e)] if not s < at < e else [(s, e), (at, e), (s, at)]:
-                if b - a >= LEAST_LENGTH and novel(a, b):
-                    added.append((a, 3, b))
-                    break
     return sorted(found + added)
 
 
@@ -116,34 +165,38 @@ def _joined(found: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in found)
 
 
-def _reports(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    novelty = Novelty()
-    for batch in batches:
-        rows = []
-        for text in batch.column("text"):
-            found = spans(text.as_py() or "", novelty)
-            base = [x for x in found if x[1] < 3]
-            n = [sum(x[1] == k for x in found) for k in range(4)]
-            rows.append((n[0], n[1], n[2], hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(found), n[3]))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-        names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel"]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names
-        )
+def _reports(dictionary) -> Callable:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        novelty = Novelty(dictionary.value)
+        for batch in batches:
+            rows = []
+            for text in batch.column("text"):
+                found = spans(text.as_py() or "", novelty)
+                base = [x for x in found if x[1] < 3]
+                n = [sum(x[1] == k for x in found) for k in range(4)]
+                rows.append((n[0], n[1], n[2], hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(found), n[3]))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+            names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel"]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").cast(pa.int64()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names
+            )
+
+    return each
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """One row per document with the counts, the digest of the base spans, and all spans."""
-    return docs.select("doc_id", "text").mapInArrow(_reports, SCHEMA)
+    dictionary = docs.sparkSession.sparkContext.broadcast(identifiers())  # the same for all executors
+    return docs.select("doc_id", "text").mapInArrow(_reports(dictionary), SCHEMA)
 
 
 def redact(docs: DataFrame, mark: str = "[{}]") -> DataFrame:
     """The documents with every span replaced by its kind; all columns stay, ``n_chars`` follows where it exists."""
-    sized = "n_chars" in docs.columns
+    sized, dictionary = "n_chars" in docs.columns, docs.sparkSession.sparkContext.broadcast(identifiers())
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty()
+        novelty = Novelty(dictionary.value)
         for batch in batches:
             texts, kind = batch.column("text").to_pylist(), batch.schema.field("text").type
             for i, text in enumerate(texts):
