@@ -89,13 +89,13 @@ def _scored(docs: DataFrame, target: DataFrame, scratch: Scratch) -> tuple[DataF
 
 
 #: n words have 2n - 1 features.
-_ELIGIBLE = F.col("n_features") >= 2 * LEAST_WORDS - 1
+ELIGIBLE = f"n_features >= {2 * LEAST_WORDS - 1}"
 
 
 def _lowest_drawn(scored: DataFrame, per_cent: int) -> tuple[int, int | None]:
     """How many documents are drawn, and the score of the last of them. The driver sees a row per score; scores are
     whole numbers within what gains and noise can reach, some tens of thousands at most."""
-    histogram = scored.where(_ELIGIBLE).groupBy("score").count().collect()
+    histogram = scored.where(ELIGIBLE).groupBy("score").count().collect()
     n = per_cent * sum(r["count"] for r in histogram) // 100
     seen = 0
     for score, count in sorted(histogram, key=lambda r: -r[0]):
@@ -109,7 +109,7 @@ def _ranked(scored: DataFrame, per_cent: int, scratch: Scratch) -> DataFrame:
     n, lowest = _lowest_drawn(scored, per_cent)
     if lowest is None:
         return scored.withColumn("rank", F.lit(None).cast("long"))
-    reached = _ELIGIBLE & (F.col("score") >= lowest)
+    reached = F.expr(f"{ELIGIBLE} AND score >= {lowest}")
     order = (F.desc("score"), F.asc_nulls_last("doc_id"), F.asc("tie"))  # the tie spreads rows that agree in all else
     first = scored.where(reached).withColumn("tie", F.monotonically_increasing_id()).orderBy(*order).drop("tie")
     drawn, _ = numbered(first, "rank", scratch, start=1)
