@@ -11,15 +11,20 @@ least class among those estimated similar, so that groups gather around few cent
 confirmed on the full sets; components follow.
 
 Round two looks for links that round one left between components. A region with several components is met whole: its
-largest component (major) is met by the others (minor) in cells of bounded size. Where that would be too much work,
-the region is deepened: its classes get ``SUBTREES`` new orders of ``DEPTH`` further values each, so that the chance to
-miss a pair hardly changes while parts shrink, up to ``LEVELS`` times; what is left after that is met in cells all the
-same. Pairs whose sketches and sizes allow a link are compared by 24-bit prints of their shingles, which never
-undercount what sets have in common, and those that pass are confirmed on the full sets. If a print has deceived, the
-round is repeated with every passing pair.
-
-With similarity 0.8 a pair shares no region with probability (1 - 0.8**DEPTH)**TREES, below 4e-6, or is screened off by
-its sketch with 7.2e-5; together that is below 7.6e-5.
+largest component (major) is met by the others (minor) in cells of bounded size; a pair that shares several such regions
+is met in the first of them. Where that would be too much work, the region is crowded and deepened: its classes get
+``SUBTREES`` new orders of ``DEPTH`` further values each, up to ``LEVELS`` times; what is left after that is met in cells
+all the same. Which values an order takes follows from the key of the region it divides, so the crowded regions of a pair
+miss it independently, and no pair is left to a region that is crowded. Regions that touch a boundary between the sorted
+tasks of round one always take part, as their neighbours were not all compared. Pairs whose sketches and sizes allow a
+link are compared by 24-bit prints of their shingles, which never undercount what sets have in common, and those that
+pass are confirmed on the full sets. If a print has deceived, the round is repeated with every passing pair.
+
+A pair of similarity 0.8 shares a region with probability p = 0.8**DEPTH. It is met there unless the region is crowded
+and no order below is shared, which has probability m = (1 - p)**SUBTREES, about 0.015, and with further levels
+m' = (1 - p (1 - m))**SUBTREES, about 0.016. If all its regions are crowded it is missed by all trees with
+(1 - p (1 - m'))**TREES, below 5e-6, otherwise with less; or it is screened off by its sketch with 7.2e-5. Together that
+is below 8e-5.
 
 Defined cases: null texts and texts without words have no set and stand alone; ids that are null stand alone unless
 their texts link; repeated rows link with each other; an empty table gives an empty result; ``keep_first`` leaves
@@ -129,11 +134,11 @@ def _features(words: int) -> Callable:
     return each
 
 
-FOREST = "key long, cls long, n long, ahead binary"
+FOREST = "key long, tree int, cls long, n long, ahead binary"
 
 
 def _forest(shared: KeyFilter) -> Callable:
-    """cls, n, keys, sketch -> key, cls, n, ahead: a row for each tree in which the class shares a region. ahead:
+    """cls, n, keys, sketch -> key, tree, cls, n, ahead: a row for each tree in which the class shares a region. ahead:
     the values that follow in the tree's order."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +153,8 @@ def _forest(shared: KeyFilter) -> Callable:
                 ahead = sketch[r[:, None], (DEPTH * (t[:, None] + 1) + np.arange(N_VALUES)) % N_VALUES]
                 take = pa.array(r)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[r, t]), batch.column("cls").take(take), batch.column("n").take(take), _binary(ahead)], ["key", "cls", "n", "ahead"]
+                    [pa.array(keys[r, t]), pa.array(t.astype(np.int32)), batch.column("cls").take(take), batch.column("n").take(take), _binary(ahead)],
+                    ["key", "tree", "cls", "n", "ahead"],
                 )
 
     return each
@@ -172,48 +178,64 @@ def _sizes_allow(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 100 * np.minimum(a, b) >= PER_CENT * np.maximum(a, b)
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of the forest in order -> key, a, center, best, estimate: what each class finds among its neighbours in an
-    order. Classes that find nothing give no row."""
-    before = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = [np.asarray(batch.column(c)) for c in ("key", "cls", "n")] + [_matrix(batch.column("ahead"), N_VALUES)]
-        key, cls, n, ahead = now if before is None else [np.concatenate(x) for x in zip(before, now, strict=True)]
-        before = [x[-NEIGHBOURS:] for x in (key, cls, n, ahead)]
-        center, best, most = cls.copy(), np.zeros(len(cls), np.int64), np.full(len(cls), -1.0)
-        for d in range(1, min(NEIGHBOURS, len(cls) - 1) + 1):
-            at = np.flatnonzero((key[d:] == key[:-d]) & _sizes_allow(n[d:], n[:-d]))
-            e = _corrected(np.count_nonzero(ahead[at] == ahead[at + d], axis=1))
-            at, e = at[e >= LEAST_ESTIMATE], e[e >= LEAST_ESTIMATE]
-            for x, y in ((at, at + d), (at + d, at)):
-                alike = e >= PER_CENT / 100
-                center[x[alike]] = np.minimum(center[x[alike]], cls[y[alike]])
-                closer = e > most[x]
-                most[x[closer]], best[x[closer]] = e[closer], cls[y[closer]]
-        some = np.flatnonzero(most > 0)
-        yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (key, cls, center, best, most)], ["key", "a", "center", "best", "estimate"])
-
-
-def _deepened(level: int) -> Callable:
-    """The rows of crowded regions under SUBTREES keys of DEPTH further values each."""
+NEAR = "key long, a long, center long, best long, estimate double"
+
+
+def _neighbours(reach: int) -> Callable:
+    """Rows of the forest in order -> key, a, center, best, estimate: what each class finds among its ``reach`` neighbours
+    on either side in an order. Classes that find nothing give no row; the first and the last region of a task give a row
+    without a class each, as their neighbours elsewhere are not seen."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 4096):
-                batch = whole.slice(start, 4096)
-                key, sketch = np.asarray(batch.column("key")).view(np.uint64), _matrix(batch.column("sketch"))
-                for sub in range(SUBTREES):
-                    # every order takes values that no tree and no order above it has used
-                    own, first = mix64(key + np.uint64(sub + 1)), (TREES + level * SUBTREES + sub) * DEPTH
-                    for i in range(first, first + DEPTH):
-                        own = mix64(own + sketch[:, i].astype(np.uint64))
-                    yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), *(batch.column(c) for c in ("cls", "n", "root"))], ["key", "cls", "n", "root"])
+        before, last = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [np.asarray(batch.column(c)) for c in ("key", "cls", "n")] + [_matrix(batch.column("ahead"), N_VALUES)]
+            if before is None:
+                yield _edge(now[0][0])
+            last = now[0][-1]
+            key, cls, n, ahead = now if before is None else [np.concatenate(x) for x in zip(before, now, strict=True)]
+            before = [x[-reach:] for x in (key, cls, n, ahead)]
+            center, best, most = cls.copy(), np.zeros(len(cls), np.int64), np.full(len(cls), -1.0)
+            for d in range(1, min(reach, len(cls) - 1) + 1):
+                at = np.flatnonzero((key[d:] == key[:-d]) & _sizes_allow(n[d:], n[:-d]))
+                e = _corrected(np.count_nonzero(ahead[at] == ahead[at + d], axis=1))
+                at, e = at[e >= LEAST_ESTIMATE], e[e >= LEAST_ESTIMATE]
+                for x, y in ((at, at + d), (at + d, at)):
+                    alike = e >= PER_CENT / 100
+                    center[x[alike]] = np.minimum(center[x[alike]], cls[y[alike]])
+                    closer = e > most[x]
+                    most[x[closer]], best[x[closer]] = e[closer], cls[y[closer]]
+            some = np.flatnonzero(most > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (key, cls, center, best, most)], ["key", "a", "center", "best", "estimate"])
+        if last is not None:
+            yield _edge(last)
 
     return each
 
 
+def _edge(key: int) -> pa.RecordBatch:
+    none = pa.array([None], pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), none, none, none, pa.array([None], pa.float64())], ["key", "a", "center", "best", "estimate"])
+
+
+def _deepened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of crowded regions under SUBTREES keys of DEPTH values each, which the region's key picks."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, 4096):
+            batch = whole.slice(start, 4096)
+            key, sketch = np.asarray(batch.column("key")).view(np.uint64), _matrix(batch.column("sketch"))
+            rows = np.arange(len(key))
+            for sub in range(SUBTREES):
+                own = mix64(key + np.uint64(sub + 1))
+                picks = own.copy()
+                for _ in range(DEPTH):
+                    picks = mix64(picks)
+                    own = mix64(own + sketch[rows, (picks % np.uint64(N_VALUES)).astype(np.int64)].astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), *(batch.column(c) for c in ("cls", "n", "root"))], ["key", "cls", "n", "root"])
+
+
 def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
     """(key, its stretches) of batches sorted by key; a stretch is part of a batch."""
 
@@ -237,7 +259,7 @@ def _screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     class of another component across the cell."""
 
     def arrays(part: pa.RecordBatch) -> list[np.ndarray]:
-        return [np.asarray(part.column(c)) for c in ("cls", "root", "n", "tag")] + [_matrix(part.column("sketch"))]
+        return [np.asarray(part.column(c)) for c in ("cls", "root", "n", "tag", "crowded")] + [_matrix(part.column("sketch"))]
 
     def rows(cell: int, cls: np.ndarray, root: np.ndarray, held: bool) -> pa.RecordBatch:
         cols = [np.full(len(cls), cell), cls, root, np.full(len(cls), held)]
@@ -274,9 +296,9 @@ def _screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _allowed(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Which of two lists of classes (cls, root, n, tag, sketch) may link: other components, fitting sizes and sketches.
-    A pair is left to the first tree in which both share a region; tag says which tree's region this is, -1 for one of
-    a deeper level, where no pair is left to another."""
+    """Which of two lists of classes (cls, root, n, tag, crowded, sketch) may link: other components, fitting sizes and
+    sketches. A pair is left to the first tree in which both share a region that isn't crowded (a bit for each tree); tag
+    says which tree's region this is, -1 for one of a deeper level, where no pair is left to another."""
     out = np.empty((len(a[0]), len(b[0])), dtype=bool)
     tag = int(b[3][0]) if len(b[3]) else -1
     for i in range(0, len(a[0]), 64):
@@ -285,11 +307,12 @@ def _allowed(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
         x, y = np.nonzero(some)
         close = np.empty(len(x), dtype=bool)
         for j in range(0, len(x), 20_000):
-            p, q = a[4][own][x[j : j + 20_000]], b[4][y[j : j + 20_000]]
+            p, q = a[5][own][x[j : j + 20_000]], b[5][y[j : j + 20_000]]
             near = _corrected(np.count_nonzero(p[:, :N_VALUES] == q[:, :N_VALUES], axis=1)) >= LEAST_ESTIMATE
             if tag >= 0:
                 at = np.flatnonzero(near)
                 same = (p[at, N_VALUES:] == q[at, N_VALUES:]).reshape(-1, TREES, 3).all(axis=2)
+                same &= (a[4][own][x[j : j + 20_000][at], None] >> np.arange(TREES)) & 1 == 0
                 # the tag is that of the region's key itself
                 first = same.argmax(axis=1)
                 keys = p[at, N_VALUES:].reshape(-1, TREES, 3)[np.arange(len(at)), first].astype(np.int64)
@@ -471,9 +494,9 @@ def _cells(rooted: DataFrame, stats: DataFrame) -> DataFrame:
 
 def across(forest: DataFrame, sketches: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
     """cell, cls, root, held: the classes that may link with another component, in the cells where they meet.
-    forest: key, cls, n; sketches: cls, sketch."""
-    rooted = scratch.put(forest.join(roots, forest["cls"] == roots["id"], "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root")))
-    found = None
+    forest: key, tree, cls, n; sketches: cls, sketch."""
+    rooted = scratch.put(forest.join(roots, forest["cls"] == roots["id"], "left").select("key", "tree", "cls", "n", F.coalesce("root", "cls").alias("root")))
+    found, known = None, sketches.withColumn("crowded", F.lit(0))
     for level in range(LEVELS + 1):
         per = scratch.put(rooted.groupBy("key", "root").agg(F.count("*").alias("n")))
         stats = per.groupBy("key").agg(F.sum("n").alias("all"), F.max_by("root", F.struct("n", "root")).alias("major"), F.max("n").alias("most"), F.count("*").alias("roots"))
@@ -484,20 +507,25 @@ def across(forest: DataFrame, sketches: DataFrame, roots: DataFrame, scratch: Sc
                 F.ceil(F.col("most") / (2 * BLOCK)).cast("long").alias("shares"), F.lit(-1).cast("long").alias("tag") if level else F.pmod("key", F.lit(1 << 24)).alias("tag"),
             )
         )
+        crowded = stats.where(F.col("work") > WORK).select("key")
         ready = stats if level == LEVELS else stats.where(F.col("work") <= WORK)
-        met = _cells(rooted, ready.drop("work")).join(sketches, "cls").repartition("cell").sortWithinPartitions("cell", F.desc("held"))
+        last = level == LEVELS or crowded.isEmpty()
+        within = rooted if last else scratch.put(rooted.join(crowded, "key", "left_semi"))
+        if level == 0 and not last:
+            bits = within.groupBy("cls").agg(F.expr("bit_or(shiftleft(1, tree))").alias("crowded"))
+            known = scratch.put(sketches.join(bits, "cls", "left").select("cls", "sketch", F.coalesce("crowded", F.lit(0)).alias("crowded")))
+        met = _cells(rooted, ready.drop("work")).join(known, "cls").repartition("cell").sortWithinPartitions("cell", F.desc("held"))
         met = scratch.put(met.mapInArrow(_screened, INVOLVED))
         found = met if found is None else found.unionByName(met)
-        crowded = stats.where(F.col("work") > WORK).select("key")
-        if level == LEVELS or crowded.isEmpty():
+        if last:
             return found
-        rooted = scratch.put(rooted.join(crowded, "key", "left_semi").join(sketches, "cls").mapInArrow(_deepened(level), "key long, cls long, n long, root long"))
+        rooted = scratch.put(within.select("key", "cls", "n", "root").join(sketches, "cls").mapInArrow(_deepened, "key long, cls long, n long, root long"))
     return found
 
 
-def link_classes(docs: DataFrame, scratch: Scratch, words: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(rows, roots): doc_id, rk, cls, n_shingles of every document, and cls, root of every class that has a link."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("rk"), "text")
+def grown(texts: DataFrame, scratch: Scratch, words: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows, nodes, sketches, forest): doc_id, rk, cls, n_shingles of every document; cls, doc_id and cls, sketch of every
+    class; and the rows of its trees."""
     made = scratch.put(texts.mapInArrow(_features(words), FEATURES))
     rows = scratch.put(made.select("doc_id", "rk", "cls", "n_shingles"))
     classes = scratch.put(
@@ -509,10 +537,17 @@ def link_classes(docs: DataFrame, scratch: Scratch, words: int = 2) -> tuple[Dat
     forest = scratch.put(classes.select("cls", "n", "keys", "sketch").mapInArrow(_forest(KeyFilter(shared)), FOREST))
     nodes, sketches = scratch.put(classes.select("cls", "doc_id")), scratch.put(classes.select("cls", "sketch"))
     scratch.clear(classes, shared)
+    return rows, nodes, sketches, forest
+
+
+def link_classes(docs: DataFrame, scratch: Scratch, words: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(rows, roots): doc_id, rk, cls, n_shingles of every document, and cls, root of every class that has a link."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("rk"), "text")
+    rows, nodes, sketches, forest = grown(texts, scratch, words)
     # the sorted orders: equal stretches are dealt by what follows in the order, so no region is bound to one task
     ordered = forest.repartitionByRange("key", F.substring("ahead", 1, 8), "cls").sortWithinPartitions("key", "ahead", "cls")
-    near = scratch.put(ordered.mapInArrow(_neighbours, "key long, a long, center long, best long, estimate double"))
-    best = near.groupBy("a").agg(F.min("center").alias("center"), F.max_by("best", F.struct("estimate", "best")).alias("best"))
+    near = scratch.put(ordered.mapInArrow(_neighbours(NEIGHBOURS), NEAR))
+    best = near.where("a IS NOT NULL").groupBy("a").agg(F.min("center").alias("center"), F.max_by("best", F.struct("estimate", "best")).alias("best"))
     picked = best.select("a", F.when(F.col("center") < F.col("a"), F.col("center")).otherwise(F.col("best")).alias("b"))
     picks = scratch.put(picked.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.max(F.struct("a", "b")).alias("p")).select("p.a", "p.b"))
 
@@ -523,9 +558,9 @@ def link_classes(docs: DataFrame, scratch: Scratch, words: int = 2) -> tuple[Dat
     stock = texts_of(picks.select(F.explode(F.array("a", "b")).alias("cls")))
     links = confirm(picks, stock, words, scratch)
     scratch.clear(stock)
-    # where all pairs of a region were neighbours and none looked alike, there is no link
+    # where all pairs of a region were neighbours in one task and none looked alike, there is no link
     live = near.select("key").unionByName(forest.groupBy("key").count().where(F.col("count") > NEIGHBOURS + 1).select("key")).distinct()
-    thin = scratch.put(forest.select("key", "cls", "n").join(live, "key", "left_semi"))
+    thin = scratch.put(forest.select("key", "tree", "cls", "n").join(live, "key", "left_semi"))
     scratch.clear(forest, near)
     involved = across(thin, sketches, components(links, scratch), scratch)
     scratch.clear(sketches)
