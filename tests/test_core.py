@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from tickforge.operators import contracts as C
 from tickforge.operators import evaluate as E
+from tickforge.operators import fits as M
 from tickforge.operators import regression as R
 from tickforge.operators import scores as S
 from tickforge.operators import spells as P
@@ -101,9 +102,10 @@ def test_logit_fit_and_auc(spark):
     p = 1 / (1 + np.exp(-(0.2 + 1.7 * q)))
     rows = [("d", "all", i, 0, float(a), 0.0, round(1e6 * b), round(1e6 * (1 - b))) for i, (a, b) in enumerate(zip(q, p, strict=True))]
     cells = spark.createDataFrame(rows, "date string, spread_bucket string, queue_bin int, ofi_bin int, queue_center double, ofi_center double, up_moves long, down_moves long")
-    beta = S.fit_logit(cells, ["queue_center"])
-    assert beta == pytest.approx([0.2, 1.7], abs=1e-4)
-    scored = S.with_logit(cells, ["queue_center"], beta)
+    fits = M.fit_groups(cells, ["spread_bucket"], {"queue": M.MODELS["queue"]})
+    r = fits.first()
+    assert [r["intercept"], r["queue"]] == pytest.approx([0.2, 1.7], abs=1e-4) and r["ofi"] is None and r["converged"]
+    scored = M.with_fits(cells, fits, ["spread_bucket"])
     up, down = np.array([r[6] for r in rows], float), np.array([r[7] for r in rows], float)
     pairs = sum(up[i] * (down[:i].sum() + 0.5 * down[i]) for i in range(7))
     assert S.auc(scored, ["spread_bucket"]).first()["auc"] == pytest.approx(pairs / (up.sum() * down.sum()))
@@ -141,20 +143,31 @@ def test_family_of_policies(spark):
     assert got["thin"]["mean_bps"] == 0.5 and got["thin"]["lower_bps"] is None and got["none"]["mean_bps"] is None
 
 
-def test_separable_cells_have_no_fit(spark):
-    rows = [(-0.5, 0, 10), (0.5, 10, 0)]
-    with pytest.raises(ValueError, match="converge"):
-        S.fit_logit(spark.createDataFrame(rows, "queue_center double, up_moves long, down_moves long"), ["queue_center"])
+def test_separable_cells_and_single_outcomes_have_no_fit(spark):
+    rows = [("a", -0.5, 0.0, 0, 10), ("a", 0.5, 0.0, 10, 0), ("b", 0.1, 0.0, 3, 0)]
+    cells = spark.createDataFrame(rows, "spread_bucket string, queue_center double, ofi_center double, up_moves long, down_moves long")
+    fits = M.fit_groups(cells, ["spread_bucket"], {"queue": M.MODELS["queue"]})
+    assert [(r["spread_bucket"], r["converged"]) for r in fits.collect()] == [("a", False)]
+    assert M.with_fits(cells.withColumn("date", F.lit("d")), fits, ["spread_bucket"]).count() == 0
 
 
 def test_rolling_origins_are_months(spark):
     rng = np.random.default_rng(6)
-    rows = [(f"2024-{m:02d}-{d:02d}", q / 10, f / 10, int(rng.integers(1, 9)), int(rng.integers(1, 9))) for m in range(1, 9) for d in (3, 17) for q in (-5, 5) for f in (-5, 5)]
-    cells = spark.createDataFrame(rows, "date string, queue_center double, ofi_center double, up_moves long, down_moves long")
-    folds = E.rolling_origins(cells)
+    rows = [("all_spreads", f"2024-{m:02d}-{d:02d}", q / 10, f / 10, int(rng.integers(1, 9)), int(rng.integers(1, 9))) for m in range(1, 9) for d in (3, 17) for q in (-5, 5) for f in (-5, 5)]
+    cells = spark.createDataFrame(rows, "spread_bucket string, date string, queue_center double, ofi_center double, up_moves long, down_moves long")
+    train, test = E.expanding(cells, ["spread_bucket"], 6, "month")
+    for origin in ("2024-07-01", "2024-08-01"):
+        got = {(r["queue_center"], r["ofi_center"]): (r["up_moves"], r["down_moves"]) for r in train.where(F.col("origin") == origin).collect()}
+        want = {(q / 10, f / 10): tuple(sum(r[i] for r in rows if r[1] < origin and r[2:4] == (q / 10, f / 10)) for i in (4, 5)) for q in (-5, 5) for f in (-5, 5)}
+        assert got == want
+    assert sorted({r["date"] for r in test.collect()}) == ["2024-07-03", "2024-07-17", "2024-08-03", "2024-08-17"]
+    scored = E.rolling_scored(cells)
+    folds = E.rolling_folds(scored).where("model = 'both'")
     assert [r["origin"] for r in folds.orderBy("origin").collect()] == ["2024-07-01", "2024-08-01"]
     s = E.stability_summary(folds).first()
     assert s["folds"] == 2 and 0 <= s["positive_folds"] <= 2 and s["least_improvement"] <= s["median_improvement"]
+    got = {(r["challenger"], r["reference"], r["block"]): r for r in E.rolling_comparisons(scored, 500, 7, (1, 2)).collect()}
+    assert len(got) == 8 and all(r["months"] == 2 and r["clusters"] == 4 for r in got.values())
 
 
 POLICY = """

@@ -1,6 +1,8 @@
 """Command line: ``python -m tickforge.cli VERB ...``. Every verb reads with Spark and writes tables to a folder.
 
-Verbs that start from raw session pairs take --raw-dir; the analyses take events written by ``prepare-events``.
+Verbs that start from raw session pairs take --raw-dir; the analyses take events written by ``prepare-events``; the
+evaluations also take the grid they need from a file (--bins PATH, or --bins N=PATH for each of several resolutions), as
+``replay --format csv`` writes it. Given a policy, every verb first checks its scope and calendar against the data.
 """
 
 from __future__ import annotations
@@ -8,12 +10,16 @@ from __future__ import annotations
 import argparse
 import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickforge.operators import audit as A
 from tickforge.operators import contracts as C
+from tickforge.operators import economics as N
 from tickforge.operators import evaluate as E
+from tickforge.operators import fits as M
 from tickforge.operators import grids as G
 from tickforge.operators import liquidity as L
 from tickforge.operators import orders as O
@@ -23,13 +29,18 @@ from tickforge.operators import spells as P
 from tickforge.operators import windows as W
 from tickforge.plans.books import transitions
 from tickforge.session import session
+from tickforge.sources import grids as X
+from tickforge.sources import policy as Y
 from tickforge.sources import raw
 from tickforge.sources.policy import Policy, parse
+from tickforge.sources.settle import settled
 
 BINS, QUEUE_BINS = 31, 101
 UPDATES, CLOCKS = [1, 5, 20, 100], [10, 100, 1000, 10_000]
 LATENCIES, AGE, SIZES = [0, 10, 100, 1000, 10_000], 100, [1, 100, 500]
 FRACTIONS = [1.0, 0.2, 0.1, 0.05]
+REPLICATES, SEED = 10_000, 42
+GRIDS = (21, 31, 41)
 
 
 def trades_of(orders: DataFrame) -> DataFrame:
@@ -44,6 +55,8 @@ class Run:
     def __init__(self, spark: SparkSession, args: argparse.Namespace):
         self.spark, self.args = spark, args
         self.policy: Policy | None = parse("\n".join(r[0] for r in spark.read.text(args.analysis_policy).collect())) if args.analysis_policy else None
+        if self.policy and (args.symbol or args.year):
+            Y.require_scope(self.policy, args.symbol or self.policy["symbol"], args.year or self.policy["year"])
 
     def events(self) -> DataFrame:
         if self.args.raw_dir:
@@ -58,10 +71,62 @@ class Run:
         return P.labelled(self.flow())
 
     def test_from(self) -> str:
+        if not (self.args.test_start or self.policy):
+            raise C.ContractError("--test-start or --analysis-policy is needed")
         return self.args.test_start or self.policy["test_start"]
 
-    def cells(self) -> DataFrame:
-        return G.order_flow_bins(self.lab(), BINS).where(F.col("sample") == "best_quote_updates")
+    def selection_from(self) -> str:
+        if not (self.args.selection_start or self.policy):
+            raise C.ContractError("--selection-start or --analysis-policy is needed")
+        return self.args.selection_start or self.policy["selection_start"]
+
+    def checked(self, grid: DataFrame) -> DataFrame:
+        """The grid, written once, if its sessions are the policy's and its test sessions exist and aren't the first."""
+        grid = settled(grid)
+        if self.policy:
+            C.require(Y.universe_violations(grid.select("date"), self.policy))
+        if self.args.test_start or self.policy:
+            W.require_boundary(grid, self.test_from())
+        return grid
+
+    def grid(self, kind: str, made: Callable[[], DataFrame], *contracts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """The grid of --bins, or else made from the events; its contracts are checked either way."""
+        grid = self.checked(X.read_grid(self.spark, self.args.bins[0], kind) if self.args.bins else made())
+        for contract in contracts:
+            C.require(contract(grid))
+        return grid
+
+    def flow_cells(self) -> DataFrame:
+        grid = self.grid("order_flow", lambda: G.order_flow_bins(self.lab(), BINS), lambda g: C.cell_violations(g, ["date", "sample", "spread_bucket", "queue_bin", "ofi_bin"]))
+        return grid.where(F.col("sample") == "best_quote_updates")
+
+    def queue_cells(self) -> DataFrame:
+        grid = self.grid("queue", lambda: G.queue_bins(self.lab(), QUEUE_BINS), lambda g: C.cell_violations(g, ["date", "sample", "spread_bucket", "bin"]))
+        return grid.where(F.col("sample") == "best_quote_updates").withColumnRenamed("bin_center", "queue_center").withColumn("ofi_center", F.lit(0.0))
+
+    def several(self) -> DataFrame:
+        if self.args.bins:
+            if len(self.args.bins) < 2:
+                raise C.ContractError("at least two grids N=PATH are needed")
+            grids = X.read_grids(self.spark, self.args.bins, "order_flow")
+        else:
+            lab = self.lab()
+            grids = reduce(DataFrame.unionByName, [G.order_flow_bins(lab, n).withColumn("grid_bins_per_axis", F.lit(n)) for n in GRIDS])
+        grids = self.checked(grids)
+        C.require(C.cell_violations(grids, ["grid_bins_per_axis", "date", "sample", "spread_bucket", "queue_bin", "ofi_bin"]))
+        return grids.where(F.col("sample") == "best_quote_updates")
+
+    def horizons(self) -> DataFrame:
+        return self.grid("horizon", lambda: G.horizon_bins(f := self.flow(), P.labelled(f), BINS, UPDATES, CLOCKS), C.horizon_violations)
+
+    def markouts(self) -> DataFrame:
+        return self.grid("markout", lambda: G.markout_bins(self.lab(), BINS, LATENCIES), C.markout_violations)
+
+    def landmarks(self) -> DataFrame:
+        return self.grid("landmark", lambda: G.landmark_bins(G.landmarks(self.lab(), AGE, LATENCIES), BINS), C.markout_violations)
+
+    def trips(self) -> DataFrame:
+        return self.grid("round_trip", lambda: G.round_trip_bins(G.round_trips(G.with_exits(G.landmarks(P.labelled(f := self.flow()), AGE, LATENCIES), f), SIZES), BINS), C.round_trip_violations)
 
 
 def coverage(r: Run) -> dict[str, DataFrame]:
@@ -71,18 +136,24 @@ def coverage(r: Run) -> dict[str, DataFrame]:
 
 
 def replay(r: Run) -> dict[str, DataFrame]:
-    flow = r.flow().persist()
-    lab = P.labelled(flow)
-    marks = G.landmarks(lab, AGE, LATENCIES)
-    return {
-        "transitions": transitions(flow).groupBy("verdict", "event_type").agg(F.count("*").alias("events")),
-        "queue_bins": G.queue_bins(lab, QUEUE_BINS),
-        "order_flow_bins": G.order_flow_bins(lab, BINS),
-        "horizon_bins": G.horizon_bins(flow, lab, BINS, UPDATES, CLOCKS),
-        "markout_bins": G.markout_bins(lab, BINS, LATENCIES),
-        "landmark_bins": G.landmark_bins(marks, BINS),
-        "round_trip_bins": G.round_trip_bins(G.round_trips(G.with_exits(marks, flow), SIZES), BINS),
+    """The audit, which must reconcile unless --lenient is given, and the six grids as their files."""
+    flow = settled(r.flow())
+    lab = settled(P.labelled(flow))
+    sessions = settled(A.replay_audit(flow))
+    totals = A.audit_totals(sessions)
+    if not r.args.lenient:
+        C.require(A.audit_violations(totals))
+    marks = settled(G.landmarks(lab, AGE, LATENCIES))
+    grids = {
+        "queue": G.queue_bins(lab, QUEUE_BINS),
+        "order_flow": G.order_flow_bins(lab, BINS),
+        "horizon": G.horizon_bins(flow, lab, BINS, UPDATES, CLOCKS),
+        "markout": G.markout_bins(lab, BINS, LATENCIES),
+        "landmark": G.landmark_bins(marks, BINS),
+        "round_trip": G.round_trip_bins(G.round_trips(G.with_exits(marks, flow), SIZES), BINS),
     }
+    transit = transitions(flow).groupBy("verdict", "event_type").agg(F.count("*").alias("events"))
+    return {"replay_sessions": sessions, "replay_audit": totals, "transitions": transit} | {f"{k}_bins": X.as_file(g, k, AGE) for k, g in grids.items()}
 
 
 def analyze(r: Run) -> dict[str, DataFrame]:
@@ -112,38 +183,51 @@ def analyze(r: Run) -> dict[str, DataFrame]:
     }
 
 
-def economics(r: Run, grid: DataFrame) -> dict[str, DataFrame]:
-    """A fit on the earlier sessions' cells at no latency, cutoffs by share of signals, and economics after."""
-    first = grid.where("latency_us = 0").select("date", "spread_bucket", "queue_bin", "ofi_bin", "queue_center", "ofi_center", "up_moves", "down_moves")
-    train = first.where(F.col("date") < r.test_from())
-    beta = S.fit_logit(train.where("spread_bucket = 'all_spreads'"), E.MODELS["both"])
-    cut = S.confidence_cutoffs(S.with_logit(train, E.MODELS["both"], beta), ["spread_bucket"], FRACTIONS)
-    chosen = S.selected(S.with_logit(grid.where(F.col("date") >= r.test_from()), E.MODELS["both"], beta), cut, ["spread_bucket"])
-    if "shares" in grid.columns:
-        days = E.policy_days(chosen)
-        table = E.policy_table(days)
-        return {"cutoffs": cut, "policies": table, "best_policy": E.best_policy(table)}
-    return {"cutoffs": cut, "economics": E.markout_economics(chosen)}
+def economics(r: Run, grid: DataFrame, outcomes: N.Outcomes) -> dict[str, DataFrame]:
+    metrics = settled(N.signal_economics(grid, r.test_from(), outcomes, FRACTIONS, REPLICATES, SEED))
+    return {"metrics": metrics, "direction": N.direction_scores(grid, r.test_from(), REPLICATES, SEED)}
 
 
 def policy_audit(r: Run) -> dict[str, DataFrame]:
-    """The whole family: a fit and cutoffs on the sessions before the test, every policy on all sessions of it."""
-    flow = r.flow().persist()
-    grid = G.round_trip_bins(G.round_trips(G.with_exits(G.landmarks(P.labelled(flow), AGE, LATENCIES), flow), SIZES), BINS)
-    C.require(C.round_trip_violations(grid))
-    train = grid.where((F.col("date") < r.test_from()) & (F.col("latency_us") == 0) & (F.col("shares") == 1))
-    beta = S.fit_logit(train.where("spread_bucket = 'all_spreads'"), E.MODELS["both"])
-    cut = S.confidence_cutoffs(S.with_logit(train, E.MODELS["both"], beta), ["spread_bucket"], FRACTIONS)
-    days = E.policy_days(S.selected(S.with_logit(grid.where(F.col("date") >= r.test_from()), E.MODELS["both"], beta), cut, ["spread_bucket"]))
+    """The whole family on the test sessions: policies as given by --metrics, each reconstructed and compared with them, or
+    else a fit and cutoffs on the sessions before the test."""
+    grid = r.trips()
+    test = grid.where(F.col("date") >= r.test_from())
+    if r.args.metrics:
+        metrics = settled(X.read_grid(r.spark, r.args.metrics, "policy_metrics"))
+        C.require(E.metrics_violations(metrics))
+        days = settled(E.stored_policy_days(test, metrics))
+        C.require(E.reconstruction_violations(days, metrics))
+        days = days.groupBy(*E.METRIC_KEYS, "date").agg(F.sum("fills").alias("fills"), F.sum("pnl").alias("pnl"))
+        return {"policy_audit": S.family_audit(days, test.select("date"), E.METRIC_KEYS, REPLICATES, SEED)}
+    first = N.origin(grid).where(F.col("date") < r.test_from())
+    fitted = M.fit_groups(first, E.KEYS, {"both": M.MODELS["both"]})
+    cut = S.confidence_cutoffs(M.with_fits(first, fitted, E.KEYS).drop("model"), E.KEYS, FRACTIONS)
+    days = E.policy_days(S.selected(M.with_fits(test, fitted, E.KEYS).drop("model"), cut, E.KEYS))
     table = E.policy_table(days)
     C.require(E.policy_violations(table))
-    calendar = flow.where(F.col("date") >= r.test_from()).select("date").distinct()
-    return {"policy_audit": S.family_audit(days, calendar, E.POLICY, 10_000, 42), "missing_policies": E.missing_policies(table)}
+    return {"policy_audit": S.family_audit(days, test.select("date"), E.POLICY, REPLICATES, SEED), "missing_policies": E.missing_policies(table)}
 
 
 def stability(r: Run) -> dict[str, DataFrame]:
-    folds = E.rolling_origins(r.cells().where("spread_bucket = 'all_spreads'")).persist()
-    return {"folds": folds, "summary": E.stability_summary(folds)}
+    grid = r.landmarks()
+    C.require(E.stability_violations(grid))
+    scored = settled(E.rolling_scored(grid.where("latency_us = 0 AND spread_bucket IN ('all_spreads', 'one_tick')")))
+    folds = E.rolling_folds(scored)
+    return {"folds": folds, "overall": M.model_scores(scored, E.KEYS), "comparisons": E.rolling_comparisons(scored, REPLICATES, SEED), "summary": E.stability_summary(folds)}
+
+
+def queue(r: Run) -> dict[str, DataFrame]:
+    cells, models = r.queue_cells(), {m: M.MODELS[m] for m in ("intercept", "queue")}
+    return {
+        "metrics": E.evaluate_models(cells, r.test_from(), models), "comparisons": E.compare_models(cells, r.test_from(), REPLICATES, SEED, (("queue", "intercept"),)),
+        "calibration": E.queue_calibration(cells, r.test_from()),
+    }
+
+
+def order_flow(r: Run) -> dict[str, DataFrame]:
+    cells = r.flow_cells()
+    return {"metrics": E.evaluate_models(cells, r.test_from(), M.MODELS), "comparisons": E.compare_models(cells, r.test_from(), REPLICATES, SEED), "coefficients": M.fit_groups(cells.where(F.col("date") < r.test_from()), E.KEYS)}
 
 
 def liquidity(r: Run) -> dict[str, DataFrame]:
@@ -164,13 +248,13 @@ VERBS: dict[str, Callable[[Run], dict[str, DataFrame]]] = {
     "analyze": analyze,
     "analyze-sign-persistence": lambda r: {"persistence": L.permutation_test(trades_of(O.visible_orders(r.flow())), W.DFA_SCALES, 199)},
     "analyze-asymmetric-liquidity": liquidity,
-    "analyze-queue": lambda r: {"metrics": E.evaluate_models(r.cells(), r.test_from(), {"queue": ["queue_center"]})},
-    "analyze-order-flow": lambda r: {"metrics": E.evaluate_models(r.cells(), r.test_from(), E.MODELS), "comparisons": E.compare_models(r.cells().where("spread_bucket = 'all_spreads'"), r.test_from(), 10_000, 7)},
-    "analyze-order-flow-grid": lambda r: {f"metrics_{n}": E.evaluate_models(G.order_flow_bins(r.lab(), n).where("sample = 'best_quote_updates'"), r.test_from(), E.MODELS) for n in (21, 31, 41)},
-    "analyze-ofi-horizons": lambda r: {"selection": E.select_horizon(G.horizon_bins(f := r.flow(), P.labelled(f), BINS, UPDATES, CLOCKS).where("spread_bucket = 'all_spreads'"), r.args.selection_start or r.policy["selection_start"], r.test_from())},
-    "analyze-markouts": lambda r: economics(r, G.markout_bins(r.lab(), BINS, LATENCIES)),
-    "analyze-landmarks": lambda r: economics(r, G.landmark_bins(G.landmarks(r.lab(), AGE, LATENCIES), BINS)),
-    "analyze-round-trips": lambda r: economics(r, G.round_trip_bins(G.round_trips(G.with_exits(G.landmarks(P.labelled(f := r.flow()), AGE, LATENCIES), f), SIZES), BINS)),
+    "analyze-queue": queue,
+    "analyze-order-flow": order_flow,
+    "analyze-order-flow-grid": lambda r: {"metrics": E.evaluate_grids(r.several(), r.test_from(), REPLICATES, SEED)},
+    "analyze-ofi-horizons": lambda r: {"selection": E.select_horizon(r.horizons(), r.selection_from(), r.test_from(), REPLICATES, SEED)},
+    "analyze-markouts": lambda r: economics(r, r.markouts(), N.MARKOUTS),
+    "analyze-landmarks": lambda r: economics(r, r.landmarks(), N.MARKOUTS),
+    "analyze-round-trips": lambda r: economics(r, r.trips(), N.ROUND_TRIPS),
     "analyze-signal-stability": stability,
     "audit-round-trip-policies": policy_audit,
 }
@@ -181,6 +265,9 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("verb", choices=sorted(VERBS))
     out.add_argument("--raw-dir", help="folder of raw session pairs")
     out.add_argument("--events", help="Parquet of prepared events")
+    out.add_argument("--bins", action="append", metavar="PATH or N=PATH", help="CSV or Parquet of a grid; N=PATH for several resolutions")
+    out.add_argument("--metrics", help="CSV or Parquet of policy metrics to reconcile")
+    out.add_argument("--lenient", action="store_true", help="replay: report a failed audit instead of stopping")
     out.add_argument("--output", required=True, help="folder for the tables")
     out.add_argument("--symbol")
     out.add_argument("--year", type=int)
@@ -193,8 +280,8 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> dict[str, int]:
     args = parser().parse_args(argv)
-    if not (args.raw_dir or args.events):
-        raise SystemExit("one of --raw-dir and --events is needed")
+    if not (args.raw_dir or args.events or args.bins):
+        raise SystemExit("one of --raw-dir, --events and --bins is needed")
     spark = spark or session()
     counts = {}
     for name, df in VERBS[args.verb](Run(spark, args)).items():

@@ -38,6 +38,30 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).count().where("count > 1")
 
 
+def one_to_one_violations(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """rule, violations: keys that stand more than once on a side, and keys that only one side has. One join of the sides'
+    counts by key."""
+    sides = [df.groupBy(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias(name)) for df, name in ((left, "left"), (right, "right"))]
+    both = sides[0].join(sides[1], [f"_{i}" for i in range(len(keys))], "full")
+    return count_violations(
+        both,
+        {"left_duplicates": F.col("left") > 1, "right_duplicates": F.col("right") > 1, "left_only": F.col("right").isNull(), "right_only": F.col("left").isNull()},
+    )
+
+
+def one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """The join of two tables whose keys must be unique on both sides; keys of one side only are left out."""
+    require(one_to_one_violations(left, right, keys).where("rule IN ('left_duplicates', 'right_duplicates')"))
+    return left.join(right, keys)
+
+
+def cell_violations(grid: DataFrame, keys: list[str]) -> DataFrame:
+    """Observations that aren't the moves' sum, and cells that stand twice."""
+    own = count_violations(grid, {"moves_match": F.col("observations") != F.col("up_moves") + F.col("down_moves")})
+    twice = duplicate_keys(grid, keys).agg(F.count("*").alias("violations")).select(F.lit("duplicate_cells").alias("rule"), "violations")
+    return own.unionByName(twice)
+
+
 def markout_violations(grid: DataFrame) -> DataFrame:
     c = F.col
     return count_violations(

@@ -80,31 +80,6 @@ def selected(cells: DataFrame, cutoffs: DataFrame, keys: list[str]) -> DataFrame
     return joined.withColumn("action", F.when(F.col("p") >= 0.5, 1).otherwise(-1))
 
 
-def fit_logit(cells: DataFrame, features: list[str], steps: int = 50) -> np.ndarray:
-    """Unpenalised weighted logistic fit by Newton steps. Cells are first collapsed to distinct feature values (at most
-    bins squared rows), which is what the driver gets. Cells that a line separates have no fit and are an error."""
-    grouped = cells.groupBy(*(features or [F.lit(0).alias("none")])).agg(F.sum("up_moves").alias("u"), F.sum("down_moves").alias("d")).toPandas()
-    x = np.column_stack([np.ones(len(grouped)), *[grouped[f].to_numpy(float) for f in features]])
-    u, d = grouped["u"].to_numpy(float), grouped["d"].to_numpy(float)
-    beta = np.zeros(x.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -35, 35)))
-        gradient = x.T @ (u - (u + d) * p)
-        hessian = x.T @ (x * ((u + d) * p * (1 - p))[:, None])
-        step = np.linalg.lstsq(hessian, gradient, rcond=None)[0]
-        beta = beta + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-9:
-            return beta
-    raise ValueError("the logistic fit doesn't converge; the outcomes may be separable")
-
-
-def with_logit(cells: DataFrame, features: list[str], beta: np.ndarray, name: str = "p") -> DataFrame:
-    z = F.lit(float(beta[0]))
-    for f, b in zip(features, beta[1:], strict=True):
-        z = z + float(b) * F.col(f)
-    return cells.withColumn(name, 1.0 / (1.0 + F.exp(-z)))
-
-
 def squared_loss(p: str) -> Column:
     return F.sum(F.col("up_moves") * (1 - F.col(p)) * (1 - F.col(p)) + F.col("down_moves") * F.col(p) * F.col(p))
 

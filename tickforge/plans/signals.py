@@ -9,6 +9,7 @@ from tickforge.operators import evaluate as E
 from tickforge.operators import scores as S
 from tickforge.plans import books as K
 from tickforge.plans.registry import add
+from tickforge.sources.settle import settled
 
 QUEUE, OFI = 1.3, 1.1
 FRACTIONS = [1.0, 0.2, 0.1, 0.05]
@@ -36,12 +37,12 @@ RANKED = CELLS + ", ck AS (SELECT date, spread_bucket, queue_bin, ofi_bin, queue
 add("q_weighted_auc", "spread_bucket:s up:l down:l auc:d", lambda s, d: S.auc(ranked(s, d), ["spread_bucket"]), "SELECT spread_bucket, sum(u) AS up, sum(d) AS down, sum(u * (below + 0.5 * d)) / nullif(CAST(sum(u) * sum(d) AS DOUBLE), 0) AS auc FROM (SELECT *, coalesce(sum(d) OVER (PARTITION BY spread_bucket ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT spread_bucket, p, sum(up_moves) AS u, sum(down_moves) AS d FROM ck GROUP BY spread_bucket, p)) GROUP BY spread_bucket", RANKED)
 
 
-def quantile_sql(source: str, x: str, points: list[float], where: str = "true") -> str:
+def quantile_sql(source: str, x: str, points: list[float], where: str = "true", keys: str = "spread_bucket") -> str:
     listed = ", ".join(f"CAST({p!r} AS DOUBLE)" for p in points)
-    return f"""SELECT spread_bucket, point, max(value) AS value FROM (SELECT spread_bucket, point, CASE WHEN first AND point <= pos THEN x WHEN point > pos AND next_pos IS NULL THEN x
+    return f"""SELECT {keys}, point, max(value) AS value FROM (SELECT {keys}, point, CASE WHEN first AND point <= pos THEN x WHEN point > pos AND next_pos IS NULL THEN x
       WHEN point > pos AND point <= next_pos THEN x + (point - pos) / (next_pos - pos) * (next_x - x) END AS value FROM (SELECT *, lead(pos) OVER o AS next_pos, lead(x) OVER o AS next_x, row_number() OVER o = 1 AS first FROM
-      (SELECT spread_bucket, date, queue_bin, ofi_bin, {x} AS x, (sum(w) OVER (PARTITION BY spread_bucket ORDER BY {x}, date, queue_bin, ofi_bin ROWS UNBOUNDED PRECEDING) - 0.5 * w) / CAST(sum(w) OVER (PARTITION BY spread_bucket) AS DOUBLE) AS pos FROM {source} WHERE w > 0 AND {where})
-      WINDOW o AS (PARTITION BY spread_bucket ORDER BY x, date, queue_bin, ofi_bin)), (SELECT unnest([{listed}]) AS point)) WHERE value IS NOT NULL GROUP BY spread_bucket, point"""
+      (SELECT {keys}, date, queue_bin, ofi_bin, {x} AS x, (sum(w) OVER (PARTITION BY {keys} ORDER BY {x}, date, queue_bin, ofi_bin ROWS UNBOUNDED PRECEDING) - 0.5 * w) / CAST(sum(w) OVER (PARTITION BY {keys}) AS DOUBLE) AS pos FROM {source} WHERE w > 0 AND {where})
+      WINDOW o AS (PARTITION BY {keys} ORDER BY x, date, queue_bin, ofi_bin)), (SELECT unnest([{listed}]) AS point)) WHERE value IS NOT NULL GROUP BY {keys}, point"""
 
 
 PART = [1 - f for f in FRACTIONS if f < 1]
@@ -154,14 +155,6 @@ add(
       FROM fa, (SELECT quantile_cont(largest, 0.95) AS c FROM fb)""", _FAMILY,
 )
 
-# evaluations that fit: rows only, as the fits are Newton iterations
-add("q_logit_fit", "feature:s coefficient:d", lambda s, d: E.logit_table(cells(s, d).where("spread_bucket = 'all_spreads'"), ["queue_center", "ofi_center"]))
-add("q_queue_evaluation", "spread_bucket:s model:s n:l brier:d log_loss:d accuracy:d auc:d", lambda s, d: E.evaluate_models(cells(s, d), TEST_FROM, {"queue": ["queue_center"]}))
-add("q_order_flow_evaluation", "spread_bucket:s model:s n:l brier:d log_loss:d accuracy:d auc:d", lambda s, d: E.evaluate_models(cells(s, d), TEST_FROM, E.MODELS))
-add("q_order_flow_comparisons", "challenger:s reference:s " + INTERVAL, lambda s, d: E.compare_models(cells(s, d).where("spread_bucket = 'all_spreads'"), TEST_FROM, REPLICATES, SEED))
-add("q_horizon_selection", "horizon_kind:s horizon_value:l selection_brier:d chosen:b test_brier:d", lambda s, d: E.select_horizon(K.horizon_grid(s, d).where("spread_bucket = 'all_spreads'"), "2024-01-18", TEST_FROM))
-add("q_signal_stability", "origin:s n:l brier:d reference_brier:d improvement:d", lambda s, d: E.rolling_origins(cells(s, d).where("spread_bucket = 'all_spreads'"), first=2, unit="week"))
-
 # calendars and completeness
 add("q_calendar_setops", "side:s date:s", lambda s, d: E.calendar_differences(K.lob_events(s, d).select("date").distinct(), K.lab(s, d).where("bucket = 'one_tick'").select("date").distinct()), "SELECT 'left_only' AS side, date FROM (SELECT DISTINCT date FROM lob EXCEPT SELECT DISTINCT date FROM lab WHERE bucket = 'one_tick') UNION ALL SELECT 'both', date FROM (SELECT DISTINCT date FROM lob INTERSECT SELECT DISTINCT date FROM lab WHERE bucket = 'one_tick')", K.LAB_SQL)
 add("q_policy_grid_completeness", POLICY.replace(" ", ":l ").replace("spread_bucket:l", "spread_bucket:s") + ":d", lambda s, d: E.missing_policies(E.policy_table(policies(s, d))), f"SELECT * FROM (SELECT * FROM (SELECT DISTINCT spread_bucket FROM ({_POLICIES})), (SELECT DISTINCT latency_us FROM ({_POLICIES})), (SELECT DISTINCT shares FROM ({_POLICIES})), (SELECT DISTINCT fraction FROM ({_POLICIES})) EXCEPT SELECT spread_bucket, latency_us, shares, fraction FROM ({_POLICIES}))", TRIPS)
@@ -177,3 +170,44 @@ def broken_policies(s: SparkSession, d: str) -> DataFrame:
 _BROKEN = f"SELECT spread_bucket, latency_us, shares, fraction, signals, CASE WHEN shares > 1 THEN 2 * fills + 1 ELSE fills END AS fills, pnl_bps, CASE WHEN latency_us = 0 THEN 0 ELSE filled_dates END AS filled_dates FROM ({_POLICIES})"
 add("q_contract_policies", "rule:s violations:l", lambda s, d: E.policy_violations(E.policy_table(policies(s, d))), _RULES.format(_POLICIES), TRIPS)
 add("q_contract_policies_broken", "rule:s violations:l", lambda s, d: E.policy_violations(broken_policies(s, d)), _RULES.format(_BROKEN), TRIPS)
+
+
+# stored metrics of policies, some tampered with, against their reconstruction
+
+
+def policy_metrics(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(grid, metrics): the metrics of fixed coefficients at cutoffs off any cell's confidence; one fill more for a hundred
+    shares, a mean that is off, and the rarest fraction gone for five hundred shares."""
+    grid = settled(K.trip_grid(s, d))
+    cut = cutoffs(s, d).select("spread_bucket", F.lit("both").alias("model"), F.col("fraction").alias("target_train_fraction"), (F.round("cutoff", 6) + 5e-7).alias("confidence_cutoff"))
+    own = settled(cut.join(grid.select("spread_bucket", "latency_us", "shares").distinct(), "spread_bucket").select("*", F.lit(0.0).alias("intercept"), F.lit(QUEUE).alias("queue_coefficient"), F.lit(OFI).alias("ofi_coefficient")))
+    whole = E.stored_policy_days(grid, own).groupBy(*E.METRIC_KEYS).agg(*[F.sum(c).alias(c) for c in ("signals", "arrived", "fills", "pnl")])
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    mean = F.col("pnl") / F.when(F.col("fills") > 0, F.col("fills"))
+    rows = own.join(whole, E.METRIC_KEYS, "left").where("NOT (shares = 500 AND target_train_fraction < 0.06)").select(
+        *own.columns, F.lit("2024-01-01").alias("test_first_date"), F.lit("2024-01-30").alias("test_last_date"), F.lit(30).cast("long").alias("clusters"),
+        n("signals").alias("selected_test_signals"), n("arrived").alias("arrived_test_signals"), (n("fills") + F.when(F.col("shares") == 100, 1).otherwise(0)).alias("filled_round_trips"),
+        (mean + F.when((F.col("latency_us") == 0) & (F.col("shares") == 1), 0.5).otherwise(0.0)).alias("quoted_round_trip_mean_bps"),
+    )
+    return grid, rows
+
+
+def reconciled(s: SparkSession, d: str) -> DataFrame:
+    grid, metrics = policy_metrics(s, d)
+    metrics = settled(metrics)
+    return E.metrics_violations(metrics).unionByName(E.reconstruction_violations(E.stored_policy_days(grid, metrics), metrics))
+
+
+add(
+    "q_policy_reconciliation", "rule:s violations:l", reconciled,
+    """SELECT 'arrived_beyond_selected' AS rule, count(*) FILTER (WHERE arrived > signals) AS violations FROM mt UNION ALL SELECT 'filled_beyond_arrived', count(*) FILTER (WHERE told > arrived) FROM mt
+      UNION ALL SELECT 'null_iff_no_fills', count(*) FILTER (WHERE (told = 0) <> (mean IS NULL)) FROM mt UNION ALL SELECT 'too_few_clusters', 0 UNION ALL SELECT 'duplicate_policies', 0
+      UNION ALL SELECT 'missing_policies', count(DISTINCT spread_bucket) * count(DISTINCT fraction) * count(DISTINCT latency_us) * count(DISTINCT shares) - count(*) FROM mt UNION ALL SELECT 'dates_differ', 0
+      UNION ALL SELECT 'counts_differ', count(*) FILTER (WHERE told <> fills) FROM mt UNION ALL SELECT 'profit_differs', count(*) FILTER (WHERE mean IS DISTINCT FROM real) FROM mt UNION ALL SELECT 'not_stored', 0""",
+    RANKED + K.TRIP_CTES[len(K.LAB_SQL) :] + f""", tg AS MATERIALIZED ({K.centered(K.TRIP_GRID)}), tk AS (SELECT spread_bucket, fraction, round(cutoff, 6) + 5e-7 AS cutoff FROM ({CUTOFF_SQL})),
+    tp AS (SELECT *, {_P.format(QUEUE, OFI)} AS p FROM tg), tx AS (SELECT tk.*, latency_us, shares FROM tk JOIN (SELECT DISTINCT spread_bucket, latency_us, shares FROM tg) USING (spread_bucket)),
+    ts2 AS (SELECT spread_bucket, fraction, latency_us, shares, sum(signals) AS signals, sum(arrived) AS arrived, sum(CASE WHEN p >= 0.5 THEN long_fills ELSE short_fills END) AS fills, sum(CASE WHEN p >= 0.5 THEN long_pnl_sum_bps ELSE short_pnl_sum_bps END) AS pnl
+      FROM tx JOIN tp USING (spread_bucket, latency_us, shares) WHERE abs(p - 0.5) >= cutoff GROUP BY ALL),
+    mt AS (SELECT spread_bucket, fraction, latency_us, shares, coalesce(signals, 0) AS signals, coalesce(arrived, 0) AS arrived, coalesce(fills, 0) AS fills, coalesce(fills, 0) + CASE WHEN shares = 100 THEN 1 ELSE 0 END AS told,
+      pnl / nullif(fills, 0) AS real, pnl / nullif(fills, 0) + CASE WHEN latency_us = 0 AND shares = 1 THEN 0.5 ELSE 0 END AS mean FROM tx LEFT JOIN ts2 USING (spread_bucket, fraction, latency_us, shares) WHERE NOT (shares = 500 AND fraction < 0.06))""",
+)
