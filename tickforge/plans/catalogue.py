@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickforge.plans import audits, books, evaluations, signals, trades
+from tickforge.plans import audits, books, evaluations, signals, trades, visible
 from tickforge.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "audits", "books", "evaluations", "signals", "trades"]
+__all__ = ["QUERIES", "SQL", "audits", "books", "evaluations", "signals", "trades", "visible"]

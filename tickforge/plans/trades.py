@@ -264,17 +264,6 @@ add("q_confusion", "sign:l tp:l fp:l fn:l tn:l precision_:d recall_:d", lambda s
     """SELECT sign, tp, fp, fn, tn, CAST(tp AS DOUBLE) / nullif(tp + fp, 0) AS precision_, CAST(tp AS DOUBLE) / nullif(tp + fn, 0) AS recall_ FROM (SELECT sign, count(*) FILTER (WHERE p AND o) AS tp, count(*) FILTER (WHERE p AND NOT o) AS fp,
       count(*) FILTER (WHERE NOT p AND o) AS fn, count(*) FILTER (WHERE NOT p AND NOT o) AS tn FROM (SELECT sign, expectedness > 0 AS p, size > 25 AS o FROM ex WHERE is_test) GROUP BY sign)""", _AR)
 
-# the whole analysis of visible orders: rows only, as the fit solves 51 equations
-LIQUIDITY_FROM = "2024-01-20"
-liquidity = lambda s, d, name: L.asymmetric_liquidity(O.visible_orders(flow(s, d)), LIQUIDITY_FROM)[name]
-_METRICS = " ".join(f"{m}:d" for m in L.METRICS)
-add(
-    "q_liquidity_bins", f"sign:l bin:l n:l mean_expectedness:d penetration_probability:d midpoint_moves:l midpoint_move_probability:d mean_{L.RESPONSE}:d {L.CONDITIONAL}:d " + " ".join(f"mean_{m}:d" for m in L.METRICS[3:]) + " mean_spread:d",
-    lambda s, d: liquidity(s, d, "bins"),
-)
-add("q_liquidity_tails", "date:s sign:l tail:s n:l " + _METRICS, lambda s, d: liquidity(s, d, "tails"))
-add("q_liquidity_contrasts", "kind:s metric:s block_length:l expected_minus_surprising:d lower:d median:d upper:d share_not_negative:d replicates:l", lambda s, d: liquidity(s, d, "contrasts"))
-
 # persistence of signs
 DFA, PERMUTATIONS = W.DFA_SCALES, 199
 _DFA = TRADES_SQL + f""",
