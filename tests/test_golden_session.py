@@ -141,5 +141,5 @@ def test_errors_name_file_and_line(spark, tmp_path):
     lines[2] = lines[2].replace(",", ",x", 1)
     (tmp_path / f"XYZ_{DAY}_34200000_57600000_message_2.csv").write_text("\n".join(lines))
     (tmp_path / f"XYZ_{DAY}_34200000_57600000_orderbook_2.csv").write_text(BOOKS)
-    with pytest.raises(Exception, match=r"message_2\.csv:3: bad number"):
+    with pytest.raises(Exception, match=r"message_2\.csv:3 \(byte 63\): bad number"):
         raw.read_sessions(spark, str(tmp_path), "XYZ").collect()

@@ -23,6 +23,7 @@ from tickforge.operators import fits as M
 from tickforge.operators import grids as G
 from tickforge.operators import liquidity as L
 from tickforge.operators import orders as O
+from tickforge.operators import persistence as H
 from tickforge.operators import regression as R
 from tickforge.operators import scores as S
 from tickforge.operators import spells as P
@@ -51,6 +52,12 @@ def trades_of(orders: DataFrame) -> DataFrame:
     )
 
 
+def signed_trades(transactions: DataFrame) -> DataFrame:
+    """Transactions of visible and hidden executions, signed against the midpoint before: date, row0, sign."""
+    place = F.row_number().over(W.Window.partitionBy("date").orderBy("first_event_row")) - 1
+    return transactions.select("date", place.cast("long").alias("row0"), F.col("trade_sign").alias("sign"))
+
+
 class Run:
     def __init__(self, spark: SparkSession, args: argparse.Namespace):
         self.spark, self.args = spark, args
@@ -59,10 +66,18 @@ class Run:
             Y.require_scope(self.policy, args.symbol or self.policy["symbol"], args.year or self.policy["year"])
 
     def events(self) -> DataFrame:
+        """Events up to the close of each session. Given a policy, their symbol and calendar must be its."""
+        p = self.policy
         if self.args.raw_dir:
-            p = self.policy
-            return raw.read_sessions(self.spark, self.args.raw_dir, self.args.symbol, self.args.year, p.exclusions if p else (), p.close_ns() if p else None)
-        return self.spark.read.parquet(self.args.events).withColumn("date", F.col("date").cast("string"))
+            found = raw.read_sessions(self.spark, self.args.raw_dir, self.args.symbol or (p["symbol"] if p else None), self.args.year or (p["year"] if p else None), p.exclusions if p else (), p.close_ns() if p else None)
+        else:
+            found = self.spark.read.parquet(self.args.events).withColumn("date", F.col("date").cast("string"))
+        if p:
+            if "symbol" in found.columns:
+                for r in found.select("symbol").distinct().limit(2).collect():
+                    Y.require_scope(p, r["symbol"], p["year"])
+            C.require(Y.universe_violations(found.select("date"), p))
+        return found
 
     def flow(self) -> DataFrame:
         return P.with_flow(self.events())
@@ -130,8 +145,17 @@ class Run:
 
 
 def coverage(r: Run) -> dict[str, DataFrame]:
-    gap = r.policy["maximum_session_end_gap_seconds"] if r.policy else 60
-    sessions = C.session_coverage(r.events(), 57_600 * 1_000_000, gap * 1_000_000, list(r.policy.exclusions) if r.policy else [])
+    """Every delivered session, excluded ones too. Given a policy, a calendar that isn't its stops the verb, unless
+    --lenient is given."""
+    p = r.policy
+    gap = p["maximum_session_end_gap_seconds"] if p else 60
+    if r.args.raw_dir:
+        events = raw.read_sessions(r.spark, r.args.raw_dir, r.args.symbol or (p["symbol"] if p else None), r.args.year or (p["year"] if p else None), (), p.close_ns() if p else None, after_close=True)
+    else:
+        events = r.spark.read.parquet(r.args.events).withColumns({"date": F.col("date").cast("string"), "close_us": F.lit(57_600 * 1_000_000)})
+    sessions = settled(C.session_coverage(events, F.col("close_us"), gap * 1_000_000, list(p.exclusions) if p else []))
+    if p and not r.args.lenient:
+        C.require(Y.coverage_violations(sessions, p))
     return {"session_coverage": sessions, "coverage_gate": C.coverage_gate(sessions)}
 
 
@@ -246,7 +270,7 @@ VERBS: dict[str, Callable[[Run], dict[str, DataFrame]]] = {
     "audit-session-coverage": coverage,
     "replay": replay,
     "analyze": analyze,
-    "analyze-sign-persistence": lambda r: {"persistence": L.permutation_test(trades_of(O.visible_orders(r.flow())), W.DFA_SCALES, 199)},
+    "analyze-sign-persistence": lambda r: H.persistence(settled(signed_trades(O.scaling_transactions(r.flow()))), W.DFA_SCALES, r.args.minimum_transactions),
     "analyze-asymmetric-liquidity": liquidity,
     "analyze-queue": queue,
     "analyze-order-flow": order_flow,
@@ -267,7 +291,8 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("--events", help="Parquet of prepared events")
     out.add_argument("--bins", action="append", metavar="PATH or N=PATH", help="CSV or Parquet of a grid; N=PATH for several resolutions")
     out.add_argument("--metrics", help="CSV or Parquet of policy metrics to reconcile")
-    out.add_argument("--lenient", action="store_true", help="replay: report a failed audit instead of stopping")
+    out.add_argument("--minimum-transactions", type=int, default=H.MINIMUM, help="analyze-sign-persistence: least trades of a session that counts")
+    out.add_argument("--lenient", action="store_true", help="replay and audit-session-coverage: report a failed audit instead of stopping")
     out.add_argument("--output", required=True, help="folder for the tables")
     out.add_argument("--symbol")
     out.add_argument("--year", type=int)

@@ -10,10 +10,18 @@ class ContractError(ValueError):
     """Raised by ``require`` when a contract is broken."""
 
 
-def session_coverage(events: DataFrame, close_us: int, most_gap_us: int, excluded: list[str]) -> DataFrame:
-    """One row per session: its extent, the gap to the close, and whether it is included, excluded or unexplained."""
-    per = events.groupBy("date").agg(F.count("*").alias("events"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
-    per = per.withColumn("gap_us", F.greatest(F.lit(0), F.lit(close_us) - F.col("last_us"))).withColumn("complete", F.col("gap_us") <= most_gap_us)
+def session_coverage(events: DataFrame, close_us: int | Column, most_gap_us: int, excluded: list[str]) -> DataFrame:
+    """One row per session, in one aggregate: its extent, its last row at or before the close, how many rows come after
+    it, the gap from that last row to the close (null without one), and whether the session is included, excluded or
+    unexplained. The close is the same for all, or a column that is the same within a session."""
+    close = close_us if isinstance(close_us, Column) else F.lit(close_us)
+    within = F.col("ts_us") <= close
+    per = events.groupBy("date").agg(
+        F.count("*").alias("events"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.max(close).alias("close"),
+        F.max(F.when(within, F.struct("event_row", "ts_us"))).alias("at"), F.count_if(~within).alias("after_close"),
+    )
+    per = per.withColumns({"last_row": F.col("at.event_row"), "gap_us": F.col("close") - F.col("at.ts_us")}).drop("at", "close")
+    per = per.withColumn("complete", F.coalesce(F.col("gap_us") <= most_gap_us, F.lit(False)))
     status = F.when(F.col("complete"), "included").when(F.col("date").isin(excluded), "declared_source_exclusion").otherwise("unexplained_incomplete")
     return per.withColumn("status", status)
 

@@ -20,8 +20,8 @@ CLOCKS = [600 * SECOND, 3600 * SECOND]
 UPDATES = [1, 5, 20, 100]
 AGE = 60 * SECOND
 SIZES = [1, 100, 50]
-CLOSE = 86_400 * SECOND
-MOST_GAP = 1800 * SECOND
+CLOSE = 86_000 * SECOND
+MOST_GAP = 300 * SECOND
 EXCLUDED = ["2024-01-15"]
 
 BUCKET_SQL = "CASE WHEN ap1 - bp1 <= 100 THEN 'one_tick' WHEN ap1 - bp1 <= 500 THEN 'two_to_five_ticks' WHEN ap1 - bp1 <= 1000 THEN 'six_to_ten_ticks' ELSE 'over_ten_ticks' END"
@@ -69,11 +69,10 @@ def lab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # coverage and audits
-COVERAGE = "date:s events:l first_us:l last_us:l gap_us:l complete:b status:s"
-COVERAGE_SQL = f"""SELECT date, count(*) AS events, min(ts_us) AS first_us, max(ts_us) AS last_us, greatest(0, {CLOSE} - max(ts_us)) AS gap_us,
-  greatest(0, {CLOSE} - max(ts_us)) <= {MOST_GAP} AS complete,
-  CASE WHEN greatest(0, {CLOSE} - max(ts_us)) <= {MOST_GAP} THEN 'included' WHEN date IN ('{EXCLUDED[0]}') THEN 'declared_source_exclusion' ELSE 'unexplained_incomplete' END AS status
-  FROM lob GROUP BY date"""
+COVERAGE = "date:s events:l first_us:l last_us:l last_row:l after_close:l gap_us:l complete:b status:s"
+COVERAGE_SQL = f"""SELECT *, CASE WHEN complete THEN 'included' WHEN date IN ('{EXCLUDED[0]}') THEN 'declared_source_exclusion' ELSE 'unexplained_incomplete' END AS status FROM
+  (SELECT *, coalesce(gap_us <= {MOST_GAP}, false) AS complete FROM (SELECT date, count(*) AS events, min(ts_us) AS first_us, max(ts_us) AS last_us, max(event_row) FILTER (WHERE ts_us <= {CLOSE}) AS last_row,
+    count(*) FILTER (WHERE ts_us > {CLOSE}) AS after_close, {CLOSE} - arg_max(ts_us, event_row) FILTER (WHERE ts_us <= {CLOSE}) AS gap_us FROM lob GROUP BY date))"""
 coverage = lambda s, d: C.session_coverage(lob_events(s, d), CLOSE, MOST_GAP, EXCLUDED)
 add("q_session_coverage", COVERAGE, coverage, COVERAGE_SQL, LOB_SQL)
 add("q_coverage_gate", "status:s sessions:l events:l", lambda s, d: C.coverage_gate(coverage(s, d)), f"SELECT status, count(*) AS sessions, sum(events) AS events FROM ({COVERAGE_SQL}) GROUP BY status", LOB_SQL)

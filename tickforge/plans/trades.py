@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from tickforge.operators import liquidity as L
 from tickforge.operators import orders as O
+from tickforge.operators import persistence as H
 from tickforge.operators import regression as R
 from tickforge.operators import scores as S
 from tickforge.operators import windows as W
 from tickforge.plans.books import FLOW_SQL, flow
 from tickforge.plans.registry import add
 from tickforge.sources.adapters import TRADES_SQL, trades
+from tickforge.sources.settle import settled
 
 HORIZONS = [5, 10, 20, 50, 100]
 T = 10
@@ -276,4 +278,30 @@ df AS (SELECT date, scale, sqrt(avg(greatest(0, syy - sy * sy / scale - (siy - (
 dfa = lambda s, d: W.dfa_fluctuations(trades(s, d), DFA)
 add("q_dfa_fluctuations", "date:s scale:l fluctuation:d segments:l", dfa, "SELECT * FROM df", _DFA)
 add("q_dfa_exponent", "date:s exponent:d scales:l", lambda s, d: R.exponents(dfa(s, d)), "SELECT date, regr_slope(ln(fluctuation), ln(scale)) AS exponent, count(*) AS scales FROM df WHERE fluctuation > 0 GROUP BY date", _DFA)
-add("q_sign_persistence", "date:s exponent:d p_value:d replicates:l", lambda s, d: L.permutation_test(trades(s, d), DFA, PERMUTATIONS))
+own_signs = lambda s, d: H.session_exponents(trades(s, d), DFA, 1, PERMUTATIONS).where("exponent IS NOT NULL")
+add("q_sign_persistence", "date:s exponent:d p_value:d replicates:l", lambda s, d: own_signs(s, d).withColumn("replicates", F.lit(PERMUTATIONS)))
+# the protocol over sessions of a least size; the months of the smaller tables hold some 750 trades, so it is lower here
+LEAST = 512
+_SESSIONS = f"""SELECT date, n AS trades, buys AS buy_fraction, n >= {LEAST} AS included, CASE WHEN n >= {LEAST} THEN exponent END AS exponent FROM (SELECT date, count(*) AS n, avg(CASE WHEN sign = 1 THEN 1.0 ELSE 0.0 END) AS buys FROM trades GROUP BY date)
+  LEFT JOIN (SELECT date, regr_slope(ln(fluctuation), ln(scale)) AS exponent FROM df WHERE fluctuation > 0 GROUP BY date) USING (date)"""
+protocol = lambda s, d, permutations: H.session_exponents(trades(s, d), DFA, LEAST, permutations)
+included = lambda s, d: protocol(s, d, 1).where("included").select("date", F.round("exponent", 12).alias("exponent"))
+add("q_persistence_sessions", "date:s trades:l buy_fraction:d included:b exponent:d", lambda s, d: protocol(s, d, 1), _SESSIONS, _DFA)
+add("q_persistence_family", "sessions:l trades:l lower_quartile:d median:d upper_quartile:d null_lower:d null_median:d null_upper:d p_value:d permutations:l", lambda s, d: H.family_test(protocol(s, d, PERMUTATIONS)))
+_MEDIAN = " UNION ALL ".join(
+    f"""SELECT {b} AS block, any_value(n) AS sessions, quantile_cont(m, 0.025) AS lower, quantile_cont(m, 0.975) AS upper, count(*) AS replicates FROM (SELECT rep, any_value(n) AS n, quantile_cont(exponent, 0.5) AS m FROM
+      (SELECT rep, n, {f'{S.mixed_sql("rep", "pos", H.SEED)} % n' if b == 1 else f'({S.mixed_sql("rep", f"(pos // {b})", H.SEED)} % n + pos % {b}) % n'} AS r FROM (SELECT unnest(range({H.REPLICATES})) AS rep), (SELECT unnest(range(n)) AS pos, n FROM (SELECT count(*) AS n FROM pe))) JOIN pe USING (r) GROUP BY rep)"""
+    for b in H.BLOCKS
+)
+add("q_persistence_medians", "block:l sessions:l median:d lower:d upper:d replicates:l", lambda s, d: H.median_intervals(included(s, d)), f"SELECT *, (SELECT quantile_cont(exponent, 0.5) FROM pe) AS median FROM ({_MEDIAN})", _DFA + f", pe AS MATERIALIZED (SELECT date, round(exponent, 12) AS exponent, row_number() OVER (ORDER BY date) - 1 AS r FROM ({_SESSIONS}) WHERE included AND exponent IS NOT NULL)")
+
+
+def broken_signs(s: SparkSession, d: str) -> DataFrame:
+    """The trades with signs of zero and places twice."""
+    t = settled(trades(s, d)).withColumn("sign", F.when(F.col("row0") % 100 == 7, 0).otherwise(F.col("sign")))
+    return t.unionByName(t.where("row0 = 3"))
+
+
+_SIGNS = "SELECT 'sign_not_unit' AS rule, count(*) FILTER (WHERE sign NOT IN (-1, 1)) AS violations FROM {0} UNION ALL SELECT 'order_not_unique', count(*) FROM (SELECT 1 FROM {0} GROUP BY date, row0 HAVING count(*) > 1)"
+add("q_contract_signs", "rule:s violations:l", lambda s, d: H.sign_violations(trades(s, d)), _SIGNS.format("trades"), TRADES_SQL)
+add("q_contract_signs_broken", "rule:s violations:l", lambda s, d: H.sign_violations(broken_signs(s, d)), _SIGNS.format("bs"), TRADES_SQL + ", b1 AS (SELECT * REPLACE (CASE WHEN row0 % 100 = 7 THEN 0 ELSE sign END AS sign) FROM trades), bs AS (SELECT * FROM b1 UNION ALL SELECT * FROM b1 WHERE row0 = 3)")

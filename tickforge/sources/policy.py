@@ -87,9 +87,24 @@ def require_scope(policy: Policy, symbol: str, year: int) -> None:
         raise ContractError(f"the policy is for {policy['symbol']} {policy['year']}, not {symbol} {year}")
 
 
+def coverage_violations(sessions: DataFrame, policy: Policy) -> DataFrame:
+    """rule, violations over ``contracts.session_coverage`` of all delivered sessions, excluded ones too: sessions that are
+    incomplete without a declared exclusion, exclusions that are complete after all or weren't delivered, and counts that
+    aren't the policy's. It is a three-way check of declared, delivered and complete calendars in one aggregate."""
+    declared = F.col("date").isin(list(policy.exclusions)) if policy.exclusions else F.lit(False)
+    one = sessions.agg(
+        F.count_if(F.col("status") == "unexplained_incomplete").alias("unexplained_incomplete"),
+        F.count_if(declared & F.col("complete")).alias("declared_but_complete"),
+        (len(policy.exclusions) - F.count_if(declared)).alias("exclusion_not_delivered"),
+        (F.count("*") != policy["expected_delivered_sessions"]).cast("long").alias("delivered_count"),
+        (F.count_if("complete") != policy["expected_included_sessions"]).cast("long").alias("included_count"),
+    )
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("rule"), F.col(c).alias("violations")) for c in one.columns])).alias("r")).select("r.*")
+
+
 def universe_violations(dates: DataFrame, policy: Policy) -> DataFrame:
     """rule, violations over the distinct sessions of an analysis."""
-    d = F.col("date")
+    d, bounds = F.col("date"), [policy[k] for k in DATES]  # a selection of one session has one date twice
     n = F.count("*")
     part = lambda c: F.count_if(c)
     off = lambda got, want: (got != want).cast("long")
@@ -100,6 +115,6 @@ def universe_violations(dates: DataFrame, policy: Policy) -> DataFrame:
         off(part(d <= policy["development_end"]), policy["expected_development_sessions"]).alias("development_count"),
         off(part(d.between(policy["selection_start"], policy["selection_end"])), policy["expected_selection_sessions"]).alias("selection_count"),
         off(part(d >= policy["test_start"]), policy["expected_test_sessions"]).alias("test_count"),
-        (4 - F.count_distinct(F.when(d.isin([policy[k] for k in DATES]), d))).alias("boundaries_missing"),
+        (len(set(bounds)) - F.count_distinct(F.when(d.isin(bounds), d))).alias("boundaries_missing"),
     )
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("rule"), F.col(c).alias("violations")) for c in one.columns])).alias("r")).select("r.*")

@@ -35,14 +35,17 @@ def discover(spark: SparkSession, folder: str, symbol: str | None = None, year:
 
 
 def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """symbol, date, event_row, fields: the lines of each file in order. A file's splits are ordered by where they start."""
-    lines = spark.read.text(paths).select(
+    """symbol, date, event_row, byte, fields: the lines of each file in order, and the byte at which each starts. A file's
+    splits are ordered by where they start; lines end at line feeds, and a carriage return before one is dropped."""
+    lines = spark.read.option("lineSep", "\n").text(paths).select(
         "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")
     )
     w = Window.partitionBy("path").orderBy("block", "id")
+    before = F.sum(F.octet_length("value") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1))
     return lines.select(
-        F.regexp_extract("path", NAME, 1).alias("symbol"), F.regexp_extract("path", NAME, 2).alias("date"), "path", (F.row_number().over(w) - 1).cast("long").alias("event_row"), F.split("value", ",").alias("fields")
-    )
+        F.regexp_extract("path", NAME, 1).alias("symbol"), F.regexp_extract("path", NAME, 2).alias("date"), "path", (F.row_number().over(w) - 1).cast("long").alias("event_row"),
+        F.coalesce(before, F.lit(0)).alias("byte"), F.split(F.regexp_replace("value", "\r$", ""), ",").alias("fields"),
+    )
 
 
 def _checked(lines: DataFrame, widths: tuple[int, ...]) -> DataFrame:
@@ -51,8 +54,8 @@ def _checked(lines: DataFrame, widths: tuple[int, ...]) -> DataFrame:
 
 
 def _refused(reason: str, text: Column | None = None) -> Column:
-    """An error that names the file and the line."""
-    parts = [F.col("path"), F.lit(":"), (F.col("event_row") + 1).cast("string"), F.lit(f": {reason}")]
+    """An error that names the file, the line and the byte at which the line starts."""
+    parts = [F.col("path"), F.lit(":"), (F.col("event_row") + 1).cast("string"), F.lit(" (byte "), F.col("byte").cast("string"), F.lit(f"): {reason}")]
     return F.raise_error(F.concat(*parts, *([F.lit(" "), F.coalesce(text, F.lit(""))] if text is not None else [])))
 
 
@@ -92,8 +95,9 @@ def books(spark: SparkSession, paths: list[str]) -> DataFrame:
     return rows.select("symbol", "date", "event_row", *[integer(F.trim(F.col("fields")[i])).alias(c) for i, c in enumerate(BOOK)])
 
 
-def read_sessions(spark: SparkSession, folder: str, symbol: str | None = None, year: int | None = None, excluded: list[str] = (), close_ns: dict[str, int] | None = None) -> DataFrame:
-    """Events of all sessions that aren't excluded, up to their scheduled close: the message and the book after it.
+def read_sessions(spark: SparkSession, folder: str, symbol: str | None = None, year: int | None = None, excluded: list[str] = (), close_ns: dict[str, int] | None = None, after_close: bool = False) -> DataFrame:
+    """Events of all sessions that aren't excluded, up to their scheduled close (or all, with ``close_us``): the message
+    and the book after it.
     What follows orders events within a date, so a folder with several symbols, or with a session at several level
     counts or extents, needs the symbol named; two pairs of one symbol and date are an error."""
     pairs = [r for r in discover(spark, folder, symbol, year).collect() if r["date"] not in set(excluded)]  # a row per session
@@ -110,12 +114,14 @@ def read_sessions(spark: SparkSession, folder: str, symbol: str | None = None, y
         raise ContractError(f"message and book rows differ in number: {', '.join(bad)}")
     closes = {r["date"]: min(r["end_ms"] * 1_000_000, (close_ns or {}).get(r["date"], r["end_ms"] * 1_000_000)) for r in pairs}
     close = F.create_map(*[F.lit(x) for pair in closes.items() for x in pair])[F.col("date")]
-    return m.join(b, [*session, "event_row"]).where(F.col("ts_ns") <= close).withColumn("ts_us", F.floor(F.col("ts_ns") / 1000))
+    rows = m.join(b, [*session, "event_row"]).withColumn("ts_us", F.floor(F.col("ts_ns") / 1000))
+    return rows.withColumn("close_us", F.floor(close / 1000)) if after_close else rows.where(F.col("ts_ns") <= close)
 
 
 def write_events(events: DataFrame, path: str) -> None:
-    """Parquet by session, zstd; the committer publishes whole files only."""
-    events.write.mode("overwrite").option("compression", "zstd").partitionBy("date").parquet(path)
+    """Parquet by session, zstd; the committer publishes whole files only. Sessions that are there already are replaced
+    and others left alone, so adding a day twice leaves one copy of it."""
+    events.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("date").parquet(path)
 
 
 def write_table(df: DataFrame, path: str) -> None:
