@@ -48,7 +48,7 @@ def flow(spark, folder):
 
 @pytest.fixture(scope="module")
 def lab(flow):
-    return S.labelled(flow).persist()
+    return S.labelled(flow, exits=True).persist()
 
 
 def cells(df, *cols):
@@ -75,7 +75,7 @@ def test_order_flow_bins(lab):
 
 
 def test_horizon_bins(flow, lab):
-    grid = G.horizon_bins(flow, lab, BINS, [1, 2], [1, 2]).where("spread_bucket = 'all_spreads'").persist()
+    grid = G.horizon_bins(lab, BINS, [1, 2], [1, 2]).where("spread_bucket = 'all_spreads'").persist()
     one = lambda kind, value: cells(grid.where((F.col("horizon_kind") == kind) & (F.col("horizon_value") == value)), "observations", "up_moves", "down_moves")
     assert one("price_spell", 0)[6, 5] == (2, 1, 1) and one("quote_updates", 1)[6, 4] == (1, 0, 1) and one("clock_us", 2)[7, 3] == (1, 1, 0)
     C.require(C.horizon_violations(grid))
@@ -98,7 +98,7 @@ def test_landmark_and_round_trip_bins(flow, lab):
     assert now[6, 5] == (2, 2, 0, 1, 1, pytest.approx(0), pytest.approx(200))
     assert now[7, 5] == (1, 1, 0, 1, 0, pytest.approx(50.2512562814), pytest.approx(150.753768844))
     assert cells(grid.where("latency_us = 1"), *cols)[6, 5] == (2, 0, 2, 1, 1, 0, 0)
-    trips = G.round_trip_bins(G.round_trips(G.with_exits(marks, flow), [1, 70]), BINS).where("spread_bucket = 'all_spreads'").persist()
+    trips = G.round_trip_bins(G.round_trips(marks, [1, 70]), BINS).where("spread_bucket = 'all_spreads'").persist()
     legs = lambda s: [f"{s}_fills", f"{s}_censored", *[f"{s}_{c}_sum_bps" for c in ("move", "entry_cost", "exit_cost", "pnl")]]
     at = lambda us, n: cells(trips.where((F.col("latency_us") == us) & (F.col("shares") == n)), "signals", "arrived", "stale", "up_moves", "down_moves", *legs("long"), *legs("short"))
     near = lambda *v: tuple(x if isinstance(x, int) else pytest.approx(x) for x in v)

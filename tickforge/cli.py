@@ -132,7 +132,7 @@ class Run:
         return grids.where(F.col("sample") == "best_quote_updates")
 
     def horizons(self) -> DataFrame:
-        return self.grid("horizon", lambda: G.horizon_bins(f := self.flow(), P.labelled(f), BINS, UPDATES, CLOCKS), C.horizon_violations)
+        return self.grid("horizon", lambda: G.horizon_bins(self.lab(), BINS, UPDATES, CLOCKS), C.horizon_violations)
 
     def markouts(self) -> DataFrame:
         return self.grid("markout", lambda: G.markout_bins(self.lab(), BINS, LATENCIES), C.markout_violations)
@@ -141,7 +141,7 @@ class Run:
         return self.grid("landmark", lambda: G.landmark_bins(G.landmarks(self.lab(), AGE, LATENCIES), BINS), C.markout_violations)
 
     def trips(self) -> DataFrame:
-        return self.grid("round_trip", lambda: G.round_trip_bins(G.round_trips(G.with_exits(G.landmarks(P.labelled(f := self.flow()), AGE, LATENCIES), f), SIZES), BINS), C.round_trip_violations)
+        return self.grid("round_trip", lambda: G.round_trip_bins(G.round_trips(G.landmarks(P.labelled(self.flow(), exits=True), AGE, LATENCIES), SIZES), BINS), C.round_trip_violations)
 
 
 def coverage(r: Run) -> dict[str, DataFrame]:
@@ -162,7 +162,7 @@ def coverage(r: Run) -> dict[str, DataFrame]:
 def replay(r: Run) -> dict[str, DataFrame]:
     """The audit, which must reconcile unless --lenient is given, and the six grids as their files."""
     flow = settled(r.flow())
-    lab = settled(P.labelled(flow))
+    lab = settled(P.labelled(flow, exits=True))
     sessions = settled(A.replay_audit(flow))
     totals = A.audit_totals(sessions)
     if not r.args.lenient:
@@ -171,10 +171,10 @@ def replay(r: Run) -> dict[str, DataFrame]:
     grids = {
         "queue": G.queue_bins(lab, QUEUE_BINS),
         "order_flow": G.order_flow_bins(lab, BINS),
-        "horizon": G.horizon_bins(flow, lab, BINS, UPDATES, CLOCKS),
+        "horizon": G.horizon_bins(lab, BINS, UPDATES, CLOCKS),
         "markout": G.markout_bins(lab, BINS, LATENCIES),
         "landmark": G.landmark_bins(marks, BINS),
-        "round_trip": G.round_trip_bins(G.round_trips(G.with_exits(marks, flow), SIZES), BINS),
+        "round_trip": G.round_trip_bins(G.round_trips(marks, SIZES), BINS),
     }
     transit = transitions(flow).groupBy("verdict", "event_type").agg(F.count("*").alias("events"))
     return {"replay_sessions": sessions, "replay_audit": totals, "transitions": transit} | {f"{k}_bins": X.as_file(g, k, AGE) for k, g in grids.items()}

@@ -47,16 +47,15 @@ def order_flow_bins(lab: DataFrame, bins: int) -> DataFrame:
     return with_centers(cells, bins)
 
 
-def horizon_bins(flow: DataFrame, lab: DataFrame, bins: int, updates: list[int], clocks_us: list[int]) -> DataFrame:
-    """Moves at quote updates by order flow over the spell, the last updates, and clock windows."""
-    key = ["date", "event_row"]
-    wide = flow.select(*key, "is_update", "ofi", "ts_us")
+def horizon_bins(lab: DataFrame, bins: int, updates: list[int], clocks_us: list[int]) -> DataFrame:
+    """Moves at quote updates by order flow over the spell, the last updates, and clock windows. Labels drop only the last
+    spell of a session and all windows look back, so they run over the labelled events themselves."""
+    rows = lab.select("date", "event_row", "is_update", "ofi", "ts_us", "cofi", "queue", "depth", "bucket", "move")
     for us in clocks_us:
-        wide = S.clock_flow(wide, us).withColumnRenamed("flow", f"clock_{us}")
-    wide = wide.where("is_update")
+        rows = S.clock_flow(rows, us).withColumnRenamed("flow", f"clock_{us}")
+    rows = rows.where("is_update")
     for n in updates:
-        wide = wide.withColumn(f"updates_{n}", F.sum("ofi").over(S.in_session().rowsBetween(1 - n, Window.currentRow)))
-    rows = lab.where("is_update").join(wide.drop("is_update", "ofi", "ts_us"), key)
+        rows = rows.withColumn(f"updates_{n}", F.sum("ofi").over(S.in_session().rowsBetween(1 - n, Window.currentRow)))
     each = F.array(
         F.struct(F.lit("price_spell").alias("horizon_kind"), F.lit(0).cast("long").alias("horizon_value"), F.col("cofi").alias("flow")),
         *[F.struct(F.lit("quote_updates").alias("horizon_kind"), F.lit(n).cast("long").alias("horizon_value"), F.col(f"updates_{n}").alias("flow")) for n in updates],
@@ -106,7 +105,8 @@ def markout_bins(lab: DataFrame, bins: int, latencies_us: list[int]) -> DataFram
 
 
 def landmarks(lab: DataFrame, age_us: int, latencies_us: list[int]) -> DataFrame:
-    """One row per spell that outlives its landmark: the state at the landmark, and the book on arrival per latency."""
+    """One row per spell that outlives its landmark: the state at the landmark, the book on arrival per latency, and where
+    the labels have it the book at the exit."""
     state = F.struct(*B.BOOK, "m2", "spread_raw", "bucket", "queue", "depth")
     last = lambda us: F.max_by(state, F.when(F.col("ts_us") < F.col("start_us") + us, F.col("event_row")))
     flow = F.sum(F.when(~F.col("first_in_spell") & (F.col("ts_us") < F.col("start_us") + age_us), F.col("ofi")).otherwise(0))
@@ -118,6 +118,7 @@ def landmarks(lab: DataFrame, age_us: int, latencies_us: list[int]) -> DataFrame
         last(age_us).alias("signal"),
         flow.alias("flow"),
         *[last(age_us + us).alias(f"at_{us}") for us in latencies_us],
+        *([F.first("exit").alias("exit")] if "exit" in lab.columns else []),
     )
     alive = per.where(F.col("start_us") + age_us < F.col("next_us"))
     each = F.array(
@@ -135,14 +136,8 @@ def landmark_bins(marks: DataFrame, bins: int) -> DataFrame:
     return with_centers(cells.agg(*economics(F.col("e.arrived"), "e.at")), bins)
 
 
-def with_exits(marks: DataFrame, flow: DataFrame) -> DataFrame:
-    """Adds ``exit``, the first book of the next spell."""
-    opened = flow.where("first_in_spell").select("date", (F.col("spell") - 1).alias("spell"), F.struct(*B.BOOK, "m2").alias("exit"))
-    return marks.join(opened, ["date", "spell"])
-
-
 def round_trips(marks: DataFrame, sizes: list[int]) -> DataFrame:
-    """A row per landmark, latency and size with the outcome of a long and a short round trip in basis points of the
+    """A row per landmark (of labels with exits), latency and size with the outcome of a long and a short round trip in basis points of the
     entry mid: filled, move, entry cost, exit cost and profit; null where a leg isn't filled."""
     out = marks.withColumn("shares", F.explode(F.array(*[F.lit(n) for n in sizes])))
     mid_in, mid_out, n = F.col("e.at.m2") / 2.0, F.col("exit.m2") / 2.0, F.col("shares")

@@ -41,14 +41,21 @@ def spell_table(flow: DataFrame) -> DataFrame:
     return per.withColumns({"next_m2": F.lead("spell_m2").over(w), "next_us": F.lead("start_us").over(w)})
 
 
-def labelled(flow: DataFrame) -> DataFrame:
-    """Events of spells that have a next move, with next_m2, next_us, move (+1 or -1), cofi and bins' inputs."""
-    joined = flow.join(spell_table(flow), ["date", "spell"]).where("next_m2 IS NOT NULL")
-    running = Window.partitionBy("date", "spell").orderBy("event_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return joined.withColumns(
+def labelled(flow: DataFrame, exits: bool = False) -> DataFrame:
+    """Events of spells that have a next move, with start_us, next_m2, next_us, move (+1 or -1), cofi and bins' inputs;
+    with ``exits`` also ``exit``, the first book of the next spell.
+
+    All of it is windows over the session, the last one backwards, so a session is exchanged once and never joined."""
+    first = F.col("first_in_spell")
+    opened = lambda c: F.last(F.when(first, c), True)
+    after = Window.partitionBy("date").orderBy(F.desc("event_row")).rowsBetween(Window.unboundedPreceding, -1)
+    own = flow.withColumn("running", F.sum("ofi").over(so_far()))
+    own = own.withColumns({"start_us": opened(F.col("ts_us")).over(so_far()), "cofi": (F.col("running") - opened(F.col("running")).over(so_far())).cast("long")}).drop("running")
+    fields = [F.col("m2").alias("next_m2"), F.col("ts_us").alias("next_us")] + ([F.struct(*B.BOOK, "m2").alias("exit")] if exits else [])
+    own = own.withColumn("next", opened(F.struct(*fields)).over(after)).where("next IS NOT NULL")
+    return own.select("*", "next.*").drop("next").withColumns(
         {
             "move": F.when(F.col("next_m2") > F.col("m2"), 1).otherwise(-1),
-            "cofi": F.sum(F.when(F.col("first_in_spell"), 0).otherwise(F.col("ofi"))).over(running),
             "spread_raw": B.spread(),
             "bucket": B.spread_bucket(B.spread()),
             "queue": B.imbalance(),

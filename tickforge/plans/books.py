@@ -203,8 +203,7 @@ centered = lambda cells, bins=BINS: f"SELECT *, {center_sql('queue_bin', bins)}
 
 
 def horizon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = flow(spark, sf_dir)
-    return G.horizon_bins(f, S.labelled(f), BINS, UPDATES, CLOCKS)
+    return G.horizon_bins(lab(spark, sf_dir), BINS, UPDATES, CLOCKS)
 
 
 HORIZON_CTES = LAB_SQL + "," + _H
@@ -266,7 +265,7 @@ add("q_displayed_vwap", KEY + "ask_vwap:d bid_vwap:d", lambda s, d: lob_events(s
 
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = flow(spark, sf_dir)
-    return G.round_trips(G.with_exits(G.landmarks(S.labelled(f), AGE, LATENCIES), f), SIZES)
+    return G.round_trips(G.landmarks(S.labelled(f, exits=True), AGE, LATENCIES), SIZES)
 
 
 _LEGS = ", ".join(
