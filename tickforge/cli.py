@@ -52,10 +52,11 @@ def trades_of(orders: DataFrame) -> DataFrame:
     )
 
 
-def signed_trades(transactions: DataFrame) -> DataFrame:
-    """Transactions of visible and hidden executions, signed against the midpoint before: date, row0, sign."""
+def scaling_trades(transactions: DataFrame) -> DataFrame:
+    """Transactions of visible and hidden executions, signed against the midpoint before, as trades: date, row0, size, sign,
+    mid_raw (twice the mid, as its log steps are those of the mid)."""
     place = F.row_number().over(W.Window.partitionBy("date").orderBy("first_event_row")) - 1
-    return transactions.select("date", place.cast("long").alias("row0"), F.col("trade_sign").alias("sign"))
+    return transactions.select("date", place.cast("long").alias("row0"), "size", F.col("trade_sign").alias("sign"), F.round(20_000 * F.col("mid_price_before")).cast("long").alias("mid_raw"))
 
 
 class Run:
@@ -189,7 +190,7 @@ def analyze(r: Run) -> dict[str, DataFrame]:
     contributions = R.nested_contributions(split, "impact_cents")
     fits = R.simple_fit(split, "volume_imbalance", "impact_cents")
     test = R.with_prediction(split.where("is_test"), fits, "volume_imbalance")
-    scaling = W.scaling_windows(trades, W.SCALING_HORIZONS)
+    scaling = settled(W.scaling_windows(scaling_trades(O.regular_hours(O.scaling_transactions(r.flow()))), W.SCALING_HORIZONS))
     lambdas = R.kyle_lambdas(windows)
     return {
         "impact_curve": W.quantile_curve(windows, ["horizon"], "volume_imbalance", "impact", 51),
@@ -270,7 +271,7 @@ VERBS: dict[str, Callable[[Run], dict[str, DataFrame]]] = {
     "audit-session-coverage": coverage,
     "replay": replay,
     "analyze": analyze,
-    "analyze-sign-persistence": lambda r: H.persistence(settled(signed_trades(O.scaling_transactions(r.flow()))), W.DFA_SCALES, r.args.minimum_transactions),
+    "analyze-sign-persistence": lambda r: H.persistence(settled(scaling_trades(O.scaling_transactions(r.flow()))), W.DFA_SCALES, r.args.minimum_transactions),
     "analyze-asymmetric-liquidity": liquidity,
     "analyze-queue": queue,
     "analyze-order-flow": order_flow,

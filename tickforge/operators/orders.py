@@ -49,3 +49,8 @@ def scaling_transactions(flow: DataFrame, integer_exact: bool = False) -> DataFr
         sign = F.signum(F.col("price") / scale - mid)
     rows = flow.where("event_type IN (4, 5) AND prev IS NOT NULL").withColumn("trade_sign", sign.cast("int")).where("trade_sign <> 0")
     return _grouped(rows, "transaction_count").select(*ORDER, "first_event_row", "last_event_row", "transaction_count", "size", "mid_price_before", "execution_price_vwap")
+
+
+def regular_hours(orders: DataFrame, open_us: int = 34_200_000_000, close_us: int = 57_600_000_000) -> DataFrame:
+    """The orders of regular trading hours, both ends included."""
+    return orders.where(F.col("ts_us").between(open_us, close_us))

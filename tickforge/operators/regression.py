@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,8 +82,9 @@ MODELS = {
 
 
 def model_table(split: DataFrame, y: str, models: dict | None = None) -> DataFrame:
-    """model, n_test, mse, r2 on the test sessions, best first. Two aggregates serve all models: their sums are parts
-    of the sums over all features."""
+    """model, n_test, mse, rmse, mae, r2 and sign accuracy on the test sessions, best first. Two aggregates serve all fits:
+    their sums are parts of the sums over all features; a third takes absolute errors and signs of all models at once.
+    Rows without a move don't count for the sign."""
     models = models or MODELS
     every = sorted({f for features, _ in models.values() for f in features})
     (xx, xy, _, _), (txx, txy, tyy, n) = (gram(split.where(c), every, y) for c in ("NOT is_test", "is_test"))
@@ -90,9 +94,15 @@ def model_table(split: DataFrame, y: str, models: dict | None = None) -> DataFra
         beta = solve(xx[np.ix_(at, at)], xy[at], ridge)
         sse = float(tyy - 2 * beta @ txy[at] + beta @ txx[np.ix_(at, at)] @ beta)
         total = float(tyy - txy[0] ** 2 / n) if n else 0.0
-        rows.append((name, n, sse / n if n else None, 1 - sse / total if total else None))
+        rows.append((name, int(n), sse / n if n else None, 1 - sse / total if total else None, features, beta))
+    fitted = {name: sum((float(b) * F.col(f) for f, b in zip(features, beta[1:], strict=True)), F.lit(float(beta[0]))) for name, _, _, _, features, beta in rows}
+    moved = F.col(y) != 0
+    more = split.where("is_test").agg(*[
+        F.struct(F.avg(F.abs(F.col(y) - p)).alias("mae"), F.avg(F.when(moved, (F.signum(p) == F.signum(F.col(y))).cast("double"))).alias("sign_accuracy")).alias(name) for name, p in fitted.items()
+    ]).first()
     rows.sort(key=lambda r: (r[2] is None, r[2]))
-    return split.sparkSession.createDataFrame(rows, "model string, n_test long, mse double, r2 double")
+    out = [(name, n, mse, math.sqrt(max(mse, 0.0)) if mse is not None else None, more[name]["mae"], r2, more[name]["sign_accuracy"]) for name, n, mse, r2, _, _ in rows]
+    return split.sparkSession.createDataFrame(out, "model string, n_test long, mse double, rmse double, mae double, r2 double, sign_accuracy double")
 
 
 def nested_contributions(split: DataFrame, y: str, base: str = "volume_transforms", plus: str = "volume_and_flow") -> DataFrame:
@@ -172,44 +182,66 @@ def collapse(curve: DataFrame, scales: DataFrame, x_scale: str, y_scale: str) ->
     return joined.select("horizon", "bin", (F.col("x_mean") / F.col("_x")).alias("x"), (F.col("y_mean") / F.col("_y")).alias("y"))
 
 
-def volume_curve_scales(curve: DataFrame, steps: int = 200) -> DataFrame:
-    """Scales per horizon and the shared shape of y = R f(x / Q), f the master curve, by soft-L1 least squares: damped
-    Gauss-Newton on the logs of the parameters within bounds. The curve has a few points per horizon."""
+# Where the shape starts, and the bounds of the logs of widths, heights, alpha and beta.
+SHAPE_START = (1.2, 1.3)
+WIDTH_BOUNDS, HEIGHT_BOUNDS, ALPHA_BOUNDS, BETA_BOUNDS = (-30.0, 30.0), (-30.0, 5.0), (np.log(0.1), np.log(8.0)), (np.log(0.1), np.log(5.0))
+
+
+def _soft_l1(residuals: Callable[[np.ndarray], np.ndarray], p: np.ndarray, low: np.ndarray, high: np.ndarray, steps: int) -> tuple[np.ndarray, float, bool]:
+    """Parameters, half the sum of 2 (sqrt(1 + e e) - 1), and whether it settled: damped Gauss-Newton within bounds."""
+    loss = lambda e: float(np.sum(np.sqrt(1 + e * e) - 1))
+    damping, e = 1e-3, residuals(p)
+    for _ in range(steps):
+        jac = np.stack([(residuals(p + 1e-6 * v) - residuals(p - 1e-6 * v)) / 2e-6 for v in np.eye(len(p))], axis=1)
+        w = 1 / np.sqrt(1 + e * e)
+        a, g = jac.T @ (jac * w[:, None]), jac.T @ (w * e)
+        free = ~((p <= low) & (g > 0) | (p >= high) & (g < 0))  # what would leave its bounds stays
+        if not free.any():
+            return p, loss(e), True
+        a, change = a[np.ix_(free, free)], np.zeros(len(p))
+        change[free] = np.linalg.lstsq(a + damping * np.diag(np.maximum(np.diag(a), 1e-300)), g[free], rcond=None)[0]
+        moved = np.clip(p - change, low, high)
+        now = residuals(moved)
+        gain = loss(e) - loss(now)
+        if gain >= 0:
+            settled = gain <= 1e-10 * loss(e) or np.abs(moved - p).max() < 1e-8
+            p, e, damping = moved, now, max(damping / 5, 1e-12)
+            if settled:
+                return p, loss(e), True
+        else:
+            damping *= 10
+            if damping > 1e15:
+                return p, loss(e), True  # no direction lowers the loss
+    return p, loss(e), False
+
+
+def volume_curve_scales(curve: DataFrame, steps: int = 2000) -> DataFrame:
+    """Width and height per horizon and the shared shape of y = R f(x / Q), f the master curve, by soft-L1 least squares on
+    the logs of the parameters; a point counts by the root of its observations. ``cost`` is the loss, ``success`` whether
+    the search settled. The curve has a few points per horizon, which the driver gets."""
     points = curve.orderBy("horizon", "bin").toPandas()
-    schema = "horizon long, x_scale double, y_scale double, alpha double, beta double"
+    schema = "horizon long, x_scale double, y_scale double, alpha double, beta double, cost double, success boolean"
     if points.empty:
         return curve.sparkSession.createDataFrame([], schema)
     horizons, h = np.unique(points["horizon"], return_inverse=True)
-    x, y = points["x_mean"].to_numpy(), points["y_mean"].to_numpy()
-    k = len(horizons)
-    top = lambda v: np.array([max(np.abs(v[h == i]).max(), 1e-12) for i in range(k)])
-    unit = np.median(top(y))
-    p = np.log(np.concatenate([top(x) / 2, top(y), [1.5, 0.75]]))
-    low, high = p - 5, p + 5
-    low[-2:], high[-2:] = np.log([0.2, 0.05]), np.log([5.0, 3.0])
+    x, y, w = points["x_mean"].to_numpy(float), points["y_mean"].to_numpy(float), np.sqrt(points["n"].to_numpy(float))
+    w, k = w / w.max(), len(horizons)
+    spread = lambda v, least: np.array([max(float(np.std(v[h == i], ddof=1)) if (h == i).sum() > 1 else 0.0, least) for i in range(k)])
+    start = np.log(np.concatenate([spread(x, 1e-9), spread(y, 1e-12), SHAPE_START]))
+    bounds = [WIDTH_BOUNDS] * k + [HEIGHT_BOUNDS] * k + [ALPHA_BOUNDS, BETA_BOUNDS]
+    low, high = (np.array([b[i] for b in bounds]) for i in (0, 1))
 
     def residuals(p: np.ndarray) -> np.ndarray:
         q, r, a, b = np.exp(p[:k])[h], np.exp(p[k : 2 * k])[h], np.exp(p[-2]), np.exp(p[-1])
         z = x / q
-        return (r * z / (1 + np.abs(z) ** a) ** (b / a) - y) / unit
+        return w * (r * z / (1 + np.abs(z) ** a) ** (b / a) - y)
 
-    loss = lambda e: float(np.sum(2 * (np.sqrt(1 + e * e) - 1)))
-    damping, e = 1e-2, residuals(p)
-    for _ in range(steps):
-        jac = np.stack([(residuals(p + 1e-6 * v) - e) / 1e-6 for v in np.eye(len(p))], axis=1)
-        w = 1 / np.sqrt(1 + e * e)
-        a = jac.T @ (jac * w[:, None])
-        step = np.linalg.solve(a + damping * (np.diag(np.diag(a)) + 1e-9 * np.eye(len(p))), -jac.T @ (w * e))
-        moved = np.clip(p + step, low, high)
-        now = residuals(moved)
-        if loss(now) < loss(e):
-            done = loss(e) - loss(now) < 1e-12
-            p, e, damping = moved, now, damping / 3
-            if done:
-                break
-        else:
-            damping *= 5
-            if damping > 1e12:
-                break
-    rows = [(int(v), float(np.exp(p[i])), float(np.exp(p[k + i])), float(np.exp(p[-2])), float(np.exp(p[-1]))) for i, v in enumerate(horizons)]
+    p, cost, success = _soft_l1(residuals, np.clip(start, low, high), low, high, steps)
+    rows = [(int(v), float(np.exp(p[i])), float(np.exp(p[k + i])), float(np.exp(p[-2])), float(np.exp(p[-1])), cost, success) for i, v in enumerate(horizons)]
     return curve.sparkSession.createDataFrame(rows, schema)
+
+
+def scaling_laws(scales: DataFrame) -> DataFrame:
+    """law (width, height) with the log-log fit of its scale on the horizon."""
+    part = lambda name, c: loglog_fit(scales, "horizon", c).select(F.lit(name).alias("law"), "*")
+    return part("width", "x_scale").unionByName(part("height", "y_scale"))

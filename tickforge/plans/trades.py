@@ -111,7 +111,7 @@ add(
     lambda s, d: R.residuals_by_count(predicted(s, d).where("is_test"), "order_flow_imbalance", "impact_cents", "fitted"),
     "SELECT order_flow_imbalance, avg(m) AS residual, stddev_samp(m) / sqrt(count(*)) AS standard_error, count(*) AS dates, sum(c) AS windows FROM (SELECT order_flow_imbalance, date, avg(impact_cents - fitted) AS m, count(*) AS c FROM pr WHERE is_test GROUP BY ALL) GROUP BY order_flow_imbalance", FIT_CTES,
 )
-add("q_ols_models", "model:s n_test:l mse:d r2:d", lambda s, d: R.model_table(split(s, d), "impact_cents"))
+add("q_ols_models", "model:s n_test:l mse:d rmse:d mae:d r2:d sign_accuracy:d", lambda s, d: R.model_table(split(s, d), "impact_cents"))
 
 # what the count of trades adds to the transforms of volume, on the test sessions
 _ADDED = ["volume_imbalance", "absolute_volume", "signed_sqrt_volume", "signed_log_volume", "order_flow_imbalance"]
@@ -216,7 +216,9 @@ def collapse(s: SparkSession, d: str) -> DataFrame:
 
 add("q_collapse", "horizon:l bin:l x:d y:d", collapse, f"SELECT horizon, bin, x_mean / flow_scale AS x, y_mean / return_scale AS y FROM ({curve_sql('sc', 'horizon', 'e', 'impact_log', 7)}) JOIN ({_VAR}) USING (horizon)", _SCALE)
 add("q_master_curve", "horizon:l bin:l x:d y:d", lambda s, d: collapse(s, d).withColumn("y", R.master_curve(F.col("x"), 1.5, 0.75)), f"SELECT horizon, bin, x_mean / flow_scale AS x, (x_mean / flow_scale) / pow(1 + pow(abs(x_mean / flow_scale), 1.5), 0.5) AS y FROM ({curve_sql('sc', 'horizon', 'e', 'impact_log', 7)}) JOIN ({_VAR}) USING (horizon)", _SCALE)
-add("q_volume_curve_scales", "horizon:l x_scale:d y_scale:d alpha:d beta:d", lambda s, d: R.volume_curve_scales(W.quantile_curve(scaling(s, d), ["horizon"], "q", "impact_log", 15)))
+curve_scales = lambda s, d: R.volume_curve_scales(W.quantile_curve(scaling(s, d), ["horizon"], "q", "impact_log", 15))
+add("q_volume_curve_scales", "horizon:l x_scale:d y_scale:d alpha:d beta:d cost:d success:b", curve_scales)
+add("q_scaling_laws", "law:s " + LOGLOG, lambda s, d: R.scaling_laws(curve_scales(s, d)))
 add("q_sample_summary", "trades:l median_size:d p10:d p90:d p99:d buy_share:d size_sd:d", lambda s, d: trades(s, d).agg(F.count("*").alias("trades"), F.percentile("size", 0.5).alias("median_size"), F.percentile("size", 0.1).alias("p10"), F.percentile("size", 0.9).alias("p90"), F.percentile("size", 0.99).alias("p99"), F.avg((F.col("sign") == 1).cast("double")).alias("buy_share"), F.stddev_samp("size").alias("size_sd")),
     "SELECT count(*) AS trades, quantile_cont(size, 0.5) AS median_size, quantile_cont(size, 0.1) AS p10, quantile_cont(size, 0.9) AS p90, quantile_cont(size, 0.99) AS p99, avg(CASE WHEN sign = 1 THEN 1.0 ELSE 0.0 END) AS buy_share, stddev_samp(size) AS size_sd FROM trades", TRADES_SQL)
 
