@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tickforge.operators import liquidity as L
+from tickforge.operators import persistence as H
 from tickforge.operators import regression as R
 from tickforge.operators import scores as S
 from tickforge.operators import windows as W
@@ -21,11 +21,11 @@ def test_permutation_test(spark):
     walk = np.cumprod(np.where(rng.random(1500) < 0.9, 1, -1))
     days = {"persistent": walk, "fair": rng.choice([-1, 1], 700), "short": [1] * 9}
     df = spark.createDataFrame([(d, i, int(s)) for d, signs in days.items() for i, s in enumerate(signs)], "date string, row0 long, sign int").repartition(5)
-    got = {r["date"]: r for r in L.permutation_test(df, W.DFA_SCALES, 199).collect()}
+    got = {r["date"]: r for r in H.session_exponents(df, W.DFA_SCALES, 1, 199).where("exponent IS NOT NULL").collect()}
     want = {r["date"]: r["exponent"] for r in R.exponents(W.dfa_fluctuations(df, W.DFA_SCALES)).collect()}
     assert set(got) == {"persistent", "fair"}
     for d in got:
-        assert got[d]["exponent"] == pytest.approx(want[d], abs=1e-9) and got[d]["replicates"] == 199
+        assert got[d]["exponent"] == pytest.approx(want[d], abs=1e-9) and len(got[d]["nulls"]) == 199
     assert got["persistent"]["p_value"] == 1 / 200 and got["fair"]["p_value"] > 0.01  # 19 replicates stop at 0.05
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import numpy as np
@@ -69,6 +68,8 @@ def solve(xx: np.ndarray, xy: np.ndarray, ridge: float = 0.0) -> np.ndarray:
     return np.concatenate([[xy[0] / n - mean @ beta], beta])
 
 
+#: The names of ``scores``.
+SCORES = ("n", "mse", "rmse", "mae", "r2", "sign_accuracy")
 _VOLUME = ["volume_imbalance", "absolute_volume", "signed_sqrt_volume", "signed_log_volume"]
 _FLOW = ["order_flow_imbalance", "absolute_flow", "signed_sqrt_flow"]
 #: Nested models of impact and a ridge over all features.
@@ -82,27 +83,19 @@ MODELS = {
 
 
 def model_table(split: DataFrame, y: str, models: dict | None = None) -> DataFrame:
-    """model, n_test, mse, rmse, mae, r2 and sign accuracy on the test sessions, best first. Two aggregates serve all fits:
-    their sums are parts of the sums over all features; a third takes absolute errors and signs of all models at once.
-    Rows without a move don't count for the sign."""
+    """model and the scores of ``scores`` on the test sessions, best first. One aggregate serves all fits, as their sums are
+    parts of the sums over all features; a second takes the scores of all models at once."""
     models = models or MODELS
     every = sorted({f for features, _ in models.values() for f in features})
-    (xx, xy, _, _), (txx, txy, tyy, n) = (gram(split.where(c), every, y) for c in ("NOT is_test", "is_test"))
-    rows = []
+    xx, xy, _, _ = gram(split.where("NOT is_test"), every, y)
+    predicted = {}
     for name, (features, ridge) in models.items():
         at = [0, *[1 + every.index(f) for f in features]]
         beta = solve(xx[np.ix_(at, at)], xy[at], ridge)
-        sse = float(tyy - 2 * beta @ txy[at] + beta @ txx[np.ix_(at, at)] @ beta)
-        total = float(tyy - txy[0] ** 2 / n) if n else 0.0
-        rows.append((name, int(n), sse / n if n else None, 1 - sse / total if total else None, features, beta))
-    fitted = {name: sum((float(b) * F.col(f) for f, b in zip(features, beta[1:], strict=True)), F.lit(float(beta[0]))) for name, _, _, _, features, beta in rows}
-    moved = F.col(y) != 0
-    more = split.where("is_test").agg(*[
-        F.struct(F.avg(F.abs(F.col(y) - p)).alias("mae"), F.avg(F.when(moved, (F.signum(p) == F.signum(F.col(y))).cast("double"))).alias("sign_accuracy")).alias(name) for name, p in fitted.items()
-    ]).first()
-    rows.sort(key=lambda r: (r[2] is None, r[2]))
-    out = [(name, n, mse, math.sqrt(max(mse, 0.0)) if mse is not None else None, more[name]["mae"], r2, more[name]["sign_accuracy"]) for name, n, mse, r2, _, _ in rows]
-    return split.sparkSession.createDataFrame(out, "model string, n_test long, mse double, rmse double, mae double, r2 double, sign_accuracy double")
+        predicted[f"p_{name}"] = sum((float(b) * F.col(f) for f, b in zip(features, beta[1:], strict=True)), F.lit(float(beta[0])))
+    told = split.where("is_test").withColumns(predicted).agg(*[F.struct(*scores(y, f"p_{name}")).alias(name) for name in models])
+    rows = told.select(F.explode(F.array(*[F.struct(F.lit(name).alias("model"), *[F.col(name)[c].alias(c) for c in SCORES]) for name in models])).alias("r")).select("r.*")
+    return rows.orderBy(F.asc_nulls_last("mse"))
 
 
 def nested_contributions(split: DataFrame, y: str, base: str = "volume_transforms", plus: str = "volume_and_flow") -> DataFrame:

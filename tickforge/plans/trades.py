@@ -12,6 +12,7 @@ from tickforge.operators import regression as R
 from tickforge.operators import scores as S
 from tickforge.operators import windows as W
 from tickforge.plans.books import FLOW_SQL, flow
+from tickforge.plans.linear import eliminate_sql
 from tickforge.plans.registry import add
 from tickforge.sources.adapters import TRADES_SQL, trades
 from tickforge.sources.settle import settled
@@ -111,7 +112,27 @@ add(
     lambda s, d: R.residuals_by_count(predicted(s, d).where("is_test"), "order_flow_imbalance", "impact_cents", "fitted"),
     "SELECT order_flow_imbalance, avg(m) AS residual, stddev_samp(m) / sqrt(count(*)) AS standard_error, count(*) AS dates, sum(c) AS windows FROM (SELECT order_flow_imbalance, date, avg(impact_cents - fitted) AS m, count(*) AS c FROM pr WHERE is_test GROUP BY ALL) GROUP BY order_flow_imbalance", FIT_CTES,
 )
-add("q_ols_models", "model:s n_test:l mse:d rmse:d mae:d r2:d sign_accuracy:d", lambda s, d: R.model_table(split(s, d), "impact_cents"))
+
+_EVERY = sorted({f for features, _ in R.MODELS.values() for f in features})
+
+
+def _models_sql() -> tuple[str, str]:
+    """(common tables, body): features standardised over the training rows, each model's equations, and its scores."""
+    stats = ", ".join(f"avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}" for f in _EVERY)
+    z = ", ".join(f"({f} - m_{f}) / s_{f}" for f in _EVERY)
+    flows = "abs(order_flow_imbalance) AS absolute_flow"
+    tables = [FEATURES_CTE, f"zf AS MATERIALIZED (SELECT *, {flows} FROM sp)", f"zs AS MATERIALIZED (SELECT {stats}, avg(impact_cents) AS y_mean FROM zf WHERE NOT is_test)", f"zz AS MATERIALIZED (SELECT is_test, impact_cents, y_mean, [{z}] AS z FROM zf, zs)"]
+    parts = []
+    for k, (name, (features, ridge)) in enumerate(R.MODELS.items()):
+        n, at = len(features), "[" + ", ".join(str(_EVERY.index(f) + 1) for f in features) + "]"
+        entry = f"sum(z[{at}[i]] * CASE WHEN j = {n + 1} THEN impact_cents ELSE z[{at}[j]] END) + CASE WHEN i = j THEN {ridge} ELSE 0 END"
+        tables.append(eliminate_sql(f"om{k}", f"SELECT i, j, {entry} AS v FROM zz, (SELECT unnest(range(1, {n + 1})) AS i), (SELECT unnest(range(1, {n + 2})) AS j) WHERE NOT is_test GROUP BY i, j", n))
+        fitted = f"y_mean + list_sum(list_transform(range(1, {n + 1}), lambda i: z[{at}[i]] * b[i]))"
+        parts.append(f"SELECT '{name}' AS model, {SCORES_SQL} FROM (SELECT impact_cents, {fitted} AS fitted FROM zz, (SELECT list(v ORDER BY i) AS b FROM om{k}) WHERE is_test)")
+    return ",\n".join(tables), " UNION ALL ".join(parts)
+
+
+add("q_ols_models", "model:s " + SCORES, lambda s, d: R.model_table(split(s, d), "impact_cents"), _models_sql()[1], _models_sql()[0])
 
 # what the count of trades adds to the transforms of volume, on the test sessions
 _ADDED = ["volume_imbalance", "absolute_volume", "signed_sqrt_volume", "signed_log_volume", "order_flow_imbalance"]
@@ -231,7 +252,13 @@ ar AS (SELECT regr_slope(sign, l1) AS phi, regr_intercept(sign, l1) AS mu, count
 ex AS (SELECT al.*, mu + phi * l1 AS expected, sign * (mu + phi * l1) AS expectedness, size * CAST(1 AS DOUBLE) / (1 + row0 % 7) AS response, row0 % 4 AS stratum FROM al, ar)"""
 add("q_sign_lags", "date:s row0:l l1:l l2:l l3:l", lambda s, d: L.with_lags(trades(s, d), 3), "SELECT date, row0, l1, l2, l3 FROM lg WHERE l3 IS NOT NULL", _AR)
 add("q_sign_ar1", "phi:d mu:d n:l", lambda s, d: L.first_order(W.with_split(L.with_lags(trades(s, d), 1))), "SELECT * FROM ar", _AR)
-add("q_sign_ar_coefficients", "lag:l coefficient:d", lambda s, d: L.autoregression(W.with_split(L.with_lags(trades(s, d), 10)).where("NOT is_test"), 10))
+_LAGS = 10
+_AR_TABLES = TRADES_SQL + f""",
+la AS MATERIALIZED (SELECT * FROM (SELECT date, sign, list(sign::DOUBLE) OVER (PARTITION BY date ORDER BY row0 ROWS BETWEEN {_LAGS} PRECEDING AND 1 PRECEDING) AS prev FROM trades) WHERE len(prev) = {_LAGS}),
+ld AS (SELECT date, row_number() OVER (ORDER BY date) AS r, count(*) OVER () AS m FROM (SELECT DISTINCT date FROM la)),
+lx AS MATERIALIZED (SELECT sign, list_prepend(1.0::DOUBLE, list_reverse(prev)) AS x FROM la JOIN ld USING (date) WHERE r <= greatest(1, least(m - 1, floor(0.8 * m)))),
+""" + eliminate_sql("le", f"SELECT i, j, sum(x[i] * CASE WHEN j = {_LAGS + 2} THEN sign::DOUBLE ELSE x[j] END) AS v FROM lx, (SELECT unnest(range(1, {_LAGS + 2})) AS i), (SELECT unnest(range(1, {_LAGS + 3})) AS j) GROUP BY i, j", _LAGS + 1)
+add("q_sign_ar_coefficients", "lag:l coefficient:d", lambda s, d: L.autoregression(W.with_split(L.with_lags(trades(s, d), _LAGS)).where("NOT is_test"), _LAGS), "SELECT i - 1 AS lag, v AS coefficient FROM le", _AR_TABLES)
 
 
 def scored(s: SparkSession, d: str) -> DataFrame:

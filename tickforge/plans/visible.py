@@ -10,6 +10,7 @@ from tickforge.operators import orders as O
 from tickforge.operators import scores as S
 from tickforge.plans.books import FLOW_SQL, flow
 from tickforge.plans.evaluations import REPLICATES, intervals_sql
+from tickforge.plans.linear import eliminate_sql
 from tickforge.plans.registry import add
 from tickforge.plans.trades import _order_sql
 from tickforge.sources.settle import settled
@@ -33,21 +34,20 @@ vf AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY date ORDER BY firs
   ln(size) AS log_order_size, ln(opposite_best_size_before) AS log_opposite_depth, ln(size) - ln(opposite_best_size_before) AS log_size_to_depth, ln(same_side_best_size_before) AS log_same_side_depth,
   ln(opposite_best_size_before) - ln(same_side_best_size_before) AS log_opposite_to_same_depth, ln(spread_before) AS log_spread, floor((ts_us - {L.OPEN_US}) / {L.BUCKET_US}::DOUBLE) AS intraday_bucket FROM vo),
 vl AS MATERIALIZED (SELECT * FROM (SELECT *, list(sign::DOUBLE) OVER (PARTITION BY date ORDER BY row0 ROWS BETWEEN {L.LAGS} PRECEDING AND 1 PRECEDING) AS prev FROM vf) WHERE len(prev) = {L.LAGS}),
-vx AS MATERIALIZED (SELECT *, list_prepend(1.0::DOUBLE, list_reverse(prev)) AS x FROM vl),
-g0 AS MATERIALIZED (SELECT i, j, sum(x[i] * CASE WHEN j = {_K + 1} THEN sign::DOUBLE ELSE x[j] END) AS v FROM (SELECT x, sign FROM vx WHERE date < '{LIQUIDITY_FROM}'), (SELECT unnest(range(1, {_K + 1})) AS i), (SELECT unnest(range(1, {_K + 2})) AS j) GROUP BY i, j)"""
-_STEPS = ",\n".join(
-    f"""g{k} AS MATERIALIZED (SELECT a.i, a.j, CASE WHEN a.i = {k} THEN a.v / p.v ELSE a.v - c.v * r.v / p.v END AS v FROM g{k - 1} a JOIN (SELECT j, v FROM g{k - 1} WHERE i = {k}) r USING (j)
-  JOIN (SELECT i, v FROM g{k - 1} WHERE j = {k}) c USING (i), (SELECT v FROM g{k - 1} WHERE i = {k} AND j = {k}) p)"""
-    for k in range(1, _K + 1)
+vx AS MATERIALIZED (SELECT *, list_prepend(1.0::DOUBLE, list_reverse(prev)) AS x FROM vl)"""
+_STEPS = eliminate_sql(
+    "gx",
+    f"""SELECT i, j, sum(x[i] * CASE WHEN j = {_K + 1} THEN sign::DOUBLE ELSE x[j] END) AS v FROM (SELECT x, sign FROM vx WHERE date < '{LIQUIDITY_FROM}'), (SELECT unnest(range(1, {_K + 1})) AS i), (SELECT unnest(range(1, {_K + 2})) AS j) GROUP BY i, j""",
+    _K,
 )
-_SCORED = f"""vb AS MATERIALIZED (SELECT list(v ORDER BY i) AS b FROM g{_K} WHERE j = {_K + 1}),
+_SCORED = f"""vb AS MATERIALIZED (SELECT list(v ORDER BY i) AS b FROM gx),
 vs AS MATERIALIZED (SELECT vx.* EXCLUDE (prev, x), list_sum(list_transform(range(1, {_K + 1}), lambda i: x[i] * b[i])) AS predicted_sign FROM vx, vb),
 ve AS MATERIALIZED (SELECT *, sign * predicted_sign AS expectedness FROM vs),
 vq AS MATERIALIZED (SELECT sign, quantile_cont(expectedness, {[i / L.BINS for i in range(L.BINS + 1)]}) AS edges FROM ve WHERE date < '{LIQUIDITY_FROM}' GROUP BY sign),
 vt AS MATERIALIZED (SELECT ve.*, len(list_filter(edges[2:{L.BINS}], lambda e: e <= ve.expectedness)) AS bin FROM ve JOIN vq USING (sign) WHERE date >= '{LIQUIDITY_FROM}')"""
 CTES = FLOW_SQL + ",\n" + _FEATURES + ",\n" + _STEPS + ",\n" + _SCORED
 _METRICS = " ".join(f"{m}:d" for m in L.METRICS)
-add("q_liquidity_coefficients", "lag:l coefficient:d", lambda s, d: liquidity(s, d, "coefficients"), f"SELECT i - 1 AS lag, v AS coefficient FROM g{_K} WHERE j = {_K + 1}", CTES)
+add("q_liquidity_coefficients", "lag:l coefficient:d", lambda s, d: liquidity(s, d, "coefficients"), "SELECT i - 1 AS lag, v AS coefficient FROM gx", CTES)
 add(
     "q_liquidity_bins", f"sign:l bin:l n:l mean_expectedness:d penetration_probability:d midpoint_moves:l midpoint_move_probability:d mean_{L.RESPONSE}:d {L.CONDITIONAL}:d " + " ".join(f"mean_{m}:d" for m in L.METRICS[3:]) + " mean_spread:d",
     lambda s, d: liquidity(s, d, "bins"),

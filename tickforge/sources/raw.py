@@ -108,8 +108,13 @@ def read_sessions(spark: SparkSession, folder: str, symbol: str | None = None, y
         raise ContractError(f"several pairs of files for a session: {', '.join(sorted(twice))}")
     m, b = messages(spark, [r["message"] for r in pairs]), books(spark, [r["orderbook"] for r in pairs])
     session = ["symbol", "date"]
-    counts = m.groupBy(*session).agg(F.count("*").alias("m")).join(b.groupBy(*session).agg(F.count("*").alias("b")), session, "full")
-    bad = [r["date"] for r in counts.where("NOT m <=> b").limit(5).collect()]
+    # lines are counted by file before anything is split or ordered
+    path = F.col("_metadata.file_path")
+    lines = spark.read.option("lineSep", "\n").text([r[k] for r in pairs for k in ("message", "orderbook")]).select(
+        F.regexp_extract(path, NAME, 1).alias("symbol"), F.regexp_extract(path, NAME, 2).alias("date"), F.regexp_extract(path, NAME, 5).alias("kind")
+    )
+    counts = lines.groupBy(*session).agg(F.count_if(F.col("kind") == "message").alias("m"), F.count_if(F.col("kind") == "orderbook").alias("b"))
+    bad = [r["date"] for r in counts.where("m <> b").limit(5).collect()]
     if bad:
         raise ContractError(f"message and book rows differ in number: {', '.join(bad)}")
     closes = {r["date"]: min(r["end_ms"] * 1_000_000, (close_ns or {}).get(r["date"], r["end_ms"] * 1_000_000)) for r in pairs}
