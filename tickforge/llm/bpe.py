@@ -31,7 +31,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickforge.llm.common import Scratch, row_key, table
+from tickforge.llm.common import KeyFilter, Scratch, row_key, table
 
 CHUNK = 16_384
 OVERLAP = 512
@@ -189,12 +189,23 @@ def _encoded(docs: DataFrame, wanted: pa.Schema, ranks: str) -> DataFrame:
     long = F.length("text") > CHUNK
     out = texts.where(~long).mapInArrow(_whole(path, pattern, wanted), schema)
     parts = chunked(texts.where(long)).mapInArrow(_encoded_parts(path, pattern), PARTS).repartition("key").sortWithinPartitions("key", "k")
-    stitched = Scratch(docs.sparkSession, "bpe").put(parts.mapInArrow(_stitched(path, pattern, wanted), schema.replace("doc_id long", "doc_id long, key long", 1)))
+    scratch = Scratch(docs.sparkSession, "bpe")
+    stitched = scratch.put(parts.mapInArrow(_stitched(path, pattern, wanted), schema.replace("doc_id long", "doc_id long, key long", 1)))
     out = out.unionByName(stitched.where("n_tokens IS NOT NULL").drop("key"))
-    apart = stitched.where("n_tokens IS NULL").select("key").distinct()
+    apart = scratch.put(stitched.where("n_tokens IS NULL").select("key").distinct())
     if apart.isEmpty():
         return out
-    return out.unionByName(texts.where(long).withColumn("key", row_key()).join(apart, "key", "left_semi").drop("key").mapInArrow(_whole(path, pattern, wanted), schema))
+    # a filter of fixed size leaves the few texts to join, so that the others aren't shuffled
+    keyed = texts.where(long).withColumn("key", row_key()).mapInArrow(_passing(KeyFilter(apart)), "doc_id long, text string, key long")
+    return out.unionByName(keyed.join(apart, "key", "left_semi").drop("key").mapInArrow(_whole(path, pattern, wanted), schema))
+
+
+def _passing(wanted: KeyFilter) -> Callable:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(wanted.has(np.asarray(batch.column("key")))))
+
+    return each
 
 
 def encode(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
