@@ -108,33 +108,27 @@ def transitions(flow: DataFrame) -> DataFrame:
 
 add("q_transition_audit", "verdict:s event_type:l events:l", lambda s, d: transitions(flow(s, d)).groupBy("verdict", "event_type").agg(F.count("*").alias("events")), "SELECT verdict, event_type, count(*) AS events FROM tc JOIN lob USING (date, event_row) GROUP BY verdict, event_type", LOB_SQL + "," + _SIGNED.format(source="lob"))
 
-# Ten cases of one message each: type, direction, price, size and the four levels after it.
-CASES = [
-    ("submission", 1, -1, 100, 10, (100, 10, 99, 30, 101, 20, 98, 50)),
-    ("partial_cancel", 2, -1, 101, 5, (101, 15, 99, 30, 102, 40, 98, 50)),
-    ("deletion", 3, -1, 102, 10, (101, 20, 99, 30, 102, 30, 98, 50)),
-    ("visible_execution", 4, 1, 99, 10, (101, 20, 99, 20, 102, 40, 98, 50)),
-    ("depletion", 4, -1, 101, 20, (102, 40, 99, 30, 103, 60, 98, 50)),
-    ("hidden_execution", 5, -1, 101, 5, (101, 20, 99, 30, 102, 40, 98, 50)),
-    ("hidden_changes_book", 5, -1, 101, 5, (101, 15, 99, 30, 102, 40, 98, 50)),
-    ("depletion_breaks_prefix", 3, -1, 101, 20, (103, 60, 99, 30, 104, 70, 98, 50)),
-    ("bad_direction", 1, 0, 100, 10, (101, 20, 99, 30, 102, 40, 98, 50)),
-    ("bad_type", 8, -1, 101, 5, (101, 20, 99, 30, 102, 40, 98, 50)),
-]
-BEFORE = (101, 20, 99, 30, 102, 40, 98, 50)
-
-
-def transition_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cols = "date string, event_type int, direction int, price int, size int, " + ", ".join(f"{c} int" for c in B.BOOK)
-    rows = [(name, kind, way, price, size, *after) for name, kind, way, price, size, after in CASES]
-    before = F.struct(*[F.lit(v).alias(c) for c, v in zip(B.BOOK, BEFORE, strict=True)])
-    return spark.createDataFrame(rows, cols).withColumn("prev", before).withColumn("verdict", B.transition("prev"))
-
-
-_ROWS = ", ".join(
-    f"('{name}', 0, 7, 1, 1, 1, {', '.join(map(str, BEFORE))}), ('{name}', 1, {kind}, {way}, {price}, {size}, {', '.join(map(str, after))})" for name, kind, way, price, size, after in CASES
-)
-add("q_transition_cases", "date:s verdict:s", transition_cases, "SELECT date, verdict FROM tc", f"cases(date, event_row, event_type, direction, price, size, ap1, as1, bp1, bs1, ap2, as2, bp2, bs2) AS (VALUES {_ROWS})," + _SIGNED.format(source="cases"))
+# faults planted in the events: each is a change to every tenth order id, the rest is as it was
+FAULTS = ("unknown_type", "no_direction", "larger_size", "grown_ask", "hidden")
+
+
+def faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events with their fault (null without): a type that isn't one, no direction, a share more than was traded, a
+    share more at the ask than the message explains, an execution called hidden."""
+    e, k = lob_events(spark, sf_dir), F.col("order_id") % 10
+    fault = F.coalesce(*[F.when(k == i, F.lit(name)) for i, name in enumerate(FAULTS)])
+    change = lambda name, c, new: F.when(F.col("fault") == name, new).otherwise(F.col(c)).cast("int")
+    e = e.withColumn("fault", fault).withColumn("event_type", F.when(F.col("fault") == "unknown_type", 8).when(F.col("fault") == "hidden", 5).otherwise(F.col("event_type")).cast("int"))
+    return e.withColumns({"direction": change("no_direction", "direction", 0), "size": change("larger_size", "size", F.col("size") + 1), "ask_size_1": change("grown_ask", "ask_size_1", F.col("ask_size_1") + 1)})
+
+
+_FAULT = "CASE order_id % 10 " + " ".join(f"WHEN {i} THEN '{name}'" for i, name in enumerate(FAULTS)) + " END"
+add(
+    "q_transition_faults", "fault:s verdict:s events:l", lambda s, d: transitions(S.with_flow(faulty(s, d))).groupBy("fault", "verdict").agg(F.count("*").alias("events")),
+    f"SELECT {_FAULT} AS fault, verdict, count(*) AS events FROM tc JOIN lob USING (date, event_row) GROUP BY ALL",
+    LOB_SQL + """, lf AS (SELECT * REPLACE (CASE order_id % 10 WHEN 0 THEN 8 WHEN 4 THEN 5 ELSE event_type END AS event_type, CASE WHEN order_id % 10 = 1 THEN 0 ELSE direction END AS direction,
+      CASE WHEN order_id % 10 = 2 THEN size + 1 ELSE size END AS size, CASE WHEN order_id % 10 = 3 THEN as1 + 1 ELSE as1 END AS as1) FROM lob),""" + _SIGNED.format(source="lf"),
+)
 
 # state and flow
 KEY = "date:s event_row:l "
