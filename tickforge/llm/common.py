@@ -116,7 +116,7 @@ class KeyFilter:
             F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap")
         )
         whole = np.zeros(max(4096, (1 << self.bits) // 8), dtype=np.uint8)
-        for bucket, bitmap in rows.toLocalIterator():
+        for bucket, bitmap in rows.collect():  # at most 32 MB, in one job; an iterator would run one for each partition
             whole[(bucket - 1) * 4096 : bucket * 4096] |= np.frombuffer(bytes(bitmap), dtype=np.uint8)
         self.shared = spark.sparkContext.broadcast(whole)
 
