@@ -7,6 +7,7 @@ value a session.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,33 +35,68 @@ def sign_violations(trades: DataFrame) -> DataFrame:
     return own.unionByName(twice)
 
 
+@functools.cache
+def _places() -> np.ndarray:
+    """For each mixed number in order, the position below PRIME that has it in replicate 0 of seed 0."""
+    a = np.arange(S.PRIME)
+    b = a * a % S.PRIME
+    roots = np.argsort(b * b % S.PRIME * a % S.PRIME)
+    return roots * pow(S.STEP, -1, S.PRIME) % S.PRIME
+
+
 def shuffled(signs: np.ndarray, replicate: int, seed: int) -> np.ndarray:
-    return signs[np.argsort(S._mixed(np.array([replicate]), np.arange(len(signs)), seed)[0], kind="stable")]
+    """The signs in the order of their mixed numbers, equal ones by position. The numbers of PRIME neighbouring positions
+    are all different and another replicate only shifts positions, so long sessions take the order from a table."""
+    n = len(signs)
+    if n < S.PRIME // 8:
+        return signs[np.argsort(S._mixed(np.array([replicate]), np.arange(n), seed)[0], kind="stable")]
+    shift = (replicate * S.REPLICATE + seed * S.SEEDED) * pow(S.STEP, -1, S.PRIME) % S.PRIME
+    at = _places() - shift
+    at[at < 0] += S.PRIME
+    rounds = -(-n // S.PRIME)
+    out, there = np.empty((S.PRIME, rounds), signs.dtype), np.ones((S.PRIME, rounds), bool)
+    for r in range(rounds):
+        own = signs[r * S.PRIME : (r + 1) * S.PRIME]
+        there[:, r] = at < len(own)
+        out[:, r] = np.take(own, at, mode="clip")
+    return out[there]
 
 
 SESSIONS = "date string, trades long, buy_fraction double, included boolean, exponent double, p_value double, nulls array<double>"
+#: Rows of a run of signs, and shuffles that one row of work draws.
+RUN, SHARE = 4096, 50
 
 
 def session_exponents(trades: DataFrame, scales: list[int], minimum: int = MINIMUM, permutations: int = PERMUTATIONS, seed: int = SEED) -> DataFrame:
     """A row per session: trades, share of buys, whether it has the least number of trades, and if so its scaling exponent,
-    the upper-tail p-value against its own shuffled signs and their exponents (null where fewer than two scales fit). A session's signs are one row, a byte each;
-    its replicates are drawn and measured there, one at a time."""
+    the upper-tail p-value against its own shuffled signs and their exponents (null where fewer than two scales fit). A
+    session's signs are put together from runs, a byte each; its shuffles are shared out, and drawn and measured one at a
+    time."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for date, signs in zip(batch.column("date").to_pylist(), batch.column("signs"), strict=True):
-                x = np.asarray(signs.values).astype(float)
-                real, nulls, p = None, None, None
+            for date, lo, signs in zip(batch.column("date").to_pylist(), batch.column("lo").to_pylist(), batch.column("signs"), strict=True):
+                x = np.asarray(signs.values)
+                real, nulls = None, None
                 if len(x) >= minimum and np.isfinite(real := float(L.sign_exponents(x[None], scales)[0])):
-                    nulls = [float(L.sign_exponents(shuffled(x, rep, seed)[None], scales)[0]) for rep in range(permutations)]
-                    p = (1 + sum(v >= real for v in nulls)) / (1.0 + permutations)
-                out.append((date, len(x), float(np.mean(x == 1)), len(x) >= minimum, real if nulls else None, p, nulls))
-            kinds = (pa.string(), pa.int64(), pa.float64(), pa.bool_(), pa.float64(), pa.float64(), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [c.split()[0] for c in SESSIONS.split(", ")])
-
-    pairs = F.sort_array(F.collect_list(F.struct("row0", F.col("sign").cast("byte").alias("sign"))))
-    return trades.groupBy("date").agg(F.transform(pairs, lambda r: r["sign"]).alias("signs")).mapInArrow(each, SESSIONS)
+                    nulls = [float(L.sign_exponents(shuffled(x, rep, seed)[None], scales)[0]) for rep in range(lo, min(lo + SHARE, permutations))]
+                out.append((date, lo, len(x), float(np.mean(x == 1)), len(x) >= minimum, real if nulls else None, nulls))
+            kinds = (pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.bool_(), pa.float64(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["date", "lo", "trades", "buy_fraction", "included", "exponent", "nulls"])
+
+    ordered = lambda of, value: F.transform(F.sort_array(F.collect_list(of)), lambda r: r[value])
+    runs = trades.groupBy("date", F.floor(F.col("row0") / RUN).alias("run")).agg(ordered(F.struct("row0", F.col("sign").cast("byte").alias("sign")), "sign").alias("signs"))
+    sessions = runs.groupBy("date").agg(F.flatten(ordered(F.struct("run", "signs"), "signs")).alias("signs"))
+    shares = sessions.withColumn("lo", F.explode(F.array(*[F.lit(lo) for lo in range(0, max(permutations, 1), SHARE)])))
+    # work by the number of shuffles, not by bytes, so the count of partitions is given
+    shares = shares.repartition(4 * trades.sparkSession.sparkContext.defaultParallelism, "date", "lo")
+    parts = shares.mapInArrow(each, "date string, lo int, trades long, buy_fraction double, included boolean, exponent double, nulls array<double>")
+    one = lambda c: F.max(c).alias(c)
+    whole = parts.groupBy("date").agg(*[one(c) for c in ("trades", "buy_fraction", "included", "exponent")], F.flatten(ordered(F.struct("lo", "nulls"), "nulls")).alias("nulls"))
+    beyond = F.size(F.filter("nulls", lambda v: ~F.isnan(v) & (v >= F.col("exponent"))))
+    p = F.when(F.col("exponent").isNotNull(), (1 + beyond) / F.lit(1.0 + permutations))
+    return whole.select("date", "trades", "buy_fraction", "included", "exponent", p.alias("p_value"), "nulls")
 
 
 def family_test(sessions: DataFrame) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 CELL_ORDER = ["date", "queue_bin", "ofi_bin"]
 EPS = 2.220446049250313e-16
-PRIME = 1_000_003
+#: The modulus of the integer plan and its factors of position, replicate and seed.
+PRIME, STEP, REPLICATE, SEEDED = 1_000_003, 104_729, 7919, 31
 
 
 def logit_probability(queue: float, flow: float, intercept: float = 0.0) -> Column:
@@ -88,13 +89,13 @@ def squared_loss(p: str) -> Column:
 def _mixed(rep: np.ndarray, pos: np.ndarray, seed: int) -> np.ndarray:
     """A whole number below PRIME for each replicate and position. The fifth power, which permutes the residues, breaks
     up the steps of the linear term: without it neighbouring positions would draw different sessions almost always."""
-    a = (rep[:, None] * 7919 + pos * 104_729 + seed * 31) % PRIME
+    a = (rep[:, None] * REPLICATE + pos * STEP + seed * SEEDED) % PRIME
     b = a * a % PRIME
     return b * b % PRIME * a % PRIME
 
 
 def mixed_sql(rep: str, pos: str, seed: int) -> str:
-    a = f"(({rep} * 7919 + {pos} * 104729 + {seed * 31}) % {PRIME})"
+    a = f"(({rep} * {REPLICATE} + {pos} * {STEP} + {seed * SEEDED}) % {PRIME})"
     b = f"({a} * {a} % {PRIME})"
     return f"({b} * {b} % {PRIME} * {a} % {PRIME})"
 
