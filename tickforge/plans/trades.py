@@ -231,8 +231,8 @@ add("q_loglog_fit", LOGLOG, lambda s, d: R.loglog_fit(variance(s, d), "horizon",
 
 
 def collapse(s: SparkSession, d: str) -> DataFrame:
-    curve, scale = W.quantile_curve(scaling(s, d), ["horizon"], "e", "impact_log", 7), variance(s, d)
-    return R.collapse(curve, scale, "flow_scale", "return_scale")
+    cells = W.curve_cells(scaling(s, d), ["horizon"], "e", "impact_log")
+    return R.collapse(W.cell_curve(cells, ["horizon"], 7), W.cell_scales(cells, ["horizon"], "flow_scale", "return_scale"), "flow_scale", "return_scale")
 
 
 add("q_collapse", "horizon:l bin:l x:d y:d", collapse, f"SELECT horizon, bin, x_mean / flow_scale AS x, y_mean / return_scale AS y FROM ({curve_sql('sc', 'horizon', 'e', 'impact_log', 7)}) JOIN ({_VAR}) USING (horizon)", _SCALE)
