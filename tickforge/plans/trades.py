@@ -253,21 +253,29 @@ al AS (SELECT lg.*, r > greatest(1, least(m - 1, floor(0.8 * m))) AS is_test FRO
 ar AS (SELECT regr_slope(sign, l1) AS phi, regr_intercept(sign, l1) AS mu, count(*) AS n FROM al WHERE NOT is_test),
 ex AS (SELECT al.*, mu + phi * l1 AS expected, sign * (mu + phi * l1) AS expectedness, size * CAST(1 AS DOUBLE) / (1 + row0 % 7) AS response, row0 % 4 AS stratum FROM al, ar)"""
 add("q_sign_lags", "date:s row0:l l1:l l2:l l3:l", lambda s, d: L.with_lags(trades(s, d), 3), "SELECT date, row0, l1, l2, l3 FROM lg WHERE l3 IS NOT NULL", _AR)
-add("q_sign_ar1", "phi:d mu:d n:l", lambda s, d: L.first_order(W.with_split(L.with_lags(trades(s, d), 1))), "SELECT * FROM ar", _AR)
+
+
+def lagged(s: SparkSession, d: str, order: int) -> DataFrame:
+    """Trades with their lags and the split, whose sessions are those of more trades than lags."""
+    t = trades(s, d)
+    return W.with_split(L.with_lags(t, order), sessions=t.groupBy("date").count().where(F.col("count") > order))
+
+
+add("q_sign_ar1", "phi:d mu:d n:l", lambda s, d: L.first_order(lagged(s, d, 1)), "SELECT * FROM ar", _AR)
 _LAGS = 10
 _AR_TABLES = TRADES_SQL + f""",
 la AS MATERIALIZED (SELECT * FROM (SELECT date, sign, list(sign::DOUBLE) OVER (PARTITION BY date ORDER BY row0 ROWS BETWEEN {_LAGS} PRECEDING AND 1 PRECEDING) AS prev FROM trades) WHERE len(prev) = {_LAGS}),
 ld AS (SELECT date, row_number() OVER (ORDER BY date) AS r, count(*) OVER () AS m FROM (SELECT DISTINCT date FROM la)),
 lx AS MATERIALIZED (SELECT sign, list_prepend(1.0::DOUBLE, list_reverse(prev)) AS x FROM la JOIN ld USING (date) WHERE r <= greatest(1, least(m - 1, floor(0.8 * m)))),
 """ + eliminate_sql("le", f"SELECT i, j, sum(x[i] * CASE WHEN j = {_LAGS + 2} THEN sign::DOUBLE ELSE x[j] END) AS v FROM lx, (SELECT unnest(range(1, {_LAGS + 2})) AS i), (SELECT unnest(range(1, {_LAGS + 3})) AS j) GROUP BY i, j", _LAGS + 1)
-add("q_sign_ar_coefficients", "lag:l coefficient:d", lambda s, d: L.autoregression(W.with_split(L.with_lags(trades(s, d), _LAGS)).where("NOT is_test"), _LAGS), "SELECT i - 1 AS lag, v AS coefficient FROM le", _AR_TABLES)
+add("q_sign_ar_coefficients", "lag:l coefficient:d", lambda s, d: L.autoregression(lagged(s, d, _LAGS).where("NOT is_test"), _LAGS), "SELECT i - 1 AS lag, v AS coefficient FROM le", _AR_TABLES)
 
 
 def scored(s: SparkSession, d: str) -> DataFrame:
     """Test adapter for the line-item trades, which have no book: the sign expected from the one before (fitted on the
     training sessions), a made-up response and stratum from the row number, and a continuous score that breaks ties.
     The analysis of real orders is ``L.asymmetric_liquidity``."""
-    data = W.with_split(L.with_lags(trades(s, d), 1))
+    data = lagged(s, d, 1)
     fit = L.first_order(data).first()
     expected = F.lit(fit["mu"]) + F.lit(fit["phi"]) * F.col("l1")
     out = data.withColumn("expected", expected).withColumn("expectedness", F.col("sign") * F.col("expected"))
