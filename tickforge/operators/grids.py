@@ -51,8 +51,7 @@ def horizon_bins(lab: DataFrame, bins: int, updates: list[int], clocks_us: list[
     """Moves at quote updates by order flow over the spell, the last updates, and clock windows. Labels drop only the last
     spell of a session and all windows look back, so they run over the labelled events themselves."""
     rows = lab.select("date", "event_row", "is_update", "ofi", "ts_us", "cofi", "queue", "depth", "bucket", "move")
-    for us in clocks_us:
-        rows = S.clock_flow(rows, us).withColumnRenamed("flow", f"clock_{us}")
+    rows = S.clock_flows(rows, {f"clock_{us}": us for us in clocks_us})
     rows = rows.where("is_update")
     for n in updates:
         rows = rows.withColumn(f"updates_{n}", F.sum("ofi").over(S.in_session().rowsBetween(1 - n, Window.currentRow)))

@@ -72,9 +72,14 @@ def last_updates_flow(flow: DataFrame, n: int) -> DataFrame:
 
 def clock_flow(flow: DataFrame, span_us: int) -> DataFrame:
     """Flow over (t - span, t], causal by row: later rows of the same time are left out, earlier ones are in."""
-    upto = F.sum("ofi").over(so_far())
-    old = F.sum("ofi").over(Window.partitionBy("date").orderBy("ts_us").rangeBetween(Window.unboundedPreceding, -span_us))
-    return flow.withColumn("flow", (upto - F.coalesce(old, F.lit(0))).cast("long"))
+    return clock_flows(flow, {"flow": span_us})
+
+
+def clock_flows(flow: DataFrame, spans_us: dict[str, int]) -> DataFrame:
+    """A flow per name and span; the session is put in order by row once and by time once, whatever their number."""
+    old = lambda us: F.sum("ofi").over(Window.partitionBy("date").orderBy("ts_us").rangeBetween(Window.unboundedPreceding, -us))
+    upto = flow.withColumn("_upto", F.sum("ofi").over(so_far()))
+    return upto.withColumns({name: (F.col("_upto") - F.coalesce(old(us), F.lit(0))).cast("long") for name, us in spans_us.items()}).drop("_upto")
 
 
 def entry(latency_us: int, value: Column) -> Column:

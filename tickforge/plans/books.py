@@ -11,6 +11,7 @@ from tickforge.operators import grids as G
 from tickforge.operators import spells as S
 from tickforge.plans.registry import add
 from tickforge.sources.adapters import LOB_SQL, lob_events
+from tickforge.sources.settle import settled
 
 BINS = 31
 QUEUE_BINS = 101
@@ -336,9 +337,14 @@ def _horizon_rules(grid: str) -> str:
       UNION ALL SELECT 'labels_differ', count(*) FROM (SELECT date, spread_bucket FROM (SELECT {keys}, sum(up_moves) AS u, sum(down_moves) AS d FROM ({grid}) GROUP BY {keys}) GROUP BY date, spread_bucket HAVING min(u) <> max(u) OR min(d) <> max(d))"""
 
 
-def broken_horizons(s: SparkSession, d: str) -> DataFrame:
-    grid = broken(horizon_grid(s, d), BAD_HORIZONS)
-    return grid.unionByName(grid.where("queue_bin % 3 = 0"))
+# the rules read the grid several times, so it is written once
+def horizon_contract(s: SparkSession, d: str) -> DataFrame:
+    return C.horizon_violations(settled(horizon_grid(s, d)))
+
+
+def broken_horizon_contract(s: SparkSession, d: str) -> DataFrame:
+    grid = broken(settled(horizon_grid(s, d)), BAD_HORIZONS)
+    return C.horizon_violations(grid.unionByName(grid.where("queue_bin % 3 = 0")))
 
 
 add("q_contract_markout", "rule:s violations:l", lambda s, d: C.markout_violations(markouts(s, d)), _counted(MARKOUT_RULES, centered(MARKOUT_GRID)), MARKOUT_CTES)
@@ -346,5 +352,5 @@ add("q_contract_markout_broken", "rule:s violations:l", lambda s, d: C.markout_v
 add("q_contract_round_trip", "rule:s violations:l", lambda s, d: C.round_trip_violations(trip_grid(s, d)), _counted(TRIP_RULES, centered(TRIP_GRID)), TRIP_CTES)
 add("q_contract_round_trip_broken", "rule:s violations:l", lambda s, d: C.round_trip_violations(broken(trip_grid(s, d), BAD_TRIPS)), _counted(TRIP_RULES, _broken_sql(centered(TRIP_GRID), BAD_TRIPS)), TRIP_CTES)
 _BAD_HORIZON_GRID = f"WITH b AS ({_broken_sql(HORIZON_GRID, BAD_HORIZONS)}) SELECT * FROM b UNION ALL SELECT * FROM b WHERE queue_bin % 3 = 0"
-add("q_contract_horizon", "rule:s violations:l", lambda s, d: C.horizon_violations(horizon_grid(s, d)), _horizon_rules(HORIZON_GRID), HORIZON_CTES)
-add("q_contract_horizon_broken", "rule:s violations:l", lambda s, d: C.horizon_violations(broken_horizons(s, d)), _horizon_rules(_BAD_HORIZON_GRID), HORIZON_CTES)
+add("q_contract_horizon", "rule:s violations:l", horizon_contract, _horizon_rules(HORIZON_GRID), HORIZON_CTES)
+add("q_contract_horizon_broken", "rule:s violations:l", broken_horizon_contract, _horizon_rules(_BAD_HORIZON_GRID), HORIZON_CTES)
