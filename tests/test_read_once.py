@@ -87,3 +87,10 @@ def test_boundary_of_one_session(spark):
 def test_contracts_read_a_grid_that_is_written_once(spark):
     for query in (books.horizon_contract, books.broken_horizon_contract):
         assert "event_id" not in plan(query(spark, TABLES))
+
+
+def test_fits_take_no_log_of_a_mid(spark, monkeypatch):
+    """A mid of 0 has no log return, which the fits don't use."""
+    rows = [("a", i, 1, 5, 0 if i == 0 else 1_000_000 + i) for i in range(60)] + [("b", i, -1, 5, 1_000_000) for i in range(60)]
+    monkeypatch.setattr(T, "trades", lambda s, d: spark.createDataFrame(rows, "date string, row0 long, sign int, size long, mid_raw long"))
+    assert T.split(spark, TABLES).count() == 10 and T.horizon_robustness(spark, TABLES).count() == 4

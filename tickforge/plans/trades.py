@@ -71,7 +71,7 @@ sp AS (SELECT feat.*, r > greatest(1, least(m - 1, floor(0.8 * m))) AS is_test F
 FEATURES = "impact_cents:d absolute_volume:d signed_sqrt_volume:d signed_log_volume:d signed_sqrt_flow:d"
 features = lambda s, d: W.impact_features(windows(s, d, [T]))
 #: Fits read their windows several times, so those are written once.
-kept_features = lambda s, d: W.impact_features(settled(windows(s, d, [T])))
+kept_features = lambda s, d: W.impact_features(settled(windows(s, d, [T]).drop("impact_bps")))
 split = lambda s, d: W.with_split(kept_features(s, d))
 add("q_impact_features", "date:s row0:l " + FEATURES, features, "SELECT * FROM feat", FEATURES_CTE)
 add("q_train_test_split", "date:s is_test:b n:l", lambda s, d: split(s, d).groupBy("date", "is_test").agg(F.count("*").alias("n")), "SELECT date, is_test, count(*) AS n FROM sp GROUP BY ALL", FEATURES_CTE)
@@ -200,7 +200,7 @@ hp AS (SELECT hs.*, intercept + slope * volume_imbalance AS fitted FROM hs JOIN
 
 
 def horizon_robustness(s: SparkSession, d: str) -> DataFrame:
-    data = W.with_split(settled(windows(s, d))).withColumn("impact_cents", 100.0 * F.col("impact"))
+    data = W.with_split(settled(windows(s, d).drop("impact_bps"))).withColumn("impact_cents", 100.0 * F.col("impact"))
     fits = R.simple_fit(data, "volume_imbalance", "impact_cents", ["horizon"])
     return R.with_prediction(data.where("is_test"), fits, "volume_imbalance", ["horizon"]).groupBy("horizon").agg(*R.scores("impact_cents", "fitted"))
 
@@ -210,7 +210,7 @@ add("q_horizon_robustness", "horizon:l " + SCORES, horizon_robustness, f"SELECT
 # price impact per share and its decay
 _KYLE = ALL_WIN + """, kq AS (SELECT horizon, quantile_cont(CAST(abs(volume_imbalance) AS DOUBLE), 0.35) AS cut FROM win GROUP BY horizon),
 ky AS (SELECT horizon, regr_slope(100.0 * impact, volume_imbalance) AS kyle_lambda, regr_intercept(100.0 * impact, volume_imbalance) AS intercept, count(*) AS n FROM win JOIN kq USING (horizon) WHERE abs(volume_imbalance) <= cut GROUP BY horizon)"""
-kyle = lambda s, d: R.kyle_lambdas(settled(windows(s, d)))
+kyle = lambda s, d: R.kyle_lambdas(settled(windows(s, d).drop("impact_bps")))
 add("q_kyle_lambda", "horizon:l kyle_lambda:d intercept:d n:l", kyle, "SELECT * FROM ky", _KYLE)
 add("q_kyle_decay", "decay:d log_scale:d horizons:l", lambda s, d: R.kyle_decay(kyle(s, d)), "SELECT -regr_slope(ln(kyle_lambda), ln(horizon)) AS decay, regr_intercept(ln(kyle_lambda), ln(horizon)) AS log_scale, count(*) AS horizons FROM ky WHERE kyle_lambda > 0", _KYLE)
 
