@@ -97,3 +97,45 @@ def test_orders_of_a_region_follow_from_its_key():
         shared.append(sum(keys[i, 1] == keys[i, 2] for i in range(near_dup.SUBTREES)))
     assert abs(np.mean(shared) / near_dup.SUBTREES - 0.8**near_dup.DEPTH) < 0.05
     assert np.mean(np.array(shared) == 0) < 0.05
+
+
+def test_prints_that_deceive_bring_no_pairs_of_every_class(spark, monkeypatch):
+    """Prints of few bits let nearly all pairs of a group pass, of which few are links. The pairs to confirm grow with the
+    classes of the cells, not with their square, and all links are found, by whole sets."""
+    rng, texts = random.Random(4), []
+    base = [f"b{j}" for j in range(600)]
+    for i in range(100):
+        own = list(base)
+        for j in rng.sample(range(2, 598, 3), 21):
+            own[j] = f"p{i}x{j}"
+        texts.append(" ".join(own))
+        if i % 5 == 0:
+            for j in rng.sample(range(3, 598, 3), 12):
+                own[j] = f"q{i}x{j}"
+            texts.append(" ".join(own))
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if similarity(texts[i], texts[j]) >= 0.8:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    asked, confirm = [], near_dup.confirm
+
+    def counted(picks, *rest):
+        asked.append(picks.count())
+        return confirm(picks, *rest)
+
+    monkeypatch.setattr(near_dup, "NEIGHBOURS", 1)
+    monkeypatch.setattr(near_dup, "confirm", counted)
+    # 9 bits of each hash, in the three bytes of a print
+    monkeypatch.setattr(near_dup, "prints", lambda found: ((found >> np.uint64(55)) << np.uint64(15)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes())
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_dup_report(docs).collect()}
+    assert got == {i: find(i) for i in range(len(texts))} and 60 < len(set(got.values())) < len(texts)
+    assert sum(asked) <= 8 * len(texts), asked  # of 7,140 pairs

@@ -18,7 +18,8 @@ all the same. Which values an order takes follows from the key of the region it
 miss it independently, and no pair is left to a region that is crowded. Regions that touch a boundary between the sorted
 tasks of round one always take part, as their neighbours were not all compared. Pairs whose sketches and sizes allow a
 link are compared by 24-bit prints of their shingles, which never undercount what sets have in common, and those that
-pass are confirmed on the full sets. If a print has deceived, the round is repeated with every passing pair.
+pass are confirmed on the full sets, in each cell no more of them than it has components. Cells in which a print has
+deceived are met again with the full sets themselves, again only by pairs that join components.
 
 A pair of similarity 0.8 shares a region with probability p = 0.8**DEPTH. It is met there unless the region is crowded
 and no order below is shared, which has probability m = (1 - p)**SUBTREES, about 0.015, and with further levels
@@ -335,21 +336,28 @@ def _unprinted(data: bytes) -> np.ndarray:
     return out.view("<u4").ravel()
 
 
-def _printed(words: int) -> Callable:
+def whole(found: np.ndarray) -> bytes:
+    return found.astype("<u8").tobytes()
+
+
+def _printed(words: int, form: Callable) -> Callable:
+    """cls, print of texts; form: prints, or whole for the full sets."""
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [prints(shingle_set(t.as_buffer().to_pybytes(), words)) for t in batch.column("text")]
+            made = [form(shingle_set(t.as_buffer().to_pybytes(), words)) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(made, pa.binary())], ["cls", "print"])
 
     return each
 
 
 class Held:
-    """The prints of the classes held in a cell, by value, and the components joined so far."""
+    """The prints of the classes held in a cell (or full sets: exact), by value, and the components joined so far."""
 
-    def __init__(self, rows: list[tuple[int, int, bytes]], join: bool):
-        self.ids, self.roots, self.join = [r[0] for r in rows], [r[1] for r in rows], join
-        values = [_unprinted(r[2]) for r in rows]
+    def __init__(self, rows: list[tuple[int, int, bytes]], exact: bool):
+        self.ids, self.roots = [r[0] for r in rows], [r[1] for r in rows]
+        self.values_of = (lambda data: np.frombuffer(data, dtype="<u8")) if exact else _unprinted
+        values = [self.values_of(r[2]) for r in rows]
         self.sizes = np.array([len(v) for v in values], dtype=np.int64)
         flat = np.concatenate(values) if values else np.zeros(0, dtype=np.uint32)
         order = np.argsort(flat, kind="stable")
@@ -364,9 +372,9 @@ class Held:
         return root
 
     def passing(self, cls: int, root: int, data: bytes) -> Iterator[tuple[int, int]]:
-        """Pairs of a class with those held, of other components, whose prints allow a link. With ``join``, only those
-        that join components not yet joined here."""
-        own = _unprinted(data)
+        """Pairs of a class with those held whose prints allow a link (full sets: that link), each of which joins two
+        components not yet joined here."""
+        own = self.values_of(data)
         if not len(self.values) or not len(own):
             return
         at = np.minimum(np.searchsorted(self.values, own), len(self.values) - 1)
@@ -378,13 +386,12 @@ class Held:
         for j in np.flatnonzero(100 * both >= PER_CENT * (len(own) + self.sizes - both)).tolist():
             a, b = self.find(root), self.find(self.roots[j])
             if a != b:
-                if self.join:
-                    self.parent[max(a, b)] = min(a, b)
+                self.parent[max(a, b)] = min(a, b)
                 yield cls, self.ids[j]
 
 
-def _passing(join: bool) -> Callable:
-    """Cells with prints, the classes held first -> cell, a, b: pairs to confirm."""
+def _passing(exact: bool) -> Callable:
+    """Cells with prints, the classes held first -> cell, a, b: pairs to confirm; with full sets (exact), links."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell, parts in grouped(batches, "cell"):
@@ -395,9 +402,9 @@ def _passing(join: bool) -> Callable:
                     if flag:
                         rows.append((cls, root, data))
                         continue
-                    held = held or Held(rows, join)
+                    held = held or Held(rows, exact)
                     found += held.passing(cls, root, data)
-            held = held or Held(rows, join)
+            held = held or Held(rows, exact)
             for row in rows:
                 found += held.passing(*row)
             if found:
@@ -565,17 +572,20 @@ def link_classes(docs: DataFrame, scratch: Scratch, words: int = 2) -> tuple[Dat
     involved = across(thin, sketches, components(links, scratch), scratch)
     scratch.clear(sketches)
     stock = texts_of(involved.select("cls"))
-    printed = scratch.put(stock.mapInArrow(_printed(words), "cls long, print binary"))
-    for join in (True, False):
+
+    def joining(involved: DataFrame, form: Callable) -> DataFrame:
+        printed = scratch.put(stock.mapInArrow(_printed(words, form), "cls long, print binary"))
         met = involved.join(printed, "cls").repartition("cell").sortWithinPartitions("cell", F.desc("held"))
-        pairs = scratch.put(met.mapInArrow(_passing(join), "cell long, a long, b long").withColumns({"a": F.greatest("a", "b"), "b": F.least("a", "b")}))
-        held = confirm(pairs.select("a", "b").distinct(), stock, words, scratch)
-        links = links.unionByName(held)
-        # cells in which a print deceived may have left out pairs for its sake; they are met again
-        wrong = scratch.put(pairs.join(held, ["a", "b"], "left_anti").select("cell").distinct())
-        if wrong.isEmpty():
-            break
-        involved = involved.join(wrong, "cell", "left_semi")
+        pairs = met.mapInArrow(_passing(form is whole), "cell long, a long, b long")
+        return scratch.put(pairs.withColumns({"a": F.greatest("a", "b"), "b": F.least("a", "b")}))
+
+    pairs = joining(involved, prints)
+    held = confirm(pairs.select("a", "b").distinct(), stock, words, scratch)
+    links = links.unionByName(held)
+    # cells in which a print deceived may have left out pairs for its sake
+    wrong = scratch.put(pairs.join(held, ["a", "b"], "left_anti").select("cell").distinct())
+    if not wrong.isEmpty():
+        links = links.unionByName(joining(involved.join(wrong, "cell", "left_semi"), whole).select("a", "b"))
     roots = components(links, scratch)
     return rows, scratch.put(roots.select(F.col("id").alias("cls"), "root"))
 
